@@ -1,0 +1,205 @@
+"""Operators on texts against plain Python versions of their contracts."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from inkframe.llm import bpe, html_text, packing, pii, quality, queries, simhash
+
+TEXTS = [
+    None, "", "   \n\t", "one", "one two", "The cat sat on the mat and the dog sat on the log.", "the CAT sat on the mat and the dog sat on the log.", "Ünïcödé ÄÖ ß words İ here\x0bmore\x1cthere",
+    "x" * 300, "日本語のテキスト" * 12, "word " * 3000, "mail a.b+c@x-y.example.com, ip 1.2.3.4 and 1.2.3.400", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "call +1 (555) 555-1234 now", "don't   stop\r\n\r\n  it's 12345 <|endoftext|>",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "x", 1.5) for k, t in enumerate(TEXTS)] + [(None, "no id", "x", 0.0), (5, TEXTS[5], "x", 1.5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, id string, score double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.where("false")
+
+
+def plain_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_matches_brute_force(spark, docs, nothing):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu " * 40
+    more = [(100 + k, base + f"tail{k}", "x", 0.0) for k in range(30)]
+    table = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for shard in (simhash.SHARD, 8):  # one shard, and several with overlap
+        got = simhash.near_duplicates(table, shard=shard).collect()
+        rows = [(r.doc_id, r.text) for r in table.collect()]
+        prints = [plain_fingerprint(t) for _, t in rows]
+        known = {p: min((i for (i, _), q in zip(rows, prints) if q == p and i is not None), default=None) for p in prints}
+        root = {p: p for p in known}
+
+        def find(p, root=root):
+            return p if root[p] == p else find(root[p])
+
+        for p in known:
+            for q in known:
+                if (p ^ q).bit_count() <= 2:
+                    root[find(p)] = find(q)
+        low = defaultdict(lambda: None)
+        for p, i in known.items():
+            if i is not None:
+                low[find(p)] = i if low[find(p)] is None else min(i, low[find(p)])
+        want = sorted(((i, format(p, "016x"), low[find(p)]) for (i, _), p in zip(rows, prints)), key=repr)
+        assert sorted(map(tuple, got), key=repr) == want
+    assert simhash.near_duplicates(nothing).collect() == []
+
+
+def test_deduplicate_keeps_one_of_each_group(docs):
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert ids.count(5) == 1 and 6 not in ids and 1 not in ids and None in ids and 0 in ids
+
+
+def test_bpe_matches_tiktoken(docs, nothing):
+    ranks = queries.ranks()
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(ranks, public_tokenizers.PATTERN).ranks, special_tokens={})
+    out = bpe.encode(docs.withColumn("ids", F.lit(1)), ranks, public_tokenizers.PATTERN)
+    want = {}
+    for r in docs.collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest(), ids, (r.text or "").encode())
+    got = out.collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids, bytes(r.decoded)) == want[r.doc_id]
+    assert bpe.encode(nothing, ranks, public_tokenizers.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("length", [7, 64, 2048])
+def test_packing_places_every_token_once(docs, nothing, length):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    out = packing.pack(docs.where("doc_id IS NULL OR doc_id <> 5"), queries.ranks(), public_tokenizers.PATTERN, length=length, with_ids=True).collect()
+    for k, text in [*enumerate(TEXTS), (None, "no id")]:
+        if k == 5:
+            continue
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        own = sorted((r for r in out if r.doc_id == k), key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and len(own) == -(-len(ids) // length)
+        at = 0
+        for r in own:
+            part = ids[at : at + r.length]
+            assert r.start == at and bytes(r.ids) == struct.pack(f"<{len(part)}I", *part) and r.ids_crc32 == zlib.crc32(r.ids)
+            at += r.length
+        assert at == len(ids) and all(r.length == length for r in own[1:])
+    by = defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        end = 0
+        for offset, n in sorted(parts):
+            assert offset == end
+            end += n
+        assert end <= length
+    # No worse than best-fit decreasing, document by document.
+    free = []
+    for n in sorted((r.length for r in out), reverse=True):
+        fit = min((x for x in free if x >= n), default=None)
+        if fit is not None:
+            free.remove(fit)
+        free.append((length if fit is None else fit) - n)
+    assert len(by) <= len(free)
+    assert packing.pack(nothing, queries.ranks(), public_tokenizers.PATTERN).collect() == []
+
+
+def plain_base(t):
+    out = [[], [], [], []]
+    out[0] = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out[1] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out[2] = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+    out[3] = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return [(k, *s) for k, spans in enumerate(out) for s in spans]
+
+
+def test_base_spans_match_the_patterns():
+    import random
+
+    r = random.Random(3)
+    for _ in range(5000):
+        t = "".join(r.choice("0159.@+-() a_B%é\n") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(t) == plain_base(t)
+    assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@") == []
+
+
+def test_pii_report(docs, nothing):
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for k, t in enumerate(TEXTS):
+        base = plain_base(t or "")
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[a]}:{b}:{c}" for a, b, c in base).encode()).hexdigest()
+        for a, b, c in base:
+            assert f"{pii.KINDS[a]}:{b}:{c}" in got[k].spans.split(",")
+    assert (got[11].n_email, got[11].n_ip, got[12].n_card, got[13].n_phone) == (1, 1, 1, 1)
+    assert pii.report(nothing).collect() == []
+
+
+def test_model_finds_what_the_patterns_miss_and_no_more():
+    w = pii.weights()
+    right = n = 0
+    for text, gold in pii.examples(120, seed=1234):
+        found = set(pii.decode(text, w))
+        right, n = right + len(found & gold), n + len(found | gold)
+    assert right / n > 0.95
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'Some words. token = "{secret}" and more.'
+    assert pii.all_spans(text, w)[1] == [(4, text.index(secret), text.index(secret) + 40)]
+    assert pii.all_spans("Licensed under the Apache License, Version 2.0.\nGeneral Public License, version 3.", w)[1] == []
+    both = "see 4111111111111111 4111111111111111 there"  # one failing match of the pattern, two cards
+    assert [k for k, _, _ in pii.all_spans(both, w)[1]] == [2, 2]
+    assert pii.redacted_text("write to a@b.example.com.", w) == "write to <EMAIL>."
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
+<div class="ad">Buy now, it is cheap. Really, do.</div><article><header><h1>Head &amp; line</h1></header><p><b>First  para,
+with lines.<br>same block<p>Second para &eacute;.</p><section class="comments"><p>Nice, very nice.</p></section></article>
+<aside>More news</aside><footer>&copy; me</footer></body></html>"""
+
+
+def test_main_text(spark):
+    assert html_text.main_text(PAGE) == "Head & line\nFirst para, with lines. same block\nSecond para é."
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, PAGE[: PAGE.index("Second")] + "Sec<p"), (5, "plain words only, no tags.")], "page_id long, html string")
+    got = {r.page_id: r.t for r in pages.select("page_id", html_text.extract(F.col("html")).alias("t")).collect()}
+    assert got[2] == "" and got[3] == "" and got[4].endswith("same block\nSec") and got[5] == "plain words only, no tags."
+
+
+def test_main_text_without_article_element():
+    page = """<html><body><div class="top-nav"><a href=1>One</a> <a href=2>Two</a></div><div id="cookie-notice">We use cookies, all right?</div><div><div>
+    <h2>Title</h2><p>A first paragraph, of some length, with commas; and stops. It goes on, and on, for a while.</p><p>A second one, also long enough, with signs and words. It ends, here.</p></div>
+    <div class="sidebar"><p>Popular posts, and more.</p></div></div><form>Search <input></form><div class="footer">(c)</div></body></html>"""
+    assert html_text.main_text(page).split("\n")[0] == "Title" and "cookies" not in html_text.main_text(page) and "Popular" not in html_text.main_text(page) and "It ends, here." in html_text.main_text(page)
+
+
+def test_quality_learns_and_scores_every_text(spark, docs, nothing):
+    rows = [(k, ("good plain words in a row of text number " if k % 2 else "$$$ ### !! | | ") * 5 + str(k)) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(150)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    w = quality.train(table, labels)
+    assert (quality.train(table.repartition(7), labels.repartition(3)) == w).all()
+    got = {r.doc_id: r.s for r in table.select("doc_id", quality.score_of(F.col("text"), w).alias("s")).collect()}
+    assert all((got[k] > 0.5) == bool(k % 2) for k in range(150, 200))
+    assert all(0 <= r.s <= 1 for r in docs.select(quality.score_of(F.col("text"), w).alias("s")).collect())
+    assert (quality.train(nothing, labels) == 0).all()
