@@ -14,9 +14,11 @@ from inkframe.llm.store import written
 from inkframe.llm.vectors import matrix, rows_of, unit, usable
 
 #: Cosine from which vectors link; trees; vectors a leaf should hold; vectors that the driver sees to place the splits.
-COSINE, TREES, LEAF, SAMPLE = 0.95, 5, 1024, 32_768
+COSINE, TREES, LEAF, SAMPLE = 0.95, 4, 512, 32_768
 #: Overlap of a split in standard deviations of a linked pair's difference along a random direction.
-SPILL = 0.9
+SPILL = 0.5
+#: What a single-precision cosine may be off by at most, and more; it only decides which rows are measured in double.
+LOOSE = 1e-3
 #: Vectors of a block: a leaf of more is compared in pairs of blocks, each a task's work of its own.
 BLOCK = 4096
 
@@ -73,8 +75,8 @@ class Tree:
         return np.concatenate(out_row), np.concatenate(out_at)
 
 
-def _compare(a: pd.DataFrame, b: pd.DataFrame | None, leaf: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links within ``a``, or between ``a`` and ``b``: (ids, links owned by this leaf, their far side's copies), stars.
+def _compare(a: pd.DataFrame, b: pd.DataFrame | None, leaf: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links within ``a``, or between ``a`` and ``b``: ids, links owned by this leaf, stars (node, root).
 
     A pair that shares several leaves is counted in the smallest of them only. Whether that is this leaf
     depends on the two lists of leaves alone, so rows with equal lists are decided together.
@@ -84,18 +86,28 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame | None, leaf: int, cosine: float)
     x, y = (unit(matrix([np.frombuffer(v, np.float64) for v in f["v"]])) for f in (a, b))
     ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
     wa, wb = a["n"].to_numpy(), b["n"].to_numpy()
-    hit = np.zeros((len(x), len(y)), bool)
+    hit_a, hit_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
     for i in range(0, len(x), 512):
-        hit[i : i + 512] = x[i : i + 512] @ y.T >= cosine
-    if same:
-        np.fill_diagonal(hit, False)
-    ra, rb = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        hit = x32[i : i + 512] @ y32.T >= np.float32(cosine - LOOSE)
+        if same:
+            hit[np.arange(len(hit)), np.arange(i, i + len(hit))] = False
+        hit_a[i : i + 512] = hit.any(axis=1)
+        hit_b |= hit.any(axis=0)
+    ra, rb = np.flatnonzero(hit_a), np.flatnonzero(hit_b)
     if not len(ra):
         return ia[:0], wa[:0], ia[:0], ia[:0]
-    hit = hit[np.ix_(ra, rb)]
+    hit = x[ra] @ y[rb].T >= cosine
+    if same:
+        np.fill_diagonal(hit, False)
     lists = [{s: k for k, s in enumerate(dict.fromkeys(f["leaves"].to_numpy()[r]))} for f, r in ((a, ra), (b, rb))]
-    sets = [[frozenset(np.frombuffer(s, np.int64).tolist()) for s in d] for d in lists]
-    owned = np.array([[min(s & t) == leaf for t in sets[1]] for s in sets[0]])
+    lower = [[[k for k in np.frombuffer(s, np.int64).tolist() if k < leaf] for s in d] for d in lists]
+    column = {k: c for c, k in enumerate(sorted({k for side in lower for own in side for k in own}))}
+    member = [np.zeros((len(side), max(1, len(column))), np.float32) for side in lower]
+    for m, side in zip(member, lower):
+        for r, own in enumerate(side):
+            m[r, [column[k] for k in own]] = 1
+    owned = member[0] @ member[1].T == 0  # no smaller leaf in common
     ka = np.array([lists[0][s] for s in a["leaves"].to_numpy()[ra]])
     kb = np.array([lists[1][s] for s in b["leaves"].to_numpy()[rb]])
     links_a, links_b = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
