@@ -1,0 +1 @@
+"""Image regions, masks, detections and colours as DataFrames."""
