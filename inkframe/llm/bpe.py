@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 #: Contractions that one recursive query makes a word; words that need more enter the next query. This
 #: bounds the rows a query keeps, as each contraction leaves a copy of the word's tokens.
 ROUNDS = 24
-#: Words whose ids a worker remembers, and token positions that one query starts from.
-REMEMBERED, POSITIONS = 300_000, 1_000_000
+#: Words whose ids a worker remembers, token positions that one query starts from, and characters of text
+#: whose words are looked up at a time (a longer text is one lookup of its own).
+REMEMBERED, POSITIONS, CHARACTERS = 800_000, 1_000_000, 6_000_000
 
 #: One row a token position, at ``spot`` = word * 2^32 + place in the word. A pair's merge has the id of the
 #: merged token, which is its rank, so a word's smallest ``merged * 2^32 + place`` is the leftmost of its
@@ -59,7 +60,8 @@ class Codec:
         self.ranks = {base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}
         self.find = regex.compile(pattern).findall
         self.bytes = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        self.data: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         split = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         merges = pa.table({"pair": pa.array([x << 20 | y for x, y, _ in split], pa.int64()), "merged": pa.array([n for _, _, n in split], pa.int64())})
@@ -118,15 +120,22 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words not known yet and decodes their ids again; forgets all when there are too many."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+        new = list(words.difference(self.ids))
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.ids, self.data = {}, {}
             new = list(words)
         for i in range(0, len(new), 100_000):
             part = new[i : i + 100_000]
             ids = self.merged([w.encode() for w in part])
-            for w, x, data in zip(part, ids, self.decoded(ids)):
-                self.known[w] = (len(x), " ".join(map(str, x.tolist())), data)
+            self.data.update(zip(part, self.decoded(ids)))
+            self.ids.update(zip(part, [" ".join(map(str, x.tolist())) for x in ids]))
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(decimal ids joined by blanks, decoded bytes) of each text."""
+        words = [self.find(t) for t in texts]
+        self.learn(set().union(*words))
+        for own in words:
+            yield " ".join(map(self.ids.__getitem__, own)), b"".join(map(self.data.__getitem__, own))
 
 
 @cache
@@ -146,22 +155,22 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                texts = [c.find(x or "") for x in part.column(1).to_pylist()]
-                c.learn(set().union(*texts))
-                n, said, ids, data = [], [], [], []
-                for words in texts:
-                    got = [c.known[w] for w in words]
-                    ids.append(" ".join([g[1] for g in got]))
-                    data.append(b"".join([g[2] for g in got]))
-                    n.append(sum([g[0] for g in got]))
-                columns = [part.column(0), pa.array(n, pa.int64())]
-                for said in ([x.encode() for x in ids], data):
-                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in said], pa.string()))
+            lo = 0
+            while lo < b.num_rows:
+                texts, size = [], 0
+                while lo + len(texts) < b.num_rows and size < CHARACTERS:
+                    texts.append(b.column(1)[lo + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                part = b.slice(lo, len(texts))
+                lo += len(texts)
+                said = list(c.texts(texts))
+                columns = [
+                    part.column(0), pa.array([ids.count(" ") + (ids != "") for ids, _ in said], pa.int64()),
+                    pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in said], pa.string()), pa.array([hashlib.sha256(data).hexdigest() for _, data in said], pa.string()),
+                ]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), pa.array(data, pa.binary())]
+                    columns += [pa.array([[int(i) for i in ids.split()] for ids, _ in said], pa.list_(pa.int32())), pa.array([data for _, data in said], pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
