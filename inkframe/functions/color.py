@@ -40,7 +40,8 @@ def strict_hex(text: Column) -> Column:
 def named(text: Column) -> Column:
     """struct<b,g,r> of an HTML name in any case, or null."""
     table = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
-    return from_hex(F.try_element_at(table, F.lower(text)))
+    found = F.try_element_at(table, F.lower(text))
+    return F.when(found.isNotNull(), from_hex(found))
 
 
 def parse(text: str) -> BGR:
