@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe import fixtures
@@ -20,7 +20,6 @@ _sql: dict[str, str] = {}
 
 #: Size of the images that the detections lie on.
 WIDTH, HEIGHT = 480, 340
-BOX = geo.box()
 
 
 def _add(name: str, table: str, plan: Callable[[DataFrame], DataFrame], tail: str | None, recursive: bool = False) -> None:
@@ -38,7 +37,12 @@ def _regions(pixels: DataFrame) -> DataFrame:
     return rows.select("image_id", F.lit(1).alias("region_id"), F.col("bx").alias("x"), F.col("by_").alias("y"), F.col("bw").alias("w"), F.col("bh").alias("h"), "width", "height")
 
 
-B, G, R = F.col("b"), F.col("g"), F.col("r")
+
+
+def _bgr() -> tuple[Column, Column, Column]:
+    return F.col("b"), F.col("g"), F.col("r")
+
+
 MASK_SQL = ", mask AS (SELECT image_id, x, y, CASE WHEN is_text THEN 255 ELSE 0 END AS v FROM pixels)"
 
 # --- images and colours ---------------------------------------------------------------------------------
@@ -50,12 +54,12 @@ _add(
 )
 _add(
     "color_hex_roundtrip", "pixels",
-    lambda d: d.select(color.to_hex(B, G, R).alias("hex")).groupBy("hex").agg(F.count(F.lit(1)).alias("n")).withColumn("c", color.strict_hex(F.col("hex"))).select("hex", "n", "c.*"),
+    lambda d: d.select(color.to_hex(*_bgr()).alias("hex")).groupBy("hex").agg(F.count(F.lit(1)).alias("n")).withColumn("c", color.strict_hex(F.col("hex"))).select("hex", "n", "c.*"),
     "SELECT printf('#%02X%02X%02X', r, g, b) AS hex, count(*) AS n, CAST(b AS INT) AS b, CAST(g AS INT) AS g, CAST(r AS INT) AS r FROM pixels GROUP BY b, g, r",
 )
 for _name, _swap, _wb, _wr in (("luma_swapped", True, 9798, 3735), ("luma_standard", False, 3735, 9798)):
     _add(
-        _name, "pixels", lambda d, s=_swap: d.groupBy("image_id", color.luma(B, G, R, s).alias("gray")).agg(F.count(F.lit(1)).alias("n")),
+        _name, "pixels", lambda d, s=_swap: d.groupBy("image_id", color.luma(*_bgr(), s).alias("gray")).agg(F.count(F.lit(1)).alias("n")),
         f"SELECT image_id, CAST(floor((b*{_wb} + g*19235 + r*{_wr} + 16384) / 32768) AS BIGINT) AS gray, count(*) AS n FROM pixels GROUP BY 1, 2",
     )
 _TARGETS = {"enhance_wrap": ("wrap", (140, 130, 150), 12), "enhance_clamp": ("clamp", (250, 240, 252), 90), "enhance_wrap_white": ("wrap", (255, 255, 255), 3)}
@@ -73,7 +77,7 @@ _add(
 )
 _add(
     "color_distance_topk", "pixels",
-    lambda d: colors.distinct_colors(d, []).withColumn("distance", color.distance(B, G, R, (128, 128, 128))).orderBy("distance", "b", "g", "r").limit(10),
+    lambda d: colors.distinct_colors(d, []).withColumn("distance", color.distance(*_bgr(), (128, 128, 128))).orderBy("distance", "b", "g", "r").limit(10),
     "SELECT b, g, r, count(*) AS n, sqrt((b-128)*(b-128) + (g-128)*(g-128) + (r-128)*(r-128)) AS distance FROM pixels GROUP BY b, g, r ORDER BY distance, b, g, r LIMIT 10",
 )
 _add(
@@ -92,7 +96,7 @@ _add(
     SELECT image_id, variance, b, g, r FROM v QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY variance, b, g, r) = 1""",
 )
 _add(
-    "count_ranges", "pixels", lambda d: colors.count_ranges(colors.distinct_colors(d.select("image_id", F.floor(B / 16).alias("b"), F.floor(G / 16).alias("g"), F.floor(R / 16).alias("r")))),
+    "count_ranges", "pixels", lambda d: colors.count_ranges(colors.distinct_colors(d.select("image_id", F.floor(F.col("b") / 16).alias("b"), F.floor(F.col("g") / 16).alias("g"), F.floor(F.col("r") / 16).alias("r")))),
     """, c AS (SELECT image_id, count(*) AS n FROM pixels GROUP BY image_id, floor(b/16), floor(g/16), floor(r/16))
     SELECT image_id, count(*) FILTER (WHERE n >= 10 AND n < 50) AS n_10_50, count(*) FILTER (WHERE n >= 51 AND n < 100) AS n_51_100, count(*) FILTER (WHERE n >= 101 AND n < 500) AS n_101_500,
     count(*) FILTER (WHERE n >= 501 AND n < 1000) AS n_501_1000, count(*) FILTER (WHERE n >= 1001) AS n_1001_up FROM c GROUP BY image_id""",
@@ -124,39 +128,48 @@ def _boxed(d: DataFrame, made) -> DataFrame:
     return d.withColumn("_b", made).select("image_id", "det_id", "_b.*")
 
 
-_W, _H = F.lit(WIDTH).cast("long"), F.lit(HEIGHT).cast("long")
+
+
+def _wide() -> Column:
+    return F.lit(WIDTH).cast("long")
+
+
+def _high() -> Column:
+    return F.lit(HEIGHT).cast("long")
+
+
 _ID = "SELECT image_id, det_id, "
 _add(
-    "pad_boxes", "detections", lambda d: _boxed(d, geo.pad(BOX, _W, _H)),
+    "pad_boxes", "detections", lambda d: _boxed(d, geo.pad(geo.box(), _wide(), _high())),
     f"""{_ID} greatest(0, x - CAST(trunc(w*0.1) AS BIGINT)) AS x, greatest(0, y - CAST(trunc(h*0.1) AS BIGINT)) AS y, least({WIDTH} - greatest(0, x - CAST(trunc(w*0.1) AS BIGINT)), w + 2*CAST(trunc(w*0.1) AS BIGINT)) AS w,
     least({HEIGHT} - greatest(0, y - CAST(trunc(h*0.1) AS BIGINT)), h + 2*CAST(trunc(h*0.1) AS BIGINT)) AS h FROM detections""",
 )
 _add(
-    "clip_forced", "detections", lambda d: _boxed(d, geo.clip_forced(BOX, F.lit(300).cast("long"), F.lit(200).cast("long"))),
+    "clip_forced", "detections", lambda d: _boxed(d, geo.clip_forced(geo.box(), F.lit(300).cast("long"), F.lit(200).cast("long"))),
     f"""{_ID} CASE WHEN o THEN least(x, 299) ELSE x END AS x, CASE WHEN o THEN least(y, 199) ELSE y END AS y, CASE WHEN o THEN least(w, 300 - x) ELSE w END AS w, CASE WHEN o THEN least(h, 200 - y) ELSE h END AS h
     FROM (SELECT *, x + w > 300 OR y + h > 200 AS o FROM detections)""",
 )
 _add(
-    "clamp_boxes", "detections", lambda d: _boxed(d, geo.clamp(BOX, F.lit(300).cast("long"), F.lit(200).cast("long"))),
+    "clamp_boxes", "detections", lambda d: _boxed(d, geo.clamp(geo.box(), F.lit(300).cast("long"), F.lit(200).cast("long"))),
     f"{_ID} least(x, 299) AS x, least(y, 199) AS y, least(w, 300 - least(x, 299)) AS w, least(h, 200 - least(y, 199)) AS h FROM detections",
 )
 _add(
-    "dilate_px", "detections", lambda d: _boxed(d, geo.dilate(BOX, 10, _W, _H)),
+    "dilate_px", "detections", lambda d: _boxed(d, geo.dilate(geo.box(), 10, _wide(), _high())),
     f"{_ID} greatest(0, x-10) AS x, greatest(0, y-10) AS y, least({WIDTH}, x+w+10) - greatest(0, x-10) AS w, least({HEIGHT}, y+h+10) - greatest(0, y-10) AS h FROM detections",
 )
 _add(
-    "dilate_pct", "detections", lambda d: _boxed(d, geo.dilate_percent(BOX, 0.25, _W, _H)),
+    "dilate_pct", "detections", lambda d: _boxed(d, geo.dilate_percent(geo.box(), 0.25, _wide(), _high())),
     f"""{_ID} greatest(0, x-p) AS x, greatest(0, y-p) AS y, least({WIDTH}, x+w+p) - greatest(0, x-p) AS w, least({HEIGHT}, y+h+p) - greatest(0, y-p) AS h
     FROM (SELECT *, CAST(floor((CAST(trunc(w*0.125) AS BIGINT) + CAST(trunc(h*0.125) AS BIGINT)) / 2) AS BIGINT) AS p FROM detections)""",
 )
-_add("unrotate_boxes", "detections", lambda d: _boxed(d, geo.unrotate(BOX, _W)), f"{_ID} y AS x, {WIDTH} - x - w AS y, h AS w, w AS h FROM detections")
+_add("unrotate_boxes", "detections", lambda d: _boxed(d, geo.unrotate(geo.box(), _wide())), f"{_ID} y AS x, {WIDTH} - x - w AS y, h AS w, w AS h FROM detections")
 _add(
     "baseline_boxes", "images", lambda d: cascade.baselines(d).select("image_id", "x", "y", "w", "h"),
     "SELECT image_id, width - width//4 AS x, height - height//16 AS y, width//4 AS w, height//16 AS h FROM images UNION ALL SELECT image_id, width - width//16, height - height//4, width//16, height//4 FROM images",
 )
 _add(
     "label_positions", "detections",
-    lambda d: d.select("image_id", "det_id", *(geo.label_position(BOX, p, F.lit(40), F.lit(12))[c].alias(f"{p}_{c}") for p in ("top", "top_left", "top_right") for c in "xy")),
+    lambda d: d.select("image_id", "det_id", *(geo.label_position(geo.box(), p, F.lit(40), F.lit(12))[c].alias(f"{p}_{c}") for p in ("top", "top_left", "top_right") for c in "xy")),
     f"""{_ID} x AS top_x, CASE WHEN y > 30 THEN y-10 ELSE y+h+20 END AS top_y, x AS top_left_x, CASE WHEN y > 30 THEN y-10 ELSE y+17 END AS top_left_y, x+w-45 AS top_right_x, CASE WHEN y > 30 THEN y-10 ELSE y+17 END AS top_right_y FROM detections""",
 )
 _PAIRS_SQL = """, pairs AS (
@@ -193,7 +206,7 @@ _add(
 )
 _add(
     "east_decode", "cells",
-    lambda d: detections.rescale(detections.decode_cells(d, 0.4), 320, _W, _H).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "xywh"), F.sum("conf").alias("sum_conf")),
+    lambda d: detections.rescale(detections.decode_cells(d, 0.4), 320, _wide(), _high()).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "xywh"), F.sum("conf").alias("sum_conf")),
     f""", e AS (SELECT *, trunc(cx*4.0 + cos(angle)*d1 + sin(angle)*d2) AS ex, trunc(cy*4.0 - sin(angle)*d1 + cos(angle)*d2) AS ey FROM cells WHERE score >= 0.4),
     b AS (SELECT image_id, score, trunc(ex - (d1+d3)) AS x, trunc(ey - (d0+d2)) AS y, trunc(d1+d3) AS w, trunc(d0+d2) AS h FROM e)
     SELECT image_id, count(*) AS n, CAST(sum(trunc(x*({WIDTH}/320))) AS BIGINT) AS sum_x, CAST(sum(trunc(y*({HEIGHT}/320))) AS BIGINT) AS sum_y, CAST(sum(trunc(w*({WIDTH}/320))) AS BIGINT) AS sum_w,
@@ -226,7 +239,7 @@ _add("kmeans_lab", "pixels", lambda d: quantize.centres_of(quantize.lloyd_lab(co
 
 def _near(d: DataFrame) -> DataFrame:
     rows = tfidf.region_pixels(d, _regions(d))
-    return rows.withColumn("k", quantize.grid_cluster(B, G, R))
+    return rows.withColumn("k", quantize.grid_cluster(*_bgr()))
 
 
 _NEAR_SQL = """, near AS (
@@ -293,7 +306,7 @@ _add("threshold_sweep", "pixels", lambda d: report.threshold_sweep(tfidf.cluster
 # --- masks ----------------------------------------------------------------------------------------------
 _add(
     "mask_or_combine", "pixels",
-    lambda d: inpaint.combine_masks(_mask(d).unionByName(d.select("image_id", "x", "y", F.when(B >= 180, 255).otherwise(0).cast("int").alias("v")))).groupBy("image_id").agg(F.count_if(F.col("v") > 0).alias("n_lit"), F.count(F.lit(1)).alias("n")),
+    lambda d: inpaint.combine_masks(_mask(d).unionByName(d.select("image_id", "x", "y", F.when(F.col("b") >= 180, 255).otherwise(0).cast("int").alias("v")))).groupBy("image_id").agg(F.count_if(F.col("v") > 0).alias("n_lit"), F.count(F.lit(1)).alias("n")),
     "SELECT image_id, count(*) FILTER (WHERE is_text OR b >= 180) AS n_lit, count(*) AS n FROM pixels GROUP BY image_id",
 )
 
@@ -365,10 +378,10 @@ _add(
     SELECT *, 0.3*colinearity + 0.25*size_uniformity + 0.25*spacing_uniformity + 0.15*convexity + 0.05*count_score AS likelihood FROM parts""",
 )
 _add(
-    "tile_density", "pixels", lambda d: textlike.tile_density(d.withColumn("edge", F.when(F.col("is_text"), 255).otherwise(0)).withColumn("k", (B % 2).cast("int")), 10, clusters=2),
+    "tile_density", "pixels", lambda d: textlike.tile_density(d.withColumn("edge", F.when(F.col("is_text"), 255).otherwise(0)).withColumn("k", (F.col("b") % 2).cast("int")), 10, clusters=2),
     """SELECT image_id, y//10 AS ty, x//10 AS tx, avg(CASE WHEN is_text THEN 1 ELSE 0 END) AS edge_density, avg(CASE WHEN b % 2 = 0 THEN 1 ELSE 0 END) AS share_0, avg(CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END) AS share_1 FROM pixels WHERE x < 60 AND y < 40 GROUP BY 1, 2, 3""",
 )
-_add("edgy_colors", "pixels", lambda d: textlike.edgy_clusters(textlike.tile_density(filters.edges(d).join(d.select("image_id", "x", "y", (B / 64).cast("int").alias("k")), ["image_id", "x", "y"]), 8, clusters=4), 4), None)
+_add("edgy_colors", "pixels", lambda d: textlike.edgy_clusters(textlike.tile_density(filters.edges(d).join(d.select("image_id", "x", "y", (F.col("b") / 64).cast("int").alias("k")), ["image_id", "x", "y"]), 8, clusters=4), 4), None)
 _add("prepare_images", "pixels", filters.prepare, None)
 
 # --- reports and plans -----------------------------------------------------------------------------------
@@ -387,7 +400,7 @@ def _cascade(d: DataFrame) -> DataFrame:
     seen = d.select("image_id").distinct()
     sized = seen.select("image_id", F.lit(WIDTH).cast("long").alias("width"), F.lit(HEIGHT).cast("long").alias("height"))
     pairs = cascade.padded(consensus.pair_regions(d.where("conf >= 0.75")).select("image_id", "x", "y", "w", "h"), sized)
-    turned = d.where("conf >= 0.9").withColumn("_u", geo.unrotate(BOX, _H)).select("image_id", "_u.*")
+    turned = d.where("conf >= 0.9").withColumn("_u", geo.unrotate(geo.box(), _high())).select("image_id", "_u.*")
     return cascade.first_found(sized, [("none", pairs), ("rotation", turned), ("watermark", cascade.baselines(sized))])
 
 
