@@ -193,12 +193,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest, with all their columns.
 
+    The kept ids are as many as the documents, so both sides shuffle at every size; the texts once, unsorted.
     Rows with a null id stay. Of rows equal in id and text one stays; rows with one id and different texts
     are told apart by their fingerprints.
     """
     found = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
     kept = written(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept.where("_n = 1"), id_col, "left_semi").select(docs.columns))
+    out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept.where("_n = 1").hint("shuffle_hash"), id_col, "left_semi").select(docs.columns))
     again = kept.where("_n > 1")
     if again.isEmpty():
         return out
