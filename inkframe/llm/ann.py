@@ -14,7 +14,7 @@ from inkframe.llm.store import written
 from inkframe.llm.vectors import matrix, rows_of
 
 #: Neighbours asked for; vectors that the driver sees to place the centre; width of the error bound in its own unit.
-TOP, SAMPLE, EPSILON = 10, 32_768, 3.0
+TOP, SAMPLE, EPSILON = 10, 8_192, 3.0
 #: Codes and queries of a task; queries estimated at a time.
 CODES, QUERIES, CHUNK = 16_384, 8_192, 128
 

@@ -14,7 +14,7 @@ from inkframe.llm.store import written
 from inkframe.llm.vectors import matrix, rows_of, unit, usable
 
 #: Cosine from which vectors link; trees; vectors a leaf should hold; vectors that the driver sees to place the splits.
-COSINE, TREES, LEAF, SAMPLE = 0.95, 4, 512, 32_768
+COSINE, TREES, LEAF, SAMPLE = 0.95, 4, 512, 16_384
 #: Overlap of a split in standard deviations of a linked pair's difference along a random direction.
 SPILL = 0.5
 #: What a single-precision cosine may be off by at most, and more; it only decides which rows are measured in double.
