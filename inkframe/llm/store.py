@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Keys that ``join_hot`` broadcasts at most; every other key then has under 1 / HOT_KEYS of the rows.
 HOT_KEYS = 1000
+#: Rows that a key needs to be among them; so few keys have more that finding them moves little.
+LEAST_HOT = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +41,9 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFra
 
     ``weight`` is how many rows of ``big`` each key of ``small`` has. The HOT_KEYS heaviest keys (a fixed
     number of rows, so safe to broadcast) are joined where they lie; the others shuffle, and none of those
-    has more than 1 / HOT_KEYS of the rows. ``big`` is read twice and should be a written table.
+    has both LEAST_HOT rows and more than 1 / HOT_KEYS of all. ``big`` is read twice and should be a written table.
     """
-    hot = small.orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_KEYS)
+    hot = small.where(F.col(weight) >= LEAST_HOT).orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_KEYS)
     cold = small.join(F.broadcast(hot.select(key)), key, "left_anti")
     keys = F.broadcast(hot.select(key))
     near = big.join(F.broadcast(hot), key)
