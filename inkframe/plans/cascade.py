@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkframe.functions import color
 from inkframe.functions import geometry as geo
-from inkframe.operators import consensus, inpaint, tfidf
+from inkframe.operators import colors, consensus, filters, inpaint, tfidf
 
 #: The ways of finding regions, in the order in which they are tried.
 ORDER = ("target_color", "none", "rotation", "gray_enhancement", "white_enhancement", "watermark")
@@ -53,6 +54,11 @@ def staged(images: DataFrame, branches: Sequence[tuple[str, Callable[[DataFrame]
     return out
 
 
+def enhanced_pixels(pixels: DataFrame, target: color.BGR, tolerance: int = 3, compat: str = "wrap") -> DataFrame:
+    """Pixels for another try at detection: those near ``target`` black, then prepared as always."""
+    return filters.prepare(colors.enhance(pixels, target, tolerance, compat))
+
+
 def regions_of(images: DataFrame, detections: DataFrame, rotated: DataFrame | None = None, forced: DataFrame | None = None, compat_conf: float = 0.1) -> DataFrame:
     """(image_id, x, y, w, h, failover_type): forced boxes, else consensus, else consensus on the turned image, else baselines.
 

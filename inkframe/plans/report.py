@@ -26,6 +26,11 @@ def consensus_stats(timings: DataFrame) -> DataFrame:
     return timings.agg(F.sum("consensus_boxes_count").alias("n_boxes"), F.count_if(F.col("consensus_boxes_count") > 0).alias("n_images"), (F.avg((F.col("consensus_boxes_count") > 0).cast("int")) * 100).alias("percent"))
 
 
+def run_time(timings: DataFrame, seconds: float) -> DataFrame:
+    """One row: files, those with a time, ``seconds`` of the whole run, and seconds a file, failures included."""
+    return timings.agg(F.count(F.lit(1)).alias("n_files"), F.count("detection_time").alias("n_done")).select("*", F.lit(float(seconds)).alias("total"), F.when(F.col("n_files") > 0, seconds / F.col("n_files")).otherwise(0.0).alias("average"))
+
+
 def failover_counts(timings: DataFrame) -> DataFrame:
     """(failover_type, marker, n) of all six ways, zeros included."""
     marker = F.create_map(*(F.lit(x) for pair in FAILOVERS.items() for x in pair))

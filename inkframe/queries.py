@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from inkframe import fixtures
 from inkframe.functions import color
 from inkframe.functions import geometry as geo
-from inkframe.operators import colors, components, consensus, detections, filters, inpaint, morphology, quantize, textlike, tfidf
-from inkframe.plans import cascade, report
+from inkframe.operators import colors, components, consensus, detections, filters, inpaint, morphology, quantize, search, textlike, tfidf
+from inkframe.plans import annotate, cascade, report
 from inkframe.sources import images as files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,11 @@ _add(
     SELECT image_id, count(*) AS n, CAST(sum(trunc(x*({WIDTH}/320))) AS BIGINT) AS sum_x, CAST(sum(trunc(y*({HEIGHT}/320))) AS BIGINT) AS sum_y, CAST(sum(trunc(w*({WIDTH}/320))) AS BIGINT) AS sum_w,
     CAST(sum(trunc(h*({HEIGHT}/320))) AS BIGINT) AS sum_h, sum(score) AS sum_conf FROM b GROUP BY image_id""",
 )
+_add(
+    "annotations", "detections", annotate.annotations,
+    """SELECT image_id, det_id, 'box' AS kind, x, y, w, h, CASE detector WHEN 'east' THEN '#0000FF' WHEN 'doctr' THEN '#00FF00' ELSE '#FF0000' END AS outline, printf('%s %.1f%%', detector, conf * 100) AS label, x AS label_x,
+    CASE WHEN y > 30 THEN y - 10 ELSE y + h + 20 END AS label_y FROM detections""",
+)
 _add("nms", "detections", lambda d: detections.suppress(d, 0.4, 0.3), None)
 
 # --- quantisation and scores -----------------------------------------------------------------------------
@@ -234,6 +239,7 @@ _add(
     "kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), _K, _T)),
     _lloyd_sql() + f"SELECT image_id, CAST(k AS INT) AS k, sum(b*n)/sum(n) AS b, sum(g*n)/sum(n) AS g, sum(r*n)/sum(n) AS r, CAST(sum(n) AS BIGINT) AS n FROM a{_T} GROUP BY image_id, k",
 )
+_add("find_text_colors", "pixels", search.find_text_colors, None)
 _add("kmeans_lab", "pixels", lambda d: quantize.centres_of(quantize.lloyd_lab(colors.distinct_colors(d), 12, 8)), None)
 
 

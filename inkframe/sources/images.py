@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkframe.functions import color
+
 #: Suffixes of image files.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".webp")
 
@@ -58,6 +60,15 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "channels", "data").mapInPandas(run, "image_id bigint, x bigint, y bigint, b bigint, g bigint, r bigint")
 
 
+def read_masks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(masks, errors): ``read_images`` as (name, x, y, v), coloured ones as their gray value."""
+    found, errors = read_images(spark, path)
+    names = found.withColumn("image_id", F.xxhash64("name"))
+    gray = color.luma(F.col("b"), F.col("g"), F.col("r"))
+    rows = to_pixels(names).select("image_id", "x", "y", gray.cast("int").alias("v")).join(names.select("image_id", "name"), "image_id")
+    return rows.select("name", "x", "y", "v"), errors
+
+
 def png(a: np.ndarray, level: int = 8) -> bytes:
     """A PNG of an array H x W (gray) or H x W x 3 (r, g, b)."""
     a = np.ascontiguousarray(a, np.uint8)

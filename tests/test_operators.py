@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import color
 from inkframe.functions import geometry as geo
-from inkframe.operators import colors, components, consensus, detections, filters, inpaint, morphology, quantize, textlike, tfidf
+from inkframe.operators import colors, components, consensus, detections, filters, inpaint, models, morphology, quantize, search, textlike, tfidf
 from inkframe.plans import cascade, report
 from inkframe.sources import images
 from inkframe.streaming import batches
@@ -258,3 +258,32 @@ def test_exact_and_near_masks(spark):
     assert [r.v for r in colors.mask_exact(p, c).orderBy("x").collect()] == [255, 0, 0]
     assert [r.v for r in colors.mask_near(p, [(10, 20, 30)]).orderBy("x").collect()] == [255, 255, 0]
     assert [r.v for r in colors.mask_near(p, []).orderBy("x").collect()] == [0, 0, 0]
+
+
+def test_detectors_are_plugged_in(spark):
+    made = spark.createDataFrame([(1, 4, 3, 3, bytes(36)), (2, 4, 3, 1, bytes(12)), (3, 4, 3, 3, bytes(5))], "image_id long, width int, height int, channels int, data binary")
+
+    def load():
+        return lambda image: [(0, 0, image.shape[1], image.shape[0], 0.9), (0, 0, 1, 1, 0.9), (0, 0, 4, 4, 0.1)]
+
+    found, errors = models.detect_all(made, {"doctr": load}, 0.5)
+    assert sorted((r.image_id, r.w, r.h, r.detector_rank) for r in found.collect()) == [(1, 4, 3, 1), (2, 4, 3, 1)]
+    assert [(r.image_id, r.stage) for r in errors.collect()] == [(3, "detect doctr")]
+
+
+def test_text_colors(spark):
+    rows = [(1, x, y, *((30, 30, 30) if x < 4 else (200, 40, 90))) for x in range(8) for y in range(8)] + [(1, 9, 9, 31, 30, 30)]
+    p = spark.createDataFrame(rows, "image_id long, x long, y long, b long, g long, r long")
+    assert [(r.b, r.g, r.r, r.n) for r in search.find_text_colors(p, clusters=2).collect()] == [(30, 30, 30, 32)]
+    assert [(r.b, r.g, r.r, r.n) for r in search.find_text_colors(p, (190, 50, 80), clusters=2).collect()] == [(200, 40, 90, 32)]
+
+
+def test_exhaustive_search_stops_at_a_sure_cluster(spark):
+    rows = [(1, x, y, *((10, 10, 10) if x // 5 % 2 and 5 <= y < 15 else (220, 220, 220))) for x in range(40) for y in range(20)]
+    p = spark.createDataFrame(rows, "image_id long, x long, y long, b long, g long, r long")
+
+    def confidence(tests):
+        return tests.groupBy("image_id", "k").agg(F.when(F.avg((F.col("v") == 0).cast("int")) < 0.5, 0.99).otherwise(0.2).alias("conf"))
+
+    got = search.exhaustive_search(p, confidence, range(2, 5), 5).collect()
+    assert len(got) == 1 and got[0].clusters == 2 and got[0].conf == 0.99
