@@ -14,6 +14,8 @@ from inkframe.operators import colors, components, quantize, textlike
 CLUSTERS, LEAST, RANGE = 12, 4, range(2, 17)
 #: How close two detector scores count as equal, and the score that ends the search.
 CLOSE, ENOUGH = 0.01, 0.975
+#: By what share a likelihood of 1 raises a detector's score.
+BOOST = 0.5
 
 
 def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = 20, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -50,7 +52,11 @@ def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], Data
     found = components.plausible(components.features(labels, keys))
     line = textlike.likelihood(found, keys).select(*keys, F.col("n").alias("n_components"), "likelihood")
     out = ks.join(confidence(images), keys, "left").join(line, keys, "left").na.fill(0, ["conf", "n_components", "likelihood"])
-    return out.withColumn("combined", F.col("conf") * 0.7 + F.col("likelihood") * 0.3)
+    # A likely line counts for more components, at most twice as many or ten more; an unlikely one for half.
+    n = F.col("n_components")
+    weighed = F.when(F.col("likelihood") >= 0.7, F.least(n * 2, n + 10)).when(F.col("likelihood") >= 0.5, n).otherwise(F.greatest(F.lit(1), F.floor(n / 2)))
+    out = out.withColumn("n_components", weighed)
+    return out.withColumn("combined", F.col("conf") * (1.0 + F.col("likelihood") * BOOST))
 
 
 def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame], numbers: range = RANGE, rounds: int = 20) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
 
-#: Outline colour (#RRGGBB) of each detector and of the consensus.
-OUTLINES = {"east": "#0000FF", "doctr": "#00FF00", "easyocr": "#FF0000", "consensus": "#FF00FF"}
+#: Outline colour (#RRGGBB) of each detector, and of regions on which two and three agree.
+OUTLINES = {"east": "#FF0000", "doctr": "#0000FF", "easyocr": "#00FF00", "consensus_2": "#FF00FF", "consensus_3": "#00FFFF"}
 
 
 def annotations(boxes: DataFrame, label_width: int = 120, label_height: int = 14) -> DataFrame:

@@ -214,7 +214,7 @@ _add(
 )
 _add(
     "annotations", "detections", annotate.annotations,
-    """SELECT image_id, det_id, 'box' AS kind, x, y, w, h, CASE detector WHEN 'east' THEN '#0000FF' WHEN 'doctr' THEN '#00FF00' ELSE '#FF0000' END AS outline, printf('%s %.1f%%', detector, conf * 100) AS label, x AS label_x,
+    """SELECT image_id, det_id, 'box' AS kind, x, y, w, h, CASE detector WHEN 'east' THEN '#FF0000' WHEN 'doctr' THEN '#0000FF' ELSE '#00FF00' END AS outline, printf('%s %.1f%%', detector, conf * 100) AS label, x AS label_x,
     CASE WHEN y > 30 THEN y - 10 ELSE y + h + 20 END AS label_y FROM detections""",
 )
 _add("nms", "detections", lambda d: detections.suppress(d, 0.4, 0.3), None)
