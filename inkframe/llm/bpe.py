@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Contractions that one recursive query makes a word; words that need more enter the next query. This
 #: bounds the rows a query keeps, as each contraction leaves a copy of the word's tokens.
 ROUNDS = 24
+#: Bytes from which a word counts as long, and rounds of a query over such words.
+LONG, LONG_ROUNDS = 256, 4
 #: Words whose ids a worker remembers, token positions that one query starts from, and characters of text
 #: whose words are looked up at a time (a longer text is one lookup of its own).
 REMEMBERED, POSITIONS, CHARACTERS = 800_000, 1_000_000, 6_000_000
@@ -46,6 +48,45 @@ SELECT spot >> 32 AS word, list(id ORDER BY spot) AS ids, any_value(best) IS NUL
 FROM state WHERE best IS NULL OR step = $rounds GROUP BY word
 """
 
+#: For long words: contracts all pairs of a word's lowest rank at once, every other one where they overlap.
+#: That is what contracting the leftmost over and over comes to, as long as no merged token forms a pair of
+#: still lower rank with a neighbour, whether that neighbour is contracted before or after. A word in which
+#: one would does only its leftmost in that round.
+ENCODE_LONG = """
+WITH RECURSIVE state(step, spot, id, pair_id, best) AS (
+    WITH looked AS (
+        SELECT a.spot, a.id, merged AS pair_id FROM start AS a LEFT JOIN start AS b ON b.spot = a.spot + 1 LEFT JOIN merges ON pair = (a.id << 20) | b.id
+    ), lowest AS (SELECT spot >> 32 AS word, min(pair_id) AS best FROM looked GROUP BY 1)
+    SELECT 0, looked.*, best FROM looked LEFT JOIN lowest ON word = spot >> 32
+    UNION ALL
+    (WITH live AS MATERIALIZED (
+        SELECT step + 1 AS step, spot, id, pair_id, best FROM state WHERE best IS NOT NULL AND step < $rounds
+    ), hits AS (
+        SELECT spot, best, spot - row_number() OVER (PARTITION BY spot >> 32 ORDER BY spot) AS island FROM live WHERE pair_id = best
+    ), picked AS MATERIALIZED (
+        SELECT spot, best FROM (SELECT spot, best, row_number() OVER (PARTITION BY island ORDER BY spot) AS nth FROM hits) AS h WHERE nth % 2 = 1
+    ), lower_pairs AS (
+        SELECT p.spot >> 32 AS word FROM picked AS p JOIN live AS n ON n.spot = p.spot + 2 JOIN merges ON pair = (p.best << 20) | n.id WHERE merged < p.best
+        UNION
+        SELECT p.spot >> 32 FROM picked AS p JOIN live AS n ON n.spot = p.spot - 1 LEFT JOIN picked AS q ON q.spot = p.spot - 2
+        JOIN merges ON pair = (CASE WHEN q.spot IS NULL THEN n.id ELSE p.best END << 20) | p.best WHERE merged < p.best
+    ), chosen AS MATERIALIZED (
+        SELECT spot FROM picked WHERE spot >> 32 NOT IN (SELECT word FROM lower_pairs)
+        UNION ALL SELECT min(spot) FROM picked WHERE spot >> 32 IN (SELECT word FROM lower_pairs) GROUP BY spot >> 32
+    ), marked AS (
+        SELECT live.*, c.spot IS NOT NULL AS hit, g.spot IS NOT NULL AS gone FROM live LEFT JOIN chosen AS c ON c.spot = live.spot LEFT JOIN chosen AS g ON g.spot + 1 = live.spot
+    ), shorter AS MATERIALIZED (
+        SELECT step, spot - CAST(moved AS BIGINT) AS spot, CASE WHEN hit THEN best ELSE id END AS id
+        FROM (SELECT *, sum(CAST(gone AS INT)) OVER (PARTITION BY spot >> 32 ORDER BY spot) AS moved FROM marked) AS m WHERE NOT gone
+    ), looked AS MATERIALIZED (
+        SELECT a.step, a.spot, a.id, merged AS pair_id FROM shorter AS a LEFT JOIN shorter AS b ON b.spot = a.spot + 1 LEFT JOIN merges ON pair = (a.id << 20) | b.id
+    ), lowest AS (SELECT spot >> 32 AS word, min(pair_id) AS best FROM looked GROUP BY 1)
+    SELECT looked.*, best FROM looked LEFT JOIN lowest ON word = spot >> 32)
+)
+SELECT spot >> 32 AS word, list(id ORDER BY spot) AS ids, any_value(best) IS NULL AS done
+FROM state WHERE best IS NULL OR step = $rounds GROUP BY word
+"""
+
 #: Tokens of each word put together again in the order of their positions.
 DECODE = """
 SELECT word, string_agg(hex(bytes), '' ORDER BY seq) AS data
@@ -88,15 +129,18 @@ class Codec:
                 out[k] = np.array([self.ranks[w]], np.int64)
             else:
                 work.append((k, self.bytes[np.frombuffer(w, np.uint8)]))
+        work.sort(key=lambda x: len(x[1]))  # long words last, so first to be taken
         while work:
             now, size = [], 0
-            while work and (not now or size + len(work[-1][1]) <= POSITIONS):
+            long = len(work[-1][1]) >= LONG
+            while work and (not now or size + len(work[-1][1]) <= POSITIONS and (len(work[-1][1]) >= LONG) == long):
                 now.append(work.pop())
                 size += len(now[-1][1])
             n = np.array([len(ids) for _, ids in now])
             word = np.repeat(np.arange(len(now)), n)
             seq = np.arange(size) - np.repeat(np.cumsum(n) - n, n)
-            got = self._query(ENCODE, "start", {"spot": word << 32 | seq, "id": np.concatenate([ids for _, ids in now])}, rounds=ROUNDS)
+            sql, rounds = (ENCODE_LONG, LONG_ROUNDS) if long else (ENCODE, ROUNDS)
+            got = self._query(sql, "start", {"spot": word << 32 | seq, "id": np.concatenate([ids for _, ids in now])}, rounds=rounds)
             ids = got["ids"].combine_chunks()
             cuts, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
             for j, (w, done) in enumerate(zip(got["word"].to_pylist(), got["done"].to_pylist())):

@@ -203,3 +203,17 @@ def test_quality_learns_and_scores_every_text(spark, docs, nothing):
     assert all((got[k] > 0.5) == bool(k % 2) for k in range(150, 200))
     assert all(0 <= r.s <= 1 for r in docs.select(quality.score_of(F.col("text"), w).alias("s")).collect())
     assert (quality.train(nothing, labels) == 0).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe_of_long_words(name):
+    import random
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        c = bpe.codec(f.read(), public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    r = random.Random(1)
+    words = ["a" * 300, "=" * 2001, "日本語のテキスト" * 60, "ab" * 255, "a" * 50_000] + ["".join(r.choice(["the", "ing", "tion", "er", "a", "an"]) for _ in range(120)) for _ in range(8)]
+    got = c.merged([w.encode() for w in words])
+    assert all(x.tolist() == enc._encode_single_piece(w) for w, x in zip(words, got) if len(w) < 10_000)
+    assert b"".join(c.decoded(got)) == "".join(words).encode()
