@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.store import written
-from inkframe.llm.vectors import matrix, rows_of
+from inkframe.llm.store import hashed_sample, written
+from inkframe.llm.vectors import common_width, matrix, rows_of
 
 #: Neighbours asked for; vectors that the driver sees to place the centre; width of the error bound in its own unit.
 TOP, SAMPLE, EPSILON = 10, 8_192, 3.0
@@ -85,8 +85,8 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows of each row for which ``is_query`` holds.
 
     Nearness is Euclidean distance in double precision, ties to the smaller id, a query's own id left out.
-    Rows with an unusable vector (null, zero, null or non-finite components, another width than the first
-    of them by id) or a null id take no part; fewer candidates than ``k`` give fewer rows, an empty table
+    Rows with an unusable vector (null, zero, null or non-finite components, another width than the
+    sample's most common one) or a null id take no part; fewer candidates than ``k`` give fewer rows, an empty table
     none. Extra columns are not read.
 
     Every distinct vector is coded; of the rows that share one, the k + 1 smallest ids are kept, which is
@@ -97,11 +97,11 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     few = rows.select("id", "v").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rn") <= k + 1)
     groups = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = written(groups.withColumn("h", F.xxhash64("v")), "distinct")
-    seen = nodes.orderBy("h").limit(SAMPLE).select("ids", "v").toPandas()
+    seen = hashed_sample(nodes, "h", nodes.count(), SAMPLE).select(F.col("ids")[0].alias("id"), "v").toPandas().sort_values("id")
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(seen):
         return empty
-    width = len(seen["v"].iloc[min(range(len(seen)), key=lambda i: seen["ids"].iloc[i][0])])
+    width = common_width(seen["v"])
     centre = matrix([v for v in seen["v"] if len(v) == width]).mean(axis=0)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

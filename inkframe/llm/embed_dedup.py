@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm.graph import connected_components, spanning_edges
-from inkframe.llm.store import written
-from inkframe.llm.vectors import matrix, rows_of, unit, usable
+from inkframe.llm.store import hashed_sample, join_hot, written
+from inkframe.llm.vectors import common_width, matrix, rows_of, unit, usable
 
 #: Cosine from which vectors link; trees; vectors a leaf should hold; vectors that the driver sees to place the splits.
 COSINE, TREES, LEAF, SAMPLE = 0.95, 4, 512, 16_384
@@ -140,11 +140,11 @@ def near_duplicates(
 
     Links are pairs of cosine >= ``cosine`` in double precision that share a leaf of some tree. Equal
     vectors are one node with a count, so copies are never paired with one another. Unusable vectors
-    (null, zero, null or non-finite components, another width than the first of them by id) link with
+    (null, zero, null or non-finite components, another width than the sample's most common one) link with
     nothing. Each row must have an id of its own; rows with a null or repeated id are nodes by id. Extra
     columns are not read. An empty table gives an empty result.
 
-    The driver sees at most SAMPLE vectors to place the splits. Each vector goes to its leaves with the list
+    The driver sees about SAMPLE vectors to place the splits. Each vector goes to its leaves with the list
     of all of them; a task compares one leaf, or one pair of blocks of a large leaf, and returns counts and
     a star for each component it found, never the pairs.
     """
@@ -152,12 +152,12 @@ def near_duplicates(
     rows = rows_of(df, id_col, vector_col).where("id IS NOT NULL")
     groups = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     nodes = written(groups.withColumn("h", F.xxhash64("v")), "vectors")
-    seen = nodes.orderBy("h", "id").limit(SAMPLE).select("id", "v").toPandas()
     total = nodes.count()
+    seen = hashed_sample(nodes, "h", total, SAMPLE).select("id", "v").toPandas().sort_values("id")
     none = spark.createDataFrame([], "node long, links long, root long")
     found = none
     if len(seen):
-        width = len(seen["v"].iloc[seen["id"].argmin()])
+        width = common_width(seen["v"])
         sample = unit(matrix([v for v in seen["v"] if len(v) == width]))
         spread = np.sqrt(max(0.0, 2 - 2 * cosine) / width)
         rate = len(sample) / total
@@ -184,8 +184,7 @@ def near_duplicates(
                     yield pd.DataFrame({"leaf": at[i : i + 20_000], "id": f["id"].to_numpy()[r], "n": f["n"].to_numpy()[r], "v": [bodies[k] for k in r], "leaves": [lists[k] for k in r]})
 
         routed = written(nodes.select("id", "n", "v").mapInPandas(route, "leaf long, id long, n long, v binary, leaves binary"), "leaves")
-        sizes = routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}")
-        sizes = sizes.orderBy(F.col("m").desc()).limit(100_000)  # large leaves: a few of at most trees * SAMPLE / 16
+        sizes = routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}")  # of at most trees * SAMPLE / 8 leaves
         big = routed.join(F.broadcast(sizes), "leaf", "left")
         parts = F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")
         big = big.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -209,8 +208,6 @@ def near_duplicates(
 
 def _members(df: DataFrame, rows: DataFrame, known: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Each row of ``df`` with its vector's numbers; vectors that many rows share are joined by broadcast of their hash."""
-    from inkframe.llm.store import join_hot
-
     key = F.xxhash64("v")
     narrow = written(rows.select("id", key.alias("h"), "v"), "members")
     known = written(known.withColumn("h", key), "classes")

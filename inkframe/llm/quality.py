@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.store import written
+from inkframe.llm.store import hashed_sample, written
 
-#: Buckets of hashed n-grams (0 is the bias), and the labelled rows that training reads at most.
+#: Buckets of hashed n-grams (0 is the bias), and the labelled rows that training reads (twice as many at most).
 BUCKETS, SAMPLE = 1 << 18, 8_000
 #: The learner's rates, penalties and passes; what a feature's share of a text is multiplied by.
 ALPHA, BETA, L1, L2, PASSES, SCALE = 1.0, 1.0, 0.01, 0.01, 3, 8.0
@@ -85,14 +85,15 @@ def score(text: str, w: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights learned from at most ``sample`` labelled rows, those of the smallest hash of their id.
+    """Weights learned from about ``sample`` labelled rows, chosen by the hash of their id.
 
-    One task learns, as the updates follow one another; its input is bounded by ``sample``. Null labels
+    One task learns, as the updates follow one another; its input is bounded by twice ``sample`` rows. Null labels
     and ids teach nothing, null texts are empty. Without labelled rows all weights are zero (score 0.5).
     Training repeats exactly for the same rows, in any partitioning.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    known = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(sample)
+    known = known.withColumn("h", F.xxhash64("id"))
+    known = hashed_sample(known, "h", known.count(), sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(written(known, "labelled")), "id").select("h", "id", "y", "text")
 

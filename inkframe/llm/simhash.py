@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm.graph import connected_components, spanning_edges
-from inkframe.llm.store import join_hot, written
+from inkframe.llm.store import hashed_sample, join_hot, written
 
 #: Words a shingle, hash seed, and the number of differing bits up to which two fingerprints link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints a shard should hold, and the number of them that the driver may see to place the shards' pivots.
-SHARD, SAMPLE = 32_768, 65_536
+SHARD, SAMPLE = 32_768, 32_768
 #: Members of a leaf within a shard; shingles and queries handled at a time.
 LEAF, CHUNK, QUERIES = 64, 65_536, 16_384
 
@@ -146,12 +146,13 @@ def linked_pairs(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS,
 def link_fingerprints(table: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) that connect all of ``table`` (fp, distinct; rep) within ``radius`` bits of one another.
 
-    The driver fits a tree over at most SAMPLE fingerprints, until its leaves are shards of about ``shard``
+    The driver fits a tree over about SAMPLE fingerprints, until its leaves are shards of about ``shard``
     members. Every fingerprint lives in one shard and queries each shard that the triangle bounds leave
     open, so each pair meets; within a shard a second tree prunes further. Pairs shrink to stars per shard.
     """
     n = table.count()
-    sample = table.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if n > shard else np.zeros(0, np.uint64)
+    seen = hashed_sample(table.select("fp", F.xxhash64("fp").alias("h")), "h", n, SAMPLE).select("fp") if n > shard else table.select("fp").limit(0)
+    sample = np.sort(seen.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
     top = VantageTree(sample, max(32, int(shard * len(sample) / max(n, 1))))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,10 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that ``join_hot`` broadcasts at most; every other key then has under 1 / HOT_KEYS of the rows.
-HOT_KEYS = 1000
-#: Rows that a key needs to be among them; so few keys have more that finding them moves little.
-LEAST_HOT = 64
+#: A key is hot if it has over 1 / HOT_KEYS of the rows, so there are fewer than HOT_KEYS; and this many rows at least.
+HOT_KEYS, LEAST_HOT = 1000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,16 +34,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+def hashed_sample(df: DataFrame, h: str, total: int, size: int) -> DataFrame:
+    """About ``size`` of ``total`` rows, by their hash ``h`` (long); the same rows in any partitioning.
+
+    Twice ``size`` is never exceeded, and no task passes on more than its share, unlike a sort with a limit.
+    """
+    if total <= size:
+        return df
+    return df.where(F.pmod(F.col(h), F.lit(1 << 30)) < F.lit(int(size / total * (1 << 30)))).limit(2 * size)
+
+
+def hot_keys(small: DataFrame, weight: str, least: int = LEAST_HOT) -> DataFrame:
+    """The rows of ``small`` (one a key) whose ``weight`` is over 1 / HOT_KEYS of the sum: fewer than HOT_KEYS, safe to broadcast."""
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    return small.where(F.col(weight) > max(least, total // HOT_KEYS))
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, least: int = LEAST_HOT) -> DataFrame:
     """Inner equi-join of ``big`` with ``small`` (one row a key) that no single key can make uneven.
 
-    ``weight`` is how many rows of ``big`` each key of ``small`` has. The HOT_KEYS heaviest keys (a fixed
-    number of rows, so safe to broadcast) are joined where they lie; the others shuffle, and none of those
-    has both LEAST_HOT rows and more than 1 / HOT_KEYS of all. ``big`` is read twice and should be a written table.
+    ``weight`` is how many rows of ``big`` each key of ``small`` has. Hot keys are broadcast and joined
+    where they lie; the others shuffle, and none of those has both more than ``least`` rows and more than
+    1 / HOT_KEYS of all. ``big`` and ``small`` are read more than once and should be written tables.
     """
-    hot = small.where(F.col(weight) >= LEAST_HOT).orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_KEYS)
-    cold = small.join(F.broadcast(hot.select(key)), key, "left_anti")
+    hot = hot_keys(small, weight, least)
     keys = F.broadcast(hot.select(key))
     near = big.join(F.broadcast(hot), key)
-    far = big.join(keys, key, "left_anti").join(cold.hint("shuffle_merge"), key)
+    far = big.join(keys, key, "left_anti").join(small.join(keys, key, "left_anti").hint("shuffle_merge"), key)
     return near.unionByName(far)

@@ -27,3 +27,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows divided by their length, first by their largest component so that squares neither overflow nor vanish."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def common_width(vectors) -> int:
+    """The most frequent length of the given vectors, the smaller of equally frequent ones."""
+    sizes, counts = np.unique([len(v) for v in vectors], return_counts=True)
+    return int(sizes[counts.argmax()])

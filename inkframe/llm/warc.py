@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.store import HOT_KEYS, LEAST_HOT, fresh_path, join_hot, written
+from inkframe.llm.store import fresh_path, hot_keys, join_hot, written
 
 #: Payloads of fewer bytes are stored again rather than revisited; records an archive file holds at most.
 LEAST_REVISIT, RECORDS_A_FILE = 1000, 30_000
@@ -61,12 +61,12 @@ def write_warc(
     middle one in WARC-Concurrent-To. Rows whose payload (null: empty; string as UTF-8, or binary) has at
     least ``least`` bytes and an equal elsewhere revisit that of the largest (page_id, url). Repeated rows
     are captures of their own. A null page_id or url is left out of its record. Payloads shuffle once, by
-    digest, and those of the HOT_KEYS most copied digests not at all.
+    digest, and those of digests with many copies not at all.
     """
     body = F.coalesce(F.col(payload).cast("binary").cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).alias("i"), F.col(url).alias("u"), body.alias("body")).withColumn("digest", F.sha1(F.col("body").cast("binary")))
     tops = written(choose_responses(pages, page_id, url, payload, least), "warc-tops")
-    hot = tops.where(F.col("n") >= LEAST_HOT).orderBy(F.col("n").desc(), "digest").limit(HOT_KEYS)
+    hot = hot_keys(tops, "n")
     cold = tops.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
     # Rows that the broadcast has settled and rows too small to revisit get a key of their own, so that no key is heavy.

@@ -154,3 +154,19 @@ def test_pipeline_runs_and_keeps_clean_documents(spark):
     kept = corpus_pipeline.keep_quality(spark, docs, d)
     assert kept.columns == docs.columns and kept.count() > 0.7 * docs.count()
     assert corpus_pipeline.run(spark, d).count() >= corpus_pipeline.drop_near_copies(spark, kept, d).count()
+
+
+def test_hot_keys_join_like_any_other(spark):
+    big = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(900)], "key long, v long")
+    small = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m")).where("key <> 3")
+    got = store.join_hot(big, small, "key", "n", least=8)
+    assert [r.key for r in store.hot_keys(small, "n", 8).collect()] == [0]
+    want = big.join(small, "key")
+    assert sorted(map(tuple, got.select("key", "v", "n", "m").collect())) == sorted(map(tuple, want.select("key", "v", "n", "m").collect()))
+
+
+def test_samples_are_bounded_and_repeat(spark):
+    d = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    one = {r.id for r in store.hashed_sample(d, "h", 5000, 500).collect()}
+    assert 350 < len(one) < 650 and one == {r.id for r in store.hashed_sample(d.repartition(7), "h", 5000, 500).collect()}
+    assert store.hashed_sample(d, "h", 5000, 5000).count() == 5000
