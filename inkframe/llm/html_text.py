@@ -38,6 +38,8 @@ KEEPS_P = INLINE | VOID
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "main", "blockquote"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、'\"()«»„“”¿¡-]")
 SPACE = re.compile(r"\s+")
+#: Elements that hold text rather than a page's parts, and the share of text that makes a container the article's.
+TEXTUAL, MOST = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"}, 0.6
 #: Share of the standard deviation of smoothed ratios that a path must reach, and the width of smoothing.
 SHARE, WIDTH = 0.8, 1
 
@@ -47,19 +49,19 @@ class Block:
 
     __slots__ = ("path", "parts", "linked", "off", "main")
 
-    def __init__(self, path: str, off: bool, main: bool):
+    def __init__(self, path: str, off: bool, main: int):
         self.path, self.parts, self.linked, self.off, self.main = path, [], 0, off, main
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
+def blocks(page: str) -> list[tuple[str, str, int, bool, int]]:
     """(path, text, characters in links, off, main) of each block with text, in page order.
 
     Lenient as browsers are: an open p ends at the next block, unknown end tags are ignored, whatever is
     still open ends with the page. ``off``: below an element or a class that surrounds articles. ``main``:
-    below article, main or a class named so.
+    2 below an article element, 1 below main or a class named so, else 0.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, off, main
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, off, main
     now: Block | None = None
     links = 0
     at, end = 0, len(page)
@@ -132,12 +134,12 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
                     named += " " + value
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     off = True
-        inside = main
-        main = main or name in ("article", "main") or bool(named and MAIN.search(named))
+        inside = main > 0
+        main = max(main, 2 if name == "article" else int(name == "main" or bool(named and MAIN.search(named))))
         if name in OFF or name == "header" and not inside or named and _noted(name, named, inside):
             off = True
         stack.append((name, f"{path}/{name}" + ("." + ".".join(sorted(set(named.split()))) if named else ""), off, main))
-    found = []
+    found: list[tuple[str, str, int, bool, int]] = []
     for b in out:
         said = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
         if said:
@@ -164,7 +166,16 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(found: list[tuple[str, str, int, bool, bool]]) -> set[str]:
+def article_level(found: list[tuple[str, str, int, bool, int]]) -> int:
+    """What a block's ``main`` must reach: 2 or 1 where the page names its article so, else 0.
+
+    Article elements with under a quarter of the named text are teasers of others.
+    """
+    size = [sum(len(said) for _, said, _, off, main in found if not off and main >= level) for level in (1, 2)]
+    return 2 if size[1] and size[1] * 4 >= size[0] else int(size[0] > 0)
+
+
+def content_paths(found: list[tuple[str, str, int, bool, int]], level: int) -> set[str]:
     """The paths whose nodes are content.
 
     Per path: text length a node, and punctuation a node, over all its nodes (Wu et al., 2013), both
@@ -172,10 +183,9 @@ def content_paths(found: list[tuple[str, str, int, bool, bool]]) -> set[str]:
     held against a share of their standard deviation. Where the page names its article, the ratios of
     paths outside it are zero and those inside count whole: every path there that isn't links is content.
     """
-    named = any(main and not off for _, _, _, off, main in found)
     totals: dict[str, list[float]] = {}
     for path, said, linked, off, main in found:
-        if off or named and not main:
+        if off or main < level:
             continue
         t = totals.setdefault(path, [0, 0, 0, 0])
         t[0] += 1
@@ -188,22 +198,39 @@ def content_paths(found: list[tuple[str, str, int, bool, bool]]) -> set[str]:
     length = _smooth([totals[p][1] / totals[p][0] for p in paths])
     signs = _smooth([(totals[p][2] + 1) / totals[p][0] for p in paths])
     fused = [math.sqrt(a * b) * (1 - totals[p][3] / totals[p][1]) for a, b, p in zip(length, signs, paths)]
-    if named:
+    if level:
         return {p for p in paths if totals[p][3] < 0.8 * totals[p][1]}
     mean = sum(fused) / len(fused)
     limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     chosen = {p for p, x in zip(paths, fused) if x >= limit and totals[p][3] < 0.5 * totals[p][1]}
-    # Headings, lists and quotes that share the container of the chosen text belong to it.
-    homes = {p.rsplit("/", 1)[0] for p in chosen if p.count("/") > 2}
-    return chosen | {p for p in paths if any(p.startswith(h + "/") for h in homes) and totals[p][3] < 0.5 * totals[p][1]}
+    home = _home({p: totals[p][1] for p in chosen})
+    # Headings, lists and quotes in the container of the chosen text belong to it, other boxes beside it don't.
+    return {p for p in paths if (p == home or p.startswith(home + "/")) and totals[p][3] < 0.5 * totals[p][1]}
+
+
+def _home(sizes: dict[str, int]) -> str:
+    """The innermost container, from the root down, that holds most of the text of the given paths."""
+    home = ""
+    while True:
+        below: dict[str, int] = {}
+        for path, n in sizes.items():
+            if path.startswith(home + "/"):
+                step = path[len(home) + 1 :].split("/", 1)[0]
+                if step.split(".", 1)[0] not in TEXTUAL:
+                    below[f"{home}/{step}"] = below.get(f"{home}/{step}", 0) + n
+        whole = sum(n for path, n in sizes.items() if path == home or path.startswith(home + "/"))
+        best = max(below, key=below.get, default=None)
+        if best is None or below[best] < MOST * whole:
+            return home
+        home = best
 
 
 def main_text(page: str) -> str:
     """The main text of one page: its content blocks in page order, joined by a line feed."""
     found = blocks(page)
-    paths = content_paths(found)
-    named = any(main and not off for _, _, _, off, main in found)
-    return "\n".join([said for path, said, _, off, main in found if not off and (main or not named) and path in paths])
+    level = article_level(found)
+    paths = content_paths(found, level)
+    return "\n".join([said for path, said, _, off, main in found if not off and main >= level and path in paths])
 
 
 def extract(page: Column) -> Column:

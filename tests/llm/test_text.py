@@ -217,3 +217,12 @@ def test_bpe_of_long_words(name):
     got = c.merged([w.encode() for w in words])
     assert all(x.tolist() == enc._encode_single_piece(w) for w, x in zip(words, got) if len(w) < 10_000)
     assert b"".join(c.decoded(got)) == "".join(words).encode()
+
+
+def test_main_text_of_pages_that_name_nothing():
+    part = "Words in a row, with signs; and more of them. It goes on, and on, for a while. "
+    page = f"<html><body><div class=a1><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></div><div class=a2>Short words here.</div><div class=a3><h1>Head</h1><p>{part}<p>{part * 3}<ul><li>One, two.</ul></div><div class=a4>&copy; us, all.</div></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Head", part.strip(), (part * 3).strip(), "One, two."])
+    teaser = page.replace("Short words here.", "<article><p>Short words here.</p></article>").replace("<div class=a3>", "<main>")
+    assert html_text.main_text(teaser).startswith("Short words here.\nHead\n") or html_text.main_text(teaser).startswith("Head\n")
+    assert html_text.main_text("<p>a<!-- open <p>b") == "a" and html_text.main_text('<p title="x>a</p><p>b') == "a\nb" and html_text.main_text("<" * 5000) == "<" * 5000
