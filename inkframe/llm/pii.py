@@ -203,7 +203,17 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, set[Span]]]:
         4: lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64)))),
     }
     lead = {2: ("card ", "card: ", ""), 3: ("call ", "phone: ", "tel ", ""), 4: ('token = "', 'key = "', 'secret: "', "api_key = '", "password=")}
+    def no_card() -> str:
+        d = digits(r.choice((13, 15, 16, 16, 16, 16, 19)))
+        return d if not luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)
+
+    def no_address() -> str:
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        parts[r.randrange(4)] = str(r.randint(256, 999))
+        return ".".join(parts)
+
     none = [
+        no_card, no_card, no_card, no_address,
         lambda: f"version {digits(1)}.", lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"in {r.randint(1900, 2030)}", lambda: f"{digits(3)} {word()}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}",
         lambda: f"{r.randint(1, 999)},{digits(3)}", lambda: f"{r.randint(2000, 2030)}-0{r.randint(1, 9)}-1{digits(1)}", lambda: f"section {digits(1)}.{digits(1)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"BY-NC {digits(1)}.0", lambda: f"no. {digits(r.randint(5, 12))}", lambda: f"@{word()}",
     ]

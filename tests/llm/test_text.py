@@ -168,6 +168,7 @@ def test_model_finds_what_the_patterns_miss_and_no_more():
     text = f'Some words. token = "{secret}" and more.'
     assert pii.all_spans(text, w)[1] == [(4, text.index(secret), text.index(secret) + 40)]
     assert pii.all_spans("Licensed under the Apache License, Version 2.0.\nGeneral Public License, version 3.", w)[1] == []
+    assert pii.all_spans("Thing of 9807915762804490 the anen, 300.1.2.3 and 5927243074273351!! there.", w)[1] == []  # no card, no address
     both = "see 4111111111111111 4111111111111111 there"  # one failing match of the pattern, two cards
     assert [k for k, _, _ in pii.all_spans(both, w)[1]] == [2, 2]
     assert pii.redacted_text("write to a@b.example.com.", w) == "write to <EMAIL>."
