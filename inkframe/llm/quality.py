@@ -17,7 +17,9 @@ from inkframe.llm.store import hashed_sample, written
 BUCKETS, SAMPLE = 1 << 18, 8_000
 #: The learner's rates, penalties and passes; what a feature's share of a text is multiplied by.
 ALPHA, BETA, L1, L2, PASSES, SCALE = 1.0, 1.0, 0.01, 0.01, 3, 8.0
-#: What a pair of equal words counts as, whichever word it is: texts that stammer share no words.
+#: What a word counts as, alone and as a pair, whichever word it is, if it repeats the one before it or its
+#: pair repeats the one two or three words before (words with signs are two or three): texts that stammer
+#: share no words, and a good word said over and over is no good sign.
 REPEAT = np.uint64(0x5BD1E9)
 #: Words remembered with their hashes, and words of a text handled at a time.
 REMEMBERED, CHUNK = 300_000, 1 << 20
@@ -48,9 +50,14 @@ def _buckets(text: str) -> Iterator[np.ndarray]:
         one = np.array(h, np.uint64)
         whole = one if last is None else np.concatenate([last, one])
         two = (whole[:-1] * np.uint64(0x9E3779B97F4A7C15) + whole[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-        two[whole[:-1] == whole[1:]] = REPEAT
+        again = whole[:-1] == whole[1:]
+        for lag in (2, 3):
+            again[lag:] |= two[lag:] == two[:-lag]
+        two[again] = REPEAT
         last = one[-1:]
-        yield (one * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(BUCKETS - 1) + np.uint64(1)
+        single = one * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        single[len(one) - len(again) :][again] = REPEAT
+        yield single % np.uint64(BUCKETS - 1) + np.uint64(1)
         yield two % np.uint64(BUCKETS - 1) + np.uint64(1)
 
 
