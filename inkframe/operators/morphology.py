@@ -1,7 +1,9 @@
 """Mask morphology by windows: dense masks (keys, x, y, v) with v 0 or 255, one row a pixel.
 
 Pixels outside a mask are ignored, so a mask cut to a region never grows past it. Windows run along rows
-and columns; both shuffle by (keys, y) or (keys, x), never a whole image to one task.
+and columns. Operations of several passes first bring each mask together (``whole``): one shuffle, after
+which every pass only sorts. For masks too large for a task pass ``together=False``: each change between
+rows and columns then shuffles by row or column.
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def whole(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """``mask`` partitioned by its first key (the image), which serves windows by (keys, row) and by (keys, column)."""
+    return mask.repartition(keys[0])
+
+
 def _along(keys: Sequence[str], line: str, at: str, reach: int):
     return Window.partitionBy(*keys, line).orderBy(at).rangeBetween(-reach, reach)
 
@@ -83,26 +90,34 @@ def blur_threshold(mask: DataFrame, size: int, keys: Sequence[str] = ("image_id"
     return out.withColumn("v", F.when(F.round("_s", 6) >= over + 0.5, 255).otherwise(0).cast("int")).select(*mask.columns)
 
 
-def close(mask: DataFrame, size: int = 11, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def _close(mask: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
     r = size // 2
     return rectangle(rectangle(mask, r, r, keys), r, r, keys, grow=False)
 
 
-def clean(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def close(mask: DataFrame, size: int = 11, keys: Sequence[str] = ("image_id",), together: bool = True) -> DataFrame:
+    return _close(whole(mask, keys) if together else mask, size, keys)
+
+
+def clean(mask: DataFrame, keys: Sequence[str] = ("image_id",), together: bool = True) -> DataFrame:
     """Close by a rectangle of 11, dilate by an ellipse of 13, smooth by a Gaussian of 9."""
-    return blur_threshold(ellipse(close(mask, 11, keys), 13, keys), 9, keys)
+    mask = whole(mask, keys) if together else mask
+    return blur_threshold(ellipse(_close(mask, 11, keys), 13, keys), 9, keys)
 
 
-def expand(mask: DataFrame, by: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    return mask if by <= 0 else rectangle(mask, by, by, keys)
+def expand(mask: DataFrame, by: int, keys: Sequence[str] = ("image_id",), together: bool = True) -> DataFrame:
+    if by <= 0:
+        return mask
+    return rectangle(whole(mask, keys) if together else mask, by, by, keys)
 
 
-def smooth(mask: DataFrame, size: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    return blur_threshold(mask, size, keys)
+def smooth(mask: DataFrame, size: int, keys: Sequence[str] = ("image_id",), together: bool = True) -> DataFrame:
+    return blur_threshold(whole(mask, keys) if together else mask, size, keys)
 
 
-def open_erode_dilate(mask: DataFrame, keys: Sequence[str] = ("image_id",), times: int = 3) -> DataFrame:
+def open_erode_dilate(mask: DataFrame, keys: Sequence[str] = ("image_id",), times: int = 3, together: bool = True) -> DataFrame:
     """``times`` rounds of opening by an ellipse of 5, erosion by one of 3 and dilation by one of 2."""
+    mask = whole(mask, keys) if together else mask
     for _ in range(times):
         mask = ellipse(ellipse(mask, 5, keys, grow=False), 5, keys)
         mask = ellipse(ellipse(mask, 3, keys, grow=False), 2, keys)

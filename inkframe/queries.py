@@ -103,8 +103,8 @@ _add(
 )
 _add(
     "rotate_pixels", "pixels",
-    lambda d: (lambda p: d.select("image_id", p[0].alias("x"), p[1].alias("y"), "b").where("x < 4"))(geo.rotate_point(F.col("x"), F.col("y"), F.col("height"))),
-    "SELECT image_id, height - 1 - y AS x, x AS y, b FROM pixels WHERE height - 1 - y < 4",
+    lambda d: (lambda p: d.select("image_id", p[0].alias("x"), p[1].alias("y"), "b"))(geo.rotate_point(F.col("x"), F.col("y"), F.col("height"))),
+    "SELECT image_id, height - 1 - y AS x, x AS y, b FROM pixels",
 )
 
 # --- boxes ----------------------------------------------------------------------------------------------
@@ -352,7 +352,7 @@ _add(
     """SELECT image_id, count(*) AS n, (max(x)-min(x))*(max(y)-min(y)) AS area, count(*)*100.0 / ((max(x)-min(x))*(max(y)-min(y))) AS density, count(*)*100.0 / (width*height) AS share
     FROM pixels WHERE is_text GROUP BY image_id, width, height""",
 )
-_add("telea_fill", "pixels", lambda d: inpaint.telea(d.where("inbox"), _mask(d.where("inbox"))), None)
+_add("telea_fill", "pixels", lambda d: inpaint.telea(d, _mask(d)), None)
 
 # --- components and lines --------------------------------------------------------------------------------
 _LABEL_SQL = """, lit AS (SELECT image_id, x, y, y*64 + x AS p FROM pixels WHERE is_text),
