@@ -43,8 +43,8 @@ def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_
     return assigned(centres)
 
 
-def _fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Cluster of each point, points being in order of preference as first centres."""
+def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Cluster of each point by weighted k-means, points being in order of preference as first centres."""
     number, centres = np.arange(min(k, len(points))), points[:k]
 
     def nearest() -> np.ndarray:
@@ -76,7 +76,7 @@ def lloyd_by_group(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] =
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n", *by], ascending=[False] + [True] * len(by), kind="stable")
-        return f.assign(k=_fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), k, rounds).astype("int32"))
+        return f.assign(k=fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), k, rounds).astype("int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in colors.schema.fields) + ", k int"
     return colors.groupBy(*keys).applyInPandas(run, schema)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import color, geometry
-from inkframe.operators import colors, morphology, quantize
+from inkframe.operators import morphology, quantize
 
 #: Normalised score from which a pixel counts as text; clusters and rounds of the quantisation.
 THRESHOLD, CLUSTERS, ROUNDS = 188, 24, 20
@@ -69,18 +71,51 @@ def score_map(assigned: DataFrame, scores: DataFrame, keys: Sequence[str] = ("im
     return rows.select(*keys, "x", "y", "norm", F.when(hit, 255).otherwise(0).cast("int").alias("v"))
 
 
+def _mask_of(f: pd.DataFrame, clusters: int, rounds: int, target: color.BGR | None) -> np.ndarray:
+    """v of each row of one region's surroundings: quantisation, scores and threshold as the table functions have them."""
+    code = (f["b"].to_numpy(np.int64) << 16) | (f["g"].to_numpy(np.int64) << 8) | f["r"].to_numpy(np.int64)
+    colors_, at, n = np.unique(code, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # most frequent first, then by b, g, r
+    points = np.stack([colors_ >> 16, colors_ >> 8 & 255, colors_ & 255], axis=1).astype(np.float64)
+    k = np.empty(len(colors_), np.int64)
+    k[order] = quantize.fit(points[order], n[order].astype(np.float64), clusters, rounds)
+    own, doc = k[at], f["in_doc"].to_numpy(bool)
+    n_doc, n_corpus = np.bincount(own[doc], minlength=clusters), np.bincount(own[~doc], minlength=clusters)
+    there = n_doc + n_corpus > 0
+    norm = np.full(clusters, 128)
+    if n_corpus.sum():
+        score = n_doc / max(1, n_doc.sum()) * np.log(n_corpus.sum() / (n_corpus + 1))
+        low, high = score[there].min(), score[there].max()
+        if high > low:
+            norm = np.floor((score - low) / (high - low) * 255)
+    text = norm >= THRESHOLD
+    if target is not None:
+        total = np.bincount(k, n, clusters)
+        means = np.stack([np.bincount(k, n * c, clusters) for c in points.T], axis=1) / np.maximum(total, 1)[:, None]
+        d = ((means - np.array(target, float)) ** 2).sum(axis=1)
+        d[total == 0] = np.inf
+        text[d.argmin()] = True
+    return np.where(text[own], 255, 0)
+
+
 def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, target: color.BGR | None = None, clean: bool = True) -> DataFrame:
     """(image_id, region_id, x, y, v): the mask of the text in each region.
 
     Surroundings, quantisation of their distinct colours, scores, threshold, then morphological cleaning
     within the region. Regions whose surroundings have fewer pixels than ``clusters`` give no rows.
+
+    A region's surroundings fit a task, so all of its steps run in one, after one shuffle;
+    ``cluster_scores`` and ``score_map`` do the same on tables, for groups of any size.
     """
     keys = ["image_id", "region_id"]
     near = region_pixels(pixels, regions)
-    counted = colors.distinct_colors(near, keys)
-    counted = counted.withColumn("_n", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("_n") >= clusters).drop("_n")
-    assigned_colors = quantize.lloyd_by_group(counted, clusters, rounds, keys)
-    assigned = near.join(assigned_colors.select(*keys, "b", "g", "r", "k"), [*keys, "b", "g", "r"])
-    forced = quantize.nearest_cluster(quantize.centres_of(assigned_colors, keys), target, keys) if target is not None else None
-    mask = score_map(assigned, cluster_scores(assigned, keys), keys, target=forced).select(*keys, "x", "y", "v")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = f[[*keys, "x", "y"]].assign(v=0)
+        if len(f) < clusters:
+            return out[:0]
+        return out.assign(v=_mask_of(f, clusters, rounds, target))[f["in_doc"].to_numpy(bool)]
+
+    kinds = {c: near.schema[c].dataType.simpleString() for c in (*keys, "x", "y")}
+    mask = near.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", v int")
     return morphology.clean(mask, keys) if clean else mask

@@ -287,3 +287,20 @@ def test_exhaustive_search_stops_at_a_sure_cluster(spark):
 
     got = search.exhaustive_search(p, confidence, range(2, 5), 5).collect()
     assert len(got) == 1 and got[0].clusters == 2 and got[0].conf == 0.99
+
+
+@pytest.mark.parametrize("target", [None, (150, 140, 160)])
+def test_text_mask_equals_the_table_version(spark, target):
+    r = random.Random(6)
+    ink = lambda x, y: (30, 32, 34) if 8 <= y < 16 and x % 5 < 2 else (r.randrange(100, 200, 20), r.randrange(90, 180, 20), r.randrange(110, 200, 20))
+    p = spark.createDataFrame([(i, x, y, *ink(x, y)) for i in (1, 2) for x in range(32) for y in range(24)], "image_id long, x long, y long, b long, g long, r long")
+    regions = spark.createDataFrame([(1, 1, 6, 6, 14, 12, 32, 24), (1, 2, 0, 0, 6, 6, 32, 24), (2, 1, 0, 0, 32, 24, 32, 24), (2, 2, 3, 3, 2, 2, 32, 24)], "image_id long, region_id int, x long, y long, w long, h long, width long, height long")
+    keys = ["image_id", "region_id"]
+    near = tfidf.region_pixels(p, regions)
+    k = quantize.lloyd(colors.distinct_colors(near, keys), 6, 4, keys)
+    own = near.join(k.drop("n"), [*keys, "b", "g", "r"])
+    forced = quantize.nearest_cluster(quantize.centres_of(k, keys), target, keys) if target else None
+    want = tfidf.score_map(own, tfidf.cluster_scores(own, keys), keys, target=forced)
+    get = lambda d: sorted((a.image_id, a.region_id, a.x, a.y, a.v) for a in d.collect())
+    got = get(tfidf.text_mask(p, regions, 6, 4, target, clean=False))
+    assert got == [a for a in get(want) if (a[0], a[1]) != (2, 2) or near.where("image_id = 2 AND region_id = 2").count() >= 6] and any(a[4] for a in got)
