@@ -146,14 +146,66 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_pipeline_runs_and_keeps_clean_documents(spark):
+def test_pipeline_equals_plain_python(spark):
+    import zlib
+    from collections import defaultdict
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from inkframe.llm import pii, quality, simhash
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    w = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    kept = {i: t for i, t in rows.items() if quality.score(t, w) >= 0.3}
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    assert len(good & set(kept)) >= 0.97 * len(good)
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in kept.items()}
+    root = {i: i for i in kept}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in kept:
+        for b in kept:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids.encode_special_tokens = True
+    want = set()
+    for i, t in kept.items():
+        if find(i) == i:
+            own = np.array(ids.encode(pii.redacted_text(t, pii.weights()), add_special_tokens=False).ids + [0], "<u4")
+            at, n = 0, len(own) % 2048 or 2048
+            for piece in range(-(-len(own) // 2048)):
+                want.add((i, piece, at, n, zlib.crc32(own[at : at + n].tobytes())))
+                at, n = at + n, 2048
+    got = corpus_pipeline.run(spark, d).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    free = []
+    for n in sorted((n for _, _, _, n, _ in want), reverse=True):
+        fit = min((x for x in free if x >= n), default=None)
+        if fit is not None:
+            free.remove(fit)
+        free.append((2048 if fit is None else fit) - n)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert len(by) <= len(free) and all(o == sum(n for p, n in parts if p < o) for parts in by.values() for o, _ in parts)
+
+
+def test_stages_return_the_columns_of_documents(spark):
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = corpus_pipeline.keep_quality(spark, docs, d)
-    assert kept.columns == docs.columns and kept.count() > 0.7 * docs.count()
-    assert corpus_pipeline.run(spark, d).count() >= corpus_pipeline.drop_near_copies(spark, kept, d).count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, d).schema == docs.schema
 
 
 def test_hot_keys_join_like_any_other(spark):
