@@ -34,27 +34,32 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[off], nodes[label[off]]
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node of ``e`` (u, v; u > v) has one edge or is the centre of its edges: then v is u's component."""
+    n = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
+    return n.n == n.u and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014): edges never grow in number and the rounds follow the logarithm of the longest path.
-    Each round is written to the shared folder. Null ends and loops are ignored; an empty table gives no row.
+    Each round is written to the shared folder, and so are the smallest neighbours: both sides of a join
+    are then plain shuffles, and adaptive execution splits that of a node with very many neighbours. Null ends and loops are ignored; an empty table gives no row.
     """
     e = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(),
         "edges",
     )
-    state = None
     for _ in range(most_rounds):
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == state or now.n == 0:
+        if _is_stars(e):
             break
-        state = (now.n, now.h)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "edges")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         e = written(small.where("u <> v").distinct(), "edges")
     else:
