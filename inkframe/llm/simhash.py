@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkframe.llm import near_copies
 from inkframe.llm.graph import connected_components, spanning_edges
 from inkframe.llm.store import hashed_sample, join_hot, written
 
@@ -192,13 +193,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest, with all their columns.
+    """The rows of ``docs`` whose id is the smallest of its group of near copies, with all their columns.
+
+    Near copies are texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. That is
+    about 10 of 64 bits, give or take 3, so no radius of fingerprints finds them all and little else;
+    ``near_copies`` proposes by MinHash instead and measures each proposal.
 
     The kept ids are as many as the documents, so both sides shuffle at every size; the texts once, unsorted.
     Rows with a null id stay. Of rows equal in id and text one stays; rows with one id and different texts
-    are told apart by their fingerprints.
+    are told apart by their shingles.
     """
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    found = near_copies.classes(docs, id_col, text_col).where("id = component").select(F.col("id").alias(id_col))
     kept = written(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")), "kept")
     out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept.where("_n = 1").hint("shuffle_hash"), id_col, "left_semi").select(docs.columns))
     again = kept.where("_n > 1")

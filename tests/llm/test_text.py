@@ -227,3 +227,57 @@ def test_main_text_of_pages_that_name_nothing():
     teaser = page.replace("Short words here.", "<article><p>Short words here.</p></article>").replace("<div class=a3>", "<main>")
     assert html_text.main_text(teaser).startswith("Short words here.\nHead\n") or html_text.main_text(teaser).startswith("Head\n")
     assert html_text.main_text("<p>a<!-- open <p>b") == "a" and html_text.main_text('<p title="x>a</p><p>b') == "a\nb" and html_text.main_text("<" * 5000) == "<" * 5000
+
+
+def word_sets(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_deduplicate_drops_every_near_copy_of_five_words(spark):
+    import random
+
+    r = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice([30, 120, 400]))]
+        for changes in (0, 0, 1, 2, 4, 8):
+            own = list(words)
+            for k in r.sample(range(len(own)), changes):
+                own[k] = "other"
+            texts.append(" ".join(own).replace("w1", "W1"))
+    long = [f"v{k}" for k in range(400)]
+    texts += [" ".join(long[k : k + 200]) for k in range(0, 200, 8)]  # a chain: near its neighbours, far from its ends
+    sets = [word_sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {k for k in range(len(texts)) if find(k) == k}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.deduplicate(table).collect()} == want and len(want) < len(texts) - 40
+
+
+def test_pipeline_stage_drops_every_near_copy(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = sorted((r.doc_id, word_sets(r.text)) for r in docs.collect())
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for k, (a, s) in enumerate(sets):
+        for b, t in sets[:k]:
+            if s == t or 5 * len(s & t) >= 4 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "/root/testdata/sf0.001").collect())
+    assert got == [i for i in root if find(i) == i] and not {145, 177} & set(got)
