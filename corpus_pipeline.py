@@ -37,7 +37,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece: where each document's tokens go."""
-    return packing.pack(docs, queries.ranks(), public_tokenizers.PATTERN)
+    return packing.pack(docs, queries.ranks(), public_tokenizers.PATTERN, added=queries.added_tokens())
 
 
 STAGES = [

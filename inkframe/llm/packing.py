@@ -21,27 +21,28 @@ LENGTH, END = 2048, 0
 
 
 @cache
-def encoder(ranks: bytes, pattern: str):
-    """The byte-level BPE of a file of ranks, once a process; strings of special tokens are ordinary text."""
+def encoder(ranks: bytes, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """The byte-level BPE of a file of ranks and of ``added`` tokens, once a process."""
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}, special_tokens=dict(added))
 
 
-def pieces_of(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(part, id, piece, start, length, ids_crc32[, ids]) of every document's pieces of at most ``length`` ids.
 
     A document is its text's ids and then END, so an empty or null text is one piece of one id. Longer ones
     are cut into full pieces; their first piece takes what is left over. ``part`` is the task that read it.
     ``ids_crc32`` is over the ids as little-endian unsigned 32-bit integers; ``ids`` are those bytes.
+    Strings of ``added`` tokens get their own id wherever a text holds them; other special strings are ordinary text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, pattern)
+        enc = encoder(ranks, pattern, added)
         for b in batches:
             doc, piece, start, size, crc, body = [], [], [], [], [], []
             for k, text in enumerate(b.column(2)):
-                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), END], "<u4")
+                ids = np.array([*enc.encode(text.as_py() or "", allowed_special="all"), END], "<u4")
                 at, n = 0, len(ids) % length or length
                 for p in range(-(-len(ids) // length)):
                     part = ids[at : at + n].tobytes()
@@ -100,7 +101,7 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> pd.DataFrame:
     return pd.DataFrame(sorted(rows), columns=["size", "rank", "n", "sequence", "offset"]).astype("int64")
 
 
-def pack(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids], sequence_id, offset) of every piece of every document.
 
     The pieces are written once. Two small tables follow: pieces by (task, length), from which a running
@@ -109,7 +110,7 @@ def pack(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH, id_c
     is its task's first rank plus its place there, so a length that a third of all pieces share is still
     spread over all tasks. Null ids, repeated rows and extra columns are fine: a row is a document.
     """
-    table = written(pieces_of(docs, ranks, pattern, length, id_col, text_col, with_ids), "pieces")
+    table = written(pieces_of(docs, ranks, pattern, length, id_col, text_col, with_ids, added), "pieces")
     by_task = table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = written(by_task, "piece-lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

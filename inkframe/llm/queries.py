@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,6 +22,12 @@ def ranks() -> bytes:
         return f.read()
 
 
+def added_tokens() -> tuple[tuple[str, int], ...]:
+    """(string, id) of the tokens that the JSON vocabulary adds to the ranks; it matches them in texts as they stand."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"))
     w = quality.train(docs, table(spark, sf_dir, "labels").where(~out))
@@ -56,7 +63,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN, added=added_tokens())
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,3 +281,19 @@ def test_pipeline_stage_drops_every_near_copy(spark):
                 root[y] = x
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "/root/testdata/sf0.001").collect())
     assert got == [i for i in root if find(i) == i] and not {145, 177} & set(got)
+
+
+def test_packing_gives_added_tokens_their_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"  {end}\n\n x{end}", f"one\n  {end}  two", "<|endoftext|", "<|ENDOFTEXT|> <|im_start|>", "don't", "", "é " + end + " 日本"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: zlib.crc32(struct.pack(f"<{len(ids) + 1}I", *ids, 0)) for k, ids in enumerate(t.encode(x, add_special_tokens=False).ids for x in texts)}
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert {r.doc_id: r.ids_crc32 for r in queries.op8_packing(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.pack_sequences(spark, table, str(tmp_path)).collect()} == want
