@@ -21,13 +21,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 #: Elements that are never part of an article, and the two that may hold an article's own heading or note.
 OFF = {"nav", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "svg", "canvas", "object", "audio", "video", "math", "map", "fieldset", "datalist", "input", "footer"} | RAW
-#: Words in class, id or role that mark what surrounds an article.
+#: Words in class, id or role that mark what surrounds an article, where they make up a whole name, alone or with one another or NEUTRAL ones.
 NOTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|sidebar\w*|side|aside|widget\w*|menus?|nav\w*|breadcrumbs?|"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|sidebar\w*|side|aside|widget\w*|menus?|nav\w*|breadcrumbs?|"
     r"footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|"
-    r"pagination|pager|tags?|copyright|legal|disclaimer|skip|hidden|screen-reader-text|sr-only|complementary|navigation|contentinfo|banner|dialog|form)(?=$|[\s_-])",
+    r"pagination|pager|tags?|copyright|legal|disclaimer|skip|hidden|screen-reader-text|sr-only|complementary|navigation|contentinfo|banner|dialog|form)",
     re.I,
 )
+NEUTRAL = {"site", "page", "top", "bottom", "left", "right", "global"}
 #: Of these, the words that an article's own heading bears too, and those that mark an article element as another's.
 HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner|tags?)(?=$|[\s_-])", re.I)
 OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|related\w*|recommend\w*|sponsor\w*|ads?|advert\w*|promo\w*|teasers?|widget\w*)(?=$|[\s_-])", re.I)
@@ -42,26 +43,30 @@ SPACE = re.compile(r"\s+")
 TEXTUAL, MOST = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"}, 0.6
 #: Share of the standard deviation of smoothed ratios that a path must reach, and the width of smoothing.
 SHARE, WIDTH = 0.8, 1
+#: What is left of the ratio of a path that NOTED marks.
+PENALTY = 0.1
 
 
 class Block:
     """The text between two block boundaries, with the tag path from the root to it."""
 
-    __slots__ = ("path", "parts", "linked", "off", "main")
+    __slots__ = ("path", "parts", "linked", "off", "main", "notes")
 
-    def __init__(self, path: str, off: bool, main: int):
-        self.path, self.parts, self.linked, self.off, self.main = path, [], 0, off, main
+    def __init__(self, path: str, off: bool, main: int, notes: tuple[int, ...]):
+        self.path, self.parts, self.linked, self.off, self.main, self.notes = path, [], 0, off, main, notes
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool, int]]:
-    """(path, text, characters in links, off, main) of each block with text, in page order.
+def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
+    """(path, text, characters in links, weight, main) of each block with text, in page order.
 
     Lenient as browsers are: an open p ends at the next block, unknown end tags are ignored, whatever is
-    still open ends with the page. ``off``: below an element or a class that surrounds articles. ``main``:
-    2 below an article element, 1 below main or a class named so, else 0.
+    still open ends with the page. Weight: 0 below an element that is never part of an article, PENALTY below one that names
+    itself as what surrounds articles, unless that holds an article or most of the page's text, else 1.
+    ``main``: 2 below an article element, 1 below main or a class named so, else 0.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, off, main
+    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = [("", "", False, 0, ())]  # tag, path, off, main, notes
+    holds: list[bool] = []  # by note: whether the element holds an article
     now: Block | None = None
     links = 0
     at, end = 0, len(page)
@@ -73,8 +78,8 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, int]]:
         if now is None:
             if raw.isspace():
                 return
-            _, path, off, main = stack[-1]
-            now = Block(path, off, main)
+            _, path, off, main, notes = stack[-1]
+            now = Block(path, off, main, notes)
             out.append(now)
         now.parts.append(raw)
         if links:
@@ -125,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, int]]:
                     break
         if name in VOID:
             continue
-        _, path, off, main = stack[-1]
+        _, path, off, main, notes = stack[-1]
         named = ""
         if m[3] and "=" in m[3] or "hidden" in m[3].lower():
             for a in ATTRIBUTE.finditer(m[3]):
@@ -136,24 +141,46 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, int]]:
                     off = True
         inside = main > 0
         main = max(main, 2 if name == "article" else int(name == "main" or bool(named and MAIN.search(named))))
-        if name in OFF or name == "header" and not inside or named and _noted(name, named, inside):
+        if name in OFF:
             off = True
-        stack.append((name, f"{path}/{name}" + ("." + ".".join(sorted(set(named.split()))) if named else ""), off, main))
-    found: list[tuple[str, str, int, bool, int]] = []
+        if name in ("article", "main") and not inside and not OTHERS.search(named):
+            for k in notes:
+                holds[k] = True
+        if name == "header" and not inside or named and _noted(name, named, inside):
+            notes = (*notes, len(holds))
+            holds.append(False)
+        stack.append((name, f"{path}/{name}" + ("." + ".".join(sorted(set(named.split()))) if named else ""), off, main, notes))
+    found: list[tuple[str, str, int, float, int]] = []
+    size, whole = [0] * len(holds), 0
+    for b in out:
+        if not b.off:
+            n = sum(map(len, b.parts))
+            whole += n
+            for k in b.notes:
+                size[k] += n
+    noted = {k for k, n in enumerate(size) if not holds[k] and n * 2 <= whole}
     for b in out:
         said = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
         if said:
-            found.append((b.path, said, b.linked, b.off, b.main))
+            found.append((b.path, said, b.linked, 0 if b.off else PENALTY if noted.intersection(b.notes) else 1, b.main))
     return found
 
 
 def _noted(name: str, named: str, inside: bool) -> bool:
     """Whether the classes of an element say that it surrounds an article."""
-    if name in ("main", "body", "html"):
+    if name in ("main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6"):
         return False
     if name == "article":
         return bool(OTHERS.search(named))
-    return bool(NOTED.search(HEADING.sub(" ", named) if inside else named))
+    for token in named.lower().split():
+        if inside and HEADING.search(token):
+            continue
+        if NOTED.fullmatch(token):
+            return True
+        parts = [x for x in re.split(r"[_-]+", token) if x not in NEUTRAL]
+        if parts and all(map(NOTED.fullmatch, parts)):
+            return True
+    return False
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -166,16 +193,16 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def article_level(found: list[tuple[str, str, int, bool, int]]) -> int:
+def article_level(found: list[tuple[str, str, int, float, int]]) -> int:
     """What a block's ``main`` must reach: 2 or 1 where the page names its article so, else 0.
 
     Article elements with under a quarter of the named text are teasers of others.
     """
-    size = [sum(len(said) for _, said, _, off, main in found if not off and main >= level) for level in (1, 2)]
+    size = [sum(len(said) for _, said, _, weight, main in found if weight == 1 and main >= level) for level in (1, 2)]
     return 2 if size[1] and size[1] * 4 >= size[0] else int(size[0] > 0)
 
 
-def content_paths(found: list[tuple[str, str, int, bool, int]], level: int) -> set[str]:
+def content_paths(found: list[tuple[str, str, int, float, int]], level: int) -> set[str]:
     """The paths whose nodes are content.
 
     Per path: text length a node, and punctuation a node, over all its nodes (Wu et al., 2013), both
@@ -184,10 +211,11 @@ def content_paths(found: list[tuple[str, str, int, bool, int]], level: int) -> s
     paths outside it are zero and those inside count whole: every path there that isn't links is content.
     """
     totals: dict[str, list[float]] = {}
-    for path, said, linked, off, main in found:
-        if off or main < level:
+    for path, said, linked, weight, main in found:
+        if not weight or main < level:
             continue
-        t = totals.setdefault(path, [0, 0, 0, 0])
+        t = totals.setdefault(path, [0, 0, 0, 0, 1])
+        t[4] = min(t[4], weight)
         t[0] += 1
         t[1] += len(said)
         t[2] += len(PUNCTUATION.findall(said))
@@ -197,15 +225,15 @@ def content_paths(found: list[tuple[str, str, int, bool, int]], level: int) -> s
     paths = list(totals)
     length = _smooth([totals[p][1] / totals[p][0] for p in paths])
     signs = _smooth([(totals[p][2] + 1) / totals[p][0] for p in paths])
-    fused = [math.sqrt(a * b) * (1 - totals[p][3] / totals[p][1]) for a, b, p in zip(length, signs, paths)]
+    fused = [math.sqrt(a * b) * (1 - totals[p][3] / totals[p][1]) * totals[p][4] for a, b, p in zip(length, signs, paths)]
     if level:
-        return {p for p in paths if totals[p][3] < 0.8 * totals[p][1]}
+        return {p for p in paths if totals[p][3] < 0.8 * totals[p][1] and totals[p][4] == 1}
     mean = sum(fused) / len(fused)
     limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     chosen = {p for p, x in zip(paths, fused) if x >= limit and totals[p][3] < 0.5 * totals[p][1]}
     home = _home({p: totals[p][1] for p in chosen})
     # Headings, lists and quotes in the container of the chosen text belong to it, other boxes beside it don't.
-    return {p for p in paths if (p == home or p.startswith(home + "/")) and totals[p][3] < 0.5 * totals[p][1]}
+    return {p for p in paths if (p == home or p.startswith(home + "/")) and totals[p][3] < 0.5 * totals[p][1] and (totals[p][4] == 1 or p in chosen)}
 
 
 def _home(sizes: dict[str, int]) -> str:
@@ -230,7 +258,7 @@ def main_text(page: str) -> str:
     found = blocks(page)
     level = article_level(found)
     paths = content_paths(found, level)
-    return "\n".join([said for path, said, _, off, main in found if not off and main >= level and path in paths])
+    return "\n".join([said for path, said, _, weight, main in found if weight and main >= level and path in paths])
 
 
 def extract(page: Column) -> Column:

@@ -297,3 +297,17 @@ def test_packing_gives_added_tokens_their_id(spark, tmp_path):
     assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
     assert {r.doc_id: r.ids_crc32 for r in queries.op8_packing(spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.pack_sequences(spark, table, str(tmp_path)).collect()} == want
+
+
+SENTENCES = "Words in a row, with signs; and more of them. It goes on, and on, for a while. "
+
+
+@pytest.mark.parametrize("named", ["class='content-sidebar-wrap'", "class='has-sidebar'", "class='page with-sidebar'", "class='layout header-fixed'", "class='sidebar'", "id=search"])
+def test_main_text_below_wrappers_with_noted_words(named):
+    page = f"<body><nav><a href=/>Home</a></nav><div {named}><article><h2 id='search-algorithms'>Head</h2><p>{SENTENCES * 3}<section id='related-work'><p>{SENTENCES}</section></article></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", (SENTENCES * 3).strip(), SENTENCES.strip()])
+
+
+def test_main_text_of_posts_with_tags_in_their_class():
+    page = f"<body><div class='post type-post tag-politics'><h1>Head</h1><p>{SENTENCES * 3}</div><div class='cookie-notice'><p>We use cookies, all right?</div></body>"
+    assert html_text.main_text(page) == "Head\n" + (SENTENCES * 3).strip()
