@@ -43,6 +43,8 @@ SPACE = re.compile(r"\s+")
 TEXTUAL, MOST = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"}, 0.6
 #: Share of the standard deviation of smoothed ratios that a path must reach, and the width of smoothing.
 SHARE, WIDTH = 0.8, 1
+#: Characters a node from which links in an article are a list of sources.
+LONG = 40
 #: What is left of the ratio of a path that NOTED marks.
 PENALTY = 0.1
 
@@ -68,7 +70,7 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
     stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = [("", "", False, 0, ())]  # tag, path, off, main, notes
     holds: list[bool] = []  # by note: whether the element holds an article
     now: Block | None = None
-    links = 0
+    links, named_one = 0, False
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
@@ -144,6 +146,7 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
         if name in OFF:
             off = True
         if name in ("article", "main") and not inside and not OTHERS.search(named):
+            named_one = True
             for k in notes:
                 holds[k] = True
         if name == "header" and not inside or named and _noted(name, named, inside):
@@ -158,7 +161,9 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
             whole += n
             for k in b.notes:
                 size[k] += n
-    noted = {k for k, n in enumerate(size) if not holds[k] and n * 2 <= whole}
+    # Beside a named article, however short, an advert may have more than half of the text.
+    most = 0.8 if named_one else 0.5
+    noted = {k for k, n in enumerate(size) if not holds[k] and n <= most * whole}
     for b in out:
         said = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
         if said:
@@ -193,47 +198,60 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def article_level(found: list[tuple[str, str, int, float, int]]) -> int:
-    """What a block's ``main`` must reach: 2 or 1 where the page names its article so, else 0.
-
-    Article elements with under a quarter of the named text are teasers of others.
-    """
-    size = [sum(len(said) for _, said, _, weight, main in found if weight == 1 and main >= level) for level in (1, 2)]
-    return 2 if size[1] and size[1] * 4 >= size[0] else int(size[0] > 0)
-
-
-def content_paths(found: list[tuple[str, str, int, float, int]], level: int) -> set[str]:
+def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
     """The paths whose nodes are content.
 
     Per path: text length a node, and punctuation a node, over all its nodes (Wu et al., 2013), both
-    smoothed over neighbouring paths, fused by their product, lowered by the share of text in links, and
-    held against a share of their standard deviation. Where the page names its article, the ratios of
-    paths outside it are zero and those inside count whole: every path there that isn't links is content.
+    smoothed over neighbouring paths, fused by their product, lowered by the share of text in links and by
+    PENALTY, and held against a share of their standard deviation. The container of most of the chosen text
+    gives its headings, lists and quotes too. Where most of the chosen text lies in what the page names its
+    article, the container is the whole of that, and paths outside are content only by a ratio of their own
+    that reaches the chosen ones' mean.
     """
     totals: dict[str, list[float]] = {}
     for path, said, linked, weight, main in found:
-        if not weight or main < level:
+        if not weight:
             continue
-        t = totals.setdefault(path, [0, 0, 0, 0, 1])
-        t[4] = min(t[4], weight)
+        t = totals.setdefault(path, [0, 0, 0, 0, 1, main])
         t[0] += 1
         t[1] += len(said)
         t[2] += len(PUNCTUATION.findall(said))
         t[3] += min(linked, len(said))
+        t[4] = min(t[4], weight)
     if not totals:
         return set()
     paths = list(totals)
     length = _smooth([totals[p][1] / totals[p][0] for p in paths])
     signs = _smooth([(totals[p][2] + 1) / totals[p][0] for p in paths])
-    fused = [math.sqrt(a * b) * (1 - totals[p][3] / totals[p][1]) * totals[p][4] for a, b, p in zip(length, signs, paths)]
+    fused = {p: math.sqrt(a * b) * (1 - totals[p][3] / totals[p][1]) * totals[p][4] for a, b, p in zip(length, signs, paths)}
+    mean = sum(fused.values()) / len(fused)
+    limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
+    chosen = {p for p, x in fused.items() if x >= limit and totals[p][3] < 0.5 * totals[p][1]}
+    size = [sum(totals[p][1] for p in chosen if totals[p][5] >= level) for level in (0, 1, 2)]
+    level = max(k for k in (0, 1, 2) if size[k] >= MOST * size[0])
+    home = _home({p: totals[p][1] for p in chosen if totals[p][5] >= level})
     if level:
-        return {p for p in paths if totals[p][3] < 0.8 * totals[p][1] and totals[p][4] == 1}
-    mean = sum(fused) / len(fused)
-    limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    chosen = {p for p, x in zip(paths, fused) if x >= limit and totals[p][3] < 0.5 * totals[p][1]}
-    home = _home({p: totals[p][1] for p in chosen})
+        home = _article(home)
+    inside = {p for p in paths if (p == home or p.startswith(home + "/")) and totals[p][5] >= level}
     # Headings, lists and quotes in the container of the chosen text belong to it, other boxes beside it don't.
-    return {p for p in paths if (p == home or p.startswith(home + "/")) and totals[p][3] < 0.5 * totals[p][1] and (totals[p][4] == 1 or p in chosen)}
+    out = {p for p in inside if (totals[p][4] == 1 or p in chosen and not level) and totals[p][3] < (0.8 if level else 0.5) * totals[p][1]}
+    if level:
+        # Sources and references are links, but long ones.
+        out |= {p for p in inside if totals[p][4] == 1 and totals[p][1] >= LONG * totals[p][0]}
+        if own := [p for p in chosen if p in inside]:
+            reach = sum(fused[p] * totals[p][1] for p in own) / sum(totals[p][1] for p in own)
+            out |= {p for p in chosen if p not in inside and totals[p][4] == 1 and fused[p] >= reach}
+    return out
+
+
+def _article(home: str) -> str:
+    """The innermost element on the path ``home`` that is or names itself the article, else ``home``."""
+    steps = home.split("/")
+    for names in (lambda x: x.split(".", 1)[0] in ("article", "main"), lambda x: MAIN.search(" ".join(x.split(".")[1:]))):
+        for k in range(len(steps) - 1, 0, -1):
+            if names(steps[k]):
+                return "/".join(steps[: k + 1])
+    return home
 
 
 def _home(sizes: dict[str, int]) -> str:
@@ -256,9 +274,8 @@ def _home(sizes: dict[str, int]) -> str:
 def main_text(page: str) -> str:
     """The main text of one page: its content blocks in page order, joined by a line feed."""
     found = blocks(page)
-    level = article_level(found)
-    paths = content_paths(found, level)
-    return "\n".join([said for path, said, _, weight, main in found if weight and main >= level and path in paths])
+    paths = content_paths(found)
+    return "\n".join([said for path, said, _, weight, _ in found if weight and path in paths])
 
 
 def extract(page: Column) -> Column:

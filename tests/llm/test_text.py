@@ -311,3 +311,16 @@ def test_main_text_below_wrappers_with_noted_words(named):
 def test_main_text_of_posts_with_tags_in_their_class():
     page = f"<body><div class='post type-post tag-politics'><h1>Head</h1><p>{SENTENCES * 3}</div><div class='cookie-notice'><p>We use cookies, all right?</div></body>"
     assert html_text.main_text(page) == "Head\n" + (SENTENCES * 3).strip()
+
+
+def test_main_text_beside_short_articles():
+    teasers = "".join(f"<article><h3>More {k}</h3><p>A short one, number {k}.</p></article>" for k in range(3))
+    body = f"<div class='text'><h1>Head</h1><p>{SENTENCES * 3}</p><p>{SENTENCES * 4}</p></div>"
+    for page in (f"<body>{body}<div class='cards'>{teasers}</div></body>", f"<body><div class='cards'>{teasers}</div>{body}</body>"):
+        assert html_text.main_text(page) == "\n".join(["Head", (SENTENCES * 3).strip(), (SENTENCES * 4).strip()])
+
+
+def test_main_text_keeps_sources_of_an_article():
+    source = "A. Writer and B. Other, A title of some length about words, 2013"
+    page = f"<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Head</h1><div class='body'><p>{SENTENCES * 3}</div><ol class='sources'><li><a href=/s>{source}</a></ol></article><p>Short, outside.</body>"
+    assert html_text.main_text(page) == "\n".join(["Head", (SENTENCES * 3).strip(), source])
