@@ -304,3 +304,10 @@ def test_text_mask_equals_the_table_version(spark, target):
     get = lambda d: sorted((a.image_id, a.region_id, a.x, a.y, a.v) for a in d.collect())
     got = get(tfidf.text_mask(p, regions, 6, 4, target, clean=False))
     assert got == [a for a in get(want) if (a[0], a[1]) != (2, 2) or near.where("image_id = 2 AND region_id = 2").count() >= 6] and any(a[4] for a in got)
+
+
+def test_every_css_colour_has_its_name(spark):
+    assert len(color.NAMES) == 148 and color.parse("Orange") == (0, 165, 255) and color.parse("rebeccapurple") == (153, 51, 102)
+    assert all(color.NAMES[k] == color.NAMES[k.replace("grey", "gray")] for k in color.NAMES)
+    got = spark.range(1).select(color.named(F.lit("LightSlateGrey")).alias("c")).first().c
+    assert (got.b, got.g, got.r) == (0x99, 0x88, 0x77)
