@@ -1,13 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates share a MinHash band, links are measured exactly."""
+"""Near copies by the Jaccard similarity of word shingles.
+
+Fingerprints propose pairs by vantage-point trees, and MinHash bands those that no radius of fingerprints
+reaches; every link is measured exactly.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm.graph import connected_components
@@ -18,6 +23,8 @@ SHINGLE, LEAST = 5, (4, 5)
 #: Bands and MinHashes a band. A pair of similarity s shares none with probability (1 - s**ROWS) ** BANDS: 0.000005 at 0.8.
 BANDS, ROWS = 40, 6
 SEED, CHUNK = 42, 8192
+#: Members that each band's others are measured against, the smallest id first, before its pairs are looked for.
+PIVOTS = 3
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -66,6 +73,29 @@ def are_near(a: np.ndarray, b: np.ndarray) -> bool:
     return both * q >= (len(a) + len(b) - both) * p
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << k for k in np.flatnonzero(ones * 2 > len(own)).tolist())
+
+
+def _digest(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def digest(text: Column) -> Column:
+    """A digest of each text's set of shingles (null: empty), that of ``classes``."""
+
+    @F.pandas_udf("binary")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in series:
+            yield pd.Series([_digest(shingles(x)) for x in s], dtype=object)
+
+    return run(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))
+
+
 def _data(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
 
@@ -75,34 +105,37 @@ def _bytes(x: pa.Scalar) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, own, bands) of every row: a digest of its set of shingles, and its bands (none without words)."""
+    """(id, own, fp, bands) of every row: a digest of its set of shingles, its fingerprint and its bands (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(_bytes(x)) for x in b.column(1)]
-            own = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), own, pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["id", "own", "bands"])
+            fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            columns = [b.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(fps), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "own", "fp", "bands"])
 
     rows = _data(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, own binary, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, own binary, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words) of the rows whose id is in ``wanted`` (id): the shingles as bytes."""
+    """(node, words) of ``wanted`` (node, id, own): the shingles as bytes, of a row of that id with that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(_bytes(x)).tobytes() for x in b.column(1)], pa.binary())], names=["id", "words"])
+            sets = [shingles(_bytes(x)) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "own", "words"])
 
-    rows = _data(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, words binary")
+    rows = _data(docs, id_col, text_col).join(wanted.select("id").hint("shuffle_hash"), "id", "left_semi")
+    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, own binary, words binary")
+    return found.groupBy("id", "own").agg(F.first("words").alias("words")).join(wanted.hint("shuffle_hash"), ["id", "own"]).select("node", "words")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b; a written table) that are near copies. Pairs are as many on one id as there may be."""
 
     def side(k: str) -> DataFrame:
-        return written(sets.join(pairs.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_{k}")), F.col("id") == F.col(k)).select(k, f"n_{k}", F.col("words").alias(f"words_{k}")), "near-sets")
+        return written(sets.join(pairs.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_{k}")), F.col("node") == F.col(k)).select(k, f"n_{k}", F.col("words").alias(f"words_{k}")), "near-sets")
 
     one = written(join_hot(pairs, side("b"), "b", "n_b").drop("n_b"), "near-pairs")
     both = join_hot(one, side("a"), "a", "n_a").select("a", "b", "words_a", "words_b")
@@ -116,31 +149,87 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.mapInArrow(run, f"a {kind}, b {kind}"), "near-links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of every row; component is the smallest id reachable over near copies (null if no row of it has an id).
+def prefix_pairs(table: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of ``table`` (id, class, words) of different class, no pair of LEAST or more missing.
+
+    Two sets that have LEAST of their union in common share one of their first n - ceil(n * LEAST) + 1 shingles in
+    any order common to all (Chaudhuri et al., 2006); here the rarest of ``table`` come first. So members of a
+    large group that have too much of their own meet nobody, however much the group shares.
+    """
+    p, q = LEAST
 
-    Rows with equal sets of shingles are one node. First each band's members are measured against its smallest
-    one, which joins groups of near copies at a cost in proportion to their size; then, of the pairs that share
-    a band, all that are still apart. So every pair of LEAST or more that shares a band is linked, and no other.
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = np.frombuffer(_bytes(b.column(2)[k]), np.int64)
+                at = pa.array(np.full(len(own), k, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(own), len(own), np.int64)), pa.array(own)], names=["id", "class", "size", "h"])
+
+    kind = table.schema["id"].dataType.simpleString()
+    each = written(table.select("id", "class", "words").mapInArrow(spread, f"id {kind}, class {kind}, size long, h long"), "near-shingles")
+    counts = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
+    common = join_hot(each, counts, "h", "n").groupBy("id", "class", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("common"))
+    first = F.floor((F.col("size") * (q - p)) / q) + 1 - (F.col("size") - F.size("common"))
+    heads = written(common.where(first > 0).select("id", "class", "size", F.explode(F.slice("common", F.lit(1), first.cast("int"))["h"]).alias("h")), "near-heads")
+    left, right = (heads.select("h", F.col("id").alias(x), F.col("class").alias(f"class_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    pairs = left.join(right, "h").where(f"a < b AND class_a <> class_b AND least(size_a, size_b) * {q} >= greatest(size_a, size_b) * {p}")
+    return pairs.select("a", "b").distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, own, class, component) of every row; component is the smallest id reachable over near copies (null if no row of it has an id).
+
+    Rows with equal sets of shingles (``own``, their digest) are one node, named by 64 bits of a hash; ``class``
+    is the smallest node reachable. ``link`` gives edges (a, b) between the rows of a table (fp, rep) of distinct
+    fingerprints. Its edges, and each band's members with its smallest node and two others, are measured first,
+    which joins groups of near copies at a cost in proportion to their size. Members of bands that are still
+    apart are then compared by ``prefix_pairs``. So every pair of LEAST or more that shares a band is linked,
+    and none below it.
     """
     rows = written(sketches(docs, id_col, text_col), "near-sketches")
-    nodes = written(rows.groupBy("own").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
-    keys = written(nodes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("band")), "near-bands")
-    groups = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1"), "near-groups")
-    members = written(join_hot(keys, groups, "band", "n").select("band", "n", "first", "rep"), "near-members")
-    stars = written(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    sets = written(_sets(docs, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col), "near-words")
-    links = _measured(stars, sets)
+    nodes = written(rows.groupBy("own").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("own")), "near-nodes")
+    known = nodes.where("rep IS NOT NULL")
+    keys = written(known.select("node", F.explode("bands").alias("band")), "near-bands")
+    pivots = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]
+    groups = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("p0"), *pivots).where("n > 1"), "near-groups")
+    members = written(join_hot(keys, groups, "band", "n").drop("n"), "near-members")
+
+    def stars(table: DataFrame, k: int) -> DataFrame:
+        return table.where(f"node <> p{k}").select(F.least("node", f"p{k}").alias("a"), F.greatest("node", f"p{k}").alias("b"))
+
+    proposed = stars(members, 0)
+    if link is not None:
+        prints = written(known.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "near-prints")
+        equal = join_hot(known.select("fp", "node"), prints, "fp", "n").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        found = link(prints.select("fp", F.col("first").alias("rep"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        proposed = proposed.unionByName(equal).unionByName(found)
+    proposed = written(proposed.distinct(), "near-pairs")
+    wanted = proposed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
+    wanted = known.select("node", F.col("rep").alias("id"), "own").join(wanted, "node", "left_semi")
+    sets = written(_sets(docs, written(wanted, "near-wanted"), id_col, text_col), "near-words")
+    links = _measured(proposed, sets)
+
+    def apart(joined: DataFrame) -> DataFrame:
+        now = written(members.join(joined, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("class")), "near-members")
+        several = now.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
+        return written(now.join(several, "band", "left_semi"), "near-members")
 
     joined = connected_components(links)
-    now = written(members.join(joined, members["rep"] == joined["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("class")), "near-members")
-    apart = now.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
-    now = written(now.join(apart, "band", "left_semi"), "near-members")
-    left, right = now.select("band", F.col("rep").alias("a"), F.col("class").alias("x")), now.select("band", F.col("rep").alias("b"), F.col("class").alias("y"))
-    rest = left.join(right, "band").where("x <> y AND a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = written(rest, "near-pairs")
+    rest = apart(joined)
     if not rest.isEmpty():
-        joined = connected_components(links.unionByName(_measured(rest, sets)))
-
-    found = written(nodes.join(joined, nodes["rep"] == joined["node"], "left").select("own", "n", F.coalesce("component", "rep").alias("component")), "near-classes")
-    return join_hot(rows.select("id", "own"), found, "own", "n").select("id", "component")
+        more = stars(rest, 1)
+        for k in range(2, PIVOTS):
+            more = more.unionByName(stars(rest, k))
+        links = links.unionByName(_measured(written(more.distinct(), "near-pairs"), sets))
+        joined = connected_components(links)
+        rest = apart(joined)
+    if not rest.isEmpty():
+        table = sets.join(rest.select("node", "class").distinct(), "node").withColumnRenamed("node", "id")
+        more = written(prefix_pairs(written(table, "near-rest")), "near-pairs")
+        if not more.isEmpty():
+            joined = connected_components(links.unionByName(_measured(more, sets)))
+
+    found = written(nodes.join(joined, "node", "left").select("own", "n", "rep", F.coalesce("component", "node").alias("class")), "near-classes")
+    smallest = written(found.groupBy("class").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("m")), "near-smallest")
+    found = written(join_hot(found, smallest, "class", "m").select("own", "n", "class", "component"), "near-classes")
+    return join_hot(rows.select("id", "own"), found, "own", "n").select("id", "own", "class", "component")

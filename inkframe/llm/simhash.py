@@ -196,17 +196,23 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` whose id is the smallest of its group of near copies, with all their columns.
 
     Near copies are texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. That is
-    about 10 of 64 bits, give or take 3, so no radius of fingerprints finds them all and little else;
-    ``near_copies`` proposes by MinHash instead and measures each proposal.
+    about 10 of 64 bits, give or take 3. The vantage-point trees propose what lies within RADIUS bits, but no
+    radius finds the rest and little else, so MinHash bands propose as well; each proposal is measured
+    (``near_copies``).
 
     The kept ids are as many as the documents, so both sides shuffle at every size; the texts once, unsorted.
-    Rows with a null id stay. Of rows equal in id and text one stays; rows with one id and different texts
-    are told apart by their shingles.
+    Rows with a null id stay; null and empty texts are one group. Of rows with one id in one group one stays
+    (of equal shingles that of the smallest text); rows with one id and texts of different groups are told apart
+    by their shingles. An empty table stays empty. Extra columns come along.
     """
-    found = near_copies.classes(docs, id_col, text_col).where("id = component").select(F.col("id").alias(id_col))
-    kept = written(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept.where("_n = 1").hint("shuffle_hash"), id_col, "left_semi").select(docs.columns))
-    again = kept.where("_n > 1")
+    rows = written(near_copies.classes(docs, id_col, text_col, link_fingerprints).where("id IS NOT NULL"), "near-rows")
+    ids = written(rows.groupBy(F.col("id").alias(id_col)).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("id") == F.col("component")).alias("_first")).where("_first"), "kept")
+    out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(ids.where("_n = 1").hint("shuffle_hash"), id_col, "left_semi").select(docs.columns))
+    again = ids.where("_n > 1").select(id_col)
     if again.isEmpty():
         return out
-    return out.unionByName(docs.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))
+    own = rows.where("id = component").groupBy("id", "class").agg(F.min("own").alias("own")).join(again.withColumnRenamed(id_col, "id"), "id", "left_semi")
+    several = docs.join(again.hint("shuffle_hash"), id_col, "left_semi")
+    whole = F.struct(*docs.columns)
+    several = several.groupBy(F.col(id_col).alias("id"), near_copies.digest(F.col(text_col)).alias("own")).agg(F.min_by(whole, F.struct(F.col(text_col), F.to_json(whole))).alias("_row"))
+    return out.unionByName(several.join(own.hint("shuffle_hash"), ["id", "own"], "left_semi").select("_row.*"))

@@ -324,3 +324,65 @@ def test_main_text_keeps_sources_of_an_article():
     source = "A. Writer and B. Other, A title of some length about words, 2013"
     page = f"<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Head</h1><div class='body'><p>{SENTENCES * 3}</div><ol class='sources'><li><a href=/s>{source}</a></ol></article><p>Short, outside.</body>"
     assert html_text.main_text(page) == "\n".join(["Head", (SENTENCES * 3).strip(), source])
+
+
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    kind = "doc_id long, text string, id string, node map<string,int>"
+
+    def kept(rows):
+        return sorted((r.doc_id, r.text) for r in simhash.deduplicate(spark.createDataFrame([(*x, "e", {"k": 1}) for x in rows], kind)).collect())
+
+    assert kept([(3, a), (7, a), (7, b)]) == [(3, a), (7, b)]
+    assert kept([(7, a), (7, b)]) == [(7, b), (7, a)]
+    assert kept([(7, a), (7, a.upper()), (7, b), (7, b), (8, b)]) == [(7, a.upper()), (7, b)]  # the smaller text
+    assert kept([(6, None), (4, ""), (9, "\t"), (5, a)]) == [(4, ""), (5, a)]
+    assert len(simhash.deduplicate(spark.createDataFrame([(None, a), (None, a), (5, a)], "doc_id long, text string")).collect()) == 3
+    assert kept([]) == []
+
+
+def test_deduplicate_links_a_large_group_of_middling_copies(spark):
+    import random
+
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for k in r.sample(range(len(own)), r.choice([1, 3, 5, 8])):
+            own[k] = r.choice(["x", "y", "z"])
+        texts.append(" ".join(own))
+    sets = [word_sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    near = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                near += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert 0.1 < near / (60 * 119) < 0.9
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.deduplicate(table).collect()} == {k for k in range(len(texts)) if find(k) == k}
+
+
+def test_prefix_pairs_miss_no_near_pair(spark):
+    import random
+
+    import numpy as np
+
+    from inkframe.llm import near_copies
+
+    r = random.Random(2)
+    sets = []
+    for _ in range(80):
+        own = set(range(r.choice([0, 1000]), r.choice([1020, 1030]))) if r.random() < 0.3 else {r.randrange(40) for _ in range(r.randint(1, 60))}
+        sets.append(np.array(sorted(own), np.uint64))
+    table = spark.createDataFrame([(k, k // 2, bytearray(s.tobytes())) for k, s in enumerate(sets)], "id long, class long, words binary")
+    got = {(x.a, x.b) for x in near_copies.prefix_pairs(table).collect()}
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if a // 2 != b // 2 and near_copies.are_near(sets[a], sets[b])}
+    assert want and want <= got and all(a < b and a // 2 != b // 2 for a, b in got)
