@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 #: Contractions that one recursive query makes a word; words that need more enter the next query. This
 #: bounds the rows a query keeps, as each contraction leaves a copy of the word's tokens.
 ROUNDS = 24
-#: Bytes from which a word counts as long, and rounds of a query over such words.
-LONG, LONG_ROUNDS = 256, 4
-#: Words whose ids a worker remembers, token positions that one query starts from, and characters of text
+#: Bytes of a word that one recursive query sees; longer words are put together from such pieces. Tokens on
+#: each side of a border between pieces that are encoded again with it, at first.
+PIECE, NEAR = 64, 4
+#: Words whose ids a worker remembers, rows that one query may come to (32 bytes each), and characters of text
 #: whose words are looked up at a time (a longer text is one lookup of its own).
-REMEMBERED, POSITIONS, CHARACTERS = 800_000, 1_000_000, 6_000_000
+REMEMBERED, ROWS, CHARACTERS = 800_000, 6_000_000, 6_000_000
 
 #: One row a token position, at ``spot`` = word * 2^32 + place in the word. A pair's merge has the id of the
 #: merged token, which is its rank, so a word's smallest ``merged * 2^32 + place`` is the leftmost of its
@@ -48,45 +49,6 @@ SELECT spot >> 32 AS word, list(id ORDER BY spot) AS ids, any_value(best) IS NUL
 FROM state WHERE best IS NULL OR step = $rounds GROUP BY word
 """
 
-#: For long words: contracts all pairs of a word's lowest rank at once, every other one where they overlap.
-#: That is what contracting the leftmost over and over comes to, as long as no merged token forms a pair of
-#: still lower rank with a neighbour, whether that neighbour is contracted before or after. A word in which
-#: one would does only its leftmost in that round.
-ENCODE_LONG = """
-WITH RECURSIVE state(step, spot, id, pair_id, best) AS (
-    WITH looked AS (
-        SELECT a.spot, a.id, merged AS pair_id FROM start AS a LEFT JOIN start AS b ON b.spot = a.spot + 1 LEFT JOIN merges ON pair = (a.id << 20) | b.id
-    ), lowest AS (SELECT spot >> 32 AS word, min(pair_id) AS best FROM looked GROUP BY 1)
-    SELECT 0, looked.*, best FROM looked LEFT JOIN lowest ON word = spot >> 32
-    UNION ALL
-    (WITH live AS MATERIALIZED (
-        SELECT step + 1 AS step, spot, id, pair_id, best FROM state WHERE best IS NOT NULL AND step < $rounds
-    ), hits AS (
-        SELECT spot, best, spot - row_number() OVER (PARTITION BY spot >> 32 ORDER BY spot) AS island FROM live WHERE pair_id = best
-    ), picked AS MATERIALIZED (
-        SELECT spot, best FROM (SELECT spot, best, row_number() OVER (PARTITION BY island ORDER BY spot) AS nth FROM hits) AS h WHERE nth % 2 = 1
-    ), lower_pairs AS (
-        SELECT p.spot >> 32 AS word FROM picked AS p JOIN live AS n ON n.spot = p.spot + 2 JOIN merges ON pair = (p.best << 20) | n.id WHERE merged < p.best
-        UNION
-        SELECT p.spot >> 32 FROM picked AS p JOIN live AS n ON n.spot = p.spot - 1 LEFT JOIN picked AS q ON q.spot = p.spot - 2
-        JOIN merges ON pair = (CASE WHEN q.spot IS NULL THEN n.id ELSE p.best END << 20) | p.best WHERE merged < p.best
-    ), chosen AS MATERIALIZED (
-        SELECT spot FROM picked WHERE spot >> 32 NOT IN (SELECT word FROM lower_pairs)
-        UNION ALL SELECT min(spot) FROM picked WHERE spot >> 32 IN (SELECT word FROM lower_pairs) GROUP BY spot >> 32
-    ), marked AS (
-        SELECT live.*, c.spot IS NOT NULL AS hit, g.spot IS NOT NULL AS gone FROM live LEFT JOIN chosen AS c ON c.spot = live.spot LEFT JOIN chosen AS g ON g.spot + 1 = live.spot
-    ), shorter AS MATERIALIZED (
-        SELECT step, spot - CAST(moved AS BIGINT) AS spot, CASE WHEN hit THEN best ELSE id END AS id
-        FROM (SELECT *, sum(CAST(gone AS INT)) OVER (PARTITION BY spot >> 32 ORDER BY spot) AS moved FROM marked) AS m WHERE NOT gone
-    ), looked AS MATERIALIZED (
-        SELECT a.step, a.spot, a.id, merged AS pair_id FROM shorter AS a LEFT JOIN shorter AS b ON b.spot = a.spot + 1 LEFT JOIN merges ON pair = (a.id << 20) | b.id
-    ), lowest AS (SELECT spot >> 32 AS word, min(pair_id) AS best FROM looked GROUP BY 1)
-    SELECT looked.*, best FROM looked LEFT JOIN lowest ON word = spot >> 32)
-)
-SELECT spot >> 32 AS word, list(id ORDER BY spot) AS ids, any_value(best) IS NULL AS done
-FROM state WHERE best IS NULL OR step = $rounds GROUP BY word
-"""
-
 #: Tokens of each word put together again in the order of their positions.
 DECODE = """
 SELECT word, string_agg(hex(bytes), '' ORDER BY seq) AS data
@@ -101,9 +63,11 @@ class Codec:
         self.ranks = {base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}
         self.find = regex.compile(pattern).findall
         self.bytes = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
+        self.tokens = {n: t for t, n in self.ranks.items()}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.ids: dict[str, str] = {}
         self.data: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "preserve_insertion_order": False})
         split = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         merges = pa.table({"pair": pa.array([x << 20 | y for x, y, _ in split], pa.int64()), "merged": pa.array([n for _, _, n in split], pa.int64())})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(self.ranks.keys(), pa.binary())})
@@ -120,8 +84,8 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def merged(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word; a word that is itself a token is that token."""
+    def contracted(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word by contracting its leftmost pair of lowest rank until there is none."""
         out: list[np.ndarray | None] = [None] * len(words)
         work: list[tuple[int, np.ndarray]] = []
         for k, w in enumerate(words):
@@ -131,16 +95,14 @@ class Codec:
                 work.append((k, self.bytes[np.frombuffer(w, np.uint8)]))
         work.sort(key=lambda x: len(x[1]))  # long words last, so first to be taken
         while work:
-            now, size = [], 0
-            long = len(work[-1][1]) >= LONG
-            while work and (not now or size + len(work[-1][1]) <= POSITIONS and (len(work[-1][1]) >= LONG) == long):
+            now, rows = [], 0
+            while work and (not now or rows + len(work[-1][1]) * min(ROUNDS, len(work[-1][1])) <= ROWS):
                 now.append(work.pop())
-                size += len(now[-1][1])
+                rows += len(now[-1][1]) * min(ROUNDS, len(now[-1][1]))
             n = np.array([len(ids) for _, ids in now])
             word = np.repeat(np.arange(len(now)), n)
-            seq = np.arange(size) - np.repeat(np.cumsum(n) - n, n)
-            sql, rounds = (ENCODE_LONG, LONG_ROUNDS) if long else (ENCODE, ROUNDS)
-            got = self._query(sql, "start", {"spot": word << 32 | seq, "id": np.concatenate([ids for _, ids in now])}, rounds=rounds)
+            seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            got = self._query(ENCODE, "start", {"spot": word << 32 | seq, "id": np.concatenate([ids for _, ids in now])}, rounds=ROUNDS)
             ids = got["ids"].combine_chunks()
             cuts, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
             for j, (w, done) in enumerate(zip(got["word"].to_pylist(), got["done"].to_pylist())):
@@ -151,6 +113,60 @@ class Codec:
                     work.append((now[w][0], own))
         return out
 
+    def _fit(self, pairs: list[tuple[int, int]]) -> None:
+        """Notes for each pair of tokens whether their bytes are encoded as just these two."""
+        new = list(set(pairs).difference(self.fits))
+        if len(self.fits) + len(new) > REMEMBERED:
+            self.fits, new = {}, list(set(pairs))
+        said = self.contracted([self.tokens[a] + self.tokens[b] for a, b in new])
+        self.fits.update((p, tuple(x.tolist()) == p) for p, x in zip(new, said))
+
+    def merged(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word; a word that is itself a token is that token.
+
+        A word of over PIECE bytes is contracted piece by piece. Tokens are a text's encoding if and only if
+        the bytes of every two neighbours are encoded as these two: of the contractions that would cross a
+        border, the first sees on its two sides what it would see with these two tokens alone. Neighbours
+        from one contraction fit, so only borders are tested; around one that doesn't fit, some tokens on
+        both sides are contracted together, with new borders where they end, and more of them each round.
+        """
+        short = [k for k, w in enumerate(words) if len(w) <= PIECE or w in self.ranks]
+        out: list[np.ndarray | None] = [None] * len(words)
+        for k, ids in zip(short, self.contracted([words[k] for k in short])):
+            out[k] = ids
+        long = [k for k in range(len(words)) if out[k] is None]
+        cut = {k: [words[k][i : i + PIECE] for i in range(0, len(words[k]), PIECE)] for k in long}
+        known = list(dict.fromkeys(p for k in long for p in cut[k]))
+        ids_of = dict(zip(known, [x.tolist() for x in self.contracted(known)]))
+        parts = {k: [list(ids_of[p]) for p in cut[k]] for k in long}
+        near = NEAR
+        while parts:
+            self._fit([(a[-1], b[0]) for own in parts.values() for a, b in zip(own, own[1:])])
+            again: list[tuple[int, int, bytes]] = []
+            for k in list(parts):
+                own = [parts[k][0]]
+                given = fresh = False  # whether the last part has given tokens away this round, or is the bytes to be contracted
+                for part in parts[k][1:]:
+                    if fresh or given and not self.fits[own[-1][-1], part[0]]:
+                        own.append(part)
+                        given = fresh = False
+                    elif self.fits[own[-1][-1], part[0]]:
+                        own[-1].extend(part)
+                        given = False
+                    else:
+                        middle, before, after = own[-1][-near:] + part[:near], own[-1][:-near], part[near:]
+                        own[-1:] = [before] if before else []
+                        again.append((k, len(own), b"".join(map(self.tokens.__getitem__, middle))))
+                        own += [middle, after] if after else [middle]
+                        given, fresh = True, not after
+                parts[k] = own
+            for (k, at, _), ids in zip(again, self.contracted([w for _, _, w in again])):
+                parts[k][at] = ids.tolist()
+            for k in [k for k, own in parts.items() if len(own) == 1]:
+                out[k] = np.array(parts.pop(k)[0], np.int64)
+            near *= 2
+        return out
+
     def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
         n = np.array([len(x) for x in ids], np.int64)
         if not n.sum():

@@ -206,20 +206,41 @@ def test_quality_learns_and_scores_every_text(spark, docs, nothing):
     assert (quality.train(nothing, labels) == 0).all()
 
 
+def codec_and_tiktoken(name):
+    with open(public_tokenizers.path(name), "rb") as f:
+        c = bpe.codec(f.read(), public_tokenizers.PATTERN)
+    return c, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_bpe_of_long_words(name):
+    import base64
     import random
+    import time
 
-    with open(public_tokenizers.path(name), "rb") as f:
-        c = bpe.codec(f.read(), public_tokenizers.PATTERN)
-    enc = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    c, enc = codec_and_tiktoken(name)
     r = random.Random(1)
     words = ["a" * 300, "=" * 2001, "日本語のテキスト" * 60, "ab" * 255, "a" * 50_000] + ["".join(r.choice(["the", "ing", "tion", "er", "a", "an"]) for _ in range(120)) for _ in range(8)]
+    words += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "".join(r.choice("ACGT") for _ in range(50_000)), base64.b64encode(r.randbytes(30_000)).decode()]
+    began = time.monotonic()
     got = c.merged([w.encode() for w in words])
-    assert all(x.tolist() == enc._encode_single_piece(w) for w, x in zip(words, got) if len(w) < 10_000)
+    assert time.monotonic() - began < 20
+    assert all(x.tolist() == enc._encode_single_piece(w) for w, x in zip(words, got))
     assert b"".join(c.decoded(got)) == "".join(words).encode()
 
 
+def test_bpe_joins_pieces_of_any_size(monkeypatch):
+    import random
+
+    c, enc = codec_and_tiktoken("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(bpe, "NEAR", 1)
+    r = random.Random(4)
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        words = ["".join(r.choice(kind) for _ in range(r.randint(1, 90))) for kind in ("a", "ab", "=-", "thein", "ACGT", "éa日", "abcdefghijklmnopqrstuvwxyz") for _ in range(25)]
+        assert [x.tolist() for x in c.merged([w.encode() for w in words])] == [enc._encode_single_piece(w) for w in words]
+
+
 def test_main_text_of_pages_that_name_nothing():
     part = "Words in a row, with signs; and more of them. It goes on, and on, for a while. "
     page = f"<html><body><div class=a1><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></div><div class=a2>Short words here.</div><div class=a3><h1>Head</h1><p>{part}<p>{part * 3}<ul><li>One, two.</ul></div><div class=a4>&copy; us, all.</div></body></html>"
