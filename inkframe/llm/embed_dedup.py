@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from inkframe.llm.graph import connected_components, spanning_edges
 from inkframe.llm.store import hashed_sample, join_hot, written
-from inkframe.llm.vectors import common_width, matrix, rows_of, unit, usable
+from inkframe.llm.vectors import matrix, rows_of, unit, usable
 
-#: Cosine from which vectors link; trees; vectors a leaf should hold; vectors that the driver sees to place the splits.
+#: Cosine from which vectors link; trees; vectors a leaf should hold; vectors that one tree is grown from, on the driver or in a task.
 COSINE, TREES, LEAF, SAMPLE = 0.95, 4, 512, 16_384
 #: Overlap of a split in standard deviations of a linked pair's difference along a random direction.
 SPILL = 0.5
@@ -21,6 +22,8 @@ SPILL = 0.5
 LOOSE = 1e-3
 #: Vectors of a block: a leaf of more is compared in pairs of blocks, each a task's work of its own.
 BLOCK = 4096
+#: Sampled vectors that a leaf is told from at least, levels of trees at most, vectors that one task routes below the first level, and leaves of more than a block that may be broadcast.
+FEWEST, LEVELS, PORTION, LARGE = 16, 6, 32_768, 200_000
 
 
 class Tree:
@@ -133,76 +136,139 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame | None, leaf: int, cosine: float)
     return ids, links, nodes[off], label[off]
 
 
+def _route(trees: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of every leaf of every tree that each row of ``x`` falls into, by row and leaf; tree t's leaves start at t * 2^32."""
+    pairs = [tree.leaves(x) for tree in trees]
+    row = np.concatenate([r for r, _ in pairs])
+    at = np.concatenate([a + (t << 32) for t, (_, a) in enumerate(pairs)])
+    by = np.lexsort((at, row))
+    return row[by], at[by]
+
+
+def _lists(row: np.ndarray, at: np.ndarray, n: int) -> list[bytes]:
+    starts = np.searchsorted(row, np.arange(n + 1))
+    return [at[s:e].tobytes() for s, e in zip(starts, starts[1:])]
+
+
+def leaves(nodes: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
+    """(leaf, node, n, v binary, leaves binary) of each row of ``nodes`` (node, n, v array<double>; a written table) for each leaf it falls into.
+
+    The driver grows the first level for each width from about ``sample`` rows. Of so many rows that a leaf
+    couldn't be told from FEWEST of these, leaves come out too large; each is then split again by a tree
+    from its own sample, grown and followed in tasks, and so on. So leaves hold about ``leaf`` rows at any
+    size, but for clouds that no split takes apart. A width that the sample doesn't hold is a leaf to begin with.
+    """
+    total = nodes.count()
+    seen = hashed_sample(nodes, "node", total, sample).select("node", "v").toPandas().sort_values("node")
+    rate = len(seen) / max(total, 1)
+    forest: dict[int, tuple[int, list[Tree]]] = {}
+
+    def spill(width: int) -> float:
+        return SPILL * np.sqrt(max(0.0, 2 - 2 * cosine) / width)
+
+    for k, (width, own) in enumerate(seen.groupby(seen["v"].map(len))["v"]):
+        x = unit(matrix(own.to_list()))
+        forest[int(width)] = k, [Tree(x, max(FEWEST, int(leaf * rate)), spill(int(width)), seed * 1000 + t) for t in range(trees)]
+    shared = nodes.sparkSession.sparkContext.broadcast(forest)
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for width, own in f.groupby(f["v"].map(len)):
+                raw = matrix(own["v"].to_list())
+                if width in shared.value:
+                    k, grown = shared.value[width]
+                    row, at = _route(grown, unit(raw))
+                    at = at + (k << 40)
+                else:
+                    row, at = np.arange(len(raw)), np.full(len(raw), -1 - width)
+                lists, bodies = _lists(row, at, len(raw)), [v.tobytes() for v in raw]
+                for i in range(0, len(row), 20_000):
+                    r = row[i : i + 20_000]
+                    yield pd.DataFrame({"leaf": at[i : i + 20_000], "node": own["node"].to_numpy()[r], "n": own["n"].to_numpy()[r], "v": [bodies[k] for k in r], "leaves": [lists[k] for k in r]})
+
+    kind = "leaf long, node long, n long, v binary, leaves binary"
+    placed = written(nodes.select("node", "n", "v").mapInPandas(route, kind), "leaves")
+    if total * FEWEST <= sample * leaf:
+        return placed
+    for level in range(1, LEVELS):
+        sizes = written(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 2 * leaf), "leaf-sizes")
+        if sizes.isEmpty():
+            break
+        share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("m")) * (1 << 30)
+        inner = join_hot(placed.select("leaf", "node", "v"), sizes, "leaf", "m").where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < share)
+
+        def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("node")
+            x = unit(matrix([np.frombuffer(v, np.float64) for v in f["v"]]))
+            tree = Tree(x, max(FEWEST, int(leaf * len(x) / f["m"].iloc[0])), spill(x.shape[1]), seed * 1000 + level * 100 + int(key[0]) % 97)
+            return pd.DataFrame({"leaf": [key[0]], "m": [f["m"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+        grown = written(inner.groupBy("leaf").applyInPandas(grow, "leaf long, m long, tree binary"), "trees")
+        portions = F.ceil(F.col("m") / PORTION).cast("int")
+        large = join_hot(placed, grown.select("leaf", "m"), "leaf", "m").withColumn("portion", F.pmod(F.xxhash64("node"), portions).cast("int"))
+        ways = grown.select("leaf", "tree", F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
+
+        def follow(key: tuple, f: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+            if not len(f):
+                return pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")}).astype({"leaf": "int64", "node": "int64", "n": "int64"})
+            row, at = pickle.loads(way["tree"].iloc[0]).leaves(unit(matrix([np.frombuffer(v, np.float64) for v in f["v"]])))
+            out = f[["leaf", "node", "n", "v", "leaves"]].iloc[row]
+            return out.assign(leaf=((out["leaf"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+
+        deeper = large.groupBy("leaf", "portion").cogroup(ways.groupBy("leaf", "portion")).applyInPandas(follow, kind)
+        rest = placed.join(grown.select("leaf").hint("shuffle_merge"), "leaf", "left_anti")
+        most = sizes.agg(F.max("m")).first()[0]
+        placed = written(rest.unionByName(deeper), "leaves")
+        if most * FEWEST <= sample * leaf:
+            break
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"node": f["node"], "leaves": [np.sort(np.asarray(x, np.int64)).tobytes() for x in f["leaves"]]})
+
+    lists = placed.groupBy("node").agg(F.collect_set("leaf").alias("leaves")).mapInPandas(pack, "node long, leaves binary")
+    return written(placed.drop("leaves").join(lists.hint("shuffle_merge"), "node").select("leaf", "node", "n", "v", "leaves"), "leaves")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, seed: int = 11
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, seed: int = 11, sample: int = SAMPLE
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row of ``df``.
 
-    Links are pairs of cosine >= ``cosine`` in double precision that share a leaf of some tree. Equal
-    vectors are one node with a count, so copies are never paired with one another. Unusable vectors
-    (null, zero, null or non-finite components, another width than the sample's most common one) link with
-    nothing. Each row must have an id of its own; rows with a null or repeated id are nodes by id. Extra
+    Links are pairs of cosine >= ``cosine`` in double precision that share a leaf of some tree; vectors of
+    different widths never link. Equal vectors are one node, named by 64 bits of a hash, with a count, so copies
+    are never paired with one another. Unusable vectors (null, zero, null or non-finite components) and rows
+    with a null id link with nothing. A repeated id is a row each, with the links of its own vector. Extra
     columns are not read. An empty table gives an empty result.
 
-    The driver sees about SAMPLE vectors to place the splits. Each vector goes to its leaves with the list
-    of all of them; a task compares one leaf, or one pair of blocks of a large leaf, and returns counts and
-    a star for each component it found, never the pairs.
+    Each vector goes to its ``leaves`` with the list of all of them; a task compares one leaf, or one pair of
+    blocks of a large leaf, and returns counts and a star for each component it found, never the pairs.
     """
-    spark = df.sparkSession
     rows = rows_of(df, id_col, vector_col).where("id IS NOT NULL")
     groups = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    nodes = written(groups.withColumn("h", F.xxhash64("v")), "vectors")
-    total = nodes.count()
-    seen = hashed_sample(nodes, "h", total, SAMPLE).select("id", "v").toPandas().sort_values("id")
-    none = spark.createDataFrame([], "node long, links long, root long")
-    found = none
-    if len(seen):
-        width = common_width(seen["v"])
-        sample = unit(matrix([v for v in seen["v"] if len(v) == width]))
-        spread = np.sqrt(max(0.0, 2 - 2 * cosine) / width)
-        rate = len(sample) / total
-        forest = [Tree(sample, max(16, int(leaf * rate)), SPILL * spread, seed * 1000 + t) for t in range(trees)]
-        shared = spark.sparkContext.broadcast(forest)
-
-        def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                f = f[f["v"].map(len) == width]
-                if not len(f):
-                    continue
-                raw = matrix(f["v"])
-                x = unit(raw)
-                pairs = [tree.leaves(x) for tree in shared.value]
-                row = np.concatenate([r for r, _ in pairs])
-                at = np.concatenate([a + (t << 40) for t, (_, a) in enumerate(pairs)])
-                by = np.lexsort((at, row))
-                row, at = row[by], at[by]
-                starts = np.searchsorted(row, np.arange(len(x) + 1))
-                lists = [at[s:e].tobytes() for s, e in zip(starts, starts[1:])]
-                bodies = [v.tobytes() for v in raw]
-                for i in range(0, len(row), 20_000):
-                    r = row[i : i + 20_000]
-                    yield pd.DataFrame({"leaf": at[i : i + 20_000], "id": f["id"].to_numpy()[r], "n": f["n"].to_numpy()[r], "v": [bodies[k] for k in r], "leaves": [lists[k] for k in r]})
-
-        routed = written(nodes.select("id", "n", "v").mapInPandas(route, "leaf long, id long, n long, v binary, leaves binary"), "leaves")
-        sizes = routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}")  # of at most trees * SAMPLE / 8 leaves
-        big = routed.join(F.broadcast(sizes), "leaf", "left")
-        parts = F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")
-        big = big.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        # The block meets itself and every other block of its leaf: tasks (low, high) with low <= high.
-        meets = F.sequence(F.lit(0), F.col("parts") - 1)
-        dealt = big.select("leaf", "id", "n", "v", "leaves", "own", F.explode(meets).alias("other"))
-        dealt = dealt.select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "v", "leaves")
-
-        def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-            at, a, b = key
-            ids, links, node, root = _compare(f, None, at, cosine) if a == b else _compare(f[f["own"] == a], f[f["own"] == b], at, cosine)
-            return pd.DataFrame({"node": np.concatenate([ids, node]), "links": np.concatenate([links, np.zeros(len(node), np.int64)]), "root": np.concatenate([ids, root])})
-
-        found = written(dealt.groupBy("leaf", "a", "b").applyInPandas(compare, "node long, links long, root long"), "links")
-    counts = found.groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links"))
-    classes = connected_components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "id")
-    known = nodes.select("id", "n", "v").join(counts, "id", "left").join(classes, "id", "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"), "n")
+    nodes = written(groups.withColumn("node", F.xxhash64("v")), "vectors")
+    routed = leaves(nodes, cosine, trees, leaf, sample, seed)
+    sizes = written(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}"), "leaf-sizes")
+    big = routed.join(F.broadcast(sizes) if sizes.count() <= LARGE else sizes, "leaf", "left")
+    parts = F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")
+    big = big.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # The block meets itself and every other block of its leaf: tasks (low, high) with low <= high.
+    meets = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = big.select("leaf", "node", "n", "v", "leaves", "own", F.explode(meets).alias("other"))
+    dealt = dealt.select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", F.col("node").alias("id"), "n", "v", "leaves")
+
+    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        at, a, b = key
+        ids, links, node, root = _compare(f, None, at, cosine) if a == b else _compare(f[f["own"] == a], f[f["own"] == b], at, cosine)
+        return pd.DataFrame({"node": np.concatenate([ids, node]), "links": np.concatenate([links, np.zeros(len(node), np.int64)]), "root": np.concatenate([ids, root])})
+
+    found = written(dealt.groupBy("leaf", "a", "b").applyInPandas(compare, "node long, links long, root long"), "links")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = connected_components(found.where("node <> root"), "node", "root")
+    known = nodes.join(counts, "node", "left").join(classes, "node", "left")
+    known = written(known.select("v", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("class"), "n"), "classes")
+    smallest = written(known.groupBy("class").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m")), "smallest")
+    known = join_hot(known, smallest, "class", "m").select("v", "n_links", "component_id", "n")
     return _members(df, rows, known, id_col, vector_col)
 
 

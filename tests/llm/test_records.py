@@ -224,3 +224,33 @@ def test_samples_are_bounded_and_repeat(spark):
     one = {r.id for r in store.hashed_sample(d, "h", 5000, 500).collect()}
     assert 350 < len(one) < 650 and one == {r.id for r in store.hashed_sample(d.repartition(7), "h", 5000, 500).collect()}
     assert store.hashed_sample(d, "h", 5000, 5000).count() == 5000
+
+
+def test_embeddings_of_several_widths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.01]), (4, [0.0, 1.0]), (5, [1.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.01]), (7, [1.0]), (8, [-1.0]), (8, [5.0, 0.1]), (4, [0.0, 1.01]), (None, [1.0, 0.0])]
+    rows += [(100 + k, [float(k % 7), 1.0, 2.0, float(k)]) for k in range(40)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, id string")
+    for sample in (16_384, 8):  # the smaller one holds hardly any of the widths
+        got = sorted((tuple(r) for r in embed_dedup.near_duplicates(table, sample=sample, leaf=512).collect() if r.vec_id is None or r.vec_id < 100), key=repr)
+        want = [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (8, 3, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True), (None, 0, None, True)]
+        assert got == sorted(want, key=repr)
+
+
+def test_leaves_stay_small_beyond_the_sample(spark):
+    r = np.random.default_rng(3)
+    mean = []
+    for n in (2_000, 16_000):
+        x = r.standard_normal((n, 32))
+        x[1::2] = x[::2] + r.standard_normal((n // 2, 32)) * 0.1  # pairs of cosine about 0.99
+        table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(4)
+        nodes = store.written(table.select(F.xxhash64("v").alias("node"), F.lit(1).cast("long").alias("n"), "v", "id"), "vectors")
+        placed = embed_dedup.leaves(nodes, leaf=64, sample=512, trees=4)
+        sizes = [q["count"] for q in placed.groupBy("leaf").count().collect()]
+        mean.append(sum(s * s for s in sizes) / sum(sizes))
+        together = {}
+        for q in placed.join(nodes.select("node", "id"), "node").select("id", "leaf", "leaves").collect():
+            assert q.leaf in np.frombuffer(q.leaves, np.int64)
+            together.setdefault(q.id, set()).add(q.leaf)
+        assert len(together) == n
+        assert np.mean([bool(together[k] & together[k + 1]) for k in range(0, n, 2)]) > 0.97
+    assert mean[1] < 1.6 * mean[0]
