@@ -107,9 +107,9 @@ def test_embedding_links(embeddings, leaf, block):
     assert embed_dedup.near_duplicates(embeddings.where("false")).collect() == []
 
 
-@pytest.mark.parametrize(("codes", "asked"), [(16_384, 8_192), (60, 3)])
-def test_nearest_matches_brute_force(embeddings, codes, asked):
-    found = ann.nearest(embeddings, F.col("vec_id") % 20 == 0, codes_a_block=codes, queries_a_block=asked)
+@pytest.mark.parametrize(("size", "few"), [(ann.BLOCK_BYTES, ann.BLOCK_FEW), (16 * 8 * 30, 30)])
+def test_nearest_matches_brute_force(embeddings, size, few):
+    found = ann.nearest(embeddings, F.col("vec_id") % 20 == 0, block_bytes=size, few=few)
     got = {}
     for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -254,3 +254,31 @@ def test_leaves_stay_small_beyond_the_sample(spark):
         assert len(together) == n
         assert np.mean([bool(together[k] & together[k + 1]) for k in range(0, n, 2)]) > 0.97
     assert mean[1] < 1.6 * mean[0]
+
+
+def test_inner_products_of_packed_bits():
+    r = np.random.default_rng(1)
+    for width in (1, 7, 8, 20, 64):
+        x, q = r.standard_normal((50, width)), r.standard_normal((9, width))
+        signs = np.where(x > 0, 1.0, -1.0)
+        assert np.allclose(ann.inner_products(np.packbits(x > 0, axis=1), q), q @ signs.T, atol=1e-4)
+
+
+def test_nearest_of_odd_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [1.0, 0.0, 0.0]), (100, [2.0, 0.0, 0.0]), (100, [2.0, 0.0, 0.0]), (200, [9.0]), (None, [1.0, 0.0]), (300, None), (4, [0.0, 0.0])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, block string, most int")
+    for sample in (8192, 1):
+        got = sorted(tuple(r) for r in ann.nearest(table, F.col("vec_id") % 100 == 0, sample=sample).collect())
+        assert got == [(0, 1, 1, 0.5), (0, 2, 2, 2.5), (100, 1, 3, 1.0)]
+
+
+def test_nearest_in_cells_that_are_far_apart(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((60, 8)) + 100 * r.standard_normal(8) for _ in range(12)])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(q.query_id, q.rank): (q.vec_id, q.score) for q in ann.nearest(table, F.col("vec_id") % 50 == 0, few=20).collect()}
+    for i in range(0, len(x), 50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        best = np.argsort(d)[:10]
+        assert [got[i, k + 1][0] for k in range(10)] == best.tolist() and np.allclose([got[i, k + 1][1] for k in range(10)], d[best])
