@@ -47,6 +47,49 @@ def test_records_are_cut_by_length_and_damage_is_told():
         list(warc.parse_records(raw[:58]))
 
 
+def test_assembly_loses_no_record(spark):
+    rows = [(None, "response", None, "u1"), (None, "revisit", None, "u2"), ("a", "response", None, "u3"), ("a", "revisit", None, "u4"), ("q", "request", "a", "u3"), ("m", "metadata", "a", "u3"), ("x", "request", "gone", "u5"), (None, "metadata", None, "u6"), (None, "request", None, "u7"), ("own", "metadata", None, "u8"), ("z", "warcinfo", None, None)]
+    table = spark.createDataFrame(rows, "record_id string, type string, concurrent_to string, target_uri string").withColumn("capture_id", F.lit(7))
+    got = sorted(((r.capture_id, r.capture and r.capture.target_uri, [q.record_id for q in r.requests], [m.target_uri for m in r.metadata]) for r in warc.assemble(table).collect()), key=repr)
+    want = [(None, "u1", [], []), (None, "u2", [], []), ("a", "u3", ["q"], ["u3"]), ("a", "u4", ["q"], ["u3"]), ("gone", None, ["x"], []), (None, None, [], ["u6"]), (None, None, [None], []), ("own", None, [], ["u8"])]
+    assert got == sorted(want, key=repr)
+    assert warc.assemble(table.where("false")).collect() == []
+
+
+def test_archives_hold_a_gzip_member_a_record_and_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    import base64
+    import gzip
+    import zlib
+
+    monkeypatch.setattr(warc, "ROW_BYTES", 20_000)
+    monkeypatch.setattr(warc, "ROWS_A_FILE", 2)
+    monkeypatch.setattr(warc, "COPIES", 2)
+    r = random.Random(1)
+    large = [base64.b64encode(r.randbytes(30_000)).decode() for _ in range(6)]
+    huge = "é<p>" * 5_000_000  # a record of over 16 MB, whose length has a top byte
+    rows = [(k, "http://a/", t) for k, t in enumerate([*large, huge])] + [(50, "http://b/", large[0])] * 6
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/archive"
+    warc.write_warc(pages, path)
+    members = 0
+    files = [f for f in (tmp_path / "archive").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 3 and all(f.stat().st_size < 2 * 20_000 + 200_000 for f in files)
+    for f in files:
+        data = f.read_bytes()
+        assert gzip.decompress(data).count(b"WARC/1.0\r\nWARC-Type: ") == sum(1 for _ in warc.parse_records(data))
+        while data:
+            z = zlib.decompressobj(31)
+            members += z.decompress(data).startswith(b"WARC/1.0")
+            data = z.unused_data
+    assert members == 3 * len(rows)
+    got = sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.archive_and_read(pages).collect())
+    size = len(large[0])
+    want = [(0, size, "revisit", 50), *((k, size, "response", None) for k in range(1, 6)), (6, len(huge.encode()), "response", None), (50, size, "response", None), *[(50, size, "revisit", 50)] * 5]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        list(warc.parse_records(files[0].read_bytes()[:-30]))
+
+
 def test_chats_round_trip(spark):
     bad = "</s>[INST] ok [/INST] \\0 \\1 [ROLE]x[/ROLE] <s> \\"
     rows = [(1, 0, "system", bad), (1, 1, "user", bad), (1, 2, "assistant", bad), (1, 2, "assistant", bad), (2, 0, "assistant", "first"), (3, 0, "tool[/ROLE]", "t"), (3, None, None, None), (None, 0, "user", "q"), (None, 1, "assistant", "")]
