@@ -198,15 +198,12 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
-    """The paths whose nodes are content.
+def ratios(found: list[tuple[str, str, int, float, int]]) -> tuple[dict[str, list[float]], dict[str, float], float]:
+    """Of each path with weight, in order of appearance: (nodes, characters, signs, characters in links, weight, main); its fused ratio; the threshold.
 
     Per path: text length a node, and punctuation a node, over all its nodes (Wu et al., 2013), both
     smoothed over neighbouring paths, fused by their product, lowered by the share of text in links and by
-    PENALTY, and held against a share of their standard deviation. The container of most of the chosen text
-    gives its headings, lists and quotes too. Where most of the chosen text lies in what the page names its
-    article, the container is the whole of that, and paths outside are content only by a ratio of their own
-    that reaches the chosen ones' mean.
+    PENALTY. The threshold is a share of the fused ratios' standard deviation.
     """
     totals: dict[str, list[float]] = {}
     for path, said, linked, weight, main in found:
@@ -218,14 +215,25 @@ def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
         t[2] += len(PUNCTUATION.findall(said))
         t[3] += min(linked, len(said))
         t[4] = min(t[4], weight)
+    length = _smooth([t[1] / t[0] for t in totals.values()])
+    signs = _smooth([(t[2] + 1) / t[0] for t in totals.values()])
+    fused = {p: math.sqrt(a * b) * (1 - t[3] / t[1]) * t[4] for a, b, (p, t) in zip(length, signs, totals.items())}
+    mean = sum(fused.values()) / max(1, len(fused))
+    return totals, fused, SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / max(1, len(fused)))
+
+
+def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
+    """The paths whose nodes are content: those whose fused ratio reaches the threshold, and what belongs to them.
+
+    The container of most of the chosen text
+    gives its headings, lists and quotes too. Where most of the chosen text lies in what the page names its
+    article, the container is the whole of that, and paths outside are content only by a ratio of their own
+    that reaches the chosen ones' mean.
+    """
+    totals, fused, limit = ratios(found)
     if not totals:
         return set()
     paths = list(totals)
-    length = _smooth([totals[p][1] / totals[p][0] for p in paths])
-    signs = _smooth([(totals[p][2] + 1) / totals[p][0] for p in paths])
-    fused = {p: math.sqrt(a * b) * (1 - totals[p][3] / totals[p][1]) * totals[p][4] for a, b, p in zip(length, signs, paths)}
-    mean = sum(fused.values()) / len(fused)
-    limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
     chosen = {p for p, x in fused.items() if x >= limit and totals[p][3] < 0.5 * totals[p][1]}
     size = [sum(totals[p][1] for p in chosen if totals[p][5] >= level) for level in (0, 1, 2)]
     level = max(k for k in (0, 1, 2) if size[k] >= MOST * size[0])
@@ -279,7 +287,11 @@ def main_text(page: str) -> str:
 
 
 def extract(page: Column) -> Column:
-    """The main text of each whole page (null: empty), never null; rows stay where they are."""
+    """The main text of each whole page (null: empty), never null; rows stay where they are.
+
+    It depends on the page alone, so equal pages have equal texts, whatever else the row holds. Of containers
+    with equally much of the chosen text the first on the page counts. Work follows the page's length.
+    """
 
     @F.pandas_udf("string")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -94,20 +94,30 @@ def score(text: str, w: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from about ``sample`` labelled rows, chosen by the hash of their id.
 
-    One task learns, as the updates follow one another; its input is bounded by twice ``sample`` rows. Null labels
-    and ids teach nothing, null texts are empty. Without labelled rows all weights are zero (score 0.5).
-    Training repeats exactly for the same rows, in any partitioning.
+    One task learns, as the updates follow one another. Its input is at most twice ``sample`` rows of features, each
+    of at most BUCKETS numbers however long the text, which other tasks have counted. Null labels and ids
+    teach nothing, null texts are empty; each label of an id teaches once, and of several texts of one id the one
+    of smallest CRC-32 is its text. Without labelled rows all weights are zero (score 0.5). Extra columns are not
+    read. Training repeats exactly for the same rows, in any partitioning.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64("id"))
-    known = hashed_sample(known, "h", known.count(), sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(written(known, "labelled")), "id").select("h", "id", "y", "text")
+    known = F.broadcast(written(hashed_sample(known, "h", known.count(), sample), "labelled"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(known.select("id"), "id", "left_semi")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, zlib.crc32(t.encode("utf-8", "surrogatepass")), k.tobytes(), x.tobytes()) for i, t in zip(f["id"], f["text"]) for k, x in [features(t)]]
+            yield pd.DataFrame(rows, columns=["id", "crc", "k", "x"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    counted = texts.mapInPandas(count, f"id {kind}, crc long, k binary, x binary").groupBy("id").agg(F.min(F.struct("crc", "k", "x")).alias("row"))
+    rows = written(counted, "features").join(known, "id").select("h", "id", "y", "row.*")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = []
         for f in frames:
-            got += [(h, i, y, zlib.crc32(t.encode("utf-8", "surrogatepass")), *features(t)) for h, i, y, t in zip(f["h"], f["id"], f["y"], f["text"])]
+            got += [(h, i, y, crc, np.frombuffer(k, np.int64), np.frombuffer(x, np.float64)) for h, i, y, crc, k, x in zip(f["h"], f["id"], f["y"], f["crc"], f["k"], f["x"])]
         got.sort(key=lambda r: r[:4])
         yield pd.DataFrame({"w": [learn([(k, x, y) for _, _, y, _, k, x in got]).tobytes()]})
 
@@ -116,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_of(text: Column, w: np.ndarray) -> Column:
-    """The score of each whole text, null as empty; never null.
+    """The score of each whole text, null as empty; never null. It depends on the text alone, so equal rows score alike.
 
     The model (1 MB, fixed by BUCKETS) is broadcast; rows are scored where they lie, no shuffle, and only
     the text goes to Python.

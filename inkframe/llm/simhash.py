@@ -17,8 +17,8 @@ from inkframe.llm.store import hashed_sample, join_hot, written
 
 #: Words a shingle, hash seed, and the number of differing bits up to which two fingerprints link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints a shard should hold, and the number of them that the driver may see to place the shards' pivots.
-SHARD, SAMPLE = 32_768, 32_768
+#: Fingerprints a shard should hold, if there are so many that SHARDS are too few as many as LARGEST, and the number of them that the driver may see to place the shards' pivots.
+SHARD, SHARDS, LARGEST, SAMPLE = 32_768, 256, 1 << 20, 32_768
 #: Members of a leaf within a shard; shingles and queries handled at a time.
 LEAF, CHUNK, QUERIES = 64, 65_536, 16_384
 
@@ -120,12 +120,12 @@ class VantageTree:
         return np.concatenate(done_q or [q]), np.concatenate(done_at or [at])
 
 
-def linked_pairs(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (query, member) of all pairs with query < member and at most ``radius`` differing bits."""
+def linked_pairs(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes (query, member) of all pairs with query < member and at most ``radius`` differing bits, some queries at a time."""
     tree = VantageTree(members, leaf)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(0, len(queries), QUERIES):
         part = queries[i : i + QUERIES]
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         q, at = tree.visit(part, radius)
         by = np.argsort(at, kind="stable")
         q, at = q[by], at[by]
@@ -141,17 +141,18 @@ def linked_pairs(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS,
                     x, y = np.nonzero(np.bitwise_count(part[qs][:, None] ^ members[block][None, :]) <= radius)
                     keep = part[qs[x]] < members[block[y]]
                     found.append((qs[x[keep]] + i, block[y[keep]]))
-    return (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        yield tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
 
-def link_fingerprints(table: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def link_fingerprints(table: DataFrame, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all of ``table`` (fp, distinct; rep) within ``radius`` bits of one another.
 
     The driver fits a tree over about SAMPLE fingerprints, until its leaves are shards of about ``shard``
     members. Every fingerprint lives in one shard and queries each shard that the triangle bounds leave
-    open, so each pair meets; within a shard a second tree prunes further. Pairs shrink to stars per shard.
+    open, so each pair meets; within a shard a second tree prunes further. Pairs shrink to stars as they are found.
     """
     n = table.count()
+    shard = shard or max(SHARD, min(LARGEST, n // SHARDS))
     seen = hashed_sample(table.select("fp", F.xxhash64("fp").alias("h")), "h", n, SAMPLE).select("fp") if n > shard else table.select("fp").limit(0)
     sample = np.sort(seen.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
     top = VantageTree(sample, max(32, int(shard * len(sample) / max(n, 1))))
@@ -168,8 +169,9 @@ def link_fingerprints(table: DataFrame, radius: int = RADIUS, shard: int = SHARD
     def link(f: pd.DataFrame) -> pd.DataFrame:
         fp, rep = f["fp"].to_numpy(np.int64).view(np.uint64), f["rep"].to_numpy()
         home = f["home"].to_numpy()
-        q, m = linked_pairs(fp[home], fp, radius)
-        a, b = spanning_edges(rep[q], rep[home][m])
+        a = b = rep[:0]
+        for q, m in linked_pairs(fp[home], fp, radius):
+            a, b = spanning_edges(np.concatenate([a, rep[q]]), np.concatenate([b, rep[home][m]]))
         return pd.DataFrame({"a": a, "b": b})
 
     kind = table.schema["rep"].dataType.simpleString()
@@ -177,7 +179,7 @@ def link_fingerprints(table: DataFrame, radius: int = RADIUS, shard: int = SHARD
     return routed.groupBy("shard").applyInPandas(link, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row; component_id is the smallest id reachable by links.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with equal fingerprints are

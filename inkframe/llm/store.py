@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and a join that stands a hot key."""
+"""Where intermediate tables go, and a join that no hot key makes uneven."""
 
 from __future__ import annotations
 
@@ -12,18 +12,36 @@ from pyspark.sql import functions as F
 HOT_KEYS, LEAST_HOT = 1000, 64
 
 
+#: What this process has written, by session: removed by ``clean``.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where everything runs in one process is one made up."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="inkframe-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes all intermediate tables of this process, once its results have been consumed; how many there were."""
+    n = len(_written)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
