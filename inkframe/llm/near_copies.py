@@ -23,8 +23,6 @@ SHINGLE, LEAST = 5, (4, 5)
 #: Bands and MinHashes a band. A pair of similarity s shares none with probability (1 - s**ROWS) ** BANDS: 0.000005 at 0.8.
 BANDS, ROWS = 40, 6
 SEED, CHUNK = 42, 8192
-#: Members that each band's others are measured against, the smallest id first, before its pairs are looked for.
-PIVOTS = 3
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -153,8 +151,9 @@ def prefix_pairs(table: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of rows of ``table`` (id, class, words) of different class, no pair of LEAST or more missing.
 
     Two sets that have LEAST of their union in common share one of their first n - ceil(n * LEAST) + 1 shingles in
-    any order common to all (Chaudhuri et al., 2006); here the rarest of ``table`` come first. So members of a
-    large group that have too much of their own meet nobody, however much the group shares.
+    any order common to all (Chaudhuri et al., 2006); here the rarest of ``table`` come first. What either set
+    has before the first shared one it has alone, which bounds what they share (Xiao et al., 2008). So members of a
+    large group that differ too much meet in next to no row, however much the group shares.
     """
     p, q = LEAST
 
@@ -169,11 +168,14 @@ def prefix_pairs(table: DataFrame) -> DataFrame:
     each = written(table.select("id", "class", "words").mapInArrow(spread, f"id {kind}, class {kind}, size long, h long"), "near-shingles")
     counts = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
     common = join_hot(each, counts, "h", "n").groupBy("id", "class", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("common"))
-    first = F.floor((F.col("size") * (q - p)) / q) + 1 - (F.col("size") - F.size("common"))
-    heads = written(common.where(first > 0).select("id", "class", "size", F.explode(F.slice("common", F.lit(1), first.cast("int"))["h"]).alias("h")), "near-heads")
-    left, right = (heads.select("h", F.col("id").alias(x), F.col("class").alias(f"class_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
-    pairs = left.join(right, "h").where(f"a < b AND class_a <> class_b AND least(size_a, size_b) * {q} >= greatest(size_a, size_b) * {p}")
-    return pairs.select("a", "b").distinct()
+    alone = F.col("size") - F.size("common")
+    first = F.floor((F.col("size") * (q - p)) / q) + 1 - alone
+    heads = common.where(first > 0).select("id", "class", "size", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), first.cast("int"))["h"]).alias("k", "h"))
+    heads = written(heads.select("id", "class", "size", (F.col("alone") + F.col("k")).alias("before"), "h"), "near-heads")
+    left, right = (heads.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "class", "size", "before"))) for x in "ab")
+    enough = " AND ".join(f"(size_{x} - before_{x}) * {p + q} >= (size_a + size_b) * {p}" for x in "ab")
+    pairs = left.join(right, "h").where(f"id_a < id_b AND class_a <> class_b AND {enough}")
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -181,23 +183,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lin
 
     Rows with equal sets of shingles (``own``, their digest) are one node, named by 64 bits of a hash; ``class``
     is the smallest node reachable. ``link`` gives edges (a, b) between the rows of a table (fp, rep) of distinct
-    fingerprints. Its edges, and each band's members with its smallest node and two others, are measured first,
-    which joins groups of near copies at a cost in proportion to their size. Members of bands that are still
-    apart are then compared by ``prefix_pairs``. So every pair of LEAST or more that shares a band is linked,
-    and none below it.
+    fingerprints. Its edges, and each band's members with its smallest node, are measured first, which joins
+    groups of near copies at a cost in proportion to their size. Members of bands that are still apart are then
+    compared by ``prefix_pairs``. So every pair of LEAST or more that shares a band is linked, and none below it.
     """
     rows = written(sketches(docs, id_col, text_col), "near-sketches")
     nodes = written(rows.groupBy("own").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("own")), "near-nodes")
     known = nodes.where("rep IS NOT NULL")
     keys = written(known.select("node", F.explode("bands").alias("band")), "near-bands")
-    pivots = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]
-    groups = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("p0"), *pivots).where("n > 1"), "near-groups")
+    groups = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "near-groups")
     members = written(join_hot(keys, groups, "band", "n").drop("n"), "near-members")
-
-    def stars(table: DataFrame, k: int) -> DataFrame:
-        return table.where(f"node <> p{k}").select(F.least("node", f"p{k}").alias("a"), F.greatest("node", f"p{k}").alias("b"))
-
-    proposed = stars(members, 0)
+    proposed = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     if link is not None:
         prints = written(known.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "near-prints")
         equal = join_hot(known.select("fp", "node"), prints, "fp", "n").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -209,23 +205,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lin
     sets = written(_sets(docs, written(wanted, "near-wanted"), id_col, text_col), "near-words")
     links = _measured(proposed, sets)
 
-    def apart(joined: DataFrame) -> DataFrame:
-        now = written(members.join(joined, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("class")), "near-members")
-        several = now.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
-        return written(now.join(several, "band", "left_semi"), "near-members")
-
     joined = connected_components(links)
-    rest = apart(joined)
-    if not rest.isEmpty():
-        more = stars(rest, 1)
-        for k in range(2, PIVOTS):
-            more = more.unionByName(stars(rest, k))
-        links = links.unionByName(_measured(written(more.distinct(), "near-pairs"), sets))
-        joined = connected_components(links)
-        rest = apart(joined)
+    now = written(members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("class")), "near-members")
+    apart = now.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
+    rest = written(now.join(apart, "band", "left_semi").select(F.col("node").alias("id"), "class").distinct(), "near-apart")
     if not rest.isEmpty():
-        table = sets.join(rest.select("node", "class").distinct(), "node").withColumnRenamed("node", "id")
-        more = written(prefix_pairs(written(table, "near-rest")), "near-pairs")
+        more = written(prefix_pairs(written(sets.withColumnRenamed("node", "id").join(rest, "id"), "near-rest")), "near-pairs")
         if not more.isEmpty():
             joined = connected_components(links.unionByName(_measured(more, sets)))
 
