@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe import schemas
@@ -48,41 +50,42 @@ def pair_regions(boxes: DataFrame, threshold: float = OVERLAP) -> DataFrame:
     return rows.select("image_id", "id_a", "id_b", "u.*", geo.noisy_or(F.array("c_a", "c_b")).alias("confidence"))
 
 
-def _ratios(b: np.ndarray) -> np.ndarray:
-    x1, y1, x2, y2 = b[:, 0], b[:, 1], b[:, 0] + b[:, 2], b[:, 1] + b[:, 3]
-    w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1)
-    h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1)
-    size = b[:, 2] * b[:, 3]
-    small = np.minimum(size[:, None], size).astype(float)
-    return np.divide(np.clip(w, 0, None) * np.clip(h, 0, None), small, out=np.zeros_like(small), where=small != 0)
-
-
-def greedy_groups(boxes: np.ndarray, detectors: list[str], threshold: float) -> list[list[int]]:
-    """Groups of indexes, in order of their seeds.
+def greedy_groups(near: list[list[int]], detectors: list[str]) -> list[list[int]]:
+    """Groups of indexes, in order of their seeds. ``near``: each box's overlapping boxes of other detectors, ascending.
 
     A seed takes each later unused box of another detector than its own that overlaps it; each box so
     taken lets in later unused boxes of detectors not in the group yet that overlap any member. So a
     group may hold a detector twice, and the outcome depends on the order; it is no transitive closure.
+    Work follows the number of overlaps.
     """
-    hit = _ratios(boxes) >= threshold if len(boxes) else np.zeros((0, 0), bool)
-    used = np.zeros(len(boxes), bool)
+    used = [False] * len(near)
     groups = []
-    for seed in range(len(boxes)):
+    for seed in range(len(near)):
         if used[seed]:
             continue
         used[seed] = True
         members = [seed]
-        for j in np.flatnonzero(hit[seed, seed + 1 :]) + seed + 1:
-            if used[j] or detectors[j] == detectors[seed]:
+        for j in near[seed]:
+            if j < seed or used[j] or detectors[j] == detectors[seed]:
                 continue
-            members.append(int(j))
+            members.append(j)
             used[j] = True
             present = {detectors[m] for m in members}
-            for k in range(j + 1, len(boxes)):
-                if not used[k] and detectors[k] not in present and hit[members, k].any():
-                    members.append(k)
-                    used[k] = True
-                    present.add(detectors[k])
+            coming = [k for m in members for k in near[m] if k > j]
+            heapq.heapify(coming)
+            last = j
+            while coming:
+                k = heapq.heappop(coming)
+                if k <= last or used[k] or detectors[k] in present:
+                    last = max(last, k)
+                    continue
+                last = k
+                members.append(k)
+                used[k] = True
+                present.add(detectors[k])
+                for n in near[k]:
+                    if n > k:
+                        heapq.heappush(coming, n)
         groups.append(members)
     return groups
 
@@ -90,17 +93,25 @@ def greedy_groups(boxes: np.ndarray, detectors: list[str], threshold: float) ->
 def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> DataFrame:
     """Regions (schemas.REGIONS) on which at least ``least`` boxes agree, greedily in order of (detector_rank, det_id).
 
-    The order matters, so each image is one group of Arrow batches: as many rows as its detections.
+    The overlaps come from ``overlap_pairs``, so no image is compared all with all. The order matters, so an image's
+    boxes and overlaps are one group of Arrow batches.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["detector_rank", "det_id"])
+    order = Window.partitionBy("image_id").orderBy("detector_rank", "det_id")
+    boxes = boxes.select("image_id", "det_id", "detector", "detector_rank", "x", "y", "w", "h", "conf").withColumn("seq", F.row_number().over(order) - 1)
+    pairs = overlap_pairs(boxes.select("image_id", F.col("seq").alias("det_id"), "detector", "x", "y", "w", "h"), threshold).select(F.col("image_id").alias("image"), "id_a", "id_b")
+
+    def run(f: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq")
+        near: list[list[int]] = [[] for _ in range(len(f))]
+        for a, b in zip(overlaps["id_a"].tolist(), overlaps["id_b"].tolist()):
+            near[a].append(b)
+            near[b].append(a)
         b = f[["x", "y", "w", "h"]].to_numpy(np.int64)
         conf = f["conf"].to_numpy(float)
         conf = np.where(conf > 1.0, conf / 100.0, conf)
         names = f["detector"].tolist()
         out = []
-        for members in greedy_groups(b, names, threshold):
+        for members in greedy_groups([sorted(x) for x in near], names):
             if len(members) >= least:
                 own = b[members]
                 x, y = own[:, 0].min(), own[:, 1].min()
@@ -109,4 +120,4 @@ def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> D
                 out.append((f["image_id"].iloc[0], len(out), x, y, w, h, 1 - np.prod(1 - c), [names[m] for m in members], len(members), c.tolist()))
         return pd.DataFrame(out, columns=["image_id", "region_id", "x", "y", "w", "h", "confidence", "detectors", "detector_count", "original_confidences"])
 
-    return boxes.select("image_id", "det_id", "detector", "detector_rank", "x", "y", "w", "h", "conf").groupBy("image_id").applyInPandas(run, schemas.REGIONS)
+    return boxes.groupBy("image_id").cogroup(pairs.groupBy("image")).applyInPandas(run, schemas.REGIONS)

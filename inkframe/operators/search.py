@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import color
-from inkframe.operators import colors, components, quantize, textlike
+from inkframe.operators import colors, components, morphology, quantize, textlike
 
-#: Clusters that the plain search forms; pixels a colour needs to be kept; numbers of clusters that the long one tries.
-CLUSTERS, LEAST, RANGE = 12, 4, range(2, 17)
+#: Clusters that the plain search forms; rounds of clustering at most, which ends when nothing moves; pixels a colour
+#: needs to be kept; numbers of clusters that the long search tries.
+CLUSTERS, ROUNDS, LEAST, RANGE = 12, 200, 4, range(2, 17)
 #: How close two detector scores count as equal, and the score that ends the search.
 CLOSE, ENOUGH = 0.01, 0.975
 #: By what share a likelihood of 1 raises a detector's score.
 BOOST = 0.5
 
 
-def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = 20, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = ROUNDS, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """(keys, b, g, r, n): the colours of each group's text cluster with LEAST pixels or more.
 
     The cluster is that whose centre is closest to ``target``, or without one that of the least channel
@@ -44,36 +45,60 @@ def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], Data
     ks = assigned.select("image_id", "k").distinct()
     pairs = assigned.select("image_id", "x", "y", F.col("k").alias("_own")).join(ks, "image_id")
     images = pairs.select("image_id", "k", "x", "y", F.when(F.col("_own") == F.col("k"), 0).otherwise(192).cast("int").alias("v"))
-    from inkframe.operators import morphology
-
     keys = ["image_id", "k"]
     mask = images.withColumn("v", F.when(F.col("v") == 0, 255).otherwise(0).cast("int"))
-    labels = components.label(morphology.open_erode_dilate(mask, keys, times=1), keys)
+    labels = components.label(morphology.open_erode_dilate(mask, keys), keys)
     found = components.plausible(components.features(labels, keys))
-    line = textlike.likelihood(found, keys).select(*keys, F.col("n").alias("n_components"), "likelihood")
+    shapes = components.convexity(labels.join(found.select(*keys, "label"), [*keys, "label"], "left_semi"), keys)
+    line = textlike.likelihood(found, keys, shapes).select(*keys, F.col("n").alias("n_components"), "likelihood")
     out = ks.join(confidence(images), keys, "left").join(line, keys, "left").na.fill(0, ["conf", "n_components", "likelihood"])
     # A likely line counts for more components, at most twice as many or ten more; an unlikely one for half.
     n = F.col("n_components")
-    weighed = F.when(F.col("likelihood") >= 0.7, F.least(n * 2, n + 10)).when(F.col("likelihood") >= 0.5, n).otherwise(F.greatest(F.lit(1), F.floor(n / 2)))
-    out = out.withColumn("n_components", weighed)
+    weighed = F.when(n < 2, n).when(F.col("likelihood") >= 0.7, F.least(n * 2, n + 10)).when(F.col("likelihood") >= 0.5, n).otherwise(F.greatest(F.lit(1), F.floor(n / 2)))
+    out = out.withColumn("n_components", weighed.cast("long"))
     return out.withColumn("combined", F.col("conf") * (1.0 + F.col("likelihood") * BOOST))
 
 
-def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame], numbers: range = RANGE, rounds: int = 20) -> DataFrame:
-    """(image_id, clusters, k, conf, n_components, likelihood, combined): the best cluster over all numbers of clusters.
+def best_of(scored: DataFrame) -> DataFrame:
+    """(image_id, clusters, k, conf, n_components, likelihood, combined, b, g, r) of the candidate that stands after all have been tried.
+
+    Candidates come by (clusters, k). One takes the lead by a higher combined score, or by more components at
+    a score closer than CLOSE; so the order matters, and the search is a fold over an image's few candidates.
+    Images where none scores over 0 or has components have no row.
+    """
+    columns = ["clusters", "k", "conf", "n_components", "likelihood", "combined", "b", "g", "r"]
+    rows = scored.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("all"))
+    none = {"conf": 0, "n_components": 0, "likelihood": 0, "combined": 0}
+    kinds = ", ".join(f"'{c}', CAST({none.get(c, 'NULL')} AS {scored.schema[c].dataType.simpleString()})" for c in columns)
+    better = lambda best, x: (x["combined"] > best["combined"]) | ((F.abs(x["combined"] - best["combined"]) < CLOSE) & (x["n_components"] > best["n_components"]))
+    lead = F.aggregate("all", F.expr(f"named_struct({kinds})"), lambda best, x: F.when(better(best, x), x).otherwise(best))
+    return rows.select("image_id", lead.alias("b")).where("b.k IS NOT NULL").select("image_id", "b.*")
+
+
+def darkest(pixels: DataFrame) -> DataFrame:
+    """(image_id, b, g, r) of each image's pixel of least mean, the first by row and column."""
+    order = F.struct((F.col("b") + F.col("g") + F.col("r")).alias("s"), "y", "x", "b", "g", "r")
+    return pixels.groupBy("image_id").agg(F.min(order).alias("m")).select("image_id", "m.b", "m.g", "m.r")
+
+
+def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame], numbers: range = RANGE, rounds: int = ROUNDS) -> DataFrame:
+    """(image_id, clusters, k, conf, n_components, likelihood, combined, b, g, r): the best cluster over all numbers of clusters.
 
-    Better is a higher combined score in steps of CLOSE, then more components, then fewer clusters. Images
-    whose detector score exceeds ENOUGH leave the search after that number; the rest go on.
+    b, g, r are the cluster's mean colour. Images whose detector score exceeds ENOUGH leave the search after that
+    number; the rest go on. An image without any candidate has its darkest pixel's colour and nulls.
     """
     counted = colors.distinct_colors(pixels)
     left, out = pixels.select("image_id").distinct(), None
     for n in numbers:
         own = counted.join(left, "image_id", "left_semi")
-        assigned = pixels.join(quantize.lloyd_by_group(own, n, rounds).select("image_id", "b", "g", "r", "k"), ["image_id", "b", "g", "r"])
-        scored = candidate_scores(assigned, confidence).withColumn("clusters", F.lit(n)).checkpoint()
+        clustered = quantize.lloyd_lab(own, n, rounds).checkpoint()
+        assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "k"), ["image_id", "b", "g", "r"])
+        means = quantize.centres_of(clustered).drop("n")
+        scored = candidate_scores(assigned, confidence).join(means, ["image_id", "k"]).withColumn("clusters", F.lit(n)).checkpoint()
         out = scored if out is None else out.unionByName(scored)
         left = left.join(scored.where(F.col("conf") > ENOUGH).select("image_id").distinct(), "image_id", "left_anti").checkpoint()
         if left.isEmpty():
             break
-    order = Window.partitionBy("image_id").orderBy(F.floor(F.col("combined") / CLOSE).desc(), F.col("n_components").desc(), "clusters", "k")
-    return out.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    best = best_of(out).checkpoint()
+    rest = darkest(pixels).join(best.select(F.col("image_id").alias("_i")), F.col("image_id") == F.col("_i"), "left_anti")
+    return best.unionByName(rest.select("image_id", *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in best.columns[1:-3]), *(F.col(c).cast("double").alias(c) for c in "bgr")))

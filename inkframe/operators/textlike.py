@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.operators import colors, filters, quantize
+
 #: Weights of line, size, spacing, convexity and count.
 WEIGHTS = (0.30, 0.25, 0.25, 0.15, 0.05)
 
@@ -84,13 +86,21 @@ def tile_density(pixels: DataFrame, size: int, keys: Sequence[str] = ("image_id"
 
     x and y count from the region's corner; what is left over at its right and bottom has no tile.
     """
-    group = Window.partitionBy(*keys)
-    rows = pixels.withColumns({"_nx": F.floor((F.max("x").over(group) + 1) / size), "_ny": F.floor((F.max("y").over(group) + 1) / size)})
+    ends = pixels.groupBy(*keys).agg(F.floor((F.max("x") + 1) / size).alias("_nx"), F.floor((F.max("y") + 1) / size).alias("_ny"))
+    rows = pixels.join(ends, list(keys))
     rows = rows.withColumns({"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)}).where("tx < _nx AND ty < _ny")
     shares = [F.avg((F.col("k") == c).cast("int")).alias(f"share_{c}") for c in range(clusters)]
     return rows.groupBy(*keys, "ty", "tx").agg(F.avg((F.col("edge") > 0).cast("int")).alias("edge_density"), *shares)
 
 
+def edgy_colors(pixels: DataFrame, size: int = 8, clusters: int = 4, rounds: int = 20, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, k, weight, rank, b, g, r) of the colour clusters that go with edges: k-means, edges, shares by tile, regression."""
+    assigned = quantize.lloyd_by_group(colors.distinct_colors(pixels, list(keys)), clusters, rounds, keys)
+    named = pixels.select(*keys, "x", "y", "b", "g", "r").join(assigned.select(*keys, "b", "g", "r", "k"), [*keys, "b", "g", "r"])
+    tiles = tile_density(filters.edges(pixels).join(named.select(*keys, "x", "y", "k"), [*keys, "x", "y"]), size, keys, clusters)
+    return edgy_clusters(tiles, clusters, keys).join(quantize.centres_of(assigned, keys).drop("n"), [*keys, "k"])
+
+
 def edgy_clusters(tiles: DataFrame, clusters: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """(keys, k, weight) of the clusters whose share raises edge density, heaviest first.
 

@@ -29,24 +29,29 @@ def region_pixels(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     return inside.select("image_id", "region_id", "x", "y", "b", "g", "r", geometry.holds(F.col("_d"), F.col("x"), F.col("y")).alias("in_doc"))
 
 
-def cluster_scores(assigned: DataFrame, keys: Sequence[str] = ("image_id", "region_id"), weight: Column | None = None) -> DataFrame:
-    """(keys, k, n_doc, n_corpus, tf, idf, score, norm) of each cluster of rows with ``k`` and ``in_doc``.
+def cluster_scores(assigned: DataFrame, keys: Sequence[str] = ("image_id", "region_id"), weight: Column | None = None, clusters: int = CLUSTERS) -> DataFrame:
+    """(keys, k, n_doc, n_corpus, tf, idf, score, norm) of each of the ``clusters`` clusters, by rows with ``k`` and ``in_doc``.
 
     score = n_doc / total_doc * ln(total_corpus / (n_corpus + 1)); norm is the score between the group's
-    least (0) and greatest (255), truncated; 128 where all are equal or there is no corpus.
+    least (0) and greatest (255), truncated; 128 where all are equal or there is no corpus. A cluster without
+    any pixel counts too, with score 0: it may be the least.
     """
     keys, n = list(keys), F.lit(1) if weight is None else weight
-    counts = assigned.groupBy(*keys, "k").agg(
+    counts = assigned.groupBy(*keys, F.col("k").cast("int").alias("k")).agg(
         F.sum(F.when(F.col("in_doc"), n).otherwise(0)).alias("n_doc"), F.sum(F.when(F.col("in_doc"), 0).otherwise(n)).alias("n_corpus")
     )
+    found = F.map_from_entries(F.collect_list(F.struct("k", F.struct("n_doc", "n_corpus"))))
+    groups = counts.groupBy(*keys).agg(found.alias("_m"), F.sum("n_doc").alias("_td"), F.sum("n_corpus").alias("_tc"))
+    counts = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(clusters - 1))))
+    none = F.lit(0).cast(groups.schema["_td"].dataType)
+    counts = counts.withColumns({c: F.coalesce(F.try_element_at("_m", F.col("k"))[c], none) for c in ("n_doc", "n_corpus")})
     group = Window.partitionBy(*keys)
-    counts = counts.withColumns({"_td": F.sum("n_doc").over(group), "_tc": F.sum("n_corpus").over(group)})
     tf = F.when(F.col("_td") > 0, F.col("n_doc") / F.col("_td")).otherwise(0.0)
     idf = F.when(F.col("_tc") > 0, F.ln(F.col("_tc") / (F.col("n_corpus") + 1)))
     rows = counts.withColumns({"tf": tf, "idf": idf}).withColumn("score", F.col("tf") * F.col("idf"))
     low, high = F.min("score").over(group), F.max("score").over(group)
     norm = F.when((F.col("_tc") > 0) & (high > low), F.floor((F.col("score") - low) / (high - low) * 255)).otherwise(128)
-    return rows.withColumn("norm", norm.cast("int")).drop("_td", "_tc")
+    return rows.withColumn("norm", norm.cast("int")).drop("_td", "_tc", "_m")
 
 
 def top_colors(scores: DataFrame, centres: DataFrame, most: int = 2, keys: Sequence[str] = ("image_id", "region_id")) -> DataFrame:
@@ -81,11 +86,10 @@ def _mask_of(f: pd.DataFrame, clusters: int, rounds: int, target: color.BGR | No
     k[order] = quantize.fit(points[order], n[order].astype(np.float64), clusters, rounds)
     own, doc = k[at], f["in_doc"].to_numpy(bool)
     n_doc, n_corpus = np.bincount(own[doc], minlength=clusters), np.bincount(own[~doc], minlength=clusters)
-    there = n_doc + n_corpus > 0
     norm = np.full(clusters, 128)
     if n_corpus.sum():
         score = n_doc / max(1, n_doc.sum()) * np.log(n_corpus.sum() / (n_corpus + 1))
-        low, high = score[there].min(), score[there].max()
+        low, high = score.min(), score.max()
         if high > low:
             norm = np.floor((score - low) / (high - low) * 255)
     text = norm >= THRESHOLD

@@ -217,30 +217,49 @@ _add(
     """SELECT image_id, det_id, 'box' AS kind, x, y, w, h, CASE detector WHEN 'east' THEN '#FF0000' WHEN 'doctr' THEN '#0000FF' ELSE '#00FF00' END AS outline, printf('%s %.1f%%', detector, conf * 100) AS label, x AS label_x,
     CASE WHEN y > 30 THEN y - 10 ELSE y + h + 20 END AS label_y FROM detections""",
 )
-_add("nms", "detections", lambda d: detections.suppress(d, 0.4, 0.3), None)
+_add(
+    "nms", "detections", lambda d: detections.suppress(d, 0.4, 0.3).select("image_id", "det_id", "conf"),
+    """, sized AS (SELECT image_id, det_id, conf, x, y, w + x AS w, h + y AS h, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS i FROM detections WHERE conf >= 0.3),
+    met AS (SELECT a.image_id, b.i, a.i AS j, CAST(greatest(0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y)) AS DOUBLE) AS inter, a.w*a.h + b.w*b.h AS sum FROM sized a JOIN sized b ON a.image_id = b.image_id AND a.i < b.i),
+    hits AS (SELECT image_id, i, list(j) AS js FROM met WHERE inter / (sum - inter) > 0.4 GROUP BY 1, 2),
+    sizes AS (SELECT image_id, max(i) AS n FROM sized GROUP BY 1),
+    walk(image_id, i, kept) AS (
+        SELECT image_id, 0::BIGINT, []::BIGINT[] FROM sizes UNION ALL
+        SELECT w.image_id, w.i + 1, CASE WHEN h.js IS NOT NULL AND list_has_any(h.js, w.kept) THEN w.kept ELSE list_append(w.kept, w.i + 1) END
+        FROM walk w JOIN sizes s ON s.image_id = w.image_id AND w.i < s.n LEFT JOIN hits h ON h.image_id = w.image_id AND h.i = w.i + 1)
+    SELECT d.image_id, det_id, conf FROM sized d JOIN sizes s ON s.image_id = d.image_id JOIN walk w ON w.image_id = d.image_id AND w.i = s.n WHERE list_contains(w.kept, d.i)""", recursive=True,
+)
 
 # --- quantisation and scores -----------------------------------------------------------------------------
-_K, _T = 4, 3
-
-
-def _lloyd_sql() -> str:
-    out = f""", colors AS (SELECT image_id, b, g, r, count(*) AS n FROM pixels GROUP BY image_id, b, g, r),
-    c0 AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, b, g, r) - 1 AS k, CAST(b AS DOUBLE) AS cb, CAST(g AS DOUBLE) AS cg, CAST(r AS DOUBLE) AS cr FROM colors
-           QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, b, g, r) <= {_K})"""
-    for t in range(_T + 1):
-        out += f""", a{t} AS (SELECT o.image_id, b, g, r, n, k FROM colors o JOIN c{t} c ON o.image_id = c.image_id
-            QUALIFY row_number() OVER (PARTITION BY o.image_id, b, g, r ORDER BY (b-cb)*(b-cb) + (g-cg)*(g-cg) + (r-cr)*(r-cr), k) = 1)"""
-        if t < _T:
-            out += f", c{t + 1} AS (SELECT image_id, k, sum(b*n)/sum(n) AS cb, sum(g*n)/sum(n) AS cg, sum(r*n)/sum(n) AS cr FROM a{t} GROUP BY image_id, k)"
+def _lloyd_sql(colors_: str, k: int, rounds: int, keys: str = "image_id", name: str = "") -> str:
+    """CTEs a{name}0 .. a{name}{rounds}: (keys, b, g, r, n, k) of ``colors_`` after so many updates."""
+    c, a, on = f"c{name}", f"a{name}", " AND ".join(f"o.{x.strip()} = c.{x.strip()}" for x in keys.split(","))
+    own = ", ".join(f"o.{x.strip()}" for x in keys.split(","))
+    out = f""", {c}0 AS MATERIALIZED (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, b, g, r) - 1 AS k, CAST(b AS DOUBLE) AS cb, CAST(g AS DOUBLE) AS cg, CAST(r AS DOUBLE) AS cr FROM {colors_}
+           QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, b, g, r) <= {k})"""
+    for t in range(rounds + 1):
+        out += f""", {a}{t} AS MATERIALIZED (SELECT {own}, b, g, r, n, min({{'d': (b-cb)*(b-cb) + (g-cg)*(g-cg) + (r-cr)*(r-cr), 'k': k}}).k AS k FROM {colors_} o JOIN {c}{t} c ON {on} GROUP BY {own}, b, g, r, n)"""
+        if t < rounds:
+            out += f", {c}{t + 1} AS MATERIALIZED (SELECT {keys}, k, sum(b*n)/sum(n) AS cb, sum(g*n)/sum(n) AS cg, sum(r*n)/sum(n) AS cr FROM {a}{t} GROUP BY {keys}, k)"
     return out
 
 
-_add(
-    "kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), _K, _T)),
-    _lloyd_sql() + f"SELECT image_id, CAST(k AS INT) AS k, sum(b*n)/sum(n) AS b, sum(g*n)/sum(n) AS g, sum(r*n)/sum(n) AS r, CAST(sum(n) AS BIGINT) AS n FROM a{_T} GROUP BY image_id, k",
-)
+_COLORS_SQL = ", colors AS MATERIALIZED (SELECT image_id, b, g, r, count(*) AS n FROM pixels GROUP BY image_id, b, g, r)"
+_CENTRES = "SELECT image_id, CAST(k AS INT) AS k, sum(b*n)/sum(n) AS b, sum(g*n)/sum(n) AS g, sum(r*n)/sum(n) AS r, CAST(sum(n) AS BIGINT) AS n FROM {} GROUP BY image_id, k"
+_add("kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), 4, 3)), _COLORS_SQL + _lloyd_sql("colors", 4, 3) + _CENTRES.format("a3"))
+_add("kmeans_rgb", "pixels", lambda d: quantize.centres_of(quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS)), _COLORS_SQL + _lloyd_sql("colors", tfidf.CLUSTERS, tfidf.ROUNDS) + _CENTRES.format(f"a{tfidf.ROUNDS}"))
 _add("find_text_colors", "pixels", search.find_text_colors, None)
-_add("kmeans_lab", "pixels", lambda d: quantize.centres_of(quantize.lloyd_lab(colors.distinct_colors(d), 12, 8)), None)
+
+
+def _searched(d: DataFrame) -> DataFrame:
+    """The long search with a stand-in for the detector: how evenly an image is split into black and gray."""
+    share = F.avg((F.col("v") == 0).cast("int"))
+    return search.exhaustive_search(d, lambda images: images.groupBy("image_id", "k").agg((4 * share * (1 - share)).alias("conf")), range(2, 5))
+
+
+_add("exhaustive_search", "pixels", _searched, None)
+_add("darkest_color", "pixels", search.darkest, "SELECT image_id, b, g, r FROM pixels QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b + g + r, y, x) = 1")
+_add("kmeans_lab", "pixels", lambda d: quantize.centres_of(quantize.lloyd_lab(colors.distinct_colors(d), search.CLUSTERS, search.ROUNDS)), None)
 
 
 def _near(d: DataFrame) -> DataFrame:
@@ -253,19 +272,28 @@ _NEAR_SQL = """, near AS (
         SELECT *, greatest(0, least(bx + bw//2 - nw//2, width - nw)) AS ex, greatest(0, least(by_ + bh//2 - nh//2, height - nh)) AS ey
         FROM (SELECT *, CAST(trunc(bw*1.414) AS BIGINT) AS nw, CAST(trunc(bh*1.414) AS BIGINT) AS nh FROM pixels))
     WHERE x >= ex AND x < ex + least(nw, width - ex) AND y >= ey AND y < ey + least(nh, height - ey)),
-counts AS (SELECT image_id, region_id, k, count(*) FILTER (WHERE in_doc) AS n_doc, count(*) FILTER (WHERE NOT in_doc) AS n_corpus FROM near GROUP BY ALL),
+counts AS (SELECT g.image_id, g.region_id, CAST(g.k AS INT) AS k, count(*) FILTER (WHERE in_doc) AS n_doc, count(*) FILTER (WHERE NOT in_doc) AS n_corpus
+    FROM (SELECT DISTINCT image_id, region_id, range AS k FROM near, range(64)) g LEFT JOIN near n ON g.image_id = n.image_id AND g.region_id = n.region_id AND g.k = n.k GROUP BY ALL),
 scored AS (SELECT *, n_doc / sum(n_doc) OVER (PARTITION BY image_id) AS tf, ln(sum(n_corpus) OVER (PARTITION BY image_id) / (n_corpus + 1)) AS idf FROM counts),
 scores AS (
     SELECT *, tf*idf AS score, CAST(CASE WHEN max(tf*idf) OVER w > min(tf*idf) OVER w THEN floor((tf*idf - min(tf*idf) OVER w) / (max(tf*idf) OVER w - min(tf*idf) OVER w) * 255) ELSE 128 END AS INT) AS norm
     FROM scored WINDOW w AS (PARTITION BY image_id))"""
+#: Cells of the fixed grid that stands in for clusters.
+GRID = 64
+
+
+def _scores(near: DataFrame) -> DataFrame:
+    return tfidf.cluster_scores(near, clusters=GRID)
+
+
 _SCORE_COLUMNS = "image_id, region_id, k, n_doc, n_corpus, tf, idf, score, norm"
-_add("tfidf_scores", "pixels", lambda d: tfidf.cluster_scores(_near(d)).select(*_SCORE_COLUMNS.split(", ")), _NEAR_SQL + f"SELECT {_SCORE_COLUMNS} FROM scores")
+_add("tfidf_scores", "pixels", lambda d: _scores(_near(d)).select(*_SCORE_COLUMNS.split(", ")), _NEAR_SQL + f"SELECT {_SCORE_COLUMNS} FROM scores")
 
 
 def _top(d: DataFrame) -> DataFrame:
     near = _near(d)
     centres = near.groupBy("image_id", "region_id", "k").agg(F.avg("b").alias("b"), F.avg("g").alias("g"), F.avg("r").alias("r"))
-    return tfidf.top_colors(tfidf.cluster_scores(near), centres)
+    return tfidf.top_colors(_scores(near), centres)
 
 
 _add(
@@ -283,7 +311,7 @@ def _map(d: DataFrame, target: color.BGR | None = None) -> DataFrame:
     if target is not None:
         centres = near.groupBy(*keys, "k").agg(F.avg("b").alias("b"), F.avg("g").alias("g"), F.avg("r").alias("r"))
         forced = quantize.nearest_cluster(centres, target, keys)
-    return tfidf.score_map(near, tfidf.cluster_scores(near), target=forced)
+    return tfidf.score_map(near, _scores(near), target=forced)
 
 
 _add("tfidf_mask", "pixels", _map, _NEAR_SQL + "SELECT n.image_id, n.region_id, x, y, norm, CASE WHEN norm >= 188 THEN 255 ELSE 0 END AS v FROM near n JOIN scores s USING (image_id, k) WHERE in_doc")
@@ -301,13 +329,12 @@ def tfidf_mask_size(d: DataFrame) -> DataFrame:
 
 
 _add("tfidf_mask_size", "pixels", tfidf_mask_size, _NEAR_SQL + "SELECT n.image_id, count(*) AS n_pixels, count(*) FILTER (WHERE norm >= 188) AS n_mask FROM near n JOIN scores s USING (image_id, k) WHERE in_doc GROUP BY n.image_id")
-_add("text_mask", "pixels", lambda d: tfidf.text_mask(d, _regions(d)), None)
-_add("score_histogram", "pixels", lambda d: report.score_histogram(tfidf.cluster_scores(_near(d))), _NEAR_SQL + """, s AS (SELECT min(score) AS lo, max(score) AS hi FROM scores),
+_add("score_histogram", "pixels", lambda d: report.score_histogram(_scores(_near(d))), _NEAR_SQL + """, s AS (SELECT min(score) AS lo, max(score) AS hi FROM scores),
     c AS (SELECT CAST(least(floor((score - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM scores, s GROUP BY 1), a AS (SELECT CAST(range AS INT) AS bin, coalesce(n, 0) AS n FROM range(20) LEFT JOIN c ON bin = range)
     SELECT bin, n, repeat('#', CAST(floor(n / greatest((SELECT max(n) FROM a), 1) * 50) AS INT)) AS bar FROM a""")
-_add("score_percentiles", "pixels", lambda d: report.score_percentiles(tfidf.cluster_scores(_near(d))), _NEAR_SQL + "SELECT range * 5.0 AS percent, (SELECT quantile_cont(score, list_transform(range(21), lambda i: i / 20)) FROM scores)[range + 1] AS value FROM range(21)")
-_add("score_moments", "pixels", lambda d: report.score_moments(tfidf.cluster_scores(_near(d))), _NEAR_SQL + "SELECT count(score) AS n, avg(score) AS mean, median(score) AS median, stddev_pop(score) AS std, min(score) AS low, max(score) AS high FROM scores")
-_add("threshold_sweep", "pixels", lambda d: report.threshold_sweep(tfidf.cluster_scores(_near(d))), _NEAR_SQL + "SELECT t AS threshold, avg(CASE WHEN norm >= t THEN 1 ELSE 0 END) * 100 AS percent FROM scores, (VALUES (64),(96),(128),(160),(188),(192),(224)) AS q(t) GROUP BY t")
+_add("score_percentiles", "pixels", lambda d: report.score_percentiles(_scores(_near(d))), _NEAR_SQL + "SELECT range * 5.0 AS percent, (SELECT quantile_cont(score, list_transform(range(21), lambda i: i / 20)) FROM scores)[range + 1] AS value FROM range(21)")
+_add("score_moments", "pixels", lambda d: report.score_moments(_scores(_near(d))), _NEAR_SQL + "SELECT count(score) AS n, avg(score) AS mean, median(score) AS median, stddev_pop(score) AS std, min(score) AS low, max(score) AS high FROM scores")
+_add("threshold_sweep", "pixels", lambda d: report.threshold_sweep(_scores(_near(d))), _NEAR_SQL + "SELECT t AS threshold, avg(CASE WHEN norm >= t THEN 1 ELSE 0 END) * 100 AS percent FROM scores, (VALUES (64),(96),(128),(160),(188),(192),(224)) AS q(t) GROUP BY t")
 
 # --- masks ----------------------------------------------------------------------------------------------
 _add(
@@ -317,31 +344,66 @@ _add(
 )
 
 
-def _grown_sql(source: str, offsets: str, lit: bool) -> str:
-    """Pixels of ``source`` after dilation (lit) or erosion (not lit) by ``offsets`` (dx, dy)."""
-    hit, value, other = ("v > 0", 255, 0) if lit else ("v = 0", 0, 255)
-    return f"""SELECT m.image_id, m.x, m.y, CASE WHEN h.x IS NULL THEN {other} ELSE {value} END AS v FROM {source} m
-        LEFT JOIN (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM {source}, {offsets} WHERE {hit}) h ON m.image_id = h.image_id AND m.x = h.x AND m.y = h.y"""
+def _rectangle_sql(source: str, x: int, y: int, grow: bool, keys: str = "image_id") -> str:
+    f = "max" if grow else "min"
+    rows = f"SELECT {keys}, x, y, {f}(v) OVER (PARTITION BY {keys}, y ORDER BY x RANGE BETWEEN {x} PRECEDING AND {x} FOLLOWING) AS v FROM {source}"
+    return f"SELECT {keys}, x, y, {f}(v) OVER (PARTITION BY {keys}, x ORDER BY y RANGE BETWEEN {y} PRECEDING AND {y} FOLLOWING) AS v FROM ({rows})"
 
 
-_RECT = "(SELECT a.range - 5 AS dx, b.range - 5 AS dy FROM range(11) a, range(11) b)"
-_add("morph_close", "pixels", lambda d: morphology.close(_mask(d)), f"{MASK_SQL}, grown AS ({_grown_sql('mask', _RECT, True)}) {_grown_sql('grown', _RECT, False)}")
-_add("morph_expand", "pixels", lambda d: morphology.expand(_mask(d), 2), f"{MASK_SQL} {_grown_sql('mask', '(SELECT a.range - 2 AS dx, b.range - 2 AS dy FROM range(5) a, range(5) b)', True)}")
-_HALF = morphology.half_widths(13)
-_ELLIPSE = "(SELECT * FROM (VALUES " + ",".join(f"({dx},{dy})" for dy in range(-6, 7) for dx in range(-_HALF[abs(dy)], _HALF[abs(dy)] + 1)) + ") AS e(dx, dy))"
-_add("morph_dilate_ellipse", "pixels", lambda d: morphology.ellipse(_mask(d), 13), f"{MASK_SQL} {_grown_sql('mask', _ELLIPSE, True)}")
+def _ellipse_sql(source: str, size: int, grow: bool, keys: str = "image_id") -> str:
+    """Each row of the ellipse by itself: its width along the rows, then the greatest (or least) of the rows above and below."""
+    f, pick = ("max", "greatest") if grow else ("min", "least")
+    half = morphology.half_widths(size)
+    rows = ", ".join(f"{f}(v) OVER (PARTITION BY {keys}, y ORDER BY x RANGE BETWEEN {w} PRECEDING AND {w} FOLLOWING) AS w{k}" for k, w in enumerate(half))
+    at = lambda k, side: f"{f}(w{k}) OVER (PARTITION BY {keys}, x ORDER BY y RANGE BETWEEN {k} {side} AND {k} {side})"
+    own = ["w0", *(f"coalesce({at(k, side)}, w0)" for k in range(1, len(half)) for side in ("PRECEDING", "FOLLOWING"))]
+    return f"SELECT {keys}, x, y, {pick}({', '.join(own)}) AS v FROM (SELECT *, {rows} FROM {source})"
 
 
-def _blur_sql(source: str) -> str:
+def _blur_sql(source: str, keys: str = "image_id") -> str:
     kernel = "(VALUES " + ",".join(f"({k - 4}, {w!r}::DOUBLE)" for k, w in enumerate(morphology.weights(9))) + ") AS q(d, f)"
-    mirror = lambda c, n: f"CASE WHEN {c}+d < 0 THEN -({c}+d) WHEN {c}+d > {n} THEN 2*{n}-({c}+d) ELSE {c}+d END"
-    return f"""h AS (SELECT p.image_id, p.x, p.y, sum(f * m.v) AS s FROM (SELECT *, {mirror("x", 63)} AS mx FROM {source}, {kernel}) p JOIN {source} m ON m.image_id = p.image_id AND m.y = p.y AND m.x = mx GROUP BY 1, 2, 3),
-    v AS (SELECT p.image_id, p.x, p.y, sum(f * m.s) AS s FROM (SELECT *, {mirror("y", 47)} AS my FROM h, {kernel}) p JOIN h m ON m.image_id = p.image_id AND m.x = p.x AND m.y = my GROUP BY 1, 2, 3)
-    SELECT image_id, x, y, CASE WHEN round(s, 6) >= 127.5 THEN 255 ELSE 0 END AS v FROM v"""
+    mirror = lambda c: f"greatest(lo, least(hi, CASE WHEN {c}+d < lo THEN 2*lo-({c}+d) WHEN {c}+d > hi THEN 2*hi-({c}+d) ELSE {c}+d END))"
+    same = " AND ".join(f"m.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    wide = lambda name, c, other: f"(SELECT *, {mirror(c)} AS at FROM (SELECT *, min({c}) OVER (PARTITION BY {keys}, {other}) AS lo, max({c}) OVER (PARTITION BY {keys}, {other}) AS hi FROM {name}), {kernel})"
+    return f"""h AS (SELECT {own}, p.x, p.y, sum(f * m.v) AS s FROM {wide(source, "x", "y")} p JOIN {source} m ON {same} AND m.y = p.y AND m.x = p.at GROUP BY ALL),
+    b AS (SELECT {own}, p.x, p.y, sum(f * m.s) AS s FROM {wide("h", "y", "x")} p JOIN h m ON {same} AND m.x = p.x AND m.y = p.at GROUP BY ALL)
+    SELECT {keys}, x, y, CASE WHEN round(s, 6) >= 127.5 THEN 255 ELSE 0 END AS v FROM b"""
+
 
+def _clean_sql(source: str, keys: str = "image_id") -> str:
+    """CTEs and SELECT of ``source`` closed by a rectangle of 11, grown by an ellipse of 13 and smoothed."""
+    return f"grown AS ({_rectangle_sql(source, 5, 5, True, keys)}), closed AS ({_rectangle_sql('grown', 5, 5, False, keys)}), fat AS MATERIALIZED ({_ellipse_sql('closed', 13, True, keys)}), {_blur_sql('fat', keys)}"
 
+
+_add("morph_close", "pixels", lambda d: morphology.close(_mask(d)), f"{MASK_SQL}, grown AS ({_rectangle_sql('mask', 5, 5, True)}) {_rectangle_sql('grown', 5, 5, False)}")
+_add("morph_expand", "pixels", lambda d: morphology.expand(_mask(d), 2), f"{MASK_SQL} {_rectangle_sql('mask', 2, 2, True)}")
+_add("morph_dilate_ellipse", "pixels", lambda d: morphology.ellipse(_mask(d), 13), f"{MASK_SQL} {_ellipse_sql('mask', 13, True)}")
 _add("morph_smooth", "pixels", lambda d: morphology.smooth(_mask(d), 9), f"{MASK_SQL}, {_blur_sql('mask')}")
-_add("morph_open_erode_dilate", "pixels", lambda d: morphology.open_erode_dilate(morphology.expand(_mask(d), 3)), None)
+_add("morph_clean", "pixels", lambda d: morphology.clean(_mask(d)), f"{MASK_SQL}, {_clean_sql('mask')}")
+
+
+def _opened_sql() -> str:
+    out, last = f"{MASK_SQL}, m0 AS ({_rectangle_sql('mask', 3, 3, True)})", "m0"
+    for t in range(3):
+        for k, (size, grow) in enumerate(((5, False), (5, True), (3, False), (2, True))):
+            out += f", m{t}{k} AS MATERIALIZED ({_ellipse_sql(last, size, grow)})"
+            last = f"m{t}{k}"
+    return out + f" SELECT * FROM {last}"
+
+
+_add("morph_open_erode_dilate", "pixels", lambda d: morphology.open_erode_dilate(morphology.expand(_mask(d), 3)), _opened_sql())
+_PAIR = "image_id, region_id"
+_TEXT_SQL = (
+    _NEAR_SQL[: _NEAR_SQL.index("counts AS")].replace("near AS (", "around AS MATERIALIZED (").rstrip().rstrip(",")
+    + f", colors AS MATERIALIZED (SELECT {_PAIR}, b, g, r, count(*) AS n FROM around GROUP BY ALL)"
+    + _lloyd_sql("colors", tfidf.CLUSTERS, tfidf.ROUNDS, _PAIR)
+    + f", near AS MATERIALIZED (SELECT w.* EXCLUDE (k), a.k FROM around w JOIN a{tfidf.ROUNDS} a USING ({_PAIR}, b, g, r)), "
+    + _NEAR_SQL[_NEAR_SQL.index("counts AS"):].replace("range(64)", f"range({tfidf.CLUSTERS})")
+    + ", raw AS MATERIALIZED (SELECT n.image_id, n.region_id, x, y, CASE WHEN norm >= 188 THEN 255 ELSE 0 END AS v FROM near n JOIN scores s USING (image_id, region_id, k) WHERE in_doc)"
+)
+_add("text_mask_raw", "pixels", lambda d: tfidf.text_mask(d, _regions(d), clean=False), _TEXT_SQL + "SELECT * FROM raw")
+_add("text_mask", "pixels", lambda d: tfidf.text_mask(d, _regions(d)), _TEXT_SQL + ", " + _clean_sql("raw", _PAIR))
 _add(
     "inpaint_subregion", "pixels", lambda d: inpaint.subregion(_mask(d), _regions(d), context=8),
     """, m AS (SELECT image_id, width, height, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pixels WHERE is_text GROUP BY ALL)
@@ -387,7 +449,7 @@ _add(
     "tile_density", "pixels", lambda d: textlike.tile_density(d.withColumn("edge", F.when(F.col("is_text"), 255).otherwise(0)).withColumn("k", (F.col("b") % 2).cast("int")), 10, clusters=2),
     """SELECT image_id, y//10 AS ty, x//10 AS tx, avg(CASE WHEN is_text THEN 1 ELSE 0 END) AS edge_density, avg(CASE WHEN b % 2 = 0 THEN 1 ELSE 0 END) AS share_0, avg(CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END) AS share_1 FROM pixels WHERE x < 60 AND y < 40 GROUP BY 1, 2, 3""",
 )
-_add("edgy_colors", "pixels", lambda d: textlike.edgy_clusters(textlike.tile_density(filters.edges(d).join(d.select("image_id", "x", "y", (F.col("b") / 64).cast("int").alias("k")), ["image_id", "x", "y"]), 8, clusters=4), 4), None)
+_add("edgy_colors", "pixels", textlike.edgy_colors, None)
 _add("prepare_images", "pixels", filters.prepare, None)
 
 # --- reports and plans -----------------------------------------------------------------------------------

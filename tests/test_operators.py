@@ -300,7 +300,7 @@ def test_text_mask_equals_the_table_version(spark, target):
     k = quantize.lloyd(colors.distinct_colors(near, keys), 6, 4, keys)
     own = near.join(k.drop("n"), [*keys, "b", "g", "r"])
     forced = quantize.nearest_cluster(quantize.centres_of(k, keys), target, keys) if target else None
-    want = tfidf.score_map(own, tfidf.cluster_scores(own, keys), keys, target=forced)
+    want = tfidf.score_map(own, tfidf.cluster_scores(own, keys, clusters=6), keys, target=forced)
     get = lambda d: sorted((a.image_id, a.region_id, a.x, a.y, a.v) for a in d.collect())
     got = get(tfidf.text_mask(p, regions, 6, 4, target, clean=False))
     assert got == [a for a in get(want) if (a[0], a[1]) != (2, 2) or near.where("image_id = 2 AND region_id = 2").count() >= 6] and any(a[4] for a in got)
@@ -311,3 +311,75 @@ def test_every_css_colour_has_its_name(spark):
     assert all(color.NAMES[k] == color.NAMES[k.replace("grey", "gray")] for k in color.NAMES)
     got = spark.range(1).select(color.named(F.lit("LightSlateGrey")).alias("c")).first().c
     assert (got.b, got.g, got.r) == (0x99, 0x88, 0x77)
+
+
+def test_clusters_without_pixels_count_with_score_zero(spark):
+    rows = [(1, 1, 0, True)] * 6 + [(1, 1, 1, True)] * 4 + [(1, 1, 0, False)] + [(1, 1, 1, False)] * 3 + [(1, 1, 1, False)] * 4
+    d = spark.createDataFrame(rows, "image_id long, region_id int, k int, in_doc boolean")
+    got = {r.k: (r.n_doc, r.n_corpus, r.norm) for r in tfidf.cluster_scores(d, clusters=3).collect()}
+    assert got[2][:2] == (0, 0) and got[0][2] == 255
+    high, low = 0.6 * math.log(8 / 2), 0.4 * math.log(8 / 8)
+    assert got[2][2] == 0 and got[1][2] == int((low - min(low, 0)) / (high - min(low, 0)) * 255)
+
+
+def plain_groups(boxes, names, threshold):
+    """Seeds in order; for each box that a seed takes, later boxes of new detectors that meet any member."""
+
+    def meet(a, b):
+        w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+        h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+        small = min(a[2] * a[3], b[2] * b[3])
+        return w > 0 and h > 0 and small > 0 and w * h / small >= threshold
+
+    used, out = set(), []
+    for s in range(len(boxes)):
+        if s in used:
+            continue
+        own = [s]
+        used.add(s)
+        for j in range(s + 1, len(boxes)):
+            if j in used or names[j] == names[s] or not meet(boxes[s], boxes[j]):
+                continue
+            own.append(j)
+            used.add(j)
+            for k in range(j + 1, len(boxes)):
+                if k not in used and names[k] not in {names[m] for m in own} and any(meet(boxes[m], boxes[k]) for m in own):
+                    own.append(k)
+                    used.add(k)
+        out.append(own)
+    return out
+
+
+def test_consensus_by_neighbours_equals_all_pairs(spark):
+    r = random.Random(2)
+    rows, want = [], []
+    for i in range(25):
+        boxes = [(r.randrange(300), r.randrange(200), r.randrange(5, 140), r.randrange(5, 90)) for _ in range(r.randrange(1, 40))]
+        rank = sorted(r.randrange(3) for _ in boxes)
+        names = [detections.DETECTORS[k] for k in rank]
+        rows += [(i, r.choice([n, n]), names[n], rank[n], *b, r.random()) for n, b in enumerate(boxes)]
+        for own in plain_groups(boxes, names, 0.1):
+            if len(own) >= 2:
+                want.append((i, min(boxes[m][0] for m in own), min(boxes[m][1] for m in own), [names[m] for m in own]))
+    d = spark.createDataFrame(rows, "image_id long, det_id long, detector string, detector_rank int, x long, y long, w long, h long, conf double").repartition(3)
+    got = [(x.image_id, x.x, x.y, x.detectors) for x in consensus.consensus(d).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_search_folds_candidates_in_order(spark):
+    rows = [(1, 2, 0, 0.5, 3), (1, 2, 1, 0.505, 2), (1, 3, 0, 0.502, 9), (1, 3, 1, 0.49, 50), (1, 3, 2, 0.4951, 60), (2, 2, 0, 0.0, 0), (3, 2, 0, 0.0, 4)]
+    d = spark.createDataFrame([(i, n, k, c, m, 0.0, c, 1.0, 2.0, 3.0) for i, n, k, c, m in rows], "image_id long, clusters int, k int, conf double, n_components long, likelihood double, combined double, b double, g double, r double")
+    got = {x.image_id: (x.clusters, x.k) for x in search.best_of(d).collect()}
+    best, want = {}, {}
+    for i, n, k, c, m in rows:
+        lead = best.get(i, (0.0, 0))
+        if c > lead[0] or abs(c - lead[0]) < 0.01 and m > lead[1]:
+            best[i], want[i] = (c, m), (n, k)
+    assert got == want and 2 not in got
+
+
+def test_search_falls_back_to_the_darkest_pixel(spark):
+    p = spark.createDataFrame([(1, x, y, 50 + x + y, 60, 70) for x in range(12) for y in range(12)], "image_id long, x long, y long, b long, g long, r long")
+    got = search.exhaustive_search(p, lambda t: t.groupBy("image_id", "k").agg(F.lit(0.0).alias("conf")), range(2, 3), 5).collect()
+    assert [(x.clusters, x.b, x.g, x.r) for x in got if x.clusters is None] in ([], [(None, 50.0, 60.0, 70.0)]) and len(got) == 1
+    assert [tuple(x) for x in search.darkest(p).collect()] == [(1, 50, 60, 70)]
