@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import color
 from inkframe.operators import colors, components, morphology, quantize, textlike
+from inkframe.sources.stored import stored
 
 #: Clusters that the plain search forms; rounds of clustering at most, which ends when nothing moves; pixels a colour
 #: needs to be kept; numbers of clusters that the long search tries.
@@ -91,14 +92,14 @@ def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataF
     left, out = pixels.select("image_id").distinct(), None
     for n in numbers:
         own = counted.join(left, "image_id", "left_semi")
-        clustered = quantize.lloyd_lab(own, n, rounds).checkpoint()
+        clustered = stored(quantize.lloyd_lab(own, n, rounds))
         assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "k"), ["image_id", "b", "g", "r"])
         means = quantize.centres_of(clustered).drop("n")
-        scored = candidate_scores(assigned, confidence).join(means, ["image_id", "k"]).withColumn("clusters", F.lit(n)).checkpoint()
+        scored = stored(candidate_scores(assigned, confidence).join(means, ["image_id", "k"]).withColumn("clusters", F.lit(n)))
         out = scored if out is None else out.unionByName(scored)
-        left = left.join(scored.where(F.col("conf") > ENOUGH).select("image_id").distinct(), "image_id", "left_anti").checkpoint()
+        left = stored(left.join(scored.where(F.col("conf") > ENOUGH).select("image_id").distinct(), "image_id", "left_anti"))
         if left.isEmpty():
             break
-    best = best_of(out).checkpoint()
+    best = best_of(out)
     rest = darkest(pixels).join(best.select(F.col("image_id").alias("_i")), F.col("image_id") == F.col("_i"), "left_anti")
     return best.unionByName(rest.select("image_id", *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in best.columns[1:-3]), *(F.col(c).cast("double").alias(c) for c in "bgr")))
