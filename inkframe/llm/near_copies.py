@@ -183,17 +183,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lin
 
     Rows with equal sets of shingles (``own``, their digest) are one node, named by 64 bits of a hash; ``class``
     is the smallest node reachable. ``link`` gives edges (a, b) between the rows of a table (fp, rep) of distinct
-    fingerprints. Its edges, and each band's members with its smallest node, are measured first, which joins
-    groups of near copies at a cost in proportion to their size. Members of bands that are still apart are then
-    compared by ``prefix_pairs``. So every pair of LEAST or more that shares a band is linked, and none below it.
+    fingerprints. Its edges, and each band's members with the one that meets most others in all its bands, which
+    is what the others vary, are measured first; that joins groups of near copies at a cost in proportion to
+    their size. Members of bands that are still apart are then compared by ``prefix_pairs``. So every pair of LEAST or more that shares a band is linked, and none below it.
     """
     rows = written(sketches(docs, id_col, text_col), "near-sketches")
     nodes = written(rows.groupBy("own").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("own")), "near-nodes")
     known = nodes.where("rep IS NOT NULL")
     keys = written(known.select("node", F.explode("bands").alias("band")), "near-bands")
-    groups = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "near-groups")
-    members = written(join_hot(keys, groups, "band", "n").drop("n"), "near-members")
-    proposed = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    groups = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-groups")
+    members = written(join_hot(keys, groups, "band", "n"), "near-members")
+    meets = members.groupBy("node").agg(F.sum("n").alias("met"))
+    middle = members.join(meets, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("first"), F.count(F.lit(1)).alias("n"))
+    members = members.select("band", "node")
+    proposed = join_hot(members, written(middle, "near-middles"), "band", "n").where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
     if link is not None:
         prints = written(known.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "near-prints")
         equal = join_hot(known.select("fp", "node"), prints, "fp", "n").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
