@@ -61,6 +61,15 @@ def enhance(pixels: DataFrame, target: color.BGR, tolerance: int, compat: str =
     return pixels.select("image_id", "x", "y", *color.blackened(hit), hit.cast("int").alias("hit"))
 
 
+def ocr_image(pixels: DataFrame, box: tuple[int, int, int, int], target: color.BGR, tolerance: int = 2) -> DataFrame:
+    """(image_id, x, y, b, g, r) of images for a reader of text: within ``box`` the pixels near ``target`` black, all else white."""
+    x, y, w, h = box
+    low, high = [max(0, c - tolerance) for c in target], [min(255, c + tolerance) for c in target]
+    hit = color.in_range([F.col(c) for c in "bgr"], low, high) & F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1)
+    v = F.when(hit, 0).otherwise(255).cast("long")
+    return pixels.select("image_id", "x", "y", *(v.alias(c) for c in "bgr"))
+
+
 def affected_percent(enhanced: DataFrame) -> DataFrame:
     return enhanced.groupBy("image_id").agg(F.sum("hit").alias("n_hit"), (F.avg("hit") * 100).alias("percent"))
 

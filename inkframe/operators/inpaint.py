@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
+from inkframe.operators import models
 
 #: Pixels of context around a mask.
 CONTEXT = 64
@@ -105,13 +107,15 @@ def _fill(image: np.ndarray, hole: np.ndarray, radius: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.int64)
 
 
-def telea(pixels: DataFrame, mask: DataFrame, radius: int = 3, over: int = 0) -> DataFrame:
-    """(image_id, x, y, b, g, r): pixels whose mask exceeds ``over`` filled from around them; others as they are.
+def _part(hole: np.ndarray, context: int | None) -> tuple[slice, slice]:
+    """The box of the lit pixels with ``context`` pixels around it, within the image; all of it without a context."""
+    if context is None:
+        return slice(None), slice(None)
+    y, x = np.nonzero(hole)
+    return tuple(slice(max(0, int(c.min()) - context), min(n, int(c.max()) + 1 + context)) for c, n in ((y, hole.shape[0]), (x, hole.shape[1])))
 
-    One group is one image: the marching front is sequential. Images without such pixels pass through.
-    """
-    if radius <= 0:
-        raise ValueError("the radius is positive")
+
+def _by_image(pixels: DataFrame, mask: DataFrame, over: int, fill: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     rows = pixels.select("image_id", "x", "y", "b", "g", "r").join(mask.select("image_id", "x", "y", "v"), ["image_id", "x", "y"], "left")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -121,8 +125,61 @@ def telea(pixels: DataFrame, mask: DataFrame, radius: int = 3, over: int = 0) ->
         hole[y, x] = (f["v"].fillna(0) > over).to_numpy()
         image = np.zeros((*hole.shape, 3), np.int64)
         image[y, x] = f[["b", "g", "r"]].to_numpy()
-        if hole.any() and not hole.all():
-            image = _fill(image, hole, radius)
+        if hole.any():
+            image = fill(image, hole)
         return f.drop(columns="v").assign(**{c: image[y, x, k] for k, c in enumerate("bgr")})
 
     return rows.groupBy("image_id").applyInPandas(run, "image_id bigint, x bigint, y bigint, b bigint, g bigint, r bigint")
+
+
+def telea(pixels: DataFrame, mask: DataFrame, radius: int = 3, over: int = 0, context: int | None = None) -> DataFrame:
+    """(image_id, x, y, b, g, r): pixels whose mask exceeds ``over`` filled from around them; others as they are.
+
+    One group is one image: the marching front is sequential. With ``context`` only the mask's box and so many
+    pixels around it are filled and put back. Images without such pixels pass through.
+    """
+    if radius <= 0:
+        raise ValueError("the radius is positive")
+
+    def fill(image: np.ndarray, hole: np.ndarray) -> np.ndarray:
+        part = _part(hole, context)
+        if not hole[part].all():
+            image[part] = _fill(image[part], hole[part], radius)
+        return image
+
+    return _by_image(pixels, mask, over, fill)
+
+
+def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """``a`` (H x W x channels) at another size, each new pixel the mean of the area that it covers."""
+
+    def shares(n: int, m: int) -> np.ndarray:
+        edge, own = np.arange(m + 1) * (n / m), np.arange(n)
+        cover = np.minimum(edge[1:, None], own + 1) - np.maximum(edge[:-1, None], own)
+        cover = np.clip(cover, 0, None)
+        return cover / cover.sum(axis=1, keepdims=True)
+
+    return np.einsum("yi,ijc,xj->yxc", shares(a.shape[0], height), a.astype(float), shares(a.shape[1], width))
+
+
+def fill_by_model(pixels: DataFrame, mask: DataFrame, name: str, load: Callable[[], Callable], over: int = 127, context: int | None = CONTEXT) -> DataFrame:
+    """``pixels`` with the masked ones as a model paints them.
+
+    The model takes (height x width x 3 in r, g, b; height x width of 0 and 255) and returns an image; it is loaded once
+    a worker and, when it fails, once more. It gets the mask's box with ``context`` pixels around it (None: the
+    whole image); its answer is brought to that size and put back there.
+    """
+
+    def fill(image: np.ndarray, hole: np.ndarray) -> np.ndarray:
+        part = _part(hole, context)
+        given, lit = np.ascontiguousarray(image[part][:, :, ::-1]).astype(np.uint8), np.where(hole[part], 255, 0).astype(np.uint8)
+        found = np.asarray(models.retried(name, load, lambda model: model(given, lit)))
+        if found.ndim != 3 or found.shape[2] < 3:
+            raise ValueError("the model's answer is no colour image")
+        found = found[:, :, :3]
+        if found.shape[:2] != lit.shape:
+            found = np.rint(resized(found, *lit.shape))
+        image[part] = np.clip(found, 0, 255).astype(np.int64)[:, :, ::-1]
+        return image
+
+    return _by_image(pixels, mask, over, fill)

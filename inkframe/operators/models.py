@@ -21,7 +21,57 @@ class Detector(Protocol):
     def __call__(self, image: np.ndarray) -> list[tuple[int, int, int, int, float]]: ...
 
 
-_loaded: dict[str, Detector] = {}
+_loaded: dict[str, object] = {}
+
+
+def pick_device(wanted: str = "cuda") -> str:
+    """``wanted``, or cpu where that isn't to be had here."""
+    if wanted != "cuda":
+        return "cpu"
+    try:
+        import torch
+
+        return "cuda" if torch.cuda.is_available() else "cpu"
+    except ImportError:
+        return "cpu"
+
+
+def instance(name: str, load: Callable[[], object]) -> object:
+    """The model ``name`` of this process, loaded at its first use."""
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def reset(name: str | None = None) -> None:
+    """Forgets the model ``name`` of this process, or all of them."""
+    _loaded.clear() if name is None else _loaded.pop(name, None)
+
+
+def status(name: str, probe: Callable[[object], object] | None = None) -> dict[str, bool]:
+    """Whether the model ``name`` is loaded in this process, and whether ``probe`` runs on it."""
+    model = _loaded.get(name)
+    healthy = model is not None
+    if healthy and probe is not None:
+        try:
+            probe(model)
+        except Exception:  # whatever ails the model
+            healthy = False
+    return {"loaded": model is not None, "healthy": healthy}
+
+
+def retried(name: str, load: Callable[[], object], call: Callable[[object], object], again: bool = True) -> object:
+    """``call`` on the model ``name``; when that fails, once more on a newly loaded one."""
+    try:
+        return call(instance(name, load))
+    except Exception as first:
+        if not again:
+            raise
+        reset(name)
+        try:
+            return call(instance(name, load))
+        except Exception as second:
+            raise RuntimeError(f"{name} failed twice: {first}; {second}") from second
 
 
 def detect(images: DataFrame, name: str, load: Callable[[], Detector]) -> DataFrame:
@@ -33,9 +83,7 @@ def detect(images: DataFrame, name: str, load: Callable[[], Detector]) -> DataFr
     rank = detections.DETECTORS.index(name)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _loaded:
-            _loaded[name] = load()
-        model = _loaded[name]
+        model = instance(name, load)
         for f in frames:
             out = []
             for r in f.itertuples():

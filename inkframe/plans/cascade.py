@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import color
 from inkframe.functions import geometry as geo
-from inkframe.operators import colors, consensus, filters, inpaint, tfidf
+from inkframe.operators import colors, consensus, filters, inpaint, models, tfidf
+from inkframe.sources import images as files
+from inkframe.sources.stored import stored
 
 #: The ways of finding regions, in the order in which they are tried.
 ORDER = ("target_color", "none", "rotation", "gray_enhancement", "white_enhancement", "watermark")
@@ -78,7 +80,41 @@ def regions_of(images: DataFrame, detections: DataFrame, rotated: DataFrame | No
     return first_found(images, branches)
 
 
-def masks_of(pixels: DataFrame, images: DataFrame, regions: DataFrame, target=None, clusters: int = tfidf.CLUSTERS, rounds: int = 8) -> DataFrame:
+#: Colours that detection is tried on again with, gray and white, and how far pixels may be off them.
+GRAY, WHITE, SENSITIVITY = (128, 128, 128), (255, 255, 255), 3
+
+
+def detected_regions(images: DataFrame, detectors: dict[str, Callable[[], models.Detector]], threshold: float = 0.3, target: color.BGR | None = None, sensitivity: int = SENSITIVITY, compat: str = "wrap") -> DataFrame:
+    """(image_id, x, y, w, h, failover_type) of ``images`` (image_id, width, height, channels, data), with detectors as plug-ins.
+
+    Tried in turn: pixels of the ``target`` colour turned black, if one is given; the prepared image; the image
+    turned by 90 degrees; gray and then white pixels turned black; at last the usual places. Each way sees only
+    the images on which those before found nothing, and its regions are stored, so no detector runs twice.
+    """
+    sizes = images.select("image_id", F.col("width").cast("long"), F.col("height").cast("long"))
+
+    def pixels(left: DataFrame) -> DataFrame:
+        return files.to_pixels(images.join(left.select("image_id"), "image_id", "left_semi"))
+
+    def agreed(prepared: DataFrame) -> DataFrame:
+        return consensus.consensus(models.detect_all(files.from_pixels(prepared), detectors, threshold)[0])
+
+    def turned(left: DataFrame) -> DataFrame:
+        x, y = geo.rotate_point(F.col("x"), F.col("y"), F.col("height"))
+        rows = pixels(left).join(left.select("image_id", "height"), "image_id").select("image_id", x.alias("x"), y.alias("y"), "b", "g", "r")
+        found = padded(agreed(filters.prepare(rows)), left.select("image_id", F.col("height").alias("width"), F.col("width").alias("height"))).select("image_id", "x", "y", "w", "h")
+        return found.join(left.select("image_id", "height"), "image_id").withColumn("_u", geo.unrotate(geo.box(), F.col("height"))).select("image_id", "_u.*")
+
+    def coloured(one: color.BGR) -> Callable[[DataFrame], DataFrame]:
+        return lambda left: padded(agreed(enhanced_pixels(pixels(left), one, sensitivity, compat)), left)
+
+    ways = [("none", lambda left: padded(agreed(filters.prepare(pixels(left))), left)), ("rotation", turned), ("gray_enhancement", coloured(GRAY)), ("white_enhancement", coloured(WHITE)), ("watermark", baselines)]
+    if target is not None:
+        ways.insert(0, ("target_color", coloured(target)))
+    return staged(sizes, ways, stored)
+
+
+def masks_of(pixels: DataFrame, images: DataFrame, regions: DataFrame, target=None, clusters: int = tfidf.CLUSTERS, rounds: int = tfidf.ROUNDS) -> DataFrame:
     """(image_id, x, y, v): the union of the text masks of each image's regions."""
     from pyspark.sql import Window
 

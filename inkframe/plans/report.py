@@ -13,8 +13,13 @@ FAILOVERS = {"none": "", "rotation": "R", "target_color": "T", "gray_enhancement
 SWEEP = (64, 96, 128, 160, 192, 224)
 
 
-def timing_stats(timings: DataFrame, stages: Sequence[str] = ("detection_time", "color_time", "inpaint_time")) -> DataFrame:
-    """(stage, n, median, mean) over the values that are there; zeros where none is."""
+#: The columns of times that an image may have.
+STAGES = ("load_time", "detection_time", "color_time", "mask_time", "inpaint_time", "total_time")
+
+
+def timing_stats(timings: DataFrame, stages: Sequence[str] | None = None) -> DataFrame:
+    """(stage, n, median, mean) over the values that are there, of all STAGES that the table has; zeros where none is."""
+    stages = [s for s in STAGES if s in timings.columns] if stages is None else stages
     pairs = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("t")) for s in stages))
     rows = timings.select(F.explode(pairs).alias("p")).select("p.*")
     out = rows.groupBy("stage").agg(F.count("t").alias("n"), F.coalesce(F.median("t"), F.lit(0.0)).alias("median"), F.coalesce(F.avg("t"), F.lit(0.0)).alias("mean"))

@@ -27,9 +27,9 @@ def is_image(path: Column) -> Column:
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of the image files of a folder (not below it), or of one file, by path."""
+    """(path, length) of the image files of a folder (not below it), or of one file; in no order, which is a matter of the sink."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    return files.where(is_image(F.col("path"))).orderBy("path")
+    return files.where(is_image(F.col("path")))
 
 
 def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +60,18 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "channels", "data").mapInPandas(run, "image_id bigint, x bigint, y bigint, b bigint, g bigint, r bigint")
 
 
+def from_pixels(pixels: DataFrame) -> DataFrame:
+    """(image_id, width, height, channels, data) of pixels b, g, r, one group an image: what ``to_pixels`` came from."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, y = f["x"].to_numpy(), f["y"].to_numpy()
+        image = np.zeros((y.max() + 1, x.max() + 1, 3), np.uint8)
+        image[y, x] = f[["b", "g", "r"]].to_numpy()
+        return pd.DataFrame({"image_id": [f["image_id"].iloc[0]], "width": [image.shape[1]], "height": [image.shape[0]], "channels": [3], "data": [image.tobytes()]})
+
+    return pixels.select("image_id", "x", "y", "b", "g", "r").groupBy("image_id").applyInPandas(run, "image_id bigint, width int, height int, channels int, data binary")
+
+
 def read_masks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(masks, errors): ``read_images`` as (name, x, y, v), coloured ones as their gray value."""
     found, errors = read_images(spark, path)

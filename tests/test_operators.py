@@ -383,3 +383,120 @@ def test_search_falls_back_to_the_darkest_pixel(spark):
     got = search.exhaustive_search(p, lambda t: t.groupBy("image_id", "k").agg(F.lit(0.0).alias("conf")), range(2, 3), 5).collect()
     assert [(x.clusters, x.b, x.g, x.r) for x in got if x.clusters is None] in ([], [(None, 50.0, 60.0, 70.0)]) and len(got) == 1
     assert [tuple(x) for x in search.darkest(p).collect()] == [(1, 50, 60, 70)]
+
+
+def folder_of_images(path):
+    path.mkdir()
+    r = np.random.default_rng(0)
+    for k in range(2):
+        a = np.clip(r.normal(150, 4, (40, 60, 3)), 0, 255).astype(np.uint8)
+        a[14:22, 20:40:4] = 20
+        a[14:22, 21:40:4] = 20
+        (path / f"im{k}.png").write_bytes(images.png(a))
+    (path / "bad.png").write_bytes(b"no image")
+    return str(path)
+
+
+def test_command_line(spark, tmp_path):
+    from inkframe.plans.__main__ import arguments, main
+
+    folder = folder_of_images(tmp_path / "in")
+    out = str(tmp_path / "out")
+    main(["-i", folder, "-o", out, "-f", "16,10,30,16", "-k", "-t", "-l", str(tmp_path / "log"), "--granularity", "8", "--device", "cpu"])
+    png = spark.read.parquet(f"{out}/png").collect()
+    assert sorted(r.file for r in png) == ["im0_clean.png", "im1_clean.png"] and all(bytes(r.png).startswith(b"\x89PNG") for r in png)
+    assert [(r.stage, r.file) for r in spark.read.parquet(f"{out}/errors").collect()] == [("load", "bad.txt")]
+    assert sorted(r.file for r in spark.read.parquet(f"{out}/mask_png").collect()) == ["im0_mask.png", "im1_mask.png"]
+    lines = [r.value for r in spark.read.text(f"{out}/timing_report").collect()]
+    assert len(lines) == 2 and all("im" in x for x in lines) and "inpaint_time" in (tmp_path / "log").read_text()
+    times = spark.read.parquet(f"{out}/timings").collect()
+    assert all(r.failover_type == "none" and r.consensus_boxes_count == 1 and r.image_mp == 0.0024 for r in times)
+    mask = str(tmp_path / "mask.png")
+    m = np.zeros((40, 60), np.uint8)
+    m[10:12, 10:12] = 255
+    (tmp_path / "mask.png").write_bytes(images.png(m))
+    main(["-i", folder, "-o", f"{out}2", "-m", mask])
+    assert spark.read.parquet(f"{out}2/masks").where("v > 0").count() == 8
+    for bad in (["--granularity", "3"], ["--confidence-threshold", "2"], ["-p", "lama"], ["--detector", "other=x:y"]):
+        with pytest.raises(SystemExit):
+            arguments(["-i", "a", "-o", "b", *bad])
+
+
+def test_detection_is_tried_in_turn(spark, tmp_path):
+    rows = []
+    for i, ink in enumerate([(200, 120, 20), (128, 128, 128), (0, 0, 0)], 1):
+        a = np.full((30, 50, 3), 200, np.uint8)
+        a[10:16, 12:30] = ink
+        rows.append((i, 50, 30, 3, bytearray(a.tobytes())))
+    table = spark.createDataFrame(rows, "image_id long, width int, height int, channels int, data binary")
+
+    def load():
+        def find(image):  # sees a patch only if it is as dark as black
+            y, x = np.nonzero(image[:, :, 0] < 30)
+            return [(int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1), 0.9)] if len(x) > 20 and image.shape[1] == 50 else []
+
+        return find
+
+    loads = {"east": load, "doctr": load}
+    got = {r.image_id: r.failover_type for r in cascade.detected_regions(table, loads).collect()}
+    assert got[3] == "none" and got[2] == "gray_enhancement" and got[1] == "watermark"
+    got = {r.image_id: r.failover_type for r in cascade.detected_regions(table, loads, target=(200, 120, 20)).collect()}
+    assert got[1] == "target_color" and got[3] == "target_color" and got[2] == "gray_enhancement"
+
+
+def test_models_paint_the_box_of_the_mask(spark):
+    p = spark.createDataFrame([(1, x, y, 10, 20, 30) for x in range(40) for y in range(30)], "image_id long, x long, y long, b long, g long, r long")
+    mask = p.select("image_id", "x", "y", F.when((F.col("x").between(10, 12)) & (F.col("y") == 7), 255).otherwise(0).cast("int").alias("v"))
+
+    def load():
+        calls = []
+
+        def paint(image, lit):
+            calls.append(image.shape)
+            if len(calls) == 1 and load.__name__ == "load" and not models.status("probe")["loaded"]:
+                models.instance("probe", lambda: 1)
+                raise ValueError("not yet")
+            assert image[0, 0].tolist() == [30, 20, 10] and lit.shape == image.shape[:2] and (lit > 0).sum() == 3
+            return np.full((image.shape[0] + 3, image.shape[1] + 5, 3), (1, 2, 3), np.uint8)
+
+        return paint
+
+    got = {(r.x, r.y): (r.b, r.g, r.r) for r in inpaint.fill_by_model(p, mask, "painter", load, context=2).collect()}
+    assert {k for k, v in got.items() if v == (3, 2, 1)} == {(x, y) for x in range(8, 15) for y in range(5, 10)} and got[0, 0] == (10, 20, 30)
+    cut = {(r.x, r.y): r.b for r in inpaint.telea(p, mask, context=2).collect()}
+    assert set(cut.values()) == {10}
+
+
+def test_model_of_a_process():
+    made = []
+
+    def load():
+        made.append(1)
+        return len(made)
+
+    models.reset()
+    assert models.status("m") == {"loaded": False, "healthy": False}
+    assert models.instance("m", load) == 1 and models.instance("m", load) == 1
+
+    def call(model):
+        if model == 1:
+            raise ValueError("worn out")
+        return model
+
+    assert models.retried("m", load, call) == 2 and models.status("m", lambda m: m)["healthy"] and not models.status("m", lambda m: 1 / 0)["healthy"]
+    with pytest.raises(RuntimeError):
+        models.retried("m", load, lambda m: 1 / 0)
+    models.reset()
+    assert models.pick_device("cpu") == "cpu" and models.pick_device("cuda") in ("cpu", "cuda")
+
+
+def test_image_for_a_reader_of_text(spark):
+    p = spark.createDataFrame([(1, x, 0, 100 + x, 50, 50) for x in range(8)], "image_id long, x long, y long, b long, g long, r long")
+    got = [r.b for r in colors.ocr_image(p, (1, 0, 6, 1), (103, 50, 50)).orderBy("x").collect()]
+    assert got == [255, 0, 0, 0, 0, 0, 255, 255]
+
+
+def test_library_names():
+    import inkframe
+
+    assert all(callable(getattr(inkframe, n)) for n in inkframe.__all__) and "main" in inkframe.__all__
