@@ -38,9 +38,15 @@ def count_ranges(colors: DataFrame, keys: Sequence[str] = ("image_id",)) -> Data
     return colors.groupBy(*keys).agg(*(F.count_if(h).alias(f"n_{lo}_{hi or 'up'}") for h, (lo, hi) in zip(hits, COUNT_RANGES)))
 
 
+#: Colours of a list that may be broadcast; a longer one is shuffled.
+MOST_LISTED = 10_000
+
+
 def mask_exact(pixels: DataFrame, colors: DataFrame) -> DataFrame:
     """(image_id, x, y, v): 255 where the pixel's colour is one of ``colors`` (b, g, r; a list made by a user or of one image)."""
-    known = F.broadcast(colors.select("b", "g", "r", F.lit(255).alias("_v")).distinct())
+    known = colors.select("b", "g", "r", F.lit(255).alias("_v")).distinct()
+    if len(known.limit(MOST_LISTED + 1).collect()) <= MOST_LISTED:
+        known = F.broadcast(known)
     return pixels.join(known, ["b", "g", "r"], "left").select("image_id", "x", "y", F.coalesce("_v", F.lit(0)).cast("int").alias("v"))
 
 
