@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.sources.stored import stored
+
+#: Rounds of clustering after which the plan is cut.
+CUT = 4
+
 
 def grid_cluster(b: Column, g: Column, r: Column, steps: int = 4) -> Column:
     """Cell of a fixed grid of ``steps`` per channel: a quantisation that needs no fitting."""
@@ -23,10 +28,11 @@ def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_
     the outcome is the same on any cluster. Clusters that lose all colours are dropped. Ties between
     centres go to the smaller number. The centres of a group, ``k`` at most, travel as one array beside
     its colours: a round is one aggregation and one join on the group, with no pair of rows ever formed.
+    The distinct colours are stored once, and the centres every few rounds, so the plan doesn't grow with them.
     """
     keys = list(keys)
+    colors = stored(colors.select(*keys, "b", "g", "r", "n"))
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "b", "g", "r")
-    colors = colors.select(*keys, "b", "g", "r", "n")
     first = colors.withColumn("_k", F.row_number().over(order) - 1).where(F.col("_k") < k)
     point = F.struct(F.col("_k").alias("k"), *(F.col(c).cast("double").alias(c) for c in "bgr"))
     centres = first.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_c"))
@@ -36,10 +42,12 @@ def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_
         near = F.array_min(F.transform("_c", lambda c: F.struct(d(c).alias("d"), c["k"].alias("k"))))
         return colors.join(centres, keys).select(*keys, "b", "g", "r", "n", near["k"].alias("k"))
 
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         weight = F.sum("n")
         means = assigned(centres).groupBy(*keys, "k").agg(*((F.sum(F.col(c) * F.col("n")) / weight).alias(c) for c in "bgr"))
         centres = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "b", "g", "r"))).alias("_c"))
+        if done % CUT == 0:
+            centres = stored(centres)
     return assigned(centres)
 
 

@@ -18,7 +18,10 @@ STAGES = ("load_time", "detection_time", "color_time", "mask_time", "inpaint_tim
 
 
 def timing_stats(timings: DataFrame, stages: Sequence[str] | None = None) -> DataFrame:
-    """(stage, n, median, mean) over the values that are there, of all STAGES that the table has; zeros where none is."""
+    """(stage, n, median, mean) over the values that are there, of all STAGES that the table has; zeros where none is.
+
+    The median is exact: a stage's distinct values, counted before they are sent, meet in one task.
+    """
     stages = [s for s in STAGES if s in timings.columns] if stages is None else stages
     pairs = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("t")) for s in stages))
     rows = timings.select(F.explode(pairs).alias("p")).select("p.*")
@@ -73,7 +76,7 @@ def score_histogram(scores: DataFrame, bins: int = 20, width: int = 50, col: str
 
 
 def score_percentiles(scores: DataFrame, points: int = 21, col: str = "score") -> DataFrame:
-    """(percent, value) at ``points`` equal steps from 0 to 100, interpolated linearly."""
+    """(percent, value) at ``points`` equal steps from 0 to 100, interpolated linearly; exact, so the distinct scores meet in one task."""
     at = [k / (points - 1) for k in range(points)]
     row = scores.agg(F.percentile(col, F.array(*map(F.lit, at))).alias("p"))
     return row.select(F.posexplode("p").alias("i", "value")).select((F.col("i") * 100.0 / (points - 1)).alias("percent"), "value")
