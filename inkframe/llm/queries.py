@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import ann, bpe, chat, embed_dedup, html_text, packing, pii, quality, simhash, warc
+from inkframe.llm import ann, bpe, chat, embed_dedup, html_text, packing, pii, quality, simhash, toxicity, variants, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out))
+    rows = docs.select("doc_id", out.alias("held_out"), toxicity.score_of(F.col("text"), model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _escaped_sql(text: str) -> str:
     e = chat.TEMPLATE["escape"]
     out = f"replace({text}, '{e}', '{e}0')"
@@ -135,10 +150,48 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, v
 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10"""
 
 
+def _crc32_step(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8, byte by byte."""
+    table = "[" + ", ".join(str(_crc32_step(c)) for c in range(256)) + "]"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST(('0x' || x) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, list_extract({table}, (xor(c, x) & 255) + 1)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+#: Words with one code point left out meet: two of one length at the same place, or one with the other itself.
+VARIANTS_SQL = f"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) GROUP BY 1, 2 HAVING length(r) >= 7),
+hashed AS (SELECT *, {_crc32_sql("id || ':' || r")} AS h FROM runs),
+noisy AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+    SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+    UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest),
+near AS (
+    SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS best, max(w.n) AS best_n
+    FROM pairs JOIN words w ON w.word = b GROUP BY a),
+rows AS MATERIALIZED (
+    SELECT word, CASE WHEN best_n >= 10 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+    FROM words LEFT JOIN near USING (word)),
+chain(word, stop, form) AS (
+    SELECT word, word, form FROM rows
+    UNION ALL SELECT c.word, r.word, r.form FROM chain c JOIN rows r ON r.word = c.form)
+SELECT r.word, r.form, c.stop AS root, n, n_near, form_n FROM rows r JOIN chain c ON c.word = r.word AND c.form IS NULL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_warc, op3_embedding_dedup, op4_nearest, op5_simhash, op6_chat, op7_bpe, op8_packing, op9_html, op10_pii)
+    found = (op1_quality, op2_warc, op3_embedding_dedup, op4_nearest, op5_simhash, op6_chat, op7_bpe, op8_packing, op9_html, op10_pii, op11_variants, op12_toxicity, op13_whitening)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op3_embedding_dedup": LINKS_SQL, "op4_nearest": NEAREST_SQL, "op6_chat": _chat_sql()}
+    return {"op2_warc": WARC_SQL, "op3_embedding_dedup": LINKS_SQL, "op4_nearest": NEAREST_SQL, "op6_chat": _chat_sql(), "op11_variants": VARIANTS_SQL}
