@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,6 +29,26 @@ def encoder(ranks: bytes, pattern: str, added: tuple[tuple[str, int], ...] = ())
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}, special_tokens=dict(added))
 
 
+#: White space as the pattern has it, so much of it in a row that the pattern's look ahead may run out of stack.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def ids_of(enc, text: str) -> list[int]:
+    """The ids of a text of any kind and length.
+
+    The pattern never matches across the border from other text to white space, and of white space all but the last character
+    before other text, all of it before an added token or the end, is one match. So a long run of it is encoded as one word, without the pattern, and what lies around it apart.
+    """
+    out: list[int] = []
+    at, added = 0, tuple(enc.special_tokens_set)
+    for m in _BLANKS.finditer(text):
+        last = m.end() - (m.end() < len(text) and not text.startswith(added, m.end()))
+        out += enc.encode(text[at : m.start()], allowed_special="all")
+        out += enc._encode_single_piece(text[m.start() : last])
+        at = last
+    return out + enc.encode(text[at:], allowed_special="all") if at else enc.encode(text, allowed_special="all")
+
+
 def pieces_of(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(part, id, piece, start, length, ids_crc32[, ids]) of every document's pieces of at most ``length`` ids.
 
@@ -42,7 +63,7 @@ def pieces_of(docs: DataFrame, ranks: bytes, pattern: str, length: int = LENGTH,
         for b in batches:
             doc, piece, start, size, crc, body = [], [], [], [], [], []
             for k, text in enumerate(b.column(2)):
-                ids = np.array([*enc.encode(text.as_py() or "", allowed_special="all"), END], "<u4")
+                ids = np.array([*ids_of(enc, text.as_py() or ""), END], "<u4")
                 at, n = 0, len(ids) % length or length
                 for p in range(-(-len(ids) // length)):
                     part = ids[at : at + n].tobytes()
