@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,7 +37,8 @@ MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|articlebody|main|content|post|entr
 #: What an opening tag ends when it is still open.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 KEEPS_P = INLINE | VOID
-SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "main", "blockquote"}
+SCOPE = frozenset(("table", "ul", "ol", "dl", "article", "section", "div", "body", "main", "blockquote"))
+BARRIER = SCOPE - {"div"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、'\"()«»„“”¿¡-]")
 SPACE = re.compile(r"\s+")
 #: Elements that hold text rather than a page's parts, and the share of text that makes a container the article's.
@@ -49,26 +51,61 @@ LONG = 40
 PENALTY = 0.1
 
 
+class Path:
+    """A tag path from the root: its last step, and the path above. A page has one of each, numbered in order of appearance."""
+
+    __slots__ = ("number", "step", "tag", "above")
+
+    def __init__(self, number: int, step: str, tag: str, above: Path | None):
+        self.number, self.step, self.tag, self.above = number, step, tag, above
+
+
 class Block:
     """The text between two block boundaries, with the tag path from the root to it."""
 
-    __slots__ = ("path", "parts", "linked", "off", "main", "notes")
+    __slots__ = ("path", "parts", "linked", "off", "main", "note")
+
+    def __init__(self, path: Path, off: bool, main: int, note: int):
+        self.path, self.parts, self.linked, self.off, self.main, self.note = path, [], 0, off, main, note
+
+
+class Open:
+    """The elements that are open, outermost first, and where each tag is among them."""
 
-    def __init__(self, path: str, off: bool, main: int, notes: tuple[int, ...]):
-        self.path, self.parts, self.linked, self.off, self.main, self.notes = path, [], 0, off, main, notes
+    def __init__(self, root: Path):
+        self.rows: list[tuple[str, Path, bool, int, int]] = [("", root, False, 0, -1)]  # tag, path, off, main, innermost note
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
 
+    def push(self, tag: str, path: Path, off: bool, main: int, note: int) -> None:
+        self.at[tag].append(len(self.rows))
+        self.rows.append((tag, path, off, main, note))
 
-def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
+    def close(self, tag: str, within: frozenset[str] = frozenset()) -> bool:
+        """Closes the innermost ``tag`` and all in it, unless an element of ``within`` lies in between or it isn't open."""
+        places = self.at[tag]
+        if not places or any(own[-1] > places[-1] for s in within if (own := self.at[s])):
+            return False
+        to = places[-1]
+        while len(self.rows) > to:
+            self.at[self.rows.pop()[0]].pop()
+        return True
+
+
+def blocks(page: str) -> list[tuple[Path, str, int, float, int]]:
     """(path, text, characters in links, weight, main) of each block with text, in page order.
 
     Lenient as browsers are: an open p ends at the next block, unknown end tags are ignored, whatever is
     still open ends with the page. Weight: 0 below an element that is never part of an article, PENALTY below one that names
     itself as what surrounds articles, unless that holds an article or most of the page's text, else 1.
-    ``main``: 2 below an article element, 1 below main or a class named so, else 0.
+    ``main``: 2 below an article element, 1 below main or a class named so, else 0. An element knows the path and the note
+    above it by number, so depth costs nothing and each tag a look at some lists.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = [("", "", False, 0, ())]  # tag, path, off, main, notes
-    holds: list[bool] = []  # by note: whether the element holds an article
+    paths: dict[tuple[int, str], Path] = {}
+    root = Path(0, "", "", None)
+    stack = Open(root)
+    holds: list[bool] = []  # by note: whether the element holds an article; and the note above it
+    outer: list[int] = []
     now: Block | None = None
     links, named_one = 0, False
     at, end = 0, len(page)
@@ -80,8 +117,8 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
         if now is None:
             if raw.isspace():
                 return
-            _, path, off, main, notes = stack[-1]
-            now = Block(path, off, main, notes)
+            _, path, off, main, note = stack.rows[-1]
+            now = Block(path, off, main, note)
             out.append(now)
         now.parts.append(raw)
         if links:
@@ -103,13 +140,8 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
                 links = max(0, links - 1)
             if name in INLINE:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    now, links = None, 0
-                    break
-                if name in ("p", "li", "td", "th", "tr") and stack[k][0] in SCOPE - {"div"}:
-                    break
+            if stack.close(name, BARRIER if name in ("p", "li", "td", "th", "tr") else frozenset()):
+                now, links = None, 0
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at) if not m[3].endswith("/") else None
@@ -124,15 +156,10 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
             continue
         now, links = None, 0
         for open_tag in ENDS.get(name, {"p"}):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == open_tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            stack.close(open_tag, SCOPE)
         if name in VOID:
             continue
-        _, path, off, main, notes = stack[-1]
+        _, path, off, main, note = stack.rows[-1]
         named = ""
         if m[3] and "=" in m[3] or "hidden" in m[3].lower():
             for a in ATTRIBUTE.finditer(m[3]):
@@ -147,27 +174,38 @@ def blocks(page: str) -> list[tuple[str, str, int, float, int]]:
             off = True
         if name in ("article", "main") and not inside and not OTHERS.search(named):
             named_one = True
-            for k in notes:
-                holds[k] = True
+            if note >= 0:
+                holds[note] = True
         if name == "header" and not inside or named and _noted(name, named, inside):
-            notes = (*notes, len(holds))
+            outer.append(note)
+            note = len(holds)
             holds.append(False)
-        stack.append((name, f"{path}/{name}" + ("." + ".".join(sorted(set(named.split()))) if named else ""), off, main, notes))
-    found: list[tuple[str, str, int, float, int]] = []
+        step = name + ("." + ".".join(sorted(set(named.split()))) if named else "")
+        own = paths.get((path.number, step))
+        if own is None:
+            own = paths[path.number, step] = Path(len(paths) + 1, step, name, path)
+        stack.push(name, own, off, main, note)
+    found: list[tuple[Path, str, int, float, int]] = []
     size, whole = [0] * len(holds), 0
     for b in out:
         if not b.off:
             n = sum(map(len, b.parts))
             whole += n
-            for k in b.notes:
-                size[k] += n
+            if b.note >= 0:
+                size[b.note] += n
+    for k in range(len(holds) - 1, -1, -1):  # a note comes after the one above it
+        if outer[k] >= 0:
+            size[outer[k]] += size[k]
+            holds[outer[k]] |= holds[k]
     # Beside a named article, however short, an advert may have more than half of the text.
     most = 0.8 if named_one else 0.5
-    noted = {k for k, n in enumerate(size) if not holds[k] and n <= most * whole}
+    noted: list[bool] = []
+    for k, n in enumerate(size):
+        noted.append(not holds[k] and n <= most * whole or outer[k] >= 0 and noted[outer[k]])
     for b in out:
         said = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
         if said:
-            found.append((b.path, said, b.linked, 0 if b.off else PENALTY if noted.intersection(b.notes) else 1, b.main))
+            found.append((b.path, said, b.linked, 0 if b.off else PENALTY if b.note >= 0 and noted[b.note] else 1, b.main))
     return found
 
 
@@ -198,14 +236,14 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def ratios(found: list[tuple[str, str, int, float, int]]) -> tuple[dict[str, list[float]], dict[str, float], float]:
+def ratios(found: list[tuple[Path, str, int, float, int]]) -> tuple[dict[Path, list[float]], dict[Path, float], float]:
     """Of each path with weight, in order of appearance: (nodes, characters, signs, characters in links, weight, main); its fused ratio; the threshold.
 
     Per path: text length a node, and punctuation a node, over all its nodes (Wu et al., 2013), both
     smoothed over neighbouring paths, fused by their product, lowered by the share of text in links and by
     PENALTY. The threshold is a share of the fused ratios' standard deviation.
     """
-    totals: dict[str, list[float]] = {}
+    totals: dict[Path, list[float]] = {}
     for path, said, linked, weight, main in found:
         if not weight:
             continue
@@ -222,7 +260,7 @@ def ratios(found: list[tuple[str, str, int, float, int]]) -> tuple[dict[str, lis
     return totals, fused, SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / max(1, len(fused)))
 
 
-def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
+def content_paths(found: list[tuple[Path, str, int, float, int]]) -> set[Path]:
     """The paths whose nodes are content: those whose fused ratio reaches the threshold, and what belongs to them.
 
     The container of most of the chosen text
@@ -240,7 +278,8 @@ def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
     home = _home({p: totals[p][1] for p in chosen if totals[p][5] >= level})
     if level:
         home = _article(home)
-    inside = {p for p in paths if (p == home or p.startswith(home + "/")) and totals[p][5] >= level}
+    under = _under(paths, home)
+    inside = {p for p in paths if p in under and totals[p][5] >= level}
     # Headings, lists and quotes in the container of the chosen text belong to it, other boxes beside it don't.
     out = {p for p in inside if (totals[p][4] == 1 or p in chosen and not level) and totals[p][3] < (0.8 if level else 0.5) * totals[p][1]}
     if level:
@@ -252,29 +291,51 @@ def content_paths(found: list[tuple[str, str, int, float, int]]) -> set[str]:
     return out
 
 
-def _article(home: str) -> str:
+def _tree(paths: Iterable[Path]) -> list[Path]:
+    """The given paths and all above them, each once, in order of their numbers."""
+    seen: dict[int, Path] = {}
+    for p in paths:
+        while p is not None and p.number not in seen:
+            seen[p.number] = p
+            p = p.above
+    return [seen[k] for k in sorted(seen)]
+
+
+def _under(paths: Iterable[Path], home: Path | None) -> set[Path]:
+    """Those of the given paths, and of all above them, that are ``home`` or below it; all, if there is no home."""
+    out: set[Path] = set()
+    for p in _tree(paths):  # a path comes after the one above it
+        if home is None or p is home or p.above in out:
+            out.add(p)
+    return out
+
+
+def _article(home: Path | None) -> Path | None:
     """The innermost element on the path ``home`` that is or names itself the article, else ``home``."""
-    steps = home.split("/")
-    for names in (lambda x: x.split(".", 1)[0] in ("article", "main"), lambda x: MAIN.search(" ".join(x.split(".")[1:]))):
-        for k in range(len(steps) - 1, 0, -1):
-            if names(steps[k]):
-                return "/".join(steps[: k + 1])
+    for names in (lambda x: x.tag in ("article", "main"), lambda x: MAIN.search(" ".join(x.step.split(".")[1:]))):
+        p = home
+        while p is not None and p.above is not None:
+            if names(p):
+                return p
+            p = p.above
     return home
 
 
-def _home(sizes: dict[str, int]) -> str:
-    """The innermost container, from the root down, that holds most of the text of the given paths."""
-    home = ""
+def _home(sizes: dict[Path, int]) -> Path | None:
+    """The innermost container, from the root down, that holds most of the text of the given paths; of equals the first on the page."""
+    tree = _tree(sizes)
+    if not tree:
+        return None
+    whole = {p.number: sizes.get(p, 0) for p in tree}
+    below: defaultdict[int, list[Path]] = defaultdict(list)
+    for p in reversed(tree):
+        if p.above is not None:
+            whole[p.above.number] += whole[p.number]
+            below[p.above.number].append(p)
+    home = tree[0]
     while True:
-        below: dict[str, int] = {}
-        for path, n in sizes.items():
-            if path.startswith(home + "/"):
-                step = path[len(home) + 1 :].split("/", 1)[0]
-                if step.split(".", 1)[0] not in TEXTUAL:
-                    below[f"{home}/{step}"] = below.get(f"{home}/{step}", 0) + n
-        whole = sum(n for path, n in sizes.items() if path == home or path.startswith(home + "/"))
-        best = max(below, key=below.get, default=None)
-        if best is None or below[best] < MOST * whole:
+        best = max((p for p in reversed(below[home.number]) if p.tag not in TEXTUAL), key=lambda p: whole[p.number], default=None)
+        if best is None or whole[best.number] < MOST * whole[home.number]:
             return home
         home = best
 
