@@ -149,6 +149,11 @@ def _searched(index: DataFrame, visits: DataFrame, centres: dict[int, np.ndarray
     return stream.mapInPandas(run, FOUND)
 
 
+def first_block(i: int, blocks: int) -> int:
+    """Which of a cell's blocks a query searches first: by a hash of its id, as ids may all be multiples of one number."""
+    return (int(i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) * blocks >> 64
+
+
 def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, seed: int = 5, epsilon: float = EPSILON, block_bytes: int = BLOCK_BYTES, few: int = BLOCK_FEW, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows of each row for which ``is_query`` holds.
 
@@ -196,7 +201,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     index = coded.join(F.broadcast(spread), ["width", "cell"], "left").withColumn("block", name)
 
     def home(width: int, cell: int, i: int) -> str:
-        return f"{width}.{cell}.{i % size.get((width, cell), (1, 0))[0]}"
+        return f"{width}.{cell}.{first_block(i, size.get((width, cell), (1, 0))[0])}"
 
     def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
