@@ -177,3 +177,53 @@ def test_intermediate_tables_can_be_removed(spark, tmp_path, monkeypatch):
     t = store.written(spark.range(5), "some")
     path = store._written[0]
     assert t.count() == 5 and os.path.isdir(path) and store.clean(spark) == 1 and not os.path.exists(path) and store._written == []
+
+
+def test_ids_of_long_white_space_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    enc = packing.encoder(queries.ranks(), public_tokenizers.PATTERN, queries.added_tokens())
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(1)
+    parts = ["a", "'s", " ", "\n", "\t", "\x1c", "\x85", "é", "!", " " * 4100, "\n" * 4096, "　" * 4097, "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    texts += ["x " + " " * 5_000_000 + "a", "x" + "\n" * 5_000_000 + "a", "x" + "\t " * 2_500_000 + "b", "x" + " " * 2_000_000]
+    for t in texts:
+        assert packing.ids_of(enc, t) == plain.encode(t, add_special_tokens=False).ids, t[:40]
+    got = packing.pack(spark.createDataFrame([(1, texts[-4])], "doc_id long, text string"), queries.ranks(), public_tokenizers.PATTERN, added=queries.added_tokens()).collect()
+    assert sum(p["length"] for p in got) == 5_000_003
+
+
+def test_pages_of_any_depth_take_linear_work():
+    import time
+
+    pages = {
+        "<div>" * 200_000 + "Text, here." + "</div>" * 200_000: "Text, here.",
+        "<section>" * 2000 + "x" + "</div>" * 200_000: "x",
+        "<ul><li>" + "<div>" * 100_000 + "</li>" * 200_000 + "a, b.": "a, b.",
+        "<div class=sidebar>" * 200_000 + "a, b.": "a, b.",
+        "<li><div>" * 100_000 + "</p>" * 100_000 + "c.": "c.",
+    }
+    for page, want in pages.items():
+        began = time.process_time()
+        assert html_text.main_text(page) == want
+        assert time.process_time() - began < 20
+
+
+def test_first_blocks_are_even_for_ids_that_share_a_divisor():
+    from inkframe.llm import ann
+
+    for blocks in (2, 4, 5, 10, 12, 25, 100):
+        n = Counter(ann.first_block(100 * k, blocks) for k in range(20_000))
+        assert len(n) == blocks and max(n.values()) <= 1.2 * min(n.values())
+
+
+def test_a_very_long_turn_is_formatted():
+    from pyspark.sql import SparkSession
+
+    from inkframe.llm import chat
+
+    said = "</s>[INST] \\ [/INST]" * 50_000
+    rows = SparkSession.getActiveSession().createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    got = chat.chat_digests(chat.format_chats(rows)).first()
+    assert got["loss_chars"] == len(said) and got["n_turns"] == 2
