@@ -2,8 +2,8 @@
 
 Pixels outside a mask are ignored, so a mask cut to a region never grows past it. Windows run along rows
 and columns. Operations of several passes first bring each mask together (``whole``): one shuffle, after
-which every pass only sorts. For masks too large for a task pass ``together=False``: each change between
-rows and columns then shuffles by row or column.
+which every pass only sorts. For masks too large for a task ``tiles.by_tiles`` runs the same chains in tiles, after one shuffle;
+``together=False`` here shuffles by row or column at each change between them.
 """
 
 from __future__ import annotations

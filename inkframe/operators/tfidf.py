@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import color, geometry
-from inkframe.operators import morphology, quantize
+from inkframe.operators import quantize, tiles
 
 #: Normalised score from which a pixel counts as text; clusters and rounds of the quantisation.
 THRESHOLD, CLUSTERS, ROUNDS = 188, 24, 20
@@ -102,14 +102,15 @@ def _mask_of(f: pd.DataFrame, clusters: int, rounds: int, target: color.BGR | No
     return np.where(text[own], 255, 0)
 
 
-def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, target: color.BGR | None = None, clean: bool = True) -> DataFrame:
+def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, target: color.BGR | None = None, clean: bool = True, tile: int | None = None) -> DataFrame:
     """(image_id, region_id, x, y, v): the mask of the text in each region.
 
     Surroundings, quantisation of their distinct colours, scores, threshold, then morphological cleaning
     within the region. Regions whose surroundings have fewer pixels than ``clusters`` give no rows.
 
-    A region's surroundings fit a task, so all of its steps run in one, after one shuffle;
-    ``cluster_scores`` and ``score_map`` do the same on tables, for groups of any size.
+    A region's surroundings fit a task, so all of its steps run in one, cleaning included, after one shuffle;
+    ``cluster_scores`` and ``score_map`` do the same on tables, for groups of any size, and with ``tile`` the
+    mask is cleaned by tiles of that size.
     """
     keys = ["image_id", "region_id"]
     near = region_pixels(pixels, regions)
@@ -118,8 +119,11 @@ def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, r
         out = f[[*keys, "x", "y"]].assign(v=0)
         if len(f) < clusters:
             return out[:0]
-        return out.assign(v=_mask_of(f, clusters, rounds, target))[f["in_doc"].to_numpy(bool)]
+        out = out.assign(v=_mask_of(f, clusters, rounds, target))[f["in_doc"].to_numpy(bool)]
+        if clean and not tile:
+            out["v"] = tiles.run_steps(out["x"].to_numpy(np.int64), out["y"].to_numpy(np.int64), out["v"].to_numpy(np.int32), tiles.CLEAN)
+        return out
 
     kinds = {c: near.schema[c].dataType.simpleString() for c in (*keys, "x", "y")}
     mask = near.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", v int")
-    return morphology.clean(mask, keys) if clean else mask
+    return tiles.by_tiles(mask, tiles.CLEAN, keys, tile) if clean and tile else mask

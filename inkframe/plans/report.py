@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkframe.operators import ranks
+
 #: How an image's regions were found, and the sign of each in the report.
 FAILOVERS = {"none": "", "rotation": "R", "target_color": "T", "gray_enhancement": "G", "white_enhancement": "W", "watermark": "B"}
 #: Thresholds of the sweep beside the one in use.
@@ -20,13 +22,15 @@ STAGES = ("load_time", "detection_time", "color_time", "mask_time", "inpaint_tim
 def timing_stats(timings: DataFrame, stages: Sequence[str] | None = None) -> DataFrame:
     """(stage, n, median, mean) over the values that are there, of all STAGES that the table has; zeros where none is.
 
-    The median is exact: a stage's distinct values, counted before they are sent, meet in one task.
+    The median is exact, by refined histograms (``ranks.at_ranks``), so no task gathers a stage's values.
     """
     stages = [s for s in STAGES if s in timings.columns] if stages is None else stages
     pairs = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("t")) for s in stages))
     rows = timings.select(F.explode(pairs).alias("p")).select("p.*")
-    out = rows.groupBy("stage").agg(F.count("t").alias("n"), F.coalesce(F.median("t"), F.lit(0.0)).alias("median"), F.coalesce(F.avg("t"), F.lit(0.0)).alias("mean"))
-    return out
+    sums = {r["stage"]: (r["n"], r["mean"]) for r in rows.groupBy("stage").agg(F.count("t").alias("n"), F.avg("t").alias("mean")).collect()}
+    found = ranks.at_ranks(rows, "t", {(s,): ranks.ranks_of(n, [0.5]) for s, (n, _) in sums.items()}, ["stage"])
+    out = [(s, n, ranks.between(found[s,], n, 0.5) if n else 0.0, mean if n else 0.0) for s, (n, mean) in sums.items()]
+    return timings.sparkSession.createDataFrame(out, "stage string, n long, median double, mean double")
 
 
 def consensus_stats(timings: DataFrame) -> DataFrame:
@@ -60,7 +64,10 @@ def shortened(name: Column, most: int = 35) -> Column:
 
 
 def score_moments(scores: DataFrame, col: str = "score") -> DataFrame:
-    return scores.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.median(col).alias("median"), F.stddev_pop(col).alias("std"), F.min(col).alias("low"), F.max(col).alias("high"))
+    """One row: how many, mean, exact median (as in ``timing_stats``), standard deviation, least and largest; nulls without scores."""
+    row = scores.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("low"), F.max(col).alias("high"))
+    (_, (median,)), = ranks.percentiles(scores, col, [0.5]).values()
+    return row.select("n", "mean", F.lit(median).cast("double").alias("median"), "std", "low", "high")
 
 
 def score_histogram(scores: DataFrame, bins: int = 20, width: int = 50, col: str = "score") -> DataFrame:
@@ -76,10 +83,10 @@ def score_histogram(scores: DataFrame, bins: int = 20, width: int = 50, col: str
 
 
 def score_percentiles(scores: DataFrame, points: int = 21, col: str = "score") -> DataFrame:
-    """(percent, value) at ``points`` equal steps from 0 to 100, interpolated linearly; exact, so the distinct scores meet in one task."""
-    at = [k / (points - 1) for k in range(points)]
-    row = scores.agg(F.percentile(col, F.array(*map(F.lit, at))).alias("p"))
-    return row.select(F.posexplode("p").alias("i", "value")).select((F.col("i") * 100.0 / (points - 1)).alias("percent"), "value")
+    """(percent, value) at ``points`` equal steps from 0 to 100, interpolated linearly; exact, as the median of ``timing_stats``. No scores give nulls."""
+    steps = [k / (points - 1) for k in range(points)]
+    (_, values), = ranks.percentiles(scores, col, steps).values()
+    return scores.sparkSession.createDataFrame([(100.0 * s, v) for s, v in zip(steps, values)], "percent double, value double")
 
 
 def threshold_sweep(scores: DataFrame, thresholds: Sequence[int] = SWEEP, current: int = 188, col: str = "norm") -> DataFrame:

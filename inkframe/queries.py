@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkframe import fixtures
 from inkframe.functions import color
 from inkframe.functions import geometry as geo
-from inkframe.operators import colors, components, consensus, detections, filters, inpaint, morphology, quantize, search, textlike, tfidf
+from inkframe.operators import colors, components, consensus, detections, filters, inpaint, morphology, quantize, search, textlike, tfidf, tiles
 from inkframe.plans import annotate, cascade, report
 from inkframe.sources import images as files
 
@@ -381,6 +381,7 @@ _add("morph_expand", "pixels", lambda d: morphology.expand(_mask(d), 2), f"{MASK
 _add("morph_dilate_ellipse", "pixels", lambda d: morphology.ellipse(_mask(d), 13), f"{MASK_SQL} {_ellipse_sql('mask', 13, True)}")
 _add("morph_smooth", "pixels", lambda d: morphology.smooth(_mask(d), 9), f"{MASK_SQL}, {_blur_sql('mask')}")
 _add("morph_clean", "pixels", lambda d: morphology.clean(_mask(d)), f"{MASK_SQL}, {_clean_sql('mask')}")
+_add("morph_clean_tiles", "pixels", lambda d: tiles.by_tiles(_mask(d), tiles.CLEAN, tile=32), f"{MASK_SQL}, {_clean_sql('mask')}")
 
 
 def _opened_sql() -> str:
@@ -425,6 +426,7 @@ lowest AS (SELECT image_id, x, y, min(p) AS p FROM reached GROUP BY 1, 2, 3),
 labels AS (SELECT image_id, x, y, dense_rank() OVER (PARTITION BY image_id ORDER BY p) AS label FROM lowest),
 feats AS (SELECT image_id, label, CAST(count(*) AS DOUBLE) AS area, avg(x) AS cx, avg(y) AS cy, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (max(x)-min(x)+1) / (max(y)-min(y)+1) AS aspect FROM labels GROUP BY 1, 2)"""
 _add("components", "pixels", lambda d: components.features(components.label(_mask(d))), _LABEL_SQL + "SELECT * FROM feats", recursive=True)
+_add("components_tiles", "pixels", lambda d: components.features(tiles.label(_mask(d), tile=16)), _LABEL_SQL + "SELECT * FROM feats", recursive=True)
 _add("filter_components", "pixels", lambda d: components.plausible(components.features(components.label(_mask(d))), area=(8, 5000), aspect=(0.4, 10)), _LABEL_SQL + "SELECT * FROM feats WHERE area BETWEEN 8 AND 5000 AND aspect BETWEEN 0.4 AND 10", recursive=True)
 _add(
     "anchor_components", "pixels", lambda d: components.anchored(components.label(_mask(d)), _regions(d).select("image_id", "y", (F.col("h") / 2).cast("long").alias("h"))).select("image_id", "x", "y", "label"),
