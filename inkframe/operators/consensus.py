@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from inkframe import schemas
 from inkframe.functions import geometry as geo
+from inkframe.operators import graph
+from inkframe.sources.stored import stored
 
 #: Share of the smaller box that two boxes must have in common.
 OVERLAP = 0.1
+#: Boxes of an image whose overlaps are drawn together in one task before groups are formed.
+PART = 4096
 
 
 def overlap_pairs(boxes: DataFrame, threshold: float = OVERLAP, tile: int | None = 128) -> DataFrame:
@@ -93,23 +97,29 @@ def greedy_groups(near: list[list[int]], detectors: list[str]) -> list[list[int]
 def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> DataFrame:
     """Regions (schemas.REGIONS) on which at least ``least`` boxes agree, greedily in order of (detector_rank, det_id).
 
-    The overlaps come from ``overlap_pairs``, so no image is compared all with all. The order matters, so an image's
-    boxes and overlaps are one group of Arrow batches.
+    The overlaps come from ``overlap_pairs``, so no image is compared all with all. Boxes that no chain of overlaps joins
+    never meet in a region, so each connected group of boxes is walked by itself: a task holds one such group, not an image. Regions
+    are numbered by their seeds.
     """
     order = Window.partitionBy("image_id").orderBy("detector_rank", "det_id")
-    boxes = boxes.select("image_id", "det_id", "detector", "detector_rank", "x", "y", "w", "h", "conf").withColumn("seq", F.row_number().over(order) - 1)
-    pairs = overlap_pairs(boxes.select("image_id", F.col("seq").alias("det_id"), "detector", "x", "y", "w", "h"), threshold).select(F.col("image_id").alias("image"), "id_a", "id_b")
+    boxes = boxes.select("image_id", "det_id", "detector", "detector_rank", "x", "y", "w", "h", "conf").withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+    pairs = overlap_pairs(boxes.select("image_id", F.col("seq").alias("det_id"), "detector", "x", "y", "w", "h"), threshold)
+    pairs = stored(pairs.select("image_id", F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    joined = graph.connected(graph.contracted(pairs, ["image_id"], F.floor(F.col("a") / PART)), ["image_id"])
+    own = boxes.join(joined.withColumnRenamed("node", "seq"), ["image_id", "seq"], "inner" if least > 1 else "left").withColumn("component", F.coalesce("component", "seq"))
+    near = pairs.join(joined.withColumnRenamed("node", "a"), ["image_id", "a"]).select(F.col("image_id").alias("image"), "component", "a", "b")
 
     def run(f: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("seq")
-        near: list[list[int]] = [[] for _ in range(len(f))]
-        for a, b in zip(overlaps["id_a"].tolist(), overlaps["id_b"].tolist()):
-            near[a].append(b)
-            near[b].append(a)
+        place = {s: k for k, s in enumerate(f["seq"].tolist())}
+        near: list[list[int]] = [[] for _ in place]
+        for a, b in zip(overlaps["a"].tolist(), overlaps["b"].tolist()):
+            near[place[a]].append(place[b])
+            near[place[b]].append(place[a])
         b = f[["x", "y", "w", "h"]].to_numpy(np.int64)
         conf = f["conf"].to_numpy(float)
         conf = np.where(conf > 1.0, conf / 100.0, conf)
-        names = f["detector"].tolist()
+        names, seq = f["detector"].tolist(), f["seq"].tolist()
         out = []
         for members in greedy_groups([sorted(x) for x in near], names):
             if len(members) >= least:
@@ -117,7 +127,9 @@ def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> D
                 x, y = own[:, 0].min(), own[:, 1].min()
                 w, h = (own[:, 0] + own[:, 2]).max() - x, (own[:, 1] + own[:, 3]).max() - y
                 c = conf[members]
-                out.append((f["image_id"].iloc[0], len(out), x, y, w, h, 1 - np.prod(1 - c), [names[m] for m in members], len(members), c.tolist()))
-        return pd.DataFrame(out, columns=["image_id", "region_id", "x", "y", "w", "h", "confidence", "detectors", "detector_count", "original_confidences"])
+                out.append((f["image_id"].iloc[0], seq[members[0]], x, y, w, h, 1 - np.prod(1 - c), [names[m] for m in members], len(members), c.tolist()))
+        return pd.DataFrame(out, columns=["image_id", "seed", "x", "y", "w", "h", "confidence", "detectors", "detector_count", "original_confidences"])
 
-    return boxes.groupBy("image_id").cogroup(pairs.groupBy("image")).applyInPandas(run, schemas.REGIONS)
+    found = own.groupBy("image_id", "component").cogroup(near.groupBy("image", "component")).applyInPandas(run, schemas.REGIONS.replace("region_id int", "seed long"))
+    number = (F.row_number().over(Window.partitionBy("image_id").orderBy("seed")) - 1).cast("int")
+    return found.withColumn("region_id", number).select("image_id", "region_id", *found.columns[2:])

@@ -4,12 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.sources.stored import stored
 
 
+def stars(a: Sequence[int], b: Sequence[int]) -> dict[int, int]:
+    """Each node of the given edges, and the smallest one it is connected with by them."""
+    above: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while above.setdefault(k, k) != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    for x, y in zip(a, b):
+        x, y = top(x), top(y)
+        above[max(x, y)] = min(x, y)
+    return {k: top(k) for k in above}
+
+
+def contracted(edges: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
+    """Fewer ``edges`` (keys, a, b) that connect the same nodes: of each ``part`` of them (bounded; a task holds one) its stars."""
+    kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in (*keys, "a", "b"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ends = stars(f["a"].tolist(), f["b"].tolist())
+        found = [(k, c) for k, c in ends.items() if k != c]
+        return pd.DataFrame({**{k: f[k].iloc[0] for k in keys}, "a": [k for k, _ in found], "b": [c for _, c in found]}, columns=[*keys, "a", "b"])
+
+    return edges.select(*keys, "a", "b", part.alias("_part")).groupBy(*keys, "_part").applyInPandas(run, kinds)
+
+
 def connected(edges: DataFrame, keys: Sequence[str] = ("image_id",), most_rounds: int = 60) -> DataFrame:
     """(keys, node, component) of the nodes of ``edges`` (keys, a, b); component is the smallest node of the same keys reachable.
 

@@ -180,7 +180,35 @@ near AS (SELECT *, overlap / small AS ratio FROM pairs WHERE overlap / small >=
 _add("overlap_pairs", "detections", consensus.overlap_pairs, _PAIRS_SQL + "SELECT image_id, id_a, id_b, overlap, ratio FROM near")
 _REGION_SQL = "least(ax, bx) AS x, least(ay, by_) AS y, greatest(ax+aw, bx+bw) - least(ax, bx) AS w, greatest(ay+ah, by_+bh) - least(ay, by_) AS h"
 _add("pair_consensus", "detections", consensus.pair_regions, _PAIRS_SQL + f"SELECT image_id, id_a, id_b, {_REGION_SQL}, 1 - (1-ca)*(1-cb) AS confidence FROM near")
-_add("consensus_greedy", "detections", consensus.consensus, None)
+#: The greedy walk as lists: each seed in turn, its later neighbours in order, and after each of those all later boxes that a member
+#: overlaps and whose detector is new. Members come as lists of one, which is what a fold over lists of lists takes.
+_GREEDY_SQL = """, seq AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY detector_rank, det_id) AS i FROM detections),
+met AS (
+    SELECT a.image_id, a.i AS a, b.i AS b FROM seq a JOIN seq b ON a.image_id = b.image_id AND a.i <> b.i AND a.detector <> b.detector
+    WHERE CAST(greatest(0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y)) AS DOUBLE) / least(a.w*a.h, b.w*b.h) >= 0.1),
+near AS (SELECT image_id, a, list(b ORDER BY b) AS js FROM met GROUP BY 1, 2),
+boxes AS (SELECT s.image_id, list(detector ORDER BY i) AS det, list(coalesce(js, []::BIGINT[]) ORDER BY i) AS near, count(*) AS n, list(i ORDER BY i) FILTER (WHERE js IS NOT NULL) AS seeds FROM seq s LEFT JOIN near n ON n.image_id = s.image_id AND a = i GROUP BY 1),
+walk(image_id, k, used, members) AS (
+    SELECT image_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM boxes UNION ALL
+    SELECT image_id, k + 1, list_concat(used, grown), grown FROM (
+        SELECT w.image_id, w.k, w.used, CASE WHEN list_contains(w.used, b.seeds[w.k + 1]) THEN []::BIGINT[] ELSE
+            list_reduce(list_prepend([b.seeds[w.k + 1]], list_transform(list_filter(b.near[b.seeds[w.k + 1]], lambda j: j > b.seeds[w.k + 1] AND NOT list_contains(w.used, j)), lambda j: [j])),
+                lambda got, one: CASE WHEN list_contains(got, one[1]) THEN got ELSE
+                    list_reduce(list_prepend(list_append(got, one[1]), list_transform(range(one[1] + 1, b.n + 1), lambda m: [m])),
+                        lambda now, m: CASE WHEN list_contains(now, m[1]) OR list_contains(w.used, m[1]) OR list_contains(list_transform(now, lambda q: b.det[q]), b.det[m[1]]) OR NOT list_has_any(b.near[m[1]], now) THEN now ELSE list_append(now, m[1]) END) END) END AS grown
+        FROM walk w JOIN boxes b ON b.image_id = w.image_id AND w.k < len(b.seeds))), groups AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY k) - 1 AS region_id, members FROM walk WHERE len(members) >= 2),
+each AS (SELECT image_id, region_id, unnest(members) AS i, generate_subscripts(members, 1) AS place FROM groups)
+SELECT e.image_id, CAST(e.region_id AS INT) AS region_id, min(x) AS x, min(y) AS y, max(x+w) - min(x) AS w, max(y+h) - min(y) AS h, 1 - product(1 - conf) AS confidence, string_agg(detector, ',' ORDER BY place) AS detectors, CAST(count(*) AS INT) AS detector_count, string_agg(printf('%.2f', conf), ',' ORDER BY place) AS confidences
+FROM each e JOIN seq s ON s.image_id = e.image_id AND s.i = e.i GROUP BY 1, 2"""
+
+
+def _agreed(d: DataFrame) -> DataFrame:
+    rows = consensus.consensus(d)
+    shown = F.array_join(F.transform("original_confidences", lambda c: F.format_string("%.2f", c)), ",")
+    return rows.select("image_id", "region_id", "x", "y", "w", "h", "confidence", F.array_join("detectors", ",").alias("detectors"), "detector_count", shown.alias("confidences"))
+
+
+_add("consensus_greedy", "detections", _agreed, _GREEDY_SQL, recursive=True)
 _add(
     "largest_line_merge", "detections", detections.merge_line,
     """, top AS (SELECT image_id, y + h // 2 AS m FROM detections QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY w*h DESC, det_id) = 1)
