@@ -140,5 +140,16 @@ def parse_box(text: Column) -> Column:
     return F.when(good, box(*v))
 
 
+def whole_box(text: str) -> tuple[int, int, int, int]:
+    """``parse_box`` for one text outside of a table; blanks around numbers are allowed. Raises ValueError for anything that is no box."""
+    parts = text.split(",")
+    if len(parts) != 4:
+        raise ValueError("a box is four numbers x,y,w,h")
+    x, y, w, h = (int(p) for p in parts)
+    if min(x, y) < 0 or min(w, h) <= 0:
+        raise ValueError("a box lies at no negative place and has positive sizes")
+    return x, y, w, h
+
+
 def megapixels(width: Column, height: Column) -> Column:
     return width * height / 1e6

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
@@ -129,7 +129,7 @@ def _outline_area(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def convexity(labels: DataFrame, keys: Sequence[str] = ("image_id",), most: int = 10) -> DataFrame:
-    """(keys, label, convexity) of the first ``most`` components: outline area over the area of its hull."""
+    """(keys, label, convexity) of the first ``most`` of the components given: outline area over the area of its hull."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x, y = f["x"].to_numpy(np.int64), f["y"].to_numpy(np.int64)
@@ -137,7 +137,9 @@ def convexity(labels: DataFrame, keys: Sequence[str] = ("image_id",), most: int
         head = {k: [f[k].iloc[0]] for k in [*keys, "label"]}
         return pd.DataFrame(head | {"convexity": [_outline_area(x, y) / hull if hull > 0 else np.nan]})
 
-    first = labels.where(F.col("label") <= most)
+    given = labels.select(*keys, "label").distinct()
+    given = given.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("label"))).where(F.col("_r") <= most)
+    first = labels.join(given.drop("_r"), [*keys, "label"], "left_semi")
     schema = ", ".join(f"{k} {labels.schema[k].dataType.simpleString()}" for k in [*keys, "label"]) + ", convexity double"
     return first.groupBy(*keys, "label").applyInPandas(run, schema).where(~F.isnan("convexity"))
 

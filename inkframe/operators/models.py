@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.operators import detections
+from inkframe.sources.stored import stored
 
 RAW = "image_id bigint, detector string, detector_rank int, det_id bigint, x bigint, y bigint, w bigint, h bigint, conf double, message string"
 
@@ -99,11 +100,12 @@ def detect(images: DataFrame, name: str, load: Callable[[], Detector]) -> DataFr
 
 
 def detect_all(images: DataFrame, models: dict[str, Callable[[], Detector]], threshold: float, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(boxes, errors) of all given detectors together; one that is missing or fails adds no boxes."""
+    """(boxes, errors) of all given detectors together; one that is missing or fails adds no boxes. What they say is stored, so each runs once."""
     raw = None
     for name, load in models.items():
         part = detect(images, name, load)
         raw = part if raw is None else raw.unionByName(part)
+    raw = stored(raw)
     boxes = detections.large_enough(detections.confident(raw.where("message IS NULL"), threshold), least).drop("message")
     errors = raw.where("message IS NOT NULL").select("image_id", F.concat(F.lit("detect "), "detector").alias("stage"), "message")
     return boxes, errors

@@ -13,6 +13,9 @@ from inkframe.sources.stored import stored
 
 #: Rounds of clustering after which the plan is cut.
 CUT = 4
+#: Starts of which the most compact clustering is kept, and the generator (Park and Miller, 1988) that draws the first centres of
+#: each start after the first: colours of least (b, g, r as one number) * MULTIPLIER^start modulo PRIME.
+STARTS, MULTIPLIER, PRIME = 10, 48271, 2**31 - 1
 
 
 def grid_cluster(b: Column, g: Column, r: Column, steps: int = 4) -> Column:
@@ -51,9 +54,10 @@ def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_
     return assigned(centres)
 
 
-def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Cluster of each point by weighted k-means, points being in order of preference as first centres."""
-    number, centres = np.arange(min(k, len(points))), points[:k]
+def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Cluster of each point by weighted k-means; the first centres are the points ``first``, by default those that come first."""
+    first = np.arange(len(points)) if first is None else first
+    number, centres = np.arange(min(k, len(points))), points[first[:k]]
 
     def nearest() -> np.ndarray:
         out = np.empty(len(points), np.int64)
@@ -74,17 +78,41 @@ def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int) -> np.ndarr
     return number[nearest()]
 
 
-def lloyd_by_group(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ("b", "g", "r")) -> DataFrame:
+def compactness(points: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float:
+    """Sum of the weighted squared distances of points from the mean of their cluster."""
+    total = np.bincount(at, weight)
+    means = np.stack([np.bincount(at, weight * c) for c in points.T], axis=1) / np.maximum(total, 1)[:, None]
+    return float((weight[:, None] * (points - means[at]) ** 2).sum())
+
+
+def best_fit(points: np.ndarray, weight: np.ndarray, codes: np.ndarray, k: int, rounds: int, starts: int = STARTS) -> tuple[int, np.ndarray]:
+    """(start, clusters) of the most compact of ``starts`` clusterings, to three decimals, of equals the first.
+
+    The first start is that of ``fit``; the others draw ``k`` colours by their ``codes`` (b * 65536 + g * 256 + r).
+    """
+    best: tuple[float, int, np.ndarray] | None = None
+    for s in range(starts):
+        draw = np.argsort(codes * pow(MULTIPLIER, s, PRIME) % PRIME, kind="stable") if s else None
+        at = fit(points, weight, k, rounds, draw)
+        c = round(compactness(points, weight, at), 3)
+        if best is None or c < best[0]:
+            best = (c, s, at)
+    return best[1], best[2]
+
+
+def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ("b", "g", "r"), starts: int = 1) -> DataFrame:
     """``lloyd`` for many groups of which each fits a task: all rounds of a group in one pass, after one shuffle.
 
     ``colors`` keeps its columns and gets ``k``; ``by`` names the features. A group has as many rows as its
-    image's region has colours. For one huge group use ``lloyd``.
+    image's region has colours. For one huge group use ``lloyd``. With several ``starts`` the most compact clustering is
+    kept (``best_fit``); all starts of a group run in the same pass. ``k`` may name a column of ``keys`` that has the group's number.
     """
     by = list(by)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n", *by], ascending=[False] + [True] * len(by), kind="stable")
-        return f.assign(k=fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), k, rounds).astype("int32"))
+        codes = f["b"].to_numpy(np.int64) * 65536 + f["g"].to_numpy(np.int64) * 256 + f["r"].to_numpy(np.int64)
+        return f.assign(k=best_fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), codes, int(f[k].iloc[0]) if isinstance(k, str) else k, rounds, starts)[1].astype("int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in colors.schema.fields) + ", k int"
     return colors.groupBy(*keys).applyInPandas(run, schema)
@@ -125,6 +153,6 @@ def with_lab(colors: DataFrame) -> DataFrame:
     return out.select(*colors.columns, "_l", "_a", "_b")
 
 
-def lloyd_lab(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def lloyd_lab(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), starts: int = 1) -> DataFrame:
     """``lloyd_by_group`` on Lab features: (keys, b, g, r, n, k)."""
-    return lloyd_by_group(with_lab(colors), k, rounds, keys, ("_l", "_a", "_b")).drop("_l", "_a", "_b")
+    return lloyd_by_group(with_lab(colors), k, rounds, keys, ("_l", "_a", "_b"), starts).drop("_l", "_a", "_b")

@@ -4,30 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions import color
-from inkframe.operators import colors, components, morphology, quantize, textlike
+from inkframe.operators import colors, components, quantize, textlike, tiles
 from inkframe.sources.stored import stored
 
 #: Clusters that the plain search forms; rounds of clustering at most, which ends when nothing moves; pixels a colour
-#: needs to be kept; numbers of clusters that the long search tries.
-CLUSTERS, ROUNDS, LEAST, RANGE = 12, 200, 4, range(2, 17)
+#: needs to be kept; numbers of clusters that the long search tries, and the last of each lot that it tries in one plan.
+CLUSTERS, ROUNDS, LEAST, RANGE, LOTS = 12, 200, 4, range(2, 17), (4, 8, 16)
+#: What numbers a cluster across a lot: clusters * SPAN + k.
+SPAN = 1000
 #: How close two detector scores count as equal, and the score that ends the search.
 CLOSE, ENOUGH = 0.01, 0.975
 #: By what share a likelihood of 1 raises a detector's score.
 BOOST = 0.5
 
 
-def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = ROUNDS, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = ROUNDS, keys: tuple[str, ...] = ("image_id",), starts: int = quantize.STARTS) -> DataFrame:
     """(keys, b, g, r, n): the colours of each group's text cluster with LEAST pixels or more.
 
     The cluster is that whose centre is closest to ``target``, or without one that of the least channel
     variance; ties to the smaller number.
     """
     keys = list(keys)
-    assigned = quantize.lloyd_lab(colors.distinct_colors(pixels, keys), clusters, rounds, keys)
+    assigned = quantize.lloyd_lab(colors.distinct_colors(pixels, keys), clusters, rounds, keys, starts)
     centres = quantize.centres_of(assigned, keys)
     if target is not None:
         best = quantize.nearest_cluster(centres, target, keys)
@@ -41,17 +43,22 @@ def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], Data
     """(image_id, k, conf, n_components, likelihood, combined) of each cluster of ``assigned`` (image_id, x, y, k).
 
     ``confidence`` is the detector: from test images (image_id, k, x, y, v: the cluster black on gray 192) to
-    (image_id, k, conf). Components are those of the cluster's own pixels, after the triple cleaning.
+    (image_id, k, conf). Of an image, only clusters of one number (``clusters``, if ``assigned`` has that) make up a test image. Components are those of the cluster's own pixels, after the triple cleaning. Text in a region
+    that is taller than wide runs downwards.
     """
-    ks = assigned.select("image_id", "k").distinct()
-    pairs = assigned.select("image_id", "x", "y", F.col("k").alias("_own")).join(ks, "image_id")
+    lot = ["image_id", "clusters"] if "clusters" in assigned.columns else ["image_id"]
+    ks = assigned.select(*lot, "k").distinct()
+    wide, high = (F.max(c) - F.min(c) for c in "xy")
+    upright = assigned.groupBy("image_id").agg((high > wide).alias("v")).where("v").select("image_id")
+    pairs = assigned.select(*lot, "x", "y", F.col("k").alias("_own")).join(ks, lot)
+    ks = ks.select("image_id", "k")
     images = pairs.select("image_id", "k", "x", "y", F.when(F.col("_own") == F.col("k"), 0).otherwise(192).cast("int").alias("v"))
     keys = ["image_id", "k"]
     mask = images.withColumn("v", F.when(F.col("v") == 0, 255).otherwise(0).cast("int"))
-    labels = components.label(morphology.open_erode_dilate(mask, keys), keys)
+    labels = components.label(tiles.by_tiles(mask, tiles.OPEN * 3, keys), keys)
     found = components.plausible(components.features(labels, keys))
     shapes = components.convexity(labels.join(found.select(*keys, "label"), [*keys, "label"], "left_semi"), keys)
-    line = textlike.likelihood(found, keys, shapes).select(*keys, F.col("n").alias("n_components"), "likelihood")
+    line = textlike.likelihood(found, keys, shapes, ks.join(upright, "image_id", "left_semi")).select(*keys, F.col("n").alias("n_components"), "likelihood")
     out = ks.join(confidence(images), keys, "left").join(line, keys, "left").na.fill(0, ["conf", "n_components", "likelihood"])
     # A likely line counts for more components, at most twice as many or ten more; an unlikely one for half.
     n = F.col("n_components")
@@ -64,15 +71,24 @@ def best_of(scored: DataFrame) -> DataFrame:
     """(image_id, clusters, k, conf, n_components, likelihood, combined, b, g, r) of the candidate that stands after all have been tried.
 
     Candidates come by (clusters, k). One takes the lead by a higher combined score, or by more components at
-    a score closer than CLOSE; so the order matters, and the search is a fold over an image's few candidates.
-    Images where none scores over 0 or has components have no row.
+    a score closer than CLOSE; a lead whose detector score is over ENOUGH ends the search after its number of clusters. So the order
+    matters, and the search is a fold over an image's few candidates. The lead of some candidates
+    may stand for them before those of higher numbers. Images where none scores over 0 or has components have no row.
     """
     columns = ["clusters", "k", "conf", "n_components", "likelihood", "combined", "b", "g", "r"]
     rows = scored.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("all"))
     none = {"conf": 0, "n_components": 0, "likelihood": 0, "combined": 0}
     kinds = ", ".join(f"'{c}', CAST({none.get(c, 'NULL')} AS {scored.schema[c].dataType.simpleString()})" for c in columns)
-    better = lambda best, x: (x["combined"] > best["combined"]) | ((F.abs(x["combined"] - best["combined"]) < CLOSE) & (x["n_components"] > best["n_components"]))
-    lead = F.aggregate("all", F.expr(f"named_struct({kinds})"), lambda best, x: F.when(better(best, x), x).otherwise(best))
+    # The lead, the number of clusters being tried, and whether the search was over before it.
+    begin = F.struct(F.expr(f"named_struct({kinds})").alias("lead"), F.lit(0).alias("number"), F.lit(False).alias("over"))
+
+    def step(s: Column, x: Column) -> Column:
+        over = s["over"] | ((x["clusters"] > s["number"]) & (s["lead"]["conf"] > ENOUGH))
+        best = s["lead"]
+        better = (x["combined"] > best["combined"]) | ((F.abs(x["combined"] - best["combined"]) < CLOSE) & (x["n_components"] > best["n_components"]))
+        return F.struct(F.when(~over & better, x).otherwise(best).alias("lead"), F.greatest(s["number"], x["clusters"]).alias("number"), over.alias("over"))
+
+    lead = F.aggregate("all", begin, step, lambda s: s["lead"])
     return rows.select("image_id", lead.alias("b")).where("b.k IS NOT NULL").select("image_id", "b.*")
 
 
@@ -82,24 +98,29 @@ def darkest(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.min(order).alias("m")).select("image_id", "m.b", "m.g", "m.r")
 
 
-def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame], numbers: range = RANGE, rounds: int = ROUNDS) -> DataFrame:
+def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame], numbers: range = RANGE, rounds: int = ROUNDS, starts: int = 1) -> DataFrame:
     """(image_id, clusters, k, conf, n_components, likelihood, combined, b, g, r): the best cluster over all numbers of clusters.
 
-    b, g, r are the cluster's mean colour. Images whose detector score exceeds ENOUGH leave the search after that
-    number; the rest go on. An image without any candidate has its darkest pixel's colour and nulls.
+    b, g, r are the cluster's mean colour. Numbers are tried in lots (LOTS), each one plan, in which a cluster's k is told apart by its
+    number; images whose lead has a detector score over ENOUGH leave the search after a lot, and within it no later number counts. Only
+    the lead of each image is carried on. An image without any candidate has its darkest pixel's colour and nulls.
     """
-    counted = colors.distinct_colors(pixels)
-    left, out = pixels.select("image_id").distinct(), None
-    for n in numbers:
-        own = counted.join(left, "image_id", "left_semi")
-        clustered = stored(quantize.lloyd_lab(own, n, rounds))
-        assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "k"), ["image_id", "b", "g", "r"])
+    counted = stored(quantize.with_lab(colors.distinct_colors(pixels)))
+    left, lead = pixels.select("image_id").distinct(), None
+    lots = [lot for lo, hi in zip((0, *LOTS), (*LOTS, max(numbers, default=0))) if (lot := [n for n in numbers if lo < n <= hi])]
+    for lot in lots:
+        own = counted.join(left, "image_id", "left_semi").withColumn("clusters", F.explode(F.array(*map(F.lit, lot))))
+        clustered = quantize.lloyd_by_group(own, "clusters", rounds, ("image_id", "clusters"), ("_l", "_a", "_b"), starts)
+        clustered = stored(clustered.select("image_id", "clusters", "b", "g", "r", "n", (F.col("clusters") * SPAN + F.col("k")).alias("k")))
+        assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "clusters", "k"), ["image_id", "b", "g", "r"])
         means = quantize.centres_of(clustered).drop("n")
-        scored = stored(candidate_scores(assigned, confidence).join(means, ["image_id", "k"]).withColumn("clusters", F.lit(n)))
-        out = scored if out is None else out.unionByName(scored)
-        left = stored(left.join(scored.where(F.col("conf") > ENOUGH).select("image_id").distinct(), "image_id", "left_anti"))
+        scored = candidate_scores(assigned, confidence).join(means, ["image_id", "k"])
+        scored = scored.withColumns({"clusters": F.floor(F.col("k") / SPAN).cast("int"), "k": (F.col("k") % SPAN).cast("int")})
+        lead = stored(best_of(scored if lead is None else lead.unionByName(scored)))
+        if lot is lots[-1]:
+            break
+        left = stored(left.join(lead.where(F.col("conf") > ENOUGH).select("image_id"), "image_id", "left_anti"))
         if left.isEmpty():
             break
-    best = best_of(out)
-    rest = darkest(pixels).join(best.select(F.col("image_id").alias("_i")), F.col("image_id") == F.col("_i"), "left_anti")
-    return best.unionByName(rest.select("image_id", *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in best.columns[1:-3]), *(F.col(c).cast("double").alias(c) for c in "bgr")))
+    rest = darkest(pixels).join(lead.select(F.col("image_id").alias("_i")), F.col("image_id") == F.col("_i"), "left_anti")
+    return lead.unionByName(rest.select("image_id", *(F.lit(None).cast(lead.schema[c].dataType).alias(c) for c in lead.columns[1:-3]), *(F.col(c).cast("double").alias(c) for c in "bgr")))

@@ -76,14 +76,14 @@ def score_map(assigned: DataFrame, scores: DataFrame, keys: Sequence[str] = ("im
     return rows.select(*keys, "x", "y", "norm", F.when(hit, 255).otherwise(0).cast("int").alias("v"))
 
 
-def _mask_of(f: pd.DataFrame, clusters: int, rounds: int, target: color.BGR | None) -> np.ndarray:
+def _mask_of(f: pd.DataFrame, clusters: int, rounds: int, target: color.BGR | None, starts: int) -> np.ndarray:
     """v of each row of one region's surroundings: quantisation, scores and threshold as the table functions have them."""
     code = (f["b"].to_numpy(np.int64) << 16) | (f["g"].to_numpy(np.int64) << 8) | f["r"].to_numpy(np.int64)
     colors_, at, n = np.unique(code, return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")  # most frequent first, then by b, g, r
     points = np.stack([colors_ >> 16, colors_ >> 8 & 255, colors_ & 255], axis=1).astype(np.float64)
     k = np.empty(len(colors_), np.int64)
-    k[order] = quantize.fit(points[order], n[order].astype(np.float64), clusters, rounds)
+    k[order] = quantize.best_fit(points[order], n[order].astype(np.float64), colors_[order], clusters, rounds, starts)[1]
     own, doc = k[at], f["in_doc"].to_numpy(bool)
     n_doc, n_corpus = np.bincount(own[doc], minlength=clusters), np.bincount(own[~doc], minlength=clusters)
     norm = np.full(clusters, 128)
@@ -102,7 +102,7 @@ def _mask_of(f: pd.DataFrame, clusters: int, rounds: int, target: color.BGR | No
     return np.where(text[own], 255, 0)
 
 
-def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, target: color.BGR | None = None, clean: bool = True, tile: int | None = None) -> DataFrame:
+def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, target: color.BGR | None = None, clean: bool = True, tile: int | None = None, starts: int = 1) -> DataFrame:
     """(image_id, region_id, x, y, v): the mask of the text in each region.
 
     Surroundings, quantisation of their distinct colours, scores, threshold, then morphological cleaning
@@ -110,7 +110,7 @@ def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, r
 
     A region's surroundings fit a task, so all of its steps run in one, cleaning included, after one shuffle;
     ``cluster_scores`` and ``score_map`` do the same on tables, for groups of any size, and with ``tile`` the
-    mask is cleaned by tiles of that size.
+    mask is cleaned by tiles of that size. ``starts``: of how many clusterings the most compact one counts.
     """
     keys = ["image_id", "region_id"]
     near = region_pixels(pixels, regions)
@@ -119,7 +119,7 @@ def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, r
         out = f[[*keys, "x", "y"]].assign(v=0)
         if len(f) < clusters:
             return out[:0]
-        out = out.assign(v=_mask_of(f, clusters, rounds, target))[f["in_doc"].to_numpy(bool)]
+        out = out.assign(v=_mask_of(f, clusters, rounds, target, starts))[f["in_doc"].to_numpy(bool)]
         if clean and not tile:
             out["v"] = tiles.run_steps(out["x"].to_numpy(np.int64), out["y"].to_numpy(np.int64), out["v"].to_numpy(np.int32), tiles.CLEAN)
         return out

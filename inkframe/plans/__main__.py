@@ -16,6 +16,7 @@ from inkframe.functions import geometry as geo
 from inkframe.operators import detections, inpaint, models
 from inkframe.plans import cascade, report
 from inkframe.sources import images as files
+from inkframe.sources.stored import stored
 
 log = logging.getLogger("inkframe")
 
@@ -62,14 +63,28 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         p.error("lama needs --inpainter")
     if any(d.partition("=")[0] not in detections.DETECTORS or "=" not in d for d in a.detector):
         p.error("a detector is east, doctr or easyocr = module:function")
+    try:
+        a.force_bbox = geo.whole_box(a.force_bbox) if a.force_bbox is not None else None
+    except ValueError as e:
+        p.exit(1, f"{p.prog}: --force-bbox: {e}\n")
     return a
 
 
-def find_regions(spark: SparkSession, a: argparse.Namespace, found: DataFrame, sizes: DataFrame) -> DataFrame:
+#: Pixels of a mask that is sent whole to every task (24 bytes each); a larger one is joined by shuffle.
+MASK_PIXELS = 2_000_000
+
+
+def given_mask(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+    """(image_id, x, y, v): one mask (x, y, v) for every image; pixels that it hasn't have no row. Pixels stay where they are if it is small."""
+    small = F.broadcast(mask) if mask.count() <= MASK_PIXELS else mask
+    return pixels.select("image_id", "x", "y").join(small.select("x", "y", "v"), ["x", "y"]).select("image_id", "x", "y", "v")
+
+
+def find_regions(spark: SparkSession, a: argparse.Namespace, found: DataFrame, sizes: DataFrame, failed: list[DataFrame] | None = None) -> DataFrame:
     """(image_id, x, y, w, h, failover_type) by the box given, else by detections given, else by detectors, else at the usual places."""
     forced = None
     if a.force_bbox:
-        forced = sizes.select("image_id", geo.parse_box(F.lit(a.force_bbox)).alias("b")).where("b IS NOT NULL").select("image_id", "b.*")
+        forced = sizes.select("image_id", *(F.lit(v).cast("long").alias(c) for c, v in zip("xywh", a.force_bbox)))
     if a.detections:
         boxes = spark.read.parquet(a.detections).drop("image_id").join(found.select("name", "image_id"), "name")
         return cascade.regions_of(sizes, detections.confident(boxes, a.confidence_threshold), forced=forced)
@@ -77,7 +92,7 @@ def find_regions(spark: SparkSession, a: argparse.Namespace, found: DataFrame, s
         return cascade.regions_of(sizes, spark.createDataFrame([], "image_id long, det_id long, detector string, detector_rank int, x long, y long, w long, h long, conf double"), forced=forced)
     if a.detector:
         loads = {d.partition("=")[0]: plug_in(d.partition("=")[2], a.device) for d in a.detector}
-        return cascade.detected_regions(found, loads, a.confidence_threshold, color.parse(a.color) if a.color else None)
+        return cascade.detected_regions(found, loads, a.confidence_threshold, color.parse(a.color) if a.color else None, failed=failed)
     return cascade.first_found(sizes, [("watermark", cascade.baselines(sizes))])
 
 
@@ -97,14 +112,15 @@ def main(argv: list[str] | None = None) -> None:
     found = found.withColumn("image_id", F.xxhash64("name"))
     names = found.select("image_id", "name")
     sizes = found.select("image_id", F.col("width").cast("long"), F.col("height").cast("long"))
-    find_regions(spark, a, found, sizes).write.parquet(f"{a.output}/regions")
+    failed: list[DataFrame] = []
+    find_regions(spark, a, found, sizes, failed).write.parquet(f"{a.output}/regions")
     regions = spark.read.parquet(f"{a.output}/regions")
     done("detection_time")
     pixels = files.to_pixels(found)
     if a.maskfile:
         given, bad = files.read_masks(spark, a.maskfile)
         errors = errors.unionByName(bad)
-        mask = pixels.select("image_id", "x", "y").join(given.select("x", "y", "v"), ["x", "y"]).select("image_id", "x", "y", "v")
+        mask = given_mask(pixels, stored(given))
     else:
         mask = cascade.masks_of(pixels, sizes, regions, target, a.granularity)
     mask.write.parquet(f"{a.output}/masks")
@@ -117,6 +133,8 @@ def main(argv: list[str] | None = None) -> None:
     named = files.encode_png(clean).join(names, "image_id")
     named.withColumn("file", files.output_names(F.col("name"))["clean"]).write.parquet(f"{a.output}/png")
     done("inpaint_time")
+    for e in failed:
+        errors = errors.unionByName(e.join(names, "image_id").select(errors.columns))
     if a.keep_masks:
         whole = pixels.select("image_id", "x", "y").join(mask, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *(F.coalesce("v", F.lit(0)).cast("long").alias(c) for c in "bgr"))
         files.encode_png(whole).join(names, "image_id").withColumn("file", files.output_names(F.col("name"))["mask"]).write.parquet(f"{a.output}/mask_png")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import color
 from inkframe.functions import geometry as geo
-from inkframe.operators import colors, consensus, filters, inpaint, models, tfidf
+from inkframe.operators import colors, consensus, filters, inpaint, models, quantize, tfidf
 from inkframe.sources import images as files
 from inkframe.sources.stored import stored
 
@@ -84,12 +84,13 @@ def regions_of(images: DataFrame, detections: DataFrame, rotated: DataFrame | No
 GRAY, WHITE, SENSITIVITY = (128, 128, 128), (255, 255, 255), 3
 
 
-def detected_regions(images: DataFrame, detectors: dict[str, Callable[[], models.Detector]], threshold: float = 0.3, target: color.BGR | None = None, sensitivity: int = SENSITIVITY, compat: str = "wrap") -> DataFrame:
+def detected_regions(images: DataFrame, detectors: dict[str, Callable[[], models.Detector]], threshold: float = 0.3, target: color.BGR | None = None, sensitivity: int = SENSITIVITY, compat: str = "wrap", failed: list[DataFrame] | None = None) -> DataFrame:
     """(image_id, x, y, w, h, failover_type) of ``images`` (image_id, width, height, channels, data), with detectors as plug-ins.
 
     Tried in turn: pixels of the ``target`` colour turned black, if one is given; the prepared image; the image
     turned by 90 degrees; gray and then white pixels turned black; at last the usual places. Each way sees only
-    the images on which those before found nothing, and its regions are stored, so no detector runs twice.
+    the images on which those before found nothing, and its regions are stored, so no detector runs twice. ``failed`` is given a
+    table (image_id, stage, message) of each way's failures.
     """
     sizes = images.select("image_id", F.col("width").cast("long"), F.col("height").cast("long"))
 
@@ -97,7 +98,10 @@ def detected_regions(images: DataFrame, detectors: dict[str, Callable[[], models
         return files.to_pixels(images.join(left.select("image_id"), "image_id", "left_semi"))
 
     def agreed(prepared: DataFrame) -> DataFrame:
-        return consensus.consensus(models.detect_all(files.from_pixels(prepared), detectors, threshold)[0])
+        found, errors = models.detect_all(files.from_pixels(prepared), detectors, threshold)
+        if failed is not None:
+            failed.append(errors)
+        return consensus.consensus(found)
 
     def turned(left: DataFrame) -> DataFrame:
         x, y = geo.rotate_point(F.col("x"), F.col("y"), F.col("height"))
@@ -114,13 +118,13 @@ def detected_regions(images: DataFrame, detectors: dict[str, Callable[[], models
     return staged(sizes, ways, stored)
 
 
-def masks_of(pixels: DataFrame, images: DataFrame, regions: DataFrame, target=None, clusters: int = tfidf.CLUSTERS, rounds: int = tfidf.ROUNDS) -> DataFrame:
+def masks_of(pixels: DataFrame, images: DataFrame, regions: DataFrame, target=None, clusters: int = tfidf.CLUSTERS, rounds: int = tfidf.ROUNDS, starts: int = quantize.STARTS) -> DataFrame:
     """(image_id, x, y, v): the union of the text masks of each image's regions."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("image_id").orderBy("x", "y", "w", "h")
     numbered = regions.withColumn("region_id", F.row_number().over(order)).join(images.select("image_id", "width", "height"), "image_id")
-    return inpaint.combine_masks(tfidf.text_mask(pixels, numbered, clusters, rounds, target))
+    return inpaint.combine_masks(tfidf.text_mask(pixels, numbered, clusters, rounds, target, starts=starts))
 
 
 def repair(pixels: DataFrame, mask: DataFrame, method: str | Callable[[DataFrame, DataFrame], DataFrame] = "telea") -> DataFrame:

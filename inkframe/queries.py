@@ -259,12 +259,12 @@ _add(
 )
 
 # --- quantisation and scores -----------------------------------------------------------------------------
-def _lloyd_sql(colors_: str, k: int, rounds: int, keys: str = "image_id", name: str = "") -> str:
-    """CTEs a{name}0 .. a{name}{rounds}: (keys, b, g, r, n, k) of ``colors_`` after so many updates."""
+def _lloyd_sql(colors_: str, k: int, rounds: int, keys: str = "image_id", name: str = "", order: str = "n DESC, b, g, r") -> str:
+    """CTEs a{name}0 .. a{name}{rounds}: (keys, b, g, r, n, k) of ``colors_`` after so many updates; first centres come by ``order``."""
     c, a, on = f"c{name}", f"a{name}", " AND ".join(f"o.{x.strip()} = c.{x.strip()}" for x in keys.split(","))
     own = ", ".join(f"o.{x.strip()}" for x in keys.split(","))
-    out = f""", {c}0 AS MATERIALIZED (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, b, g, r) - 1 AS k, CAST(b AS DOUBLE) AS cb, CAST(g AS DOUBLE) AS cg, CAST(r AS DOUBLE) AS cr FROM {colors_}
-           QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, b, g, r) <= {k})"""
+    out = f""", {c}0 AS MATERIALIZED (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS k, CAST(b AS DOUBLE) AS cb, CAST(g AS DOUBLE) AS cg, CAST(r AS DOUBLE) AS cr FROM {colors_}
+           QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {order}) <= {k})"""
     for t in range(rounds + 1):
         out += f""", {a}{t} AS MATERIALIZED (SELECT {own}, b, g, r, n, min({{'d': (b-cb)*(b-cb) + (g-cg)*(g-cg) + (r-cr)*(r-cr), 'k': k}}).k AS k FROM {colors_} o JOIN {c}{t} c ON {on} GROUP BY {own}, b, g, r, n)"""
         if t < rounds:
@@ -276,13 +276,35 @@ _COLORS_SQL = ", colors AS MATERIALIZED (SELECT image_id, b, g, r, count(*) AS n
 _CENTRES = "SELECT image_id, CAST(k AS INT) AS k, sum(b*n)/sum(n) AS b, sum(g*n)/sum(n) AS g, sum(r*n)/sum(n) AS r, CAST(sum(n) AS BIGINT) AS n FROM {} GROUP BY image_id, k"
 _add("kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), 4, 3)), _COLORS_SQL + _lloyd_sql("colors", 4, 3) + _CENTRES.format("a3"))
 _add("kmeans_rgb", "pixels", lambda d: quantize.centres_of(quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS)), _COLORS_SQL + _lloyd_sql("colors", tfidf.CLUSTERS, tfidf.ROUNDS) + _CENTRES.format(f"a{tfidf.ROUNDS}"))
+
+
+def _restarted(d: DataFrame) -> DataFrame:
+    """The clusters of the most compact of ten starts, and how compact they are."""
+    assigned = quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS, starts=quantize.STARTS)
+    centres = quantize.centres_of(assigned).select("image_id", "k", *(F.col(c).alias(f"c{c}") for c in "bgr"), F.col("n").alias("pixels"))
+    off = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "bgr"), F.lit(0.0))
+    return assigned.join(centres, ["image_id", "k"]).groupBy("image_id", "k", "pixels").agg(F.round(F.sum(F.col("n") * off), 3).alias("spread"))
+
+
+_STARTS_SQL = (
+    f", starts(start, f) AS (VALUES {', '.join(f'({s}, {pow(quantize.MULTIPLIER, s, quantize.PRIME) if s else 0})' for s in range(quantize.STARTS))})"
+    f", drawn AS MATERIALIZED (SELECT c.*, start, CASE WHEN start = 0 THEN -n ELSE (b * 65536 + g * 256 + r) * f % {quantize.PRIME} END AS draw FROM colors c, starts)"
+)
+_add(
+    "kmeans_restarts", "pixels", _restarted,
+    _COLORS_SQL + _STARTS_SQL + _lloyd_sql("drawn", tfidf.CLUSTERS, tfidf.ROUNDS, "image_id, start", "s", "draw, n DESC, b, g, r")
+    + f""", means AS (SELECT *, sum(b*n) OVER w / sum(n) OVER w AS cb, sum(g*n) OVER w / sum(n) OVER w AS cg, sum(r*n) OVER w / sum(n) OVER w AS cr FROM as{tfidf.ROUNDS} WINDOW w AS (PARTITION BY image_id, start, k)),
+    spreads AS MATERIALIZED (SELECT image_id, start, k, CAST(sum(n) AS BIGINT) AS pixels, sum(n * ((b-cb)*(b-cb) + (g-cg)*(g-cg) + (r-cr)*(r-cr))) AS spread FROM means GROUP BY 1, 2, 3),
+    best AS (SELECT image_id, start FROM (SELECT image_id, start, round(sum(spread), 3) AS c FROM spreads GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY c, start) = 1)
+    SELECT image_id, CAST(k AS INT) AS k, pixels, round(spread, 3) AS spread FROM spreads JOIN best USING (image_id, start)""",
+)
 _add("find_text_colors", "pixels", search.find_text_colors, None)
 
 
 def _searched(d: DataFrame) -> DataFrame:
     """The long search with a stand-in for the detector: how evenly an image is split into black and gray."""
     share = F.avg((F.col("v") == 0).cast("int"))
-    return search.exhaustive_search(d, lambda images: images.groupBy("image_id", "k").agg((4 * share * (1 - share)).alias("conf")), range(2, 5))
+    return search.exhaustive_search(d, lambda images: images.groupBy("image_id", "k").agg((4 * share * (1 - share)).alias("conf")))
 
 
 _add("exhaustive_search", "pixels", _searched, None)
