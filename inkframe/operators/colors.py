@@ -61,6 +61,26 @@ def mask_near(pixels: DataFrame, colors: Sequence[color.BGR], tolerance: int = 1
     return pixels.select("image_id", "x", "y", F.when(hit, 255).otherwise(0).cast("int").alias("v"))
 
 
+def mask_near_table(pixels: DataFrame, table: DataFrame, tolerance: int = 10) -> DataFrame:
+    """(image_id, x, y, v) as ``mask_near``, for colours in a table (b, g, r, and image_id where each image has its own) of any length.
+
+    A range join by the cells of a grid of the colour cube: cells are as wide as a colour reaches, so each colour of the table is
+    in eight of them at most and meets the distinct colours of an image in theirs. A colour leaves the join with its
+    first match, so no pairs are made; pixels then look their colour up.
+    """
+    on = ["image_id"] if "image_id" in table.columns else []
+    wide = 2 * tolerance + 1
+    cells = [f"_{c}" for c in "bgr"]
+    known = pixels.select(*on, "b", "g", "r").distinct().withColumns({f"_{c}": F.floor(F.col(c) / wide) for c in "bgr"})
+    asked = table.select(*(F.col(c).alias(f"t_{c}") for c in (*on, "b", "g", "r"))).distinct()
+    for c in "bgr":
+        asked = asked.select("*", F.explode(F.sequence(F.floor((F.col(f"t_{c}") - tolerance) / wide), F.floor((F.col(f"t_{c}") + tolerance) / wide))).alias(f"t__{c}"))
+    same = [F.col(c) == F.col(f"t_{c}") for c in (*on, *cells)]
+    close = [F.abs(F.col(c) - F.col(f"t_{c}")) <= tolerance for c in "bgr"]
+    hits = known.join(asked, [*same, *close], "left_semi").select(*on, "b", "g", "r", F.lit(255).alias("_v"))
+    return pixels.join(hits, [*on, "b", "g", "r"], "left").select("image_id", "x", "y", F.coalesce("_v", F.lit(0)).cast("int").alias("v"))
+
+
 def enhance(pixels: DataFrame, target: color.BGR, tolerance: int, compat: str = "wrap") -> DataFrame:
     """Pixels near ``target`` turned black, with ``hit`` telling which."""
     hit = color.near(F.col("b"), F.col("g"), F.col("r"), target, tolerance, compat)

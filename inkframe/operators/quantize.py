@@ -130,6 +130,18 @@ def nearest_cluster(centres: DataFrame, target: tuple[int, int, int], keys: Sequ
     return centres.groupBy(*keys).agg(F.min(F.struct(d.alias("d"), "k")).alias("m")).select(*keys, "m.k")
 
 
+def nearest_clusters(centres: DataFrame, targets: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, b, g, r, k) of the centre closest to each colour of ``targets`` (keys, b, g, r); ties to the smaller number.
+
+    As in ``lloyd`` a group's centres travel as one array beside its colours, so no pair of rows is formed.
+    """
+    keys = list(keys)
+    known = centres.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", *(F.col(c).cast("double").alias(c) for c in "bgr")))).alias("_c"))
+    d = lambda c: sum(((F.col(x) - c[x]) * (F.col(x) - c[x]) for x in "bgr"), F.lit(0.0))
+    near = F.array_min(F.transform("_c", lambda c: F.struct(d(c).alias("d"), c["k"].alias("k"))))
+    return targets.select(*keys, "b", "g", "r").distinct().join(known, keys).select(*keys, "b", "g", "r", near["k"].alias("k"))
+
+
 def with_lab(colors: DataFrame) -> DataFrame:
     """Adds _l, _a, _b: features for clustering in CIE Lab (sRGB, D65), L / 100 and (a + 127) / 254 of 8-bit values.
 

@@ -502,7 +502,73 @@ _add(
     """SELECT image_id, y//10 AS ty, x//10 AS tx, avg(CASE WHEN is_text THEN 1 ELSE 0 END) AS edge_density, avg(CASE WHEN b % 2 = 0 THEN 1 ELSE 0 END) AS share_0, avg(CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END) AS share_1 FROM pixels WHERE x < 60 AND y < 40 GROUP BY 1, 2, 3""",
 )
 _add("edgy_colors", "pixels", textlike.edgy_colors, None)
-_add("prepare_images", "pixels", filters.prepare, None)
+
+# --- filters ----------------------------------------------------------------------------------------------
+#: Images of 64 by 48 have 16 tiles of 16 by 12, of which none is filled up; at most one pixel of a tile counts for a value.
+_CONTRAST_SQL = """, gray AS MATERIALIZED (SELECT image_id, x, y, CAST(floor((b*9798 + g*19235 + r*3735 + 16384) / 32768) AS BIGINT) AS v FROM pixels),
+hist AS (SELECT image_id, y // 12 AS ti, x // 16 AS tj, v, count(*) AS n FROM gray GROUP BY ALL),
+bins AS (SELECT image_id, ti, tj, v, coalesce(n, 0) AS n FROM (SELECT image_id, a.range AS ti, b.range AS tj, c.range AS v FROM (SELECT DISTINCT image_id FROM gray), range(4) a, range(4) b, range(256) c) LEFT JOIN hist USING (image_id, ti, tj, v)),
+cut AS (SELECT *, least(n, 1) AS c, CAST(sum(greatest(n - 1, 0)) OVER (PARTITION BY image_id, ti, tj) AS BIGINT) AS spare FROM bins),
+shared AS (SELECT *, greatest(1, 256 // greatest(spare % 256, 1)) AS step FROM cut),
+maps AS MATERIALIZED (
+    SELECT image_id, ti, tj, v, least(255, round_even(CAST(sum(c + spare // 256 + CASE WHEN v % step = 0 AND v // step < spare % 256 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, ti, tj ORDER BY v ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 255 / 192, 0)) AS m
+    FROM shared),
+placed AS (SELECT *, CAST(floor(fy) AS BIGINT) AS y0, CAST(floor(fx) AS BIGINT) AS x0, fy - floor(fy) AS wy, fx - floor(fx) AS wx FROM (SELECT *, y / 12 - 0.5::DOUBLE AS fy, x / 16 - 0.5::DOUBLE AS fx FROM gray)),
+even AS MATERIALIZED (
+    SELECT p.image_id, x, y, CAST(least(255, greatest(0, round_even((a.m * (1 - wx) + b.m * wx) * (1 - wy) + (c.m * (1 - wx) + d.m * wx) * wy, 0))) AS BIGINT) AS v FROM placed p
+    JOIN maps a ON a.image_id = p.image_id AND a.v = p.v AND a.ti = greatest(0, least(3, y0)) AND a.tj = greatest(0, least(3, x0))
+    JOIN maps b ON b.image_id = p.image_id AND b.v = p.v AND b.ti = greatest(0, least(3, y0)) AND b.tj = greatest(0, least(3, x0 + 1))
+    JOIN maps c ON c.image_id = p.image_id AND c.v = p.v AND c.ti = greatest(0, least(3, y0 + 1)) AND c.tj = greatest(0, least(3, x0))
+    JOIN maps d ON d.image_id = p.image_id AND d.v = p.v AND d.ti = greatest(0, least(3, y0 + 1)) AND d.tj = greatest(0, least(3, x0 + 1)))"""
+_add("contrast", "pixels", lambda d: filters.contrast_table(filters.gray_values(d)), _CONTRAST_SQL + " SELECT * FROM even")
+_add(
+    "prepare_images", "pixels", filters.prepare,
+    _CONTRAST_SQL + """, disc AS (SELECT a.range AS dy, b.range AS dx FROM range(-4, 5) a, range(-4, 5) b WHERE a.range * a.range + b.range * b.range <= 16),
+    seen AS (SELECT e.*, dx*dx + dy*dy AS far, CASE WHEN x+dx < 0 THEN -(x+dx) WHEN x+dx > 63 THEN 126-(x+dx) ELSE x+dx END AS nx, CASE WHEN y+dy < 0 THEN -(y+dy) WHEN y+dy > 47 THEN 94-(y+dy) ELSE y+dy END AS ny FROM even e, disc),
+    near AS (SELECT s.image_id, s.x, s.y, n.v, exp(-s.far / 11250.0 - (n.v - s.v) * (n.v - s.v) / 20000.0) AS k FROM seen s JOIN even n ON n.image_id = s.image_id AND n.x = nx AND n.y = ny),
+    soft AS (SELECT image_id, x, y, CAST(round_even(round(sum(k * v) / sum(k), 9), 0) AS BIGINT) AS p FROM near GROUP BY 1, 2, 3)
+    SELECT image_id, x, y, p AS b, p AS g, p AS r FROM soft""",
+)
+
+
+def _edges_sql(low: int, high: int) -> str:
+    """Each step as its windows have it, and strong ridges followed over weak ones."""
+    side = lambda c, w, none: (f"coalesce(lag({c}) OVER {w}, {none})", f"coalesce(lead({c}) OVER {w}, {none})")
+    up, down = side("v", "d", "v")
+    left, right = side("v", "a", "v")
+    s_left, s_right = side("s", "a", "s")
+    t_up, t_down = side("t", "d", "t")
+    windows = "WINDOW a AS (PARTITION BY image_id, y ORDER BY x), d AS (PARTITION BY image_id, x ORDER BY y)"
+    around = ", ".join(f"{x} AS {c}{e}" for c in "umd" for e, x in zip("lr", side(c, "a", 0)))
+    return f""", gray AS (SELECT image_id, x, y, CAST(floor((b*3735 + g*19235 + r*9798 + 16384) / 32768) AS DOUBLE) AS v FROM pixels),
+    smooth AS (SELECT *, {up} + 2*v + {down} AS s, {left} + 2*v + {right} AS t FROM gray {windows}),
+    sobel AS (SELECT *, {s_right} - {s_left} AS gx, {t_down} - {t_up} AS gy FROM smooth {windows}),
+    size AS (SELECT *, abs(gx) + abs(gy) AS m FROM sobel),
+    high AS (SELECT *, {side("m", "d", 0)[0]} AS u, {side("m", "d", 0)[1]} AS d FROM size {windows}),
+    beside AS (SELECT *, {around} FROM high {windows}),
+    turned AS (SELECT *, CAST(round_even((CASE WHEN degrees(atan2(gy, gx)) < 0 THEN degrees(atan2(gy, gx)) + 180 WHEN degrees(atan2(gy, gx)) >= 180 THEN degrees(atan2(gy, gx)) - 180 ELSE degrees(atan2(gy, gx)) END) / 45, 0) AS INT) % 4 AS sector FROM beside),
+    weak AS MATERIALIZED (SELECT image_id, x, y, m FROM turned WHERE m > {low} AND m >= CASE sector WHEN 0 THEN mr WHEN 1 THEN dr WHEN 2 THEN d ELSE dl END AND m > CASE sector WHEN 0 THEN ml WHEN 1 THEN ul WHEN 2 THEN u ELSE ur END),
+    lit(image_id, x, y) AS (SELECT image_id, x, y FROM weak WHERE m > {high} UNION SELECT w.image_id, w.x, w.y FROM lit l JOIN weak w ON w.image_id = l.image_id AND abs(w.x - l.x) <= 1 AND abs(w.y - l.y) <= 1)
+    SELECT image_id, p.x, p.y, CASE WHEN l.x IS NULL THEN 0 ELSE 255 END AS edge FROM pixels p LEFT JOIN lit l USING (image_id, x, y)"""
+
+
+_add("edges", "pixels", lambda d: filters.edges_table(filters.gray_values(d, False)), _edges_sql(50, 150), recursive=True)
+
+
+def _listed(d: DataFrame) -> DataFrame:
+    """Pixels against some 10,000 colours an image, three steps wide."""
+    of = lambda one, two, f, o: (F.col(one) * f + F.col(two) + o) % 256
+    rows = d.select("image_id", "b", "g", "r", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("o"))
+    return colors.mask_near_table(d, rows.select("image_id", of("b", "g", 2, F.col("o") * 37).alias("b"), of("g", "r", 3, F.col("o") * 91).alias("g"), of("r", "b", 5, F.col("o") * 53).alias("r")), 3)
+
+
+_LISTED_SQL = ", listed AS MATERIALIZED (SELECT DISTINCT image_id, (b*2 + g + o.range*37) % 256 AS b, (g*3 + r + o.range*91) % 256 AS g, (r*5 + b + o.range*53) % 256 AS r FROM pixels, range(4) o)"
+_add(
+    "mask_color_table", "pixels", _listed,
+    _LISTED_SQL + """, wide AS (SELECT l.*, b + o.range AS at FROM listed l, range(-3, 4) o),
+    hits AS (SELECT DISTINCT p.image_id, p.b, p.g, p.r FROM (SELECT DISTINCT image_id, b, g, r FROM pixels) p JOIN wide w ON w.image_id = p.image_id AND w.at = p.b AND abs(w.g - p.g) <= 3 AND abs(w.r - p.r) <= 3)
+    SELECT p.image_id, x, y, CASE WHEN h.b IS NULL THEN 0 ELSE 255 END AS v FROM pixels p LEFT JOIN hits h USING (image_id, b, g, r)""",
+)
 
 # --- reports and plans -----------------------------------------------------------------------------------
 _add(
