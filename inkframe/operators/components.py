@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
+from inkframe.operators.groups import dealt
 
 
 def runs_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +61,7 @@ def label(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
         f = f.sort_values(["y", "x"])
         return f.assign(label=label_pixels(f["x"].to_numpy(), f["y"].to_numpy()) + 1)
 
-    return lit.groupBy(*keys).applyInPandas(run, schema)
+    return dealt(lit, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def features(labels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -72,7 +73,11 @@ def features(labels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFram
     return out.withColumn("aspect", (F.col("max_x") - F.col("min_x") + 1) / (F.col("max_y") - F.col("min_y") + 1))
 
 
-def plausible(components: DataFrame, area: tuple[float, float] = (10, 5000), aspect: tuple[float, float] = (0.1, 10)) -> DataFrame:
+#: The areas and the widths by heights of components that may be letters, and how many of them are looked at for their shape.
+AREA, ASPECT, SHAPES = (10, 5000), (0.1, 10), 10
+
+
+def plausible(components: DataFrame, area: tuple[float, float] = AREA, aspect: tuple[float, float] = ASPECT) -> DataFrame:
     return components.where(F.col("area").between(*area) & F.col("aspect").between(*aspect))
 
 
@@ -128,20 +133,43 @@ def _outline_area(x: np.ndarray, y: np.ndarray) -> float:
     return float((corners == 4).sum() + 0.5 * (corners == 3).sum())
 
 
-def convexity(labels: DataFrame, keys: Sequence[str] = ("image_id",), most: int = 10) -> DataFrame:
+def solidity(x: np.ndarray, y: np.ndarray) -> float:
+    """Outline area of one component over the area of its hull; NaN where that has none."""
+    hull = _hull_area(np.stack([x, y], axis=1))
+    return _outline_area(x, y) / hull if hull > 0 else np.nan
+
+
+def letters(x: np.ndarray, y: np.ndarray) -> list[tuple[int, float, float, float, float]]:
+    """(label, area, cx, cy, solidity) of the plausible components of one mask's lit pixels, as ``label``, ``features``, ``plausible`` and ``convexity`` have them.
+
+    Beyond the first SHAPES the solidity is NaN.
+    """
+    order = np.lexsort([x, y])
+    x, y = x[order], y[order]
+    k = label_pixels(x, y)
+    out: list[tuple[int, float, float, float, float]] = []
+    for n, at in enumerate(np.split(np.argsort(k, kind="stable"), np.cumsum(np.bincount(k))[:-1]) if len(k) else [], 1):
+        u, v = x[at], y[at]
+        aspect = (u.max() - u.min() + 1) / (v.max() - v.min() + 1)
+        if AREA[0] <= len(at) <= AREA[1] and ASPECT[0] <= aspect <= ASPECT[1]:
+            out.append((n, float(len(at)), float(u.mean()), float(v.mean()), solidity(u, v) if len(out) < SHAPES else np.nan))
+    return out
+
+
+def convexity(labels: DataFrame, keys: Sequence[str] = ("image_id",), most: int = SHAPES) -> DataFrame:
     """(keys, label, convexity) of the first ``most`` of the components given: outline area over the area of its hull."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f["x"].to_numpy(np.int64), f["y"].to_numpy(np.int64)
-        hull = _hull_area(np.stack([x, y], axis=1))
-        head = {k: [f[k].iloc[0]] for k in [*keys, "label"]}
-        return pd.DataFrame(head | {"convexity": [_outline_area(x, y) / hull if hull > 0 else np.nan]})
+        out = []
+        for k, own in f.groupby("label"):
+            out.append((*(f[c].iloc[0] for c in keys), k, solidity(own["x"].to_numpy(np.int64), own["y"].to_numpy(np.int64))))
+        return pd.DataFrame(out, columns=[*keys, "label", "convexity"])
 
     given = labels.select(*keys, "label").distinct()
     given = given.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("label"))).where(F.col("_r") <= most)
     first = labels.join(given.drop("_r"), [*keys, "label"], "left_semi")
     schema = ", ".join(f"{k} {labels.schema[k].dataType.simpleString()}" for k in [*keys, "label"]) + ", convexity double"
-    return first.groupBy(*keys, "label").applyInPandas(run, schema).where(~F.isnan("convexity"))
+    return dealt(first, *keys).groupBy(*keys).applyInPandas(run, schema).where(~F.isnan("convexity"))
 
 
 def component_boxes(components: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,6 @@ from inkframe.sources.stored import stored
 
 #: Share of the smaller box that two boxes must have in common.
 OVERLAP = 0.1
-#: Boxes of an image whose overlaps are drawn together in one task before groups are formed.
-PART = 4096
 
 
 def overlap_pairs(boxes: DataFrame, threshold: float = OVERLAP, tile: int | None = 128) -> DataFrame:
@@ -98,38 +97,51 @@ def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> D
     """Regions (schemas.REGIONS) on which at least ``least`` boxes agree, greedily in order of (detector_rank, det_id).
 
     The overlaps come from ``overlap_pairs``, so no image is compared all with all. Boxes that no chain of overlaps joins
-    never meet in a region, so each connected group of boxes is walked by itself: a task holds one such group, not an image. Regions
-    are numbered by their seeds.
+    never meet in a region, so each connected group of boxes is walked by itself: a task holds one such group at a time, not an image.
+    Regions are numbered by their seeds.
     """
     order = Window.partitionBy("image_id").orderBy("detector_rank", "det_id")
     boxes = boxes.select("image_id", "det_id", "detector", "detector_rank", "x", "y", "w", "h", "conf").withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
     pairs = overlap_pairs(boxes.select("image_id", F.col("seq").alias("det_id"), "detector", "x", "y", "w", "h"), threshold)
     pairs = stored(pairs.select("image_id", F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    joined = graph.connected(graph.contracted(pairs, ["image_id"], F.floor(F.col("a") / PART)), ["image_id"])
-    own = boxes.join(joined.withColumnRenamed("node", "seq"), ["image_id", "seq"], "inner" if least > 1 else "left").withColumn("component", F.coalesce("component", "seq"))
-    near = pairs.join(joined.withColumnRenamed("node", "a"), ["image_id", "a"]).select(F.col("image_id").alias("image"), "component", "a", "b")
-
-    def run(f: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq")
+    joined = graph.connected(graph.contracted(pairs, ["image_id"]), ["image_id"])
+    both = pairs.unionByName(pairs.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("image_id", F.col("a").alias("seq")).agg(F.sort_array(F.collect_list("b")).alias("near"))
+    linked = joined.withColumnRenamed("node", "seq").join(near, ["image_id", "seq"])
+    own = boxes.join(linked, ["image_id", "seq"], "inner" if least > 1 else "left")
+    own = own.withColumns({"component": F.coalesce("component", "seq"), "near": F.coalesce("near", F.array().cast("array<long>"))})
+
+    def walk(f: pd.DataFrame) -> list[tuple]:
         place = {s: k for k, s in enumerate(f["seq"].tolist())}
-        near: list[list[int]] = [[] for _ in place]
-        for a, b in zip(overlaps["a"].tolist(), overlaps["b"].tolist()):
-            near[place[a]].append(place[b])
-            near[place[b]].append(place[a])
+        near = [[place[s] for s in own] for own in f["near"]]
         b = f[["x", "y", "w", "h"]].to_numpy(np.int64)
         conf = f["conf"].to_numpy(float)
         conf = np.where(conf > 1.0, conf / 100.0, conf)
-        names, seq = f["detector"].tolist(), f["seq"].tolist()
+        names, seq, image = f["detector"].tolist(), f["seq"].tolist(), f["image_id"].iloc[0]
         out = []
-        for members in greedy_groups([sorted(x) for x in near], names):
+        for members in greedy_groups(near, names):
             if len(members) >= least:
                 own = b[members]
                 x, y = own[:, 0].min(), own[:, 1].min()
                 w, h = (own[:, 0] + own[:, 2]).max() - x, (own[:, 1] + own[:, 3]).max() - y
                 c = conf[members]
-                out.append((f["image_id"].iloc[0], seq[members[0]], x, y, w, h, 1 - np.prod(1 - c), [names[m] for m in members], len(members), c.tolist()))
-        return pd.DataFrame(out, columns=["image_id", "seed", "x", "y", "w", "h", "confidence", "detectors", "detector_count", "original_confidences"])
-
-    found = own.groupBy("image_id", "component").cogroup(near.groupBy("image", "component")).applyInPandas(run, schemas.REGIONS.replace("region_id int", "seed long"))
+                out.append((image, seq[members[0]], x, y, w, h, 1 - np.prod(1 - c), [names[m] for m in members], len(members), c.tolist()))
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["image_id", "seed", "x", "y", "w", "h", "confidence", "detectors", "detector_count", "original_confidences"]
+        rest: pd.DataFrame | None = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            new = ((f["image_id"] != f["image_id"].shift()) | (f["component"] != f["component"].shift())).to_numpy()
+            cuts = [*np.flatnonzero(new)]
+            out = [row for lo, hi in zip(cuts, cuts[1:]) for row in walk(f[lo:hi])]
+            rest = f[cuts[-1] :]  # the last group may go on in the next batch
+            yield pd.DataFrame(out, columns=columns)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(walk(rest), columns=columns)
+
+    groups = own.select("image_id", "component", "seq", "detector", "x", "y", "w", "h", "conf", "near").repartition("image_id", "component").sortWithinPartitions("image_id", "component", "seq")
+    found = groups.mapInPandas(run, schemas.REGIONS.replace("region_id int", "seed long"))
     number = (F.row_number().over(Window.partitionBy("image_id").orderBy("seed")) - 1).cast("int")
     return found.withColumn("region_id", number).select("image_id", "region_id", *found.columns[2:])

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.sources.stored import stored
 
 
-def stars(a: Sequence[int], b: Sequence[int]) -> dict[int, int]:
+def stars(a: Sequence, b: Sequence) -> dict:
     """Each node of the given edges, and the smallest one it is connected with by them."""
-    above: dict[int, int] = {}
+    above: dict = {}
 
-    def top(k: int) -> int:
+    def top(k):
         while above.setdefault(k, k) != k:
             above[k] = above[above[k]]
             k = above[k]
@@ -27,16 +27,18 @@ def stars(a: Sequence[int], b: Sequence[int]) -> dict[int, int]:
     return {k: top(k) for k in above}
 
 
-def contracted(edges: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
-    """Fewer ``edges`` (keys, a, b) that connect the same nodes: of each ``part`` of them (bounded; a task holds one) its stars."""
+def contracted(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fewer ``edges`` (keys, a, b) that connect the same nodes: the edges of some keys meet in a task, and each batch of them becomes its stars."""
+    keys = list(keys)
     kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in (*keys, "a", "b"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        ends = stars(f["a"].tolist(), f["b"].tolist())
-        found = [(k, c) for k, c in ends.items() if k != c]
-        return pd.DataFrame({**{k: f[k].iloc[0] for k in keys}, "a": [k for k, _ in found], "b": [c for _, c in found]}, columns=[*keys, "a", "b"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = list(zip(*(f[k].tolist() for k in keys)))
+            ends = stars([(*k, x) for k, x in zip(own, f["a"].tolist())], [(*k, x) for k, x in zip(own, f["b"].tolist())])
+            yield pd.DataFrame([(*n, c[-1]) for n, c in ends.items() if n != c], columns=[*keys, "a", "b"])
 
-    return edges.select(*keys, "a", "b", part.alias("_part")).groupBy(*keys, "_part").applyInPandas(run, kinds)
+    return edges.select(*keys, "a", "b").repartition(*keys).sortWithinPartitions(*keys, "a").mapInPandas(run, kinds)
 
 
 def connected(edges: DataFrame, keys: Sequence[str] = ("image_id",), most_rounds: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,10 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
 #: Rounds of clustering after which the plan is cut.
 CUT = 4
+#: Steps that compactness is compared in: clusterings that only differ in their numbers must count as equal, whatever the order
+#: of their sums, and no sum of fractions lies on the edge of such a step.
+COARSE = 1000 / math.pi
+#: By how much no centre may have moved in Lab features (L from 0 to 2.55, a and b from 0 to 1) for clustering to end.
+STILL = 0.1
 #: Starts of which the most compact clustering is kept, and the generator (Park and Miller, 1988) that draws the first centres of
 #: each start after the first: colours of least (b, g, r as one number) * MULTIPLIER^start modulo PRIME.
 STARTS, MULTIPLIER, PRIME = 10, 48271, 2**31 - 1
@@ -54,16 +61,23 @@ def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_
     return assigned(centres)
 
 
-def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int, first: np.ndarray | None = None) -> np.ndarray:
-    """Cluster of each point by weighted k-means; the first centres are the points ``first``, by default those that come first."""
+def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int, first: np.ndarray | None = None, still: float = 0.0) -> np.ndarray:
+    """Cluster of each point by weighted k-means; the first centres are the points ``first``, by default those that come first.
+
+    Ends after ``rounds`` updates, or with one that moves no centre by more than ``still``.
+    """
     first = np.arange(len(points)) if first is None else first
     number, centres = np.arange(min(k, len(points))), points[first[:k]]
 
+    axes = np.ascontiguousarray(points.T)
+
     def nearest() -> np.ndarray:
         out = np.empty(len(points), np.int64)
         for lo in range(0, len(points), 65_536):
-            d = points[lo : lo + 65_536, None, :] - centres[None, :, :]
-            out[lo : lo + 65_536] = (d * d).sum(axis=2).argmin(axis=1)
+            d: np.ndarray | float = 0.0
+            for own, c in zip(axes, centres.T):
+                d = d + np.square(own[lo : lo + 65_536, None] - c)
+            out[lo : lo + 65_536] = d.argmin(axis=1)
         return out
 
     for _ in range(rounds):
@@ -72,9 +86,10 @@ def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int, first: np.n
         means = np.stack([np.bincount(at, weight * c, len(centres)) for c in points.T], axis=1)
         left = total > 0
         new = means[left] / total[left, None]
-        if left.all() and np.array_equal(new, centres):
-            break
+        done = left.all() and ((new - centres) ** 2).sum(axis=1).max() <= still * still
         number, centres = number[left], new
+        if done:
+            break
     return number[nearest()]
 
 
@@ -85,22 +100,22 @@ def compactness(points: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float
     return float((weight[:, None] * (points - means[at]) ** 2).sum())
 
 
-def best_fit(points: np.ndarray, weight: np.ndarray, codes: np.ndarray, k: int, rounds: int, starts: int = STARTS) -> tuple[int, np.ndarray]:
-    """(start, clusters) of the most compact of ``starts`` clusterings, to three decimals, of equals the first.
+def best_fit(points: np.ndarray, weight: np.ndarray, codes: np.ndarray, k: int, rounds: int, starts: int = STARTS, still: float = 0.0) -> tuple[int, np.ndarray]:
+    """(start, clusters) of the most compact of ``starts`` clusterings, to a thousandth of pi, of equals the first.
 
     The first start is that of ``fit``; the others draw ``k`` colours by their ``codes`` (b * 65536 + g * 256 + r).
     """
     best: tuple[float, int, np.ndarray] | None = None
     for s in range(starts):
         draw = np.argsort(codes * pow(MULTIPLIER, s, PRIME) % PRIME, kind="stable") if s else None
-        at = fit(points, weight, k, rounds, draw)
-        c = round(compactness(points, weight, at), 3)
+        at = fit(points, weight, k, rounds, draw, still)
+        c = math.floor(compactness(points, weight, at) * COARSE)
         if best is None or c < best[0]:
             best = (c, s, at)
     return best[1], best[2]
 
 
-def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ("b", "g", "r"), starts: int = 1) -> DataFrame:
+def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ("b", "g", "r"), starts: int = 1, still: float = 0.0) -> DataFrame:
     """``lloyd`` for many groups of which each fits a task: all rounds of a group in one pass, after one shuffle.
 
     ``colors`` keeps its columns and gets ``k``; ``by`` names the features. A group has as many rows as its
@@ -112,10 +127,10 @@ def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n", *by], ascending=[False] + [True] * len(by), kind="stable")
         codes = f["b"].to_numpy(np.int64) * 65536 + f["g"].to_numpy(np.int64) * 256 + f["r"].to_numpy(np.int64)
-        return f.assign(k=best_fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), codes, int(f[k].iloc[0]) if isinstance(k, str) else k, rounds, starts)[1].astype("int32"))
+        return f.assign(k=best_fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), codes, int(f[k].iloc[0]) if isinstance(k, str) else k, rounds, starts, still)[1].astype("int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in colors.schema.fields) + ", k int"
-    return colors.groupBy(*keys).applyInPandas(run, schema)
+    return dealt(colors, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def centres_of(assigned: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -165,6 +180,6 @@ def with_lab(colors: DataFrame) -> DataFrame:
     return out.select(*colors.columns, "_l", "_a", "_b")
 
 
-def lloyd_lab(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), starts: int = 1) -> DataFrame:
+def lloyd_lab(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), starts: int = 1, still: float = STILL) -> DataFrame:
     """``lloyd_by_group`` on Lab features: (keys, b, g, r, n, k)."""
-    return lloyd_by_group(with_lab(colors), k, rounds, keys, ("_l", "_a", "_b"), starts).drop("_l", "_a", "_b")
+    return lloyd_by_group(with_lab(colors), k, rounds, keys, ("_l", "_a", "_b"), starts, still).drop("_l", "_a", "_b")

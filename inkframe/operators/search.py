@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions import color
 from inkframe.operators import colors, components, quantize, textlike, tiles
+from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
 #: Clusters that the plain search forms; rounds of clustering at most, which ends when nothing moves; pixels a colour
@@ -39,6 +42,27 @@ def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, cluster
     return assigned.join(best, [*keys, "k"], "left_semi").where(F.col("n") >= LEAST).select(*keys, "b", "g", "r", "n")
 
 
+def _letters(assigned: DataFrame, lot: list[str]) -> DataFrame:
+    """(image_id, k, label, area, cx, cy, convexity) of the plausible components of each cluster's own pixels after the triple cleaning.
+
+    A task makes the masks of an image's clusters one after the other, so no pixel is sent more than once.
+    """
+
+    steps = tiles.OPEN * 3
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, y, own = (f[c].to_numpy(np.int64) for c in ("x", "y", "k"))
+        out = []
+        for k in np.unique(own):
+            lit = tiles.run_steps(x, y, np.where(own == k, 255, 0).astype(np.int32), steps) > 0
+            out += [(f["image_id"].iloc[0], k, *c) for c in components.letters(x[lit], y[lit])]
+        return pd.DataFrame(out, columns=["image_id", "k", "label", "area", "cx", "cy", "convexity"])
+
+    rows = dealt(assigned.select(*lot, "x", "y", "k"), *lot)
+    kinds = f"image_id {assigned.schema['image_id'].dataType.simpleString()}, k {assigned.schema['k'].dataType.simpleString()}"
+    return rows.groupBy(*lot).applyInPandas(run, kinds + ", label long, area double, cx double, cy double, convexity double")
+
+
 def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(image_id, k, conf, n_components, likelihood, combined) of each cluster of ``assigned`` (image_id, x, y, k).
 
@@ -54,11 +78,8 @@ def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], Data
     ks = ks.select("image_id", "k")
     images = pairs.select("image_id", "k", "x", "y", F.when(F.col("_own") == F.col("k"), 0).otherwise(192).cast("int").alias("v"))
     keys = ["image_id", "k"]
-    mask = images.withColumn("v", F.when(F.col("v") == 0, 255).otherwise(0).cast("int"))
-    labels = components.label(tiles.by_tiles(mask, tiles.OPEN * 3, keys), keys)
-    found = components.plausible(components.features(labels, keys))
-    shapes = components.convexity(labels.join(found.select(*keys, "label"), [*keys, "label"], "left_semi"), keys)
-    line = textlike.likelihood(found, keys, shapes, ks.join(upright, "image_id", "left_semi")).select(*keys, F.col("n").alias("n_components"), "likelihood")
+    found = stored(_letters(assigned, lot))
+    line = textlike.likelihood(found, keys, found.where(~F.isnan("convexity")), ks.join(upright, "image_id", "left_semi")).select(*keys, F.col("n").alias("n_components"), "likelihood")
     out = ks.join(confidence(images), keys, "left").join(line, keys, "left").na.fill(0, ["conf", "n_components", "likelihood"])
     # A likely line counts for more components, at most twice as many or ten more; an unlikely one for half.
     n = F.col("n_components")
@@ -110,7 +131,7 @@ def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataF
     lots = [lot for lo, hi in zip((0, *LOTS), (*LOTS, max(numbers, default=0))) if (lot := [n for n in numbers if lo < n <= hi])]
     for lot in lots:
         own = counted.join(left, "image_id", "left_semi").withColumn("clusters", F.explode(F.array(*map(F.lit, lot))))
-        clustered = quantize.lloyd_by_group(own, "clusters", rounds, ("image_id", "clusters"), ("_l", "_a", "_b"), starts)
+        clustered = quantize.lloyd_by_group(own, "clusters", rounds, ("image_id", "clusters"), ("_l", "_a", "_b"), starts, quantize.STILL)
         clustered = stored(clustered.select("image_id", "clusters", "b", "g", "r", "n", (F.col("clusters") * SPAN + F.col("k")).alias("k")))
         assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "clusters", "k"), ["image_id", "b", "g", "r"])
         means = quantize.centres_of(clustered).drop("n")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import color, geometry
 from inkframe.operators import quantize, tiles
+from inkframe.operators.groups import dealt
 
 #: Normalised score from which a pixel counts as text; clusters and rounds of the quantisation.
 THRESHOLD, CLUSTERS, ROUNDS = 188, 24, 20
@@ -125,5 +126,5 @@ def text_mask(pixels: DataFrame, regions: DataFrame, clusters: int = CLUSTERS, r
         return out
 
     kinds = {c: near.schema[c].dataType.simpleString() for c in (*keys, "x", "y")}
-    mask = near.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", v int")
+    mask = dealt(near, *keys).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", v int")
     return tiles.by_tiles(mask, tiles.CLEAN, keys, tile) if clean and tile else mask

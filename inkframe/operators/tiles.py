@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkframe.operators import graph, morphology
 from inkframe.operators.components import label_pixels
+from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
 #: Side of a tile in pixels.
@@ -114,7 +115,7 @@ def by_tiles(mask: DataFrame, steps: Sequence[Step], keys: Sequence[str] = ("ima
         f = f.drop(columns=["_tx", "_ty"])
         return f.assign(v=run_steps(x, y, f["v"].to_numpy(np.int32), steps))[own] if own.any() else f[:0]
 
-    return rows.groupBy(*keys, "_tx", "_ty").applyInPandas(run, mask.schema)
+    return dealt(rows, *keys, "_tx", "_ty").groupBy(*keys, "_tx", "_ty").applyInPandas(run, mask.schema)
 
 
 #: A pixel as one number that orders as (y, x) does.
@@ -142,7 +143,7 @@ def label(mask: DataFrame, keys: Sequence[str] = ("image_id",), tile: int = TILE
         at = f["y"].to_numpy(np.int64) * _SPAN + f["x"].to_numpy(np.int64)
         return f.assign(part=at[np.unique(k, return_index=True)[1]][k])
 
-    parts = stored(lit.groupBy(*keys, "_tx", "_ty").applyInPandas(own, kinds + ", part bigint"))
+    parts = stored(dealt(lit, *keys, "_tx", "_ty").groupBy(*keys, "_tx", "_ty").applyInPandas(own, kinds + ", part bigint"))
     at_x, at_y = F.pmod(F.col("x"), F.lit(tile)), F.pmod(F.col("y"), F.lit(tile))
     inner, outer = (at_x == 0) | (at_y == 0), (at_x == tile - 1) | (at_y == tile - 1)
     across = F.array_union(

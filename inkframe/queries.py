@@ -283,7 +283,7 @@ def _restarted(d: DataFrame) -> DataFrame:
     assigned = quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS, starts=quantize.STARTS)
     centres = quantize.centres_of(assigned).select("image_id", "k", *(F.col(c).alias(f"c{c}") for c in "bgr"), F.col("n").alias("pixels"))
     off = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "bgr"), F.lit(0.0))
-    return assigned.join(centres, ["image_id", "k"]).groupBy("image_id", "k", "pixels").agg(F.round(F.sum(F.col("n") * off), 3).alias("spread"))
+    return assigned.join(centres, ["image_id", "k"]).groupBy("image_id", "k", "pixels").agg(F.sum(F.col("n") * off).alias("spread"))
 
 
 _STARTS_SQL = (
@@ -295,8 +295,8 @@ _add(
     _COLORS_SQL + _STARTS_SQL + _lloyd_sql("drawn", tfidf.CLUSTERS, tfidf.ROUNDS, "image_id, start", "s", "draw, n DESC, b, g, r")
     + f""", means AS (SELECT *, sum(b*n) OVER w / sum(n) OVER w AS cb, sum(g*n) OVER w / sum(n) OVER w AS cg, sum(r*n) OVER w / sum(n) OVER w AS cr FROM as{tfidf.ROUNDS} WINDOW w AS (PARTITION BY image_id, start, k)),
     spreads AS MATERIALIZED (SELECT image_id, start, k, CAST(sum(n) AS BIGINT) AS pixels, sum(n * ((b-cb)*(b-cb) + (g-cg)*(g-cg) + (r-cr)*(r-cr))) AS spread FROM means GROUP BY 1, 2, 3),
-    best AS (SELECT image_id, start FROM (SELECT image_id, start, round(sum(spread), 3) AS c FROM spreads GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY c, start) = 1)
-    SELECT image_id, CAST(k AS INT) AS k, pixels, round(spread, 3) AS spread FROM spreads JOIN best USING (image_id, start)""",
+    best AS (SELECT image_id, start FROM (SELECT image_id, start, floor(sum(spread) * {quantize.COARSE!r}) AS c FROM spreads GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY c, start) = 1)
+    SELECT image_id, CAST(k AS INT) AS k, pixels, spread FROM spreads JOIN best USING (image_id, start)""",
 )
 _add("find_text_colors", "pixels", search.find_text_colors, None)
 

@@ -48,6 +48,19 @@ def test_shapes_are_the_first_of_those_given(spark):
     assert sorted(r.label for r in components.convexity(labels.where("label > 12"), most=2).collect()) == [13, 14]
 
 
+def test_letters_of_a_mask_equal_the_table_version(spark):
+    r = np.random.default_rng(8)
+    a = (r.random((40, 60)) < 0.35) | (np.add.outer(np.arange(40) // 8 % 2, np.arange(60) // 9 % 2) == 0)
+    y, x = np.nonzero(a)
+    mask = spark.createDataFrame([(1, int(u), int(v), 255) for u, v in zip(x, y)], "image_id long, x long, y long, v int")
+    labels = components.label(mask)
+    found = {q.label: q for q in components.plausible(components.features(labels)).collect()}
+    shapes = {q.label: q.convexity for q in components.convexity(labels.join(spark.createDataFrame([(1, k) for k in found], "image_id long, label long"), ["image_id", "label"], "left_semi")).collect()}
+    got = components.letters(x, y)
+    assert {k: (n, cx, cy) for k, n, cx, cy, _ in got} == {k: (q.area, pytest.approx(q.cx), pytest.approx(q.cy)) for k, q in found.items()}
+    assert {k: s for k, *_, s in got if not np.isnan(s)} == pytest.approx(shapes) and components.letters(x[:0], y[:0]) == []
+
+
 @pytest.mark.parametrize("upright", [False, True])
 def test_text_in_a_tall_region_runs_downwards(spark, upright, monkeypatch):
     monkeypatch.setattr(search.tiles, "OPEN", ())
