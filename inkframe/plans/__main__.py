@@ -16,6 +16,7 @@ from inkframe.functions import geometry as geo
 from inkframe.operators import detections, inpaint, models
 from inkframe.plans import cascade, report
 from inkframe.sources import images as files
+from inkframe.sources.png_files import write_files
 from inkframe.sources.stored import stored
 
 log = logging.getLogger("inkframe")
@@ -39,7 +40,7 @@ def plug_in(text: str, device: str) -> Callable[[], object]:
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("-i", "--input", required=True, help="folder of images, or one image")
-    p.add_argument("-o", "--output", required=True, help="folder for the tables png, masks, errors and timings")
+    p.add_argument("-o", "--output", required=True, help="folder for the image files (clean, and mask with -k) and the tables png, masks, errors and timings")
     p.add_argument("-c", "--color", help="#RRGGBB or a name: detection is tried on it first, and pixels close to it count as text")
     p.add_argument("--confidence-threshold", type=float, default=0.3, help="least confidence of a detection (0.3)")
     p.add_argument("--granularity", "--clusters", type=int, default=24, help="colour clusters of a region, 4 to 256 (24)")
@@ -80,6 +81,11 @@ def given_mask(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return pixels.select("image_id", "x", "y").join(small.select("x", "y", "v"), ["x", "y"]).select("image_id", "x", "y", "v")
 
 
+def as_png(images: DataFrame) -> DataFrame:
+    """The names of ``images`` (file) with the suffix of what they hold, whatever the image was read from."""
+    return images.withColumn("file", F.regexp_replace("file", r"\.[^.]*$", ".png"))
+
+
 def find_regions(spark: SparkSession, a: argparse.Namespace, found: DataFrame, sizes: DataFrame, failed: list[DataFrame] | None = None) -> DataFrame:
     """(image_id, x, y, w, h, failover_type) by the box given, else by detections given, else by detectors, else at the usual places."""
     forced = None
@@ -132,12 +138,14 @@ def main(argv: list[str] | None = None) -> None:
         clean = inpaint.telea(pixels, mask, over=127, context=inpaint.CONTEXT)
     named = files.encode_png(clean).join(names, "image_id")
     named.withColumn("file", files.output_names(F.col("name"))["clean"]).write.parquet(f"{a.output}/png")
+    write_files(as_png(spark.read.parquet(f"{a.output}/png")), f"{a.output}/clean")
     done("inpaint_time")
     for e in failed:
         errors = errors.unionByName(e.join(names, "image_id").select(errors.columns))
     if a.keep_masks:
         whole = pixels.select("image_id", "x", "y").join(mask, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *(F.coalesce("v", F.lit(0)).cast("long").alias(c) for c in "bgr"))
         files.encode_png(whole).join(names, "image_id").withColumn("file", files.output_names(F.col("name"))["mask"]).write.parquet(f"{a.output}/mask_png")
+        write_files(spark.read.parquet(f"{a.output}/mask_png"), f"{a.output}/mask")
         errors = errors.withColumn("file", files.output_names(F.col("name"))["error"])
     errors.write.parquet(f"{a.output}/errors")
     n = max(1, names.count())

@@ -113,8 +113,62 @@ def test_detector_failures_and_masks_of_any_size(spark, tmp_path, monkeypatch):
     errors = spark.read.parquet(f"{out}/errors").collect()
     assert errors and all(r.stage == "detect east" and "no weights" in r.message and r.name.endswith("a.png") for r in errors)
     assert {r.failover_type for r in spark.read.parquet(f"{out}/regions").collect()} == {"watermark"}
+    found, bad = images.read_images(spark, f"{out}/clean")
+    assert [(r.name.rsplit("/", 1)[-1], r.width, r.height) for r in found.collect()] == [("a_clean.png", 30, 20)] and bad.isEmpty()
     pixels = spark.createDataFrame([(i, x, y, 0, 0, 0) for i in (1, 2) for x in range(3) for y in range(2)], PIXELS)
     mask = spark.createDataFrame([("m", 0, 0, 255), ("m", 9, 9, 255)], "name string, x long, y long, v int")
     small = sorted(map(tuple, command.given_mask(pixels, mask).collect()))
     monkeypatch.setattr(command, "MASK_PIXELS", 0)
     assert small == sorted(map(tuple, command.given_mask(pixels, mask).collect())) == [(1, 0, 0, 255), (2, 0, 0, 255)]
+
+
+def traced(cells):
+    """The outer border of one 8-connected component, pixel by pixel: clockwise around each pixel from where the last one was entered."""
+    turn = [(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)]  # from the left, upwards
+    start = min(cells, key=lambda p: (p[1], p[0]))
+    ring, at, back, seen = [], start, 0, set()
+    while (at, back) not in seen:
+        seen.add((at, back))
+        ring.append(at)
+        for k in range(1, 9):
+            d = turn[(back + k) % 8]
+            if (at[0] + d[0], at[1] + d[1]) in cells:
+                before = turn[(back + k - 1) % 8]
+                empty = (at[0] + before[0], at[1] + before[1])
+                at = (at[0] + d[0], at[1] + d[1])
+                back = turn.index((empty[0] - at[0], empty[1] - at[1]))
+                break
+        else:
+            return ring
+    return ring
+
+
+def shoelace(ring):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
+DRAWN = {
+    "ring with a hole": ["#####", "#...#", "#...#", "#####"], "diagonal ring": ["..#..", ".#.#.", "#...#", ".#.#.", "..#.."], "arms": ["#....#", "######", "..#...", "..#..."],
+    "diagonal": ["#...", ".#..", "..#.", "...#"], "bay": ["####", "#...", "####"], "one": ["#"], "line": ["#####"], "stairs": ["##...", ".##..", "..##.", "...##"], "two holes": ["#####", "#.#.#", "#####", "..#..", ".###.", ".#.#.", ".###."],
+}
+
+
+@pytest.mark.parametrize("name", DRAWN)
+def test_outline_areas_equal_a_traced_border(name):
+    cells = {(x, y) for y, row in enumerate(DRAWN[name]) for x, c in enumerate(row) if c == "#"}
+    x, y = (np.array([p[k] for p in sorted(cells)]) for k in (0, 1))
+    assert components._outline_area(x, y) == shoelace(traced(cells))
+
+
+def test_outline_areas_of_random_shapes_equal_a_traced_border():
+    r = np.random.default_rng(11)
+    n = 0
+    for share in (0.3, 0.45, 0.6, 0.8):
+        for _ in range(12):
+            y, x = np.nonzero(r.random((14, 17)) < share)
+            k = components.label_pixels(x, y)
+            for one in range(k.max() + 1):
+                u, v = x[k == one], y[k == one]
+                assert components._outline_area(u, v) == shoelace(traced(set(zip(u.tolist(), v.tolist()))))
+                n += 1
+    assert n > 200
