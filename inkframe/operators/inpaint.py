@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
-from inkframe.operators import models
+from inkframe.operators import models, tiles
+from inkframe.operators.groups import dealt
+from inkframe.sources.stored import stored
 
 #: Pixels of context around a mask.
 CONTEXT = 64
@@ -150,6 +152,36 @@ def telea(pixels: DataFrame, mask: DataFrame, radius: int = 3, over: int = 0, co
     return _by_image(pixels, mask, over, fill)
 
 
+def telea_by_hole(pixels: DataFrame, mask: DataFrame, radius: int = 3, over: int = 0, tile: int = tiles.TILE) -> DataFrame:
+    """The same pixels as ``telea``, hole by hole, for images of any size: (image_id, x, y, b, g, r; x and y from 0).
+
+    A filled pixel depends on pixels within ``radius``, and through them on holes that lie so near. So the mask is grown by one
+    more (``tiles.by_tiles``) and its components (``tiles.label``) are holes, or holes near each other, with all the pixels that
+    they need. Each is a group of its own; the image's other pixels stay where they are. A task holds one such group.
+    """
+    if radius <= 0:
+        raise ValueError("the radius is positive")
+    hole = F.coalesce(F.col("v") > over, F.lit(False))
+    rows = pixels.select("image_id", "x", "y", "b", "g", "r").join(mask.select("image_id", "x", "y", "v"), ["image_id", "x", "y"], "left")
+    rows = rows.withColumn("hole", hole).withColumn("v", F.when(F.col("hole"), 255).otherwise(0).cast("int"))
+    near = stored(tiles.by_tiles(rows, (("rectangle", radius + 1, radius + 1, True),), tile=tile))
+    around = near.where("v > 0").drop("v").join(tiles.label(near, tile=tile), ["image_id", "x", "y"])
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, y = (f[c].to_numpy() for c in "xy")
+        x, y = x - x.min(), y - y.min()
+        lit, image = np.zeros((y.max() + 1, x.max() + 1), bool), np.zeros((y.max() + 1, x.max() + 1, 3), np.int64)
+        lit[y, x] = f["hole"].to_numpy(bool)
+        image[y, x] = f[["b", "g", "r"]].to_numpy()
+        if not lit[y, x].all():
+            image = _fill(image, lit, radius)
+        return f[["image_id", "x", "y"]].assign(**{c: image[y, x, k] for k, c in enumerate("bgr")})
+
+    kinds = "image_id bigint, x bigint, y bigint, b bigint, g bigint, r bigint"
+    filled = dealt(around, "image_id", "label").groupBy("image_id", "label").applyInPandas(run, kinds)
+    return filled.unionByName(near.where("v = 0").select(*(F.col(c).cast("bigint").alias(c) for c in ("image_id", "x", "y", "b", "g", "r"))))
+
+
 def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
     """``a`` (H x W x channels) at another size, each new pixel the mean of the area that it covers."""
 

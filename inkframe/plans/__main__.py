@@ -135,7 +135,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.paint == "lama":
         clean = inpaint.fill_by_model(pixels, mask, "lama", plug_in(a.inpainter, a.device))
     else:
-        clean = inpaint.telea(pixels, mask, over=127, context=inpaint.CONTEXT)
+        clean = inpaint.telea_by_hole(pixels, mask, over=127)
     named = files.encode_png(clean).join(names, "image_id")
     named.withColumn("file", files.output_names(F.col("name"))["clean"]).write.parquet(f"{a.output}/png")
     write_files(as_png(spark.read.parquet(f"{a.output}/png")), f"{a.output}/clean")

@@ -465,7 +465,7 @@ _add(
     """SELECT image_id, count(*) AS n, (max(x)-min(x))*(max(y)-min(y)) AS area, count(*)*100.0 / ((max(x)-min(x))*(max(y)-min(y))) AS density, count(*)*100.0 / (width*height) AS share
     FROM pixels WHERE is_text GROUP BY image_id, width, height""",
 )
-_add("telea_fill", "pixels", lambda d: inpaint.telea(d, _mask(d)), None)
+_add("telea_fill", "pixels", lambda d: inpaint.telea_by_hole(d, _mask(d)), None)
 
 # --- components and lines --------------------------------------------------------------------------------
 _LABEL_SQL = """, lit AS (SELECT image_id, x, y, y*64 + x AS p FROM pixels WHERE is_text),

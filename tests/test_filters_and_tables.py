@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from inkframe.operators import colors, filters, quantize
+from inkframe.operators import colors, filters, inpaint, quantize, tiles
 
 
 def images(spark, sizes, seed=1):
@@ -80,3 +80,46 @@ def test_nearest_clusters_equal_one_target_at_a_time(spark):
     t = spark.createDataFrame([(i, *c) for i in (1, 2) for c in targets], "image_id long, b long, g long, r long")
     got = {(r.image_id, r.b, r.g, r.r): r.k for r in quantize.nearest_clusters(centres, t).collect()}
     assert got == {(r.image_id, *c): r.k for c in targets for r in quantize.nearest_cluster(centres, c).collect()}
+
+
+def painted(spark, sizes, holes, seed):
+    r = np.random.default_rng(seed)
+    pixels, mask = [], []
+    for k, (h, w) in enumerate(sizes):
+        lit = holes(k, h, w, r)
+        a = r.integers(0, 256, (h, w, 3))
+        pixels += [(k, x, y, *map(int, a[y, x])) for y in range(h) for x in range(w)]
+        mask += [(k, x, y, 255 if lit[y, x] else 0) for y in range(h) for x in range(w) if lit[y, x] or (x + y) % 3]
+    return spark.createDataFrame(pixels, "image_id long, x long, y long, b long, g long, r long"), spark.createDataFrame(mask, "image_id long, x long, y long, v int")
+
+
+def some_holes(k, h, w, r):
+    lit = np.zeros((h, w), bool)
+    for _ in range(4):
+        y, x = r.integers(0, h), r.integers(0, w)
+        lit[y : y + r.integers(1, 5), x : x + r.integers(1, 6)] = True
+    if k == 1:
+        lit[:] = True
+    return lit & (k != 2)
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_filling_by_hole_equals_filling_by_image(spark, radius):
+    pixels, mask = painted(spark, [(30, 41), (4, 5), (6, 6), (25, 12)], some_holes, radius)
+    whole = inpaint.telea(pixels, mask, radius)
+    key = lambda d: sorted(map(tuple, d.select("image_id", "x", "y", "b", "g", "r").collect()))
+    assert key(inpaint.telea_by_hole(pixels, mask, radius, tile=8)) == key(whole)
+    assert inpaint.telea_by_hole(pixels, mask.where("false"), radius).count() == pixels.count()
+
+
+def test_a_hundred_holes_are_a_hundred_groups(spark):
+    def spots(k, h, w, r):
+        return (np.arange(h)[:, None] % 12 == 5) & (np.arange(w)[None, :] % 12 == 5)
+
+    pixels, mask = painted(spark, [(120, 120)], spots, 5)
+    dense = pixels.select("image_id", "x", "y").join(mask, ["image_id", "x", "y"], "left").na.fill(0, ["v"])
+    near = tiles.by_tiles(dense, (("rectangle", 4, 4, True),), tile=32)
+    assert tiles.label(near, tile=32).select("label").distinct().count() == 100
+    got = {(r.x, r.y): (r.b, r.g, r.r) for r in inpaint.telea_by_hole(pixels, mask, tile=32).collect()}
+    want = {(r.x, r.y): (r.b, r.g, r.r) for r in inpaint.telea(pixels, mask).collect()}
+    assert got == want
