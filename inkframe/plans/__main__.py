@@ -7,6 +7,7 @@ import importlib
 import logging
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,7 +159,12 @@ def main(argv: list[str] | None = None) -> None:
         timings = names.join(mp, "image_id").join(each, "image_id", "left").na.fill({"consensus_boxes_count": 0, "failover_type": "none"}).withColumns(times)
         timings = timings.withColumn("image_id", F.element_at(F.split("name", "/"), -1))
         timings.write.parquet(f"{a.output}/timings")
-        report.report_lines(spark.read.parquet(f"{a.output}/timings")).write.text(f"{a.output}/timing_report")
+        settings = {"least confidence": a.confidence_threshold, "clusters": a.granularity, "painted by": a.paint} | ({"colour": a.color} if a.color else {}) | ({"box": a.force_bbox} if a.force_bbox else {})
+        lines = report.timing_report(spark.read.parquet(f"{a.output}/timings"), time.monotonic() - began, settings).orderBy("part", "place").select("value")
+        lines.write.text(f"{a.output}/timing_report")
+        if a.logfile:
+            with open(Path(a.logfile).with_suffix(".timing.txt"), "w") as f:
+                f.writelines(r["value"] + "\n" for r in lines.toLocalIterator())
 
 
 if __name__ == "__main__":

@@ -51,12 +51,45 @@ def failover_counts(timings: DataFrame) -> DataFrame:
     return F.broadcast(types).join(found, "failover_type", "left").select("failover_type", marker[F.col("failover_type")].alias("marker"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Columns of the report of each image: heading, width and digits.
+COLUMNS = {"image_mp": ("MP", 7, 2), "detection_time": ("detect", 8, 2), "color_time": ("colour", 8, 2), "mask_time": ("mask", 8, 2), "inpaint_time": ("paint", 8, 2), "total_time": ("total", 8, 2)}
+NAME = 25
+
+
+def _columns(timings: DataFrame) -> dict[str, tuple[str, int, int]]:
+    return {c: x for c, x in COLUMNS.items() if c in timings.columns}
+
+
 def report_lines(timings: DataFrame) -> DataFrame:
-    """(value) fixed-width lines of the report of each image, to be written as text."""
-    t = lambda c: F.coalesce(F.format_string("%8.2f", F.col(c)), F.lit("       -"))
+    """(value) fixed-width lines of the report of each image, to be written as text; a dash where an image has no time."""
+    # A null would be formatted as a word.
+    parts = [F.when(F.col(c).isNull(), "-".rjust(w)).otherwise(F.format_string(f"%{w}.{d}f", F.col(c).cast("double"))) for c, (_, w, d) in _columns(timings).items()]
     marker = F.create_map(*(F.lit(x) for pair in FAILOVERS.items() for x in pair))
-    name = F.rpad(F.substring(F.col("image_id").cast("string"), 1, 25), 25, " ")
-    return timings.select(F.concat_ws(" ", name, t("detection_time"), t("color_time"), t("inpaint_time"), F.lpad(F.col("consensus_boxes_count").cast("string"), 4, " "), marker[F.col("failover_type")]).alias("value"))
+    name = F.rpad(F.substring(F.col("image_id").cast("string"), 1, NAME), NAME, " ")
+    return timings.select(F.concat_ws(" ", name, *parts, F.lpad(F.col("consensus_boxes_count").cast("string"), 5, " "), marker[F.col("failover_type")]).alias("value"))
+
+
+def timing_report(timings: DataFrame, seconds: float, settings: dict[str, object] | None = None) -> DataFrame:
+    """(part, place, value) the whole report as text, in order of (part, place): what was asked for, a line an image, medians and means, totals.
+
+    Only the sums reach the driver; the images' lines are a plan, numbered by name. ``settings`` are shown as given.
+    """
+    spark, wide = timings.sparkSession, _columns(timings)
+    line = lambda label, values, boxes: " ".join([label.ljust(NAME), *(values.get(c, "").rjust(w) for c, (_, w, _) in wide.items()), boxes])
+    times = [c for c in wide if c != "image_mp"]
+    with_boxes = timings.select(*times, F.col("consensus_boxes_count").cast("double").alias("boxes"))
+    stats = {r["stage"]: r for r in timing_stats(with_boxes, [*times, "boxes"]).collect()}
+    boxes, run = consensus_stats(timings).first(), run_time(timings, seconds).first()
+    ways = {r["failover_type"]: r["n"] for r in failover_counts(timings).collect()}
+    rule = "-" * len(line("", {}, "boxes way"))
+    head = ["Times by image, in seconds", *(f"{k}: {v}" for k, v in (settings or {}).items()), "", line("image", {c: t for c, (t, _, _) in wide.items()}, "boxes way"), rule]
+    shown = lambda of: line(of, {c: f"{stats[c][of]:.{wide[c][2]}f}" for c in times if c in stats}, f"{stats['boxes'][of]:5.1f}" if "boxes" in stats else "")
+    tail = [rule, shown("median"), shown("mean"), rule, f"all images: {run['total']:.1f} s, {run['average']:.2f} s each, {run['n_done']} of {run['n_files']} with a time"]
+    tail += [f"regions agreed on: {boxes['n_boxes'] or 0}, in {boxes['n_images']} images ({boxes['percent'] or 0.0:.1f} %)", "", "how regions were found:"]
+    tail += [f"  {way.replace('_', ' ')}{f' ({sign})' if sign else ''}: {ways[way]}" for way, sign in FAILOVERS.items()]
+    fixed = spark.createDataFrame([(0, f"{k:06d}", v) for k, v in enumerate(head)] + [(2, f"{k:06d}", v) for k, v in enumerate(tail)], "part int, place string, value string")
+    named = report_lines(timings).withColumn("place", F.col("value")).select(F.lit(1).alias("part"), "place", "value")
+    return fixed.unionByName(named)
 
 
 def shortened(name: Column, most: int = 35) -> Column:

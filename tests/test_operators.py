@@ -408,7 +408,9 @@ def test_command_line(spark, tmp_path):
     assert [(r.stage, r.file) for r in spark.read.parquet(f"{out}/errors").collect()] == [("load", "bad.txt")]
     assert sorted(r.file for r in spark.read.parquet(f"{out}/mask_png").collect()) == ["im0_mask.png", "im1_mask.png"]
     lines = [r.value for r in spark.read.text(f"{out}/timing_report").collect()]
-    assert len(lines) == 2 and all("im" in x for x in lines) and "inpaint_time" in (tmp_path / "log").read_text()
+    assert [x.split()[0].rsplit("/")[-1] for x in lines if ".png" in x] == ["im0.png", "im1.png"] and "inpaint_time" in (tmp_path / "log").read_text()
+    assert {"clusters: 8", "painted by: telea", "  none: 2", "  watermark (B): 0"} <= set(lines) and any(x.startswith("median") for x in lines)
+    assert (tmp_path / "log.timing.txt").read_text().splitlines() == lines
     times = spark.read.parquet(f"{out}/timings").collect()
     assert all(r.failover_type == "none" and r.consensus_boxes_count == 1 and r.image_mp == 0.0024 for r in times)
     mask = str(tmp_path / "mask.png")

@@ -119,3 +119,16 @@ def test_reports_without_values(spark):
     assert [r.value for r in report.score_percentiles(none, 3).collect()] == [None] * 3
     times = spark.createDataFrame([(None, 1.0), (None, 3.0)], "load_time double, total_time double")
     assert {tuple(r) for r in report.timing_stats(times).collect()} == {("load_time", 0, 0.0, 0.0), ("total_time", 2, 2.0, 2.0)}
+
+
+def test_the_whole_report(spark):
+    rows = [("b.png", 2.0, 1.5, None, 0.5, 4.0, 2, "rotation"), ("a.png", 1.0, 0.5, 0.25, 1.5, 2.0, 0, "none"), ("c.png", 1.0, None, None, None, 9.0, 1, "watermark")]
+    t = spark.createDataFrame(rows, "image_id string, image_mp double, detection_time double, color_time double, inpaint_time double, total_time double, consensus_boxes_count int, failover_type string")
+    lines = [r.value for r in report.timing_report(t, 12.0, {"clusters": 24}).orderBy("part", "place").collect()]
+    at = lines.index(next(x for x in lines if x.startswith("image ")))
+    assert lines[1] == "clusters: 24" and lines[at].split() == ["image", "MP", "detect", "colour", "paint", "total", "boxes", "way"]
+    assert [x.split() for x in lines[at + 2 : at + 5]] == [["a.png", "1.00", "0.50", "0.25", "1.50", "2.00", "0"], ["b.png", "2.00", "1.50", "-", "0.50", "4.00", "2", "R"], ["c.png", "1.00", "-", "-", "-", "9.00", "1", "B"]]
+    assert [x.split() for x in lines[at + 6 : at + 8]] == [["median", "1.00", "0.25", "1.00", "4.00", "1.0"], ["mean", "1.00", "0.25", "1.00", "5.00", "1.0"]]
+    assert "all images: 12.0 s, 4.00 s each, 2 of 3 with a time" in lines and "regions agreed on: 3, in 2 images (66.7 %)" in lines and lines[-1] == "  watermark (B): 1"
+    none = report.timing_report(t.where("false"), 0.0).orderBy("part", "place").collect()
+    assert any("0 of 0" in r.value for r in none)
