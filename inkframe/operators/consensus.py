@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkframe import schemas
 from inkframe.functions import geometry as geo
 from inkframe.operators import graph
+from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
 #: Share of the smaller box that two boxes must have in common.
@@ -111,23 +112,24 @@ def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> D
     own = boxes.join(linked, ["image_id", "seq"], "inner" if least > 1 else "left")
     own = own.withColumns({"component": F.coalesce("component", "seq"), "near": F.coalesce("near", F.array().cast("array<long>"))})
 
-    def walk(f: pd.DataFrame) -> list[tuple]:
-        place = {s: k for k, s in enumerate(f["seq"].tolist())}
-        near = [[place[s] for s in own] for own in f["near"]]
-        b = f[["x", "y", "w", "h"]].to_numpy(np.int64)
-        conf = f["conf"].to_numpy(float)
-        conf = np.where(conf > 1.0, conf / 100.0, conf)
-        names, seq, image = f["detector"].tolist(), f["seq"].tolist(), f["image_id"].iloc[0]
+    def walk(seq: list[int], near: list, names: list[str], b: np.ndarray, conf: np.ndarray, image) -> list[tuple]:
+        place = {s: k for k, s in enumerate(seq)}
         out = []
-        for members in greedy_groups(near, names):
+        for members in greedy_groups([[place[s] for s in own] for own in near], names):
             if len(members) >= least:
-                own = b[members]
+                own, c = b[members], conf[members]
                 x, y = own[:, 0].min(), own[:, 1].min()
                 w, h = (own[:, 0] + own[:, 2]).max() - x, (own[:, 1] + own[:, 3]).max() - y
-                c = conf[members]
                 out.append((image, seq[members[0]], x, y, w, h, 1 - np.prod(1 - c), [names[m] for m in members], len(members), c.tolist()))
         return out
 
+    def walked(f: pd.DataFrame, cuts: list[int]) -> list[tuple]:
+        """The regions of the groups of ``f`` that begin at ``cuts``; the last of these is where the last group ends."""
+        seq, near, names, images = (f[c].tolist() for c in ("seq", "near", "detector", "image_id"))
+        b, conf = f[["x", "y", "w", "h"]].to_numpy(np.int64), f["conf"].to_numpy(float)
+        conf = np.where(conf > 1.0, conf / 100.0, conf)
+        return [row for lo, hi in zip(cuts, cuts[1:]) for row in walk(seq[lo:hi], near[lo:hi], names[lo:hi], b[lo:hi], conf[lo:hi], images[lo])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["image_id", "seed", "x", "y", "w", "h", "confidence", "detectors", "detector_count", "original_confidences"]
         rest: pd.DataFrame | None = None
@@ -135,13 +137,12 @@ def consensus(boxes: DataFrame, threshold: float = OVERLAP, least: int = 2) -> D
             f = f if rest is None else pd.concat([rest, f], ignore_index=True)
             new = ((f["image_id"] != f["image_id"].shift()) | (f["component"] != f["component"].shift())).to_numpy()
             cuts = [*np.flatnonzero(new)]
-            out = [row for lo, hi in zip(cuts, cuts[1:]) for row in walk(f[lo:hi])]
+            yield pd.DataFrame(walked(f, cuts), columns=columns)
             rest = f[cuts[-1] :]  # the last group may go on in the next batch
-            yield pd.DataFrame(out, columns=columns)
         if rest is not None and len(rest):
-            yield pd.DataFrame(walk(rest), columns=columns)
+            yield pd.DataFrame(walked(rest, [0, len(rest)]), columns=columns)
 
-    groups = own.select("image_id", "component", "seq", "detector", "x", "y", "w", "h", "conf", "near").repartition("image_id", "component").sortWithinPartitions("image_id", "component", "seq")
+    groups = dealt(own.select("image_id", "component", "seq", "detector", "x", "y", "w", "h", "conf", "near"), "image_id", "component").sortWithinPartitions("image_id", "component", "seq")
     found = groups.mapInPandas(run, schemas.REGIONS.replace("region_id int", "seed long"))
     number = (F.row_number().over(Window.partitionBy("image_id").orderBy("seed")) - 1).cast("int")
     return found.withColumn("region_id", number).select("image_id", "region_id", *found.columns[2:])

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
 
@@ -38,7 +39,7 @@ def contracted(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             ends = stars([(*k, x) for k, x in zip(own, f["a"].tolist())], [(*k, x) for k, x in zip(own, f["b"].tolist())])
             yield pd.DataFrame([(*n, c[-1]) for n, c in ends.items() if n != c], columns=[*keys, "a", "b"])
 
-    return edges.select(*keys, "a", "b").repartition(*keys).sortWithinPartitions(*keys, "a").mapInPandas(run, kinds)
+    return dealt(edges.select(*keys, "a", "b"), *keys).sortWithinPartitions(*keys, "a").mapInPandas(run, kinds)
 
 
 def connected(edges: DataFrame, keys: Sequence[str] = ("image_id",), most_rounds: int = 60) -> DataFrame:
