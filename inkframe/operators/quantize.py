@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
+#: Points that are compared with all centres before the next ones, and the share of the longest point's square from which one distance is
+#: surely less than another.
+BATCH, CLEAR = 4096, 1e-9
 #: Rounds of clustering after which the plan is cut.
 CUT = 4
 #: Steps that compactness is compared in: clusterings that only differ in their numbers must count as equal, whatever the order
@@ -71,13 +74,23 @@ def fit(points: np.ndarray, weight: np.ndarray, k: int, rounds: int, first: np.n
 
     axes = np.ascontiguousarray(points.T)
 
+    longest = float(np.square(points).sum(axis=1).max(initial=0.0))
+
     def nearest() -> np.ndarray:
+        # By one product of matrices, whose rounding is far below CLEAR; points with two centres closer than that are measured as they are.
         out = np.empty(len(points), np.int64)
-        for lo in range(0, len(points), 65_536):
-            d: np.ndarray | float = 0.0
-            for own, c in zip(axes, centres.T):
-                d = d + np.square(own[lo : lo + 65_536, None] - c)
-            out[lo : lo + 65_536] = d.argmin(axis=1)
+        shift, slack = np.square(centres).sum(axis=1), CLEAR * (longest + 1.0)
+        for lo in range(0, len(points), BATCH):
+            own = points[lo : lo + BATCH]
+            rough, row = own @ (-2.0 * centres.T), np.arange(len(own))
+            rough += shift
+            at = rough.argmin(axis=1)
+            least = rough[row, at]
+            rough[row, at] = np.inf
+            close = np.flatnonzero(rough.min(axis=1) - least <= slack)
+            if len(close):
+                at[close] = sum(np.square(line[lo : lo + BATCH][close, None] - c) for line, c in zip(axes, centres.T)).argmin(axis=1)
+            out[lo : lo + BATCH] = at
         return out
 
     for _ in range(rounds):
@@ -115,12 +128,13 @@ def best_fit(points: np.ndarray, weight: np.ndarray, codes: np.ndarray, k: int,
     return best[1], best[2]
 
 
-def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ("b", "g", "r"), starts: int = 1, still: float = 0.0) -> DataFrame:
+def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ("b", "g", "r"), starts: int = 1, still: float = 0.0, together: bool = False) -> DataFrame:
     """``lloyd`` for many groups of which each fits a task: all rounds of a group in one pass, after one shuffle.
 
     ``colors`` keeps its columns and gets ``k``; ``by`` names the features. A group has as many rows as its
     image's region has colours. For one huge group use ``lloyd``. With several ``starts`` the most compact clustering is
     kept (``best_fit``); all starts of a group run in the same pass. ``k`` may name a column of ``keys`` that has the group's number.
+    Colours that come with their group in one task already (``together``) stay there.
     """
     by = list(by)
 
@@ -130,7 +144,7 @@ def lloyd_by_group(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[
         return f.assign(k=best_fit(f[by].to_numpy(np.float64), f["n"].to_numpy(np.float64), codes, int(f[k].iloc[0]) if isinstance(k, str) else k, rounds, starts, still)[1].astype("int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in colors.schema.fields) + ", k int"
-    return dealt(colors, *keys).groupBy(*keys).applyInPandas(run, schema)
+    return (colors if together else dealt(colors, *keys)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def centres_of(assigned: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -180,6 +194,6 @@ def with_lab(colors: DataFrame) -> DataFrame:
     return out.select(*colors.columns, "_l", "_a", "_b")
 
 
-def lloyd_lab(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), starts: int = 1, still: float = STILL) -> DataFrame:
+def lloyd_lab(colors: DataFrame, k: int | str, rounds: int, keys: Sequence[str] = ("image_id",), starts: int = 1, still: float = STILL, together: bool = False) -> DataFrame:
     """``lloyd_by_group`` on Lab features: (keys, b, g, r, n, k)."""
-    return lloyd_by_group(with_lab(colors), k, rounds, keys, ("_l", "_a", "_b"), starts, still).drop("_l", "_a", "_b")
+    return lloyd_by_group(with_lab(colors), k, rounds, keys, ("_l", "_a", "_b"), starts, still, together).drop("_l", "_a", "_b")
