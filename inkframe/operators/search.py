@@ -25,14 +25,14 @@ CLOSE, ENOUGH = 0.01, 0.975
 BOOST = 0.5
 
 
-def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = ROUNDS, keys: tuple[str, ...] = ("image_id",), starts: int = quantize.STARTS) -> DataFrame:
+def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, clusters: int = CLUSTERS, rounds: int = ROUNDS, keys: tuple[str, ...] = ("image_id",), starts: int = quantize.STARTS, together: bool = False) -> DataFrame:
     """(keys, b, g, r, n): the colours of each group's text cluster with LEAST pixels or more.
 
     The cluster is that whose centre is closest to ``target``, or without one that of the least channel
-    variance; ties to the smaller number.
+    variance; ties to the smaller number. ``together``: pixels come with their group in one task already.
     """
     keys = list(keys)
-    assigned = quantize.lloyd_lab(colors.distinct_colors(pixels, keys), clusters, rounds, keys, starts)
+    assigned = stored(quantize.lloyd_lab(colors.distinct_colors(pixels, keys), clusters, rounds, keys, starts, together=together))
     centres = quantize.centres_of(assigned, keys)
     if target is not None:
         best = quantize.nearest_cluster(centres, target, keys)
@@ -45,7 +45,7 @@ def find_text_colors(pixels: DataFrame, target: color.BGR | None = None, cluster
 def _letters(assigned: DataFrame, lot: list[str]) -> DataFrame:
     """(image_id, k, label, area, cx, cy, convexity) of the plausible components of each cluster's own pixels after the triple cleaning.
 
-    A task makes the masks of an image's clusters one after the other, so no pixel is sent more than once.
+    A task makes the masks of all of an image's clusters from its pixels, so no pixel is sent more than once.
     """
 
     steps = tiles.OPEN * 3
@@ -53,8 +53,7 @@ def _letters(assigned: DataFrame, lot: list[str]) -> DataFrame:
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x, y, own = (f[c].to_numpy(np.int64) for c in ("x", "y", "k"))
         out = []
-        for k in np.unique(own):
-            lit = tiles.run_steps(x, y, np.where(own == k, 255, 0).astype(np.int32), steps) > 0
+        for k, lit in tiles.run_each(x, y, own, steps):
             out += [(f["image_id"].iloc[0], k, *c) for c in components.letters(x[lit], y[lit])]
         return pd.DataFrame(out, columns=["image_id", "k", "label", "area", "cx", "cy", "convexity"])
 
@@ -133,7 +132,7 @@ def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataF
         own = counted.join(left, "image_id", "left_semi").withColumn("clusters", F.explode(F.array(*map(F.lit, lot))))
         clustered = quantize.lloyd_by_group(own, "clusters", rounds, ("image_id", "clusters"), ("_l", "_a", "_b"), starts, quantize.STILL)
         clustered = stored(clustered.select("image_id", "clusters", "b", "g", "r", "n", (F.col("clusters") * SPAN + F.col("k")).alias("k")))
-        assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "clusters", "k"), ["image_id", "b", "g", "r"])
+        assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "clusters", "k").hint("merge"), ["image_id", "b", "g", "r"])
         means = quantize.centres_of(clustered).drop("n")
         scored = candidate_scores(assigned, confidence).join(means, ["image_id", "k"])
         scored = scored.withColumns({"clusters": F.floor(F.col("k") / SPAN).cast("int"), "k": (F.col("k") % SPAN).cast("int")})

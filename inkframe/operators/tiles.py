@@ -6,7 +6,7 @@ runs the whole chain on its own pixels and on a border; what the border's outer
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,15 +41,14 @@ def reach(steps: Sequence[Step]) -> tuple[int, int]:
 
 
 def _line(a: np.ndarray, here: np.ndarray, by: int, axis: int, grow: bool) -> np.ndarray:
-    """Largest (or smallest) of the pixels that are there within ``by`` along an axis."""
+    """Largest (or smallest) of the pixels that are there within ``by`` along an axis; of several masks of one shape, if ``a`` has three axes."""
     f, none = (np.maximum, 0) if grow else (np.minimum, 255)
-    a = np.where(here, a, none)
-    pad = [(0, 0), (0, 0)]
-    pad[axis] = (by, by)
-    wide = np.pad(a, pad, constant_values=none)
-    out, n = a, a.shape[axis]
-    for d in range(2 * by + 1):
-        out = f(out, wide[d : d + n] if axis == 0 else wide[:, d : d + n])
+    out = np.where(here, a, none)
+    a = out.copy() if by else out
+    for d in range(1, by + 1):
+        for to, of in (((slice(d, None)), slice(None, -d)), (slice(None, -d), slice(d, None))):
+            to, of = ((..., to, slice(None)), (..., of, slice(None))) if axis == 0 else ((..., to), (..., of))
+            f(out[to], a[of], out=out[to])
     return out
 
 
@@ -96,6 +95,30 @@ def run_steps(x: np.ndarray, y: np.ndarray, v: np.ndarray, steps: Sequence[Step]
     return a[row, col]
 
 
+def run_each(x: np.ndarray, y: np.ndarray, own: np.ndarray, steps: Sequence[Step], cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, which of the given pixels are lit) of each mask k, the pixels where ``own`` is k, after a chain of steps without blur.
+
+    Masks run together as one array, as many as have ``cells`` pixels.
+    """
+    if not len(x):
+        return
+    row, col = y - y.min(), x - x.min()
+    here = np.zeros((row.max() + 1, col.max() + 1), bool)
+    here[row, col] = True
+    ks = np.unique(own)
+    at_once = max(1, cells // here.size)
+    for lo in range(0, len(ks), at_once):
+        lot = ks[lo : lo + at_once]
+        a = np.zeros((len(lot), *here.shape), np.uint8)
+        of = np.searchsorted(lot, own).clip(0, len(lot) - 1)
+        mine = lot[of] == own
+        a[of[mine], row[mine], col[mine]] = 255
+        for s in steps:
+            a = _line(_line(a, here, s[1], 1, s[3]), here, s[2], 0, s[3]) if s[0] == "rectangle" else _ellipse(a, here, s[1], s[2])
+        for k, lit in zip(lot, a):
+            yield k, lit[row, col] > 0
+
+
 def _cells(at: Column, by: int, tile: int) -> Column:
     return F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((at - by) / tile)), F.floor((at + by) / tile)))
 
@@ -131,7 +154,8 @@ def label(mask: DataFrame, keys: Sequence[str] = ("image_id",), tile: int = TILE
 
     Tiles are labelled by themselves, and a part is named after its first pixel. Pixels at the lines between tiles meet their
     neighbours across by a join, which links parts; ``graph.connected`` makes components of them, named after their first pixel
-    too, whose rank in the mask is the label. Only the parts of a mask, not its pixels, are ever sorted together.
+    too, whose rank in the mask is the label. Only the parts of a mask, not its pixels, are ever sorted together. Joins of pixels say that
+    they merge: stored pixels take few bytes in a file, by which they would be broadcast, and very many in memory.
     """
     keys = list(keys)
     lit = mask.where("v > 0").select(*keys, "x", "y").withColumns({"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)})
@@ -152,9 +176,9 @@ def label(mask: DataFrame, keys: Sequence[str] = ("image_id",), tile: int = TILE
     )
     asked = parts.where(inner).select(*keys, F.col("part").alias("a"), F.explode(across).alias("spot"))
     met = parts.where(outer | inner).select(*keys, F.col("part").alias("b"), _spot(F.col("x"), F.col("y")).alias("spot"))
-    links = asked.join(met, [*keys, "spot"]).where("a <> b").select(*keys, "a", "b")
+    links = asked.join(met.hint("merge"), [*keys, "spot"]).where("a <> b").select(*keys, "a", "b")
     joined = graph.connected(links, keys)
-    names = parts.select(*keys, "part").distinct().join(joined.withColumnRenamed("node", "part"), [*keys, "part"], "left")
+    names = parts.select(*keys, "part").distinct().join(joined.withColumnRenamed("node", "part").hint("merge"), [*keys, "part"], "left")
     names = names.select(*keys, "part", F.coalesce("component", "part").alias("component"))
     numbered = names.withColumn("label", F.dense_rank().over(Window.partitionBy(*keys).orderBy("component")).cast("bigint"))
-    return parts.join(numbered, [*keys, "part"]).select(*keys, "x", "y", "label")
+    return parts.join(numbered.hint("merge"), [*keys, "part"]).select(*keys, "x", "y", "label")
