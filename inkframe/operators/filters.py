@@ -144,9 +144,9 @@ def edges_table(gray: DataFrame, low: float = 50, high: float = 150) -> DataFram
     ridge = (F.col("_m") > behind) & (F.col("_m") >= ahead)
     rows = stored(rows.select("image_id", "x", "y", F.when(ridge & (F.col("_m") > high), 2).when(ridge & (F.col("_m") > low), 1).otherwise(0).alias("v")))
     labels = across_tiles(rows)
-    strong = labels.join(rows.where("v = 2").select("image_id", "x", "y"), ["image_id", "x", "y"]).select("image_id", "label").distinct()
-    lit = labels.join(strong, ["image_id", "label"], "left_semi").select("image_id", "x", "y", F.lit(255).cast("long").alias("edge"))
-    return rows.select("image_id", "x", "y").join(lit, ["image_id", "x", "y"], "left").na.fill(0, ["edge"])
+    strong = labels.join(rows.where("v = 2").select("image_id", "x", "y").hint("merge"), ["image_id", "x", "y"]).select("image_id", "label").distinct()
+    lit = labels.join(strong.hint("merge"), ["image_id", "label"], "left_semi").select("image_id", "x", "y", F.lit(255).cast("long").alias("edge"))
+    return rows.select("image_id", "x", "y").join(lit.hint("merge"), ["image_id", "x", "y"], "left").na.fill(0, ["edge"])
 
 
 def _per_image(rows: DataFrame, f, name: str) -> DataFrame:

@@ -165,7 +165,7 @@ def telea_by_hole(pixels: DataFrame, mask: DataFrame, radius: int = 3, over: int
     rows = pixels.select("image_id", "x", "y", "b", "g", "r").join(mask.select("image_id", "x", "y", "v"), ["image_id", "x", "y"], "left")
     rows = rows.withColumn("hole", hole).withColumn("v", F.when(F.col("hole"), 255).otherwise(0).cast("int"))
     near = stored(tiles.by_tiles(rows, (("rectangle", radius + 1, radius + 1, True),), tile=tile))
-    around = near.where("v > 0").drop("v").join(tiles.label(near, tile=tile), ["image_id", "x", "y"])
+    around = near.where("v > 0").drop("v").join(tiles.label(near, tile=tile).hint("merge"), ["image_id", "x", "y"])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x, y = (f[c].to_numpy() for c in "xy")
