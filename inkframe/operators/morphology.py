@@ -3,7 +3,8 @@
 Pixels outside a mask are ignored, so a mask cut to a region never grows past it. Windows run along rows
 and columns. Operations of several passes first bring each mask together (``whole``): one shuffle, after
 which every pass only sorts. For masks too large for a task ``tiles.by_tiles`` runs the same chains in tiles, after one shuffle;
-``together=False`` here shuffles by row or column at each change between them.
+``together=False`` here shuffles by row or column at each change between them, unless the mask comes partitioned by image,
+as when the pixels were made so: then nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.operators.groups import dealt
+
 
 def whole(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """``mask`` partitioned by its first key (the image), which serves windows by (keys, row) and by (keys, column)."""
-    return mask.repartition(keys[0])
+    """``mask`` partitioned by its first key (the image), which serves windows by (keys, row) and by (keys, column).
+
+    Dealt to a set number of tasks: by its bytes, of which a mask has few, adaptive execution would bring most of a table together,
+    and each of the many sorts that follow holds the rows of a task.
+    """
+    return dealt(mask, keys[0])
 
 
 def _along(keys: Sequence[str], line: str, at: str, reach: int):

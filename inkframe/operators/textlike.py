@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.operators import colors, filters, quantize
+from inkframe.sources.stored import stored
 
 #: Weights of line, size, spacing, convexity and count.
 WEIGHTS = (0.30, 0.25, 0.25, 0.15, 0.05)
@@ -93,10 +94,10 @@ def tile_density(pixels: DataFrame, size: int, keys: Sequence[str] = ("image_id"
     return rows.groupBy(*keys, "ty", "tx").agg(F.avg((F.col("edge") > 0).cast("int")).alias("edge_density"), *shares)
 
 
-def edgy_colors(pixels: DataFrame, size: int = 8, clusters: int = 4, rounds: int = 20, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def edgy_colors(pixels: DataFrame, size: int = 8, clusters: int = 4, rounds: int = 20, keys: Sequence[str] = ("image_id",), together: bool = False) -> DataFrame:
     """(keys, k, weight, rank, b, g, r) of the colour clusters that go with edges: k-means, edges, shares by tile, regression."""
-    assigned = quantize.lloyd_by_group(colors.distinct_colors(pixels, list(keys)), clusters, rounds, keys)
-    named = pixels.select(*keys, "x", "y", "b", "g", "r").join(assigned.select(*keys, "b", "g", "r", "k"), [*keys, "b", "g", "r"])
+    assigned = stored(quantize.lloyd_by_group(colors.distinct_colors(pixels, list(keys)), clusters, rounds, keys, together=together))
+    named = pixels.select(*keys, "x", "y", "b", "g", "r").join(assigned.select(*keys, "b", "g", "r", "k").hint("merge"), [*keys, "b", "g", "r"])
     tiles = tile_density(filters.edges(pixels).join(named.select(*keys, "x", "y", "k"), [*keys, "x", "y"]), size, keys, clusters)
     return edgy_clusters(tiles, clusters, keys).join(quantize.centres_of(assigned, keys).drop("n"), [*keys, "k"])
 

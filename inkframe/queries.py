@@ -275,7 +275,7 @@ def _lloyd_sql(colors_: str, k: int, rounds: int, keys: str = "image_id", name:
 _COLORS_SQL = ", colors AS MATERIALIZED (SELECT image_id, b, g, r, count(*) AS n FROM pixels GROUP BY image_id, b, g, r)"
 _CENTRES = "SELECT image_id, CAST(k AS INT) AS k, sum(b*n)/sum(n) AS b, sum(g*n)/sum(n) AS g, sum(r*n)/sum(n) AS r, CAST(sum(n) AS BIGINT) AS n FROM {} GROUP BY image_id, k"
 _add("kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), 4, 3)), _COLORS_SQL + _lloyd_sql("colors", 4, 3) + _CENTRES.format("a3"))
-_add("kmeans_rgb", "pixels", lambda d: quantize.centres_of(quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS)), _COLORS_SQL + _lloyd_sql("colors", tfidf.CLUSTERS, tfidf.ROUNDS) + _CENTRES.format(f"a{tfidf.ROUNDS}"))
+_add("kmeans_rgb", "pixels", lambda d: quantize.centres_of(quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS, together=True)), _COLORS_SQL + _lloyd_sql("colors", tfidf.CLUSTERS, tfidf.ROUNDS) + _CENTRES.format(f"a{tfidf.ROUNDS}"))
 
 
 def _restarted(d: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ _add(
     best AS (SELECT image_id, start FROM (SELECT image_id, start, floor(sum(spread) * {quantize.COARSE!r}) AS c FROM spreads GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY c, start) = 1)
     SELECT image_id, CAST(k AS INT) AS k, pixels, spread FROM spreads JOIN best USING (image_id, start)""",
 )
-_add("find_text_colors", "pixels", search.find_text_colors, None)
+_add("find_text_colors", "pixels", lambda d: search.find_text_colors(d, together=True), None)
 
 
 def _searched(d: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _searched(d: DataFrame) -> DataFrame:
 
 _add("exhaustive_search", "pixels", _searched, None)
 _add("darkest_color", "pixels", search.darkest, "SELECT image_id, b, g, r FROM pixels QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b + g + r, y, x) = 1")
-_add("kmeans_lab", "pixels", lambda d: quantize.centres_of(quantize.lloyd_lab(colors.distinct_colors(d), search.CLUSTERS, search.ROUNDS)), None)
+_add("kmeans_lab", "pixels", lambda d: quantize.centres_of(quantize.lloyd_lab(colors.distinct_colors(d), search.CLUSTERS, search.ROUNDS, together=True)), None)
 
 
 def _near(d: DataFrame) -> DataFrame:
@@ -428,11 +428,11 @@ def _clean_sql(source: str, keys: str = "image_id") -> str:
     return f"grown AS ({_rectangle_sql(source, 5, 5, True, keys)}), closed AS ({_rectangle_sql('grown', 5, 5, False, keys)}), fat AS MATERIALIZED ({_ellipse_sql('closed', 13, True, keys)}), {_blur_sql('fat', keys)}"
 
 
-_add("morph_close", "pixels", lambda d: morphology.close(_mask(d)), f"{MASK_SQL}, grown AS ({_rectangle_sql('mask', 5, 5, True)}) {_rectangle_sql('grown', 5, 5, False)}")
-_add("morph_expand", "pixels", lambda d: morphology.expand(_mask(d), 2), f"{MASK_SQL} {_rectangle_sql('mask', 2, 2, True)}")
+_add("morph_close", "pixels", lambda d: morphology.close(_mask(d), together=False), f"{MASK_SQL}, grown AS ({_rectangle_sql('mask', 5, 5, True)}) {_rectangle_sql('grown', 5, 5, False)}")
+_add("morph_expand", "pixels", lambda d: morphology.expand(_mask(d), 2, together=False), f"{MASK_SQL} {_rectangle_sql('mask', 2, 2, True)}")
 _add("morph_dilate_ellipse", "pixels", lambda d: morphology.ellipse(_mask(d), 13), f"{MASK_SQL} {_ellipse_sql('mask', 13, True)}")
-_add("morph_smooth", "pixels", lambda d: morphology.smooth(_mask(d), 9), f"{MASK_SQL}, {_blur_sql('mask')}")
-_add("morph_clean", "pixels", lambda d: morphology.clean(_mask(d)), f"{MASK_SQL}, {_clean_sql('mask')}")
+_add("morph_smooth", "pixels", lambda d: morphology.smooth(_mask(d), 9, together=False), f"{MASK_SQL}, {_blur_sql('mask')}")
+_add("morph_clean", "pixels", lambda d: morphology.clean(_mask(d), together=False), f"{MASK_SQL}, {_clean_sql('mask')}")
 _add("morph_clean_tiles", "pixels", lambda d: tiles.by_tiles(_mask(d), tiles.CLEAN, tile=32), f"{MASK_SQL}, {_clean_sql('mask')}")
 
 
@@ -445,7 +445,7 @@ def _opened_sql() -> str:
     return out + f" SELECT * FROM {last}"
 
 
-_add("morph_open_erode_dilate", "pixels", lambda d: morphology.open_erode_dilate(morphology.expand(_mask(d), 3)), _opened_sql())
+_add("morph_open_erode_dilate", "pixels", lambda d: morphology.open_erode_dilate(morphology.expand(_mask(d), 3, together=False), together=False), _opened_sql())
 _PAIR = "image_id, region_id"
 _TEXT_SQL = (
     _NEAR_SQL[: _NEAR_SQL.index("counts AS")].replace("near AS (", "around AS MATERIALIZED (").rstrip().rstrip(",")
@@ -503,7 +503,7 @@ _add(
     "tile_density", "pixels", lambda d: textlike.tile_density(d.withColumn("edge", F.when(F.col("is_text"), 255).otherwise(0)).withColumn("k", (F.col("b") % 2).cast("int")), 10, clusters=2),
     """SELECT image_id, y//10 AS ty, x//10 AS tx, avg(CASE WHEN is_text THEN 1 ELSE 0 END) AS edge_density, avg(CASE WHEN b % 2 = 0 THEN 1 ELSE 0 END) AS share_0, avg(CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END) AS share_1 FROM pixels WHERE x < 60 AND y < 40 GROUP BY 1, 2, 3""",
 )
-_add("edgy_colors", "pixels", textlike.edgy_colors, None)
+_add("edgy_colors", "pixels", lambda d: textlike.edgy_colors(d, together=True), None)
 
 # --- filters ----------------------------------------------------------------------------------------------
 #: Images of 64 by 48 have 16 tiles of 16 by 12, of which none is filled up; at most one pixel of a tile counts for a value.
