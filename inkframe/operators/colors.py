@@ -64,21 +64,36 @@ def mask_near(pixels: DataFrame, colors: Sequence[color.BGR], tolerance: int = 1
 def mask_near_table(pixels: DataFrame, table: DataFrame, tolerance: int = 10) -> DataFrame:
     """(image_id, x, y, v) as ``mask_near``, for colours in a table (b, g, r, and image_id where each image has its own) of any length.
 
-    A range join by the cells of a grid of the colour cube: cells are as wide as a colour reaches, so each colour of the table is
-    in eight of them at most and meets the distinct colours of an image in theirs. A colour leaves the join with its
-    first match, so no pairs are made; pixels then look their colour up.
+    A range join by the cells of a grid of the colour cube: cells are twice as wide as a colour reaches, so each colour of the table is
+    in eight of them at most, in three on average, and meets the distinct colours of an image in theirs. Colours out of reach of all that an
+    image spans leave before. A colour leaves the join with its first match, so no pairs are made; pixels then look their colour up. Cells and colours are
+    sent as one number each.
     """
     on = ["image_id"] if "image_id" in table.columns else []
-    wide = 2 * tolerance + 1
-    cells = [f"_{c}" for c in "bgr"]
-    known = pixels.select(*on, "b", "g", "r").distinct().withColumns({f"_{c}": F.floor(F.col(c) / wide) for c in "bgr"})
-    asked = table.select(*(F.col(c).alias(f"t_{c}") for c in (*on, "b", "g", "r"))).distinct()
+    wide = 2 * (2 * tolerance + 1)
+    side = 256 // wide + 2
+    number = lambda parts, base: sum((F.col(c) * base**k for k, c in enumerate(parts)), F.lit(0)).cast("int")
+    code = number(["r", "g", "b"], 256).alias("_code")
+    known = pixels.select(*on, "b", "g", "r").distinct()
+    span = known.groupBy(*on).agg(*(f(c).cast("long").alias(f"_{n}{c}") for c in "bgr" for n, f in (("lo", F.min), ("hi", F.max))))
+    asked = table.select(*on, *(F.col(c).cast("long").alias(c) for c in "bgr")).distinct()
+    asked = asked.join(span, on) if on else asked.crossJoin(F.broadcast(span))
     for c in "bgr":
-        asked = asked.select("*", F.explode(F.sequence(F.floor((F.col(f"t_{c}") - tolerance) / wide), F.floor((F.col(f"t_{c}") + tolerance) / wide))).alias(f"t__{c}"))
-    same = [F.col(c) == F.col(f"t_{c}") for c in (*on, *cells)]
-    close = [F.abs(F.col(c) - F.col(f"t_{c}")) <= tolerance for c in "bgr"]
-    hits = known.join(asked, [*same, *close], "left_semi").select(*on, "b", "g", "r", F.lit(255).alias("_v"))
-    return pixels.join(hits, [*on, "b", "g", "r"], "left").select("image_id", "x", "y", F.coalesce("_v", F.lit(0)).cast("int").alias("v"))
+        asked = asked.where((F.col(c) >= F.col(f"_lo{c}") - tolerance) & (F.col(c) <= F.col(f"_hi{c}") + tolerance))
+    asked = asked.select(*on, "b", "g", "r")
+    for c in "bgr":
+        low, high = (F.greatest(F.lit(0), F.least(F.lit(255), F.col(c) + d)) for d in (-tolerance, tolerance))
+        asked = asked.select("*", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))).alias(f"_{c}"))
+    cells = number(["_r", "_g", "_b"], side).alias("_cell")
+    at = [F.floor(F.col(c) / wide).alias(f"_{c}") for c in "bgr"]
+    known = known.select(*on, "b", "g", "r", *at).select(*on, "b", "g", "r", cells)
+    asked = asked.select(*on, *(F.col(c).cast("short").alias(f"t_{c}") for c in "bgr"), cells)
+    near = [F.abs(F.col(c) - F.col(f"t_{c}")) <= tolerance for c in "bgr"]
+    asked = asked.select(*(F.col(c).alias(f"t_{c}") for c in (*on, "_cell")), *(f"t_{c}" for c in "bgr"))
+    same = [F.col(c) == F.col(f"t_{c}") for c in (*on, "_cell")]
+    hits = known.join(asked, [*same, *near], "left_semi").select(*on, code, F.lit(255).alias("_v"))
+    rows = pixels.select("image_id", "x", "y", code)
+    return rows.join(hits, [*on, "_code"], "left").select("image_id", "x", "y", F.coalesce("_v", F.lit(0)).cast("int").alias("v"))
 
 
 def enhance(pixels: DataFrame, target: color.BGR, tolerance: int, compat: str = "wrap") -> DataFrame:
