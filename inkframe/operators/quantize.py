@@ -16,8 +16,8 @@ from inkframe.sources.stored import stored
 #: Points that are compared with all centres before the next ones, and the share of the longest point's square from which one distance is
 #: surely less than another.
 BATCH, CLEAR = 4096, 1e-9
-#: Rounds of clustering after which the plan is cut.
-CUT = 4
+#: Rounds of clustering after which the plan is cut, and the colours of a task.
+CUT, ROWS = 4, 250_000
 #: Steps that compactness is compared in: clusterings that only differ in their numbers must count as equal, whatever the order
 #: of their sums, and no sum of fractions lies on the edge of such a step.
 COARSE = 1000 / math.pi
@@ -34,17 +34,22 @@ def grid_cluster(b: Column, g: Column, r: Column, steps: int = 4) -> Column:
     return (cell(b) * steps + cell(g)) * steps + cell(r)
 
 
-def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_id",), together: bool = False) -> DataFrame:
     """(keys, b, g, r, n, k) with each distinct colour's cluster after ``rounds`` updates of weighted k-means.
 
     Starts from the group's ``k`` most frequent colours (ties: smaller b, g, r) and stops early nowhere, so
     the outcome is the same on any cluster. Clusters that lose all colours are dropped. Ties between
     centres go to the smaller number. The centres of a group, ``k`` at most, travel as one array beside
     its colours: a round is one aggregation and one join on the group, with no pair of rows ever formed.
-    The distinct colours are stored once, and the centres every few rounds, so the plan doesn't grow with them.
+    The distinct colours are stored once and dealt to as many tasks as they need, ``ROWS`` a task on average, and the centres are stored every few
+    rounds, so neither a task nor the plan grows with them. Colours that come with their group in one task already (``together``) stay there, and
+    are made again for each round.
     """
     keys = list(keys)
-    colors = stored(colors.select(*keys, "b", "g", "r", "n"))
+    colors = colors.select(*keys, "b", "g", "r", "n")
+    if not together:
+        colors = stored(colors)
+        colors = dealt(colors, *keys, tasks=-(-colors.count() // ROWS))
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "b", "g", "r")
     first = colors.withColumn("_k", F.row_number().over(order) - 1).where(F.col("_k") < k)
     point = F.struct(F.col("_k").alias("k"), *(F.col(c).cast("double").alias(c) for c in "bgr"))
@@ -52,8 +57,9 @@ def lloyd(colors: DataFrame, k: int, rounds: int, keys: Sequence[str] = ("image_
 
     def assigned(centres: DataFrame) -> DataFrame:
         d = lambda c: (F.col("b") - c["b"]) * (F.col("b") - c["b"]) + (F.col("g") - c["g"]) * (F.col("g") - c["g"]) + (F.col("r") - c["r"]) * (F.col("r") - c["r"])
-        near = F.array_min(F.transform("_c", lambda c: F.struct(d(c).alias("d"), c["k"].alias("k"))))
-        return colors.join(centres, keys).select(*keys, "b", "g", "r", "n", near["k"].alias("k"))
+        # Centre by centre, as a lambda over the array would not be compiled. A task's centres are few beside its colours, which needn't be sorted.
+        near = [F.when(F.size("_c") > i, F.struct(d(c).alias("d"), c["k"].alias("k"))) for i in range(k) for c in [F.get("_c", F.lit(i))]]
+        return colors.join(centres.hint("shuffle_hash"), keys).select(*keys, "b", "g", "r", "n", (F.least(*near) if k > 1 else near[0])["k"].alias("k"))
 
     for done in range(1, rounds + 1):
         weight = F.sum("n")

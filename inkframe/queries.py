@@ -274,7 +274,7 @@ def _lloyd_sql(colors_: str, k: int, rounds: int, keys: str = "image_id", name:
 
 _COLORS_SQL = ", colors AS MATERIALIZED (SELECT image_id, b, g, r, count(*) AS n FROM pixels GROUP BY image_id, b, g, r)"
 _CENTRES = "SELECT image_id, CAST(k AS INT) AS k, sum(b*n)/sum(n) AS b, sum(g*n)/sum(n) AS g, sum(r*n)/sum(n) AS r, CAST(sum(n) AS BIGINT) AS n FROM {} GROUP BY image_id, k"
-_add("kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), 4, 3)), _COLORS_SQL + _lloyd_sql("colors", 4, 3) + _CENTRES.format("a3"))
+_add("kmeans_lloyd", "pixels", lambda d: quantize.centres_of(quantize.lloyd(colors.distinct_colors(d), 4, 3, together=True)), _COLORS_SQL + _lloyd_sql("colors", 4, 3) + _CENTRES.format("a3"))
 _add("kmeans_rgb", "pixels", lambda d: quantize.centres_of(quantize.lloyd_by_group(colors.distinct_colors(d), tfidf.CLUSTERS, tfidf.ROUNDS, together=True)), _COLORS_SQL + _lloyd_sql("colors", tfidf.CLUSTERS, tfidf.ROUNDS) + _CENTRES.format(f"a{tfidf.ROUNDS}"))
 
 
