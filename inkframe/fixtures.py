@@ -79,10 +79,22 @@ def spread(parts: DataFrame) -> DataFrame:
     A file of parts is read by one task and an image of it becomes 3,072 rows. Dealt before that by the key, images come with all
     their pixels in one task, so what works by image afterwards needs no further shuffle.
     """
-    images = parts.where("p_partkey % 50 = 0").select("p_partkey")
-    n = images.count()
+    return _images(parts).repartition(_tasks(parts), "p_partkey")
+
+
+def _images(parts: DataFrame) -> DataFrame:
+    return parts.where("p_partkey % 50 = 0").select("p_partkey")
+
+
+def _tasks(parts: DataFrame) -> int:
+    n = _images(parts).count()
     least = min(n, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return images.repartition(max(1, least, -(-n // IMAGES)), "p_partkey")
+    return max(1, least, -(-n // IMAGES))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """In how many tasks ``load`` makes the pixels, for steps that send them on."""
+    return _tasks(spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

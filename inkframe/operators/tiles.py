@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +64,17 @@ def _blur(a: np.ndarray, here: np.ndarray, size: int, over: int) -> np.ndarray:
     if size <= 1:
         return a
     size += 1 - size % 2
-    half, s = size // 2, np.where(here, a, 0).astype(np.float64)
+    half, s, full = size // 2, np.where(here, a, 0).astype(np.float64), here.all()
     for axis in (1, 0):
         n = a.shape[axis]
+        if full:  # every line is as long, so they are mirrored as one
+            to = np.arange(-half, n + half)
+            to = np.where(to < 0, -to, np.where(to > n - 1, 2 * (n - 1) - to, to))
+            s, total = s.take(np.clip(to, 0, n - 1), axis), np.zeros(s.shape)
+            for k, w in enumerate(morphology.weights(size)):
+                total = total + (s[:, k : k + n] if axis else s[k : k + n]) * w
+            s = total
+            continue
         at = np.arange(n)[None, :] if axis else np.arange(n)[:, None]
         first, last = here.argmax(axis=axis), n - 1 - np.flip(here, axis).argmax(axis=axis)
         lo, hi = np.expand_dims(first, axis), np.expand_dims(last, axis)
@@ -123,22 +132,28 @@ def _cells(at: Column, by: int, tile: int) -> Column:
     return F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((at - by) / tile)), F.floor((at + by) / tile)))
 
 
-def by_tiles(mask: DataFrame, steps: Sequence[Step], keys: Sequence[str] = ("image_id",), tile: int = TILE) -> DataFrame:
+def by_tiles(mask: DataFrame, steps: Sequence[Step], keys: Sequence[str] = ("image_id",), tile: int = TILE, tasks: int = 0) -> DataFrame:
     """``mask`` (keys, x, y, v; x and y from 0) after a chain of steps, tile by tile; columns beside these come along.
 
     One shuffle by tile, whatever the number of steps; a task holds one tile and its border, however large the mask. Pixels on
-    borders are sent twice or more: (1 + 2 * reach / tile)^2 of all, 1.4 times for the cleaning of text at 256.
+    borders are sent twice or more: (1 + 2 * reach / tile)^2 of all, 1.4 times for the cleaning of text at 256. The tiles are dealt to
+    ``tasks`` (``groups.dealt``).
     """
     bx, by = reach(steps)
     rows = mask.select("*", _cells(F.col("x"), bx, tile).alias("_tx")).select("*", _cells(F.col("y"), by, tile).alias("_ty"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f["x"].to_numpy(np.int64), f["y"].to_numpy(np.int64)
-        own = (x // tile == f["_tx"].iloc[0]) & (y // tile == f["_ty"].iloc[0])
-        f = f.drop(columns=["_tx", "_ty"])
-        return f.assign(v=run_steps(x, y, f["v"].to_numpy(np.int32), steps))[own] if own.any() else f[:0]
+    names = mask.columns
 
-    return dealt(rows, *keys, "_tx", "_ty").groupBy(*keys, "_tx", "_ty").applyInPandas(run, mask.schema)
+    def run(t: pa.Table) -> pa.Table:
+        x, y, v = (t[c].to_numpy().astype(np.int64, copy=False) for c in "xyv")
+        own = (x // tile == t["_tx"][0].as_py()) & (y // tile == t["_ty"][0].as_py())
+        out = t.select(names)
+        if not own.any():
+            return out.slice(0, 0)
+        at = names.index("v")
+        return out.set_column(at, out.schema.field(at), pa.array(run_steps(x, y, v.astype(np.int32), steps), pa.int64()).cast(out.schema.field(at).type)).filter(pa.array(own))
+
+    return dealt(rows, *keys, "_tx", "_ty", tasks=tasks).groupBy(*keys, "_tx", "_ty").applyInArrow(run, mask.schema)
 
 
 #: A pixel as one number that orders as (y, x) does.

@@ -22,8 +22,9 @@ _sql: dict[str, str] = {}
 WIDTH, HEIGHT = 480, 340
 
 
-def _add(name: str, table: str, plan: Callable[[DataFrame], DataFrame], tail: str | None, recursive: bool = False) -> None:
-    _queries[name] = lambda spark, sf_dir: plan(fixtures.load(spark, sf_dir, table))
+def _add(name: str, table: str, plan: Callable[..., DataFrame], tail: str | None, recursive: bool = False, sized: bool = False) -> None:
+    """``sized``: the plan is also told in how many tasks the pixels are made."""
+    _queries[name] = lambda spark, sf_dir: plan(fixtures.load(spark, sf_dir, table), **({"tasks": fixtures.tasks(spark, sf_dir)} if sized else {}))
     if tail is not None:
         _sql[name] = fixtures.sql(table, tail, recursive)
 
@@ -433,7 +434,7 @@ _add("morph_expand", "pixels", lambda d: morphology.expand(_mask(d), 2, together
 _add("morph_dilate_ellipse", "pixels", lambda d: morphology.ellipse(_mask(d), 13), f"{MASK_SQL} {_ellipse_sql('mask', 13, True)}")
 _add("morph_smooth", "pixels", lambda d: morphology.smooth(_mask(d), 9, together=False), f"{MASK_SQL}, {_blur_sql('mask')}")
 _add("morph_clean", "pixels", lambda d: morphology.clean(_mask(d), together=False), f"{MASK_SQL}, {_clean_sql('mask')}")
-_add("morph_clean_tiles", "pixels", lambda d: tiles.by_tiles(_mask(d), tiles.CLEAN, tile=32), f"{MASK_SQL}, {_clean_sql('mask')}")
+_add("morph_clean_tiles", "pixels", lambda d, tasks: tiles.by_tiles(_mask(d), tiles.CLEAN, tile=32, tasks=tasks), f"{MASK_SQL}, {_clean_sql('mask')}", sized=True)
 
 
 def _opened_sql() -> str:

@@ -3,7 +3,10 @@
 import contextlib
 import io
 
-from inkframe import queries
+import numpy as np
+
+from inkframe import fixtures, queries
+from inkframe.operators import tiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,3 +24,17 @@ def exchanges(text):
 
 def test_lloyd_leaves_colours_where_they_were_made(spark):
     assert not [line for line in exchanges(plan(spark, "kmeans_lloyd")) if "p_partkey" not in line]
+
+
+def test_tiles_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "IMAGES", 5)
+    assert [line for line in exchanges(plan(spark, "morph_clean_tiles")) if "_ty" in line and ", 8)" in line]
+
+
+def test_blur_of_a_full_mask_equals_that_of_any():
+    rng = np.random.default_rng(5)
+    for h, w in ((1, 1), (2, 9), (3, 4), (30, 41)):
+        a = rng.choice([0, 255], (h, w)).astype(np.int32)
+        here = np.ones((h, w), bool)
+        wide, there = np.pad(a, ((0, 1), (0, 1))), np.pad(here, ((0, 1), (0, 1)))  # a line and a column that aren't there
+        assert (tiles._blur(a, here, 9, 127) == tiles._blur(wide, there, 9, 127)[:h, :w]).all()
