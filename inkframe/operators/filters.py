@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -149,25 +151,28 @@ def edges_table(gray: DataFrame, low: float = 50, high: float = 150) -> DataFram
     return rows.select("image_id", "x", "y").join(lit.hint("merge"), ["image_id", "x", "y"], "left").na.fill(0, ["edge"])
 
 
-def _per_image(rows: DataFrame, f, name: str) -> DataFrame:
-    """(image_id, x, y, name) of ``f`` over each image's gray values ``v``."""
+def _per_image(rows: DataFrame, f, name: str, also: Sequence[str] = ()) -> DataFrame:
+    """(image_id, x, y, also, name) of ``f`` over each image's gray values ``v``."""
+    also = list(also)
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         x, y = (d[c].to_numpy() for c in "xy")
         x, y = x - x.min(), y - y.min()
         image = np.zeros((y.max() + 1, x.max() + 1), np.int64)
         image[y, x] = d["v"].to_numpy()
-        return d[["image_id", "x", "y"]].assign(**{name: f(image)[y, x]})
+        return d[["image_id", "x", "y", *also]].assign(**{name: f(image)[y, x]})
 
-    return rows.select("image_id", "x", "y", "v").groupBy("image_id").applyInPandas(run, f"image_id bigint, x bigint, y bigint, {name} bigint")
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in also)
+    return rows.select("image_id", "x", "y", *also, "v").groupBy("image_id").applyInPandas(run, f"image_id bigint, x bigint, y bigint, {kinds}{name} bigint")
 
 
-def gray_values(pixels: DataFrame, swap_rb: bool = True) -> DataFrame:
-    return pixels.select("image_id", "x", "y", color.luma(F.col("b"), F.col("g"), F.col("r"), swap_rb).alias("v"))
+def gray_values(pixels: DataFrame, swap_rb: bool = True, also: Sequence[str] = ()) -> DataFrame:
+    return pixels.select("image_id", "x", "y", *also, color.luma(F.col("b"), F.col("g"), F.col("r"), swap_rb).alias("v"))
 
 
-def edges(pixels: DataFrame, low: float = 50, high: float = 150) -> DataFrame:
-    return _per_image(gray_values(pixels, False), lambda g: canny(g, low, high), "edge")
+def edges(pixels: DataFrame, low: float = 50, high: float = 150, also: Sequence[str] = ()) -> DataFrame:
+    """(image_id, x, y, also, edge): columns named by ``also`` come along."""
+    return _per_image(gray_values(pixels, False, also), lambda g: canny(g, low, high), "edge", also)
 
 
 def prepare(pixels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.operators import colors, filters, quantize
+from inkframe.operators.groups import dealt
 from inkframe.sources.stored import stored
 
 #: Weights of line, size, spacing, convexity and count.
@@ -85,27 +86,33 @@ def likelihood(components: DataFrame, keys: Sequence[str] = ("image_id",), conve
 def tile_density(pixels: DataFrame, size: int, keys: Sequence[str] = ("image_id",), clusters: int = 0) -> DataFrame:
     """(keys, ty, tx, edge_density[, share_0..]) of whole square tiles: mean of ``edge`` > 0 and shares of clusters ``k``.
 
-    x and y count from the region's corner; what is left over at its right and bottom has no tile.
+    x and y count from the region's corner; what is left over at its right and bottom has no tile. Where a region ends its tiles tell, so
+    its pixels are read once.
     """
-    ends = pixels.groupBy(*keys).agg(F.floor((F.max("x") + 1) / size).alias("_nx"), F.floor((F.max("y") + 1) / size).alias("_ny"))
-    rows = pixels.join(ends, list(keys))
-    rows = rows.withColumns({"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)}).where("tx < _nx AND ty < _ny")
+    rows = pixels.withColumns({"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)})
     shares = [F.avg((F.col("k") == c).cast("int")).alias(f"share_{c}") for c in range(clusters)]
-    return rows.groupBy(*keys, "ty", "tx").agg(F.avg((F.col("edge") > 0).cast("int")).alias("edge_density"), *shares)
+    out = rows.groupBy(*keys, "ty", "tx").agg(F.avg((F.col("edge") > 0).cast("int")).alias("edge_density"), *shares, F.max("x").alias("_mx"), F.max("y").alias("_my"))
+    ends = {f"_n{c}": F.floor((F.max(f"_m{c}").over(Window.partitionBy(*keys)) + 1) / size) for c in "xy"}
+    return out.withColumns(ends).where("tx < _nx AND ty < _ny").drop("_mx", "_my", "_nx", "_ny")
 
 
-def edgy_colors(pixels: DataFrame, size: int = 8, clusters: int = 4, rounds: int = 20, keys: Sequence[str] = ("image_id",), together: bool = False) -> DataFrame:
-    """(keys, k, weight, rank, b, g, r) of the colour clusters that go with edges: k-means, edges, shares by tile, regression."""
+def edgy_colors(pixels: DataFrame, size: int = 8, clusters: int = 4, rounds: int = 20, keys: Sequence[str] = ("image_id",), together: bool = False, tasks: int = 0) -> DataFrame:
+    """(keys, k, weight, rank, b, g, r) of the colour clusters that go with edges: k-means, edges, shares by tile, regression.
+
+    Pixels take their colours along when edges are found, and meet the clusters of these in ``tasks`` (``groups.dealt``).
+    """
     assigned = stored(quantize.lloyd_by_group(colors.distinct_colors(pixels, list(keys)), clusters, rounds, keys, together=together))
-    named = pixels.select(*keys, "x", "y", "b", "g", "r").join(assigned.select(*keys, "b", "g", "r", "k").hint("merge"), [*keys, "b", "g", "r"])
-    tiles = tile_density(filters.edges(pixels).join(named.select(*keys, "x", "y", "k"), [*keys, "x", "y"]), size, keys, clusters)
+    on = [*keys, "b", "g", "r"]
+    seen = dealt(filters.edges(pixels, also=[c for c in on if c != "image_id"]), *on, tasks=tasks)
+    tiles = tile_density(seen.join(assigned.select(*on, "k").hint("merge"), on), size, keys, clusters)
     return edgy_clusters(tiles, clusters, keys).join(quantize.centres_of(assigned, keys).drop("n"), [*keys, "k"])
 
 
 def edgy_clusters(tiles: DataFrame, clusters: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """(keys, k, weight) of the clusters whose share raises edge density, heaviest first.
 
-    Shares sum to one, so the least-squares solution is the one of smallest norm; fewer than two tiles give none.
+    Shares sum to one, so the least-squares solution is the one of smallest norm; fewer than two tiles give none. Tiles are
+    sorted and weights equal to nine places rank by their cluster, so that the order in which tiles come changes nothing.
     """
     names = [f"share_{c}" for c in range(clusters)]
 
@@ -113,9 +120,10 @@ def edgy_clusters(tiles: DataFrame, clusters: int, keys: Sequence[str] = ("image
         head = {k: f[k].iloc[0] for k in keys}
         if len(f) < 2:
             return pd.DataFrame(columns=[*keys, "k", "weight", "rank"])
+        f = f.sort_values([*names, "edge_density"])
         a = np.column_stack([np.ones(len(f)), f[names].to_numpy(float)])
         w = np.linalg.lstsq(a, f["edge_density"].to_numpy(float), rcond=None)[0][1:]
-        order = [k for k in np.argsort(-w, kind="stable") if w[k] > 0]
+        order = [k for k in np.argsort(-np.round(w, 9), kind="stable") if w[k] > 0]
         return pd.DataFrame({**{k: [v] * len(order) for k, v in head.items()}, "k": order, "weight": w[order], "rank": range(1, len(order) + 1)})
 
     schema = ", ".join(f"{k} {tiles.schema[k].dataType.simpleString()}" for k in keys) + ", k int, weight double, rank int"

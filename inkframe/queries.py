@@ -504,7 +504,7 @@ _add(
     "tile_density", "pixels", lambda d: textlike.tile_density(d.withColumn("edge", F.when(F.col("is_text"), 255).otherwise(0)).withColumn("k", (F.col("b") % 2).cast("int")), 10, clusters=2),
     """SELECT image_id, y//10 AS ty, x//10 AS tx, avg(CASE WHEN is_text THEN 1 ELSE 0 END) AS edge_density, avg(CASE WHEN b % 2 = 0 THEN 1 ELSE 0 END) AS share_0, avg(CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END) AS share_1 FROM pixels WHERE x < 60 AND y < 40 GROUP BY 1, 2, 3""",
 )
-_add("edgy_colors", "pixels", lambda d: textlike.edgy_colors(d, together=True), None)
+_add("edgy_colors", "pixels", lambda d, tasks: textlike.edgy_colors(d, together=True, tasks=tasks), None, sized=True)
 
 # --- filters ----------------------------------------------------------------------------------------------
 #: Images of 64 by 48 have 16 tiles of 16 by 12, of which none is filled up; at most one pixel of a tile counts for a value.

@@ -6,7 +6,7 @@ import io
 import numpy as np
 
 from inkframe import fixtures, queries
-from inkframe.operators import tiles
+from inkframe.operators import textlike, tiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,3 +38,17 @@ def test_blur_of_a_full_mask_equals_that_of_any():
         here = np.ones((h, w), bool)
         wide, there = np.pad(a, ((0, 1), (0, 1))), np.pad(here, ((0, 1), (0, 1)))  # a line and a column that aren't there
         assert (tiles._blur(a, here, 9, 127) == tiles._blur(wide, there, 9, 127)[:h, :w]).all()
+
+
+def test_edgy_colors_finds_edges_once(spark):
+    assert plan(spark, "edgy_colors").count("FlatMapGroupsInPandas") == 2  # edges, regression
+
+
+def test_equal_weights_rank_by_cluster_in_any_order_of_tiles(spark):
+    rng = np.random.default_rng(3)
+    share = rng.permutation(64) % 7 / 14
+    rows = [(1, float(0.1 + 0.3 * s), float(s), float(s), float(1 - 2 * s)) for s in share]
+    for seed in range(5):
+        t = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(64)], "image_id bigint, edge_density double, share_0 double, share_1 double, share_2 double").coalesce(1)
+        got = [(r["k"], r["rank"]) for r in textlike.edgy_clusters(t, 3).orderBy("rank").collect()]
+        assert got[:2] == [(0, 1), (1, 2)]
