@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
@@ -48,10 +48,11 @@ def label_pixels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(roots, return_inverse=True)[1][run]
 
 
-def label(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def label(mask: DataFrame, keys: Sequence[str] = ("image_id",), together: bool = False) -> DataFrame:
     """(keys, x, y, label) of the pixels over 0; label counts from 1 in order of each component's first pixel.
 
-    One group is one mask (an image or a region of it), whose lit pixels fit a task.
+    One group is one mask (an image or a region of it), whose lit pixels fit a task. Masks that come each in one task already
+    (``together``) stay there.
     """
     keys = list(keys)
     lit = mask.where("v > 0").select(*keys, "x", "y")
@@ -61,7 +62,7 @@ def label(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
         f = f.sort_values(["y", "x"])
         return f.assign(label=label_pixels(f["x"].to_numpy(), f["y"].to_numpy()) + 1)
 
-    return dealt(lit, *keys).groupBy(*keys).applyInPandas(run, schema)
+    return (lit if together else dealt(lit, *keys)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def features(labels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -156,20 +157,20 @@ def letters(x: np.ndarray, y: np.ndarray) -> list[tuple[int, float, float, float
     return out
 
 
-def convexity(labels: DataFrame, keys: Sequence[str] = ("image_id",), most: int = SHAPES) -> DataFrame:
-    """(keys, label, convexity) of the first ``most`` of the components given: outline area over the area of its hull."""
+def convexity(labels: DataFrame, keys: Sequence[str] = ("image_id",), most: int = SHAPES, tasks: int = 0) -> DataFrame:
+    """(keys, label, convexity) of the first ``most`` of the components given: outline area over the area of its hull.
+
+    A group finds its first components itself, so ``labels`` is read once, and is dealt to ``tasks`` (``groups.dealt``).
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for k, own in f.groupby("label"):
+        for k, own in f[f["label"].isin(np.unique(f["label"])[:most])].groupby("label"):
             out.append((*(f[c].iloc[0] for c in keys), k, solidity(own["x"].to_numpy(np.int64), own["y"].to_numpy(np.int64))))
         return pd.DataFrame(out, columns=[*keys, "label", "convexity"])
 
-    given = labels.select(*keys, "label").distinct()
-    given = given.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("label"))).where(F.col("_r") <= most)
-    first = labels.join(given.drop("_r"), [*keys, "label"], "left_semi")
     schema = ", ".join(f"{k} {labels.schema[k].dataType.simpleString()}" for k in [*keys, "label"]) + ", convexity double"
-    return dealt(first, *keys).groupBy(*keys).applyInPandas(run, schema).where(~F.isnan("convexity"))
+    return dealt(labels.select(*keys, "label", "x", "y"), *keys, tasks=tasks).groupBy(*keys).applyInPandas(run, schema).where(~F.isnan("convexity"))
 
 
 def component_boxes(components: DataFrame) -> DataFrame:

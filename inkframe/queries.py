@@ -486,7 +486,7 @@ _add(
     _LABEL_SQL + """, band AS (SELECT DISTINCT image_id, by_ + 4 AS c FROM pixels)
     SELECT image_id, x, y, label FROM labels l WHERE EXISTS (SELECT 1 FROM labels t JOIN band USING (image_id) WHERE t.image_id = l.image_id AND t.label = l.label AND abs(t.y - c) <= 4)""", recursive=True,
 )
-_add("convexity", "pixels", lambda d: components.convexity(components.label(morphology.ellipse(_mask(d), 5))), None)
+_add("convexity", "pixels", lambda d, tasks: components.convexity(components.label(morphology.ellipse(_mask(d), 5), together=True), tasks=tasks), None, sized=True)
 _FIT_SQL = """, fit AS (SELECT image_id, count(*) AS n, CASE WHEN count(*) < 2 OR min(cx) = max(cx) THEN 0 ELSE regr_slope(cy, cx) END AS slope, CASE WHEN count(*) < 2 THEN 0 WHEN min(cx) = max(cx) THEN avg(cy) ELSE regr_intercept(cy, cx) END AS intercept,
     CASE WHEN count(*) < 2 OR min(cx) = max(cx) THEN 0 WHEN min(cy) = max(cy) THEN 1 ELSE regr_r2(cy, cx) END AS r_squared FROM components GROUP BY image_id),
 gaps AS (SELECT image_id, count(gap) AS n_gaps, stddev_pop(gap) / avg(gap) AS cv FROM (SELECT image_id, cx - lag(cx) OVER (PARTITION BY image_id ORDER BY cx) AS gap FROM components) WHERE gap IS NOT NULL GROUP BY image_id)"""

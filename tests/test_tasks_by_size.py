@@ -52,3 +52,10 @@ def test_equal_weights_rank_by_cluster_in_any_order_of_tiles(spark):
         t = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(64)], "image_id bigint, edge_density double, share_0 double, share_1 double, share_2 double").coalesce(1)
         got = [(r["k"], r["rank"]) for r in textlike.edgy_clusters(t, 3).orderBy("rank").collect()]
         assert got[:2] == [(0, 1), (1, 2)]
+
+
+def test_convexity_labels_once(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "IMAGES", 5)
+    text = plan(spark, "convexity")
+    assert text.count("FlatMapGroupsInPandas") == 2  # labels, hulls
+    assert [line for line in exchanges(text) if "image_id" in line and ", 8)" in line]
