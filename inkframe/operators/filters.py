@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import color
+from inkframe.operators.groups import dealt
 from inkframe.operators.tiles import label as across_tiles
 from inkframe.sources.stored import stored
 
@@ -120,11 +121,11 @@ def contrast_table(gray: DataFrame, tiles: int = 4, clip: float = 2.0) -> DataFr
     return rows.select("image_id", "x", "y", F.least(F.lit(255), F.greatest(F.lit(0), F.rint(out))).cast("long").alias("v"))
 
 
-def edges_table(gray: DataFrame, low: float = 50, high: float = 150) -> DataFrame:
+def edges_table(gray: DataFrame, low: float = 50, high: float = 150, tasks: int = 0) -> DataFrame:
     """(image_id, x, y, edge) as ``canny`` has it, of gray values (image_id, x, y, v; full rectangles) of images of any size.
 
     Gradients and ridges by windows over the rows and columns of an image; weak ridges count where their component, across
-    tiles (``tiles.label``), holds a strong one.
+    tiles (``tiles.label``), holds a strong one. At last pixels meet the lit ones in ``tasks`` (``groups.dealt``).
     """
     across, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
 
@@ -148,7 +149,7 @@ def edges_table(gray: DataFrame, low: float = 50, high: float = 150) -> DataFram
     labels = across_tiles(rows)
     strong = labels.join(rows.where("v = 2").select("image_id", "x", "y").hint("merge"), ["image_id", "x", "y"]).select("image_id", "label").distinct()
     lit = labels.join(strong.hint("merge"), ["image_id", "label"], "left_semi").select("image_id", "x", "y", F.lit(255).cast("long").alias("edge"))
-    return rows.select("image_id", "x", "y").join(lit.hint("merge"), ["image_id", "x", "y"], "left").na.fill(0, ["edge"])
+    return dealt(rows.select("image_id", "x", "y"), "image_id", "x", "y", tasks=tasks).join(lit.hint("merge"), ["image_id", "x", "y"], "left").na.fill(0, ["edge"])
 
 
 def _per_image(rows: DataFrame, f, name: str, also: Sequence[str] = ()) -> DataFrame:

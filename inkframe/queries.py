@@ -555,7 +555,7 @@ def _edges_sql(low: int, high: int) -> str:
     SELECT image_id, p.x, p.y, CASE WHEN l.x IS NULL THEN 0 ELSE 255 END AS edge FROM pixels p LEFT JOIN lit l USING (image_id, x, y)"""
 
 
-_add("edges", "pixels", lambda d: filters.edges_table(filters.gray_values(d, False)), _edges_sql(50, 150), recursive=True)
+_add("edges", "pixels", lambda d, tasks: filters.edges_table(filters.gray_values(d, False), tasks=tasks), _edges_sql(50, 150), recursive=True, sized=True)
 
 
 def _listed(d: DataFrame) -> DataFrame:

@@ -59,3 +59,8 @@ def test_convexity_labels_once(spark, monkeypatch):
     text = plan(spark, "convexity")
     assert text.count("FlatMapGroupsInPandas") == 2  # labels, hulls
     assert [line for line in exchanges(text) if "image_id" in line and ", 8)" in line]
+
+
+def test_edges_meet_their_pixels_in_tasks_by_the_size_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "IMAGES", 5)
+    assert [line for line in exchanges(plan(spark, "edges")) if ", 8), REPARTITION_BY_NUM" in line and "image_id" in line]
