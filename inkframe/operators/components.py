@@ -94,17 +94,21 @@ def anchored(labels: DataFrame, regions: DataFrame, keys: Sequence[str] = ("imag
 
 
 def _hull_area(points: np.ndarray) -> float:
-    points = np.unique(points, axis=0)
-
-    def half(order: np.ndarray) -> list:
-        out: list = []
+    # No corner of a hull lies between two points of its row.
+    points = points[np.lexsort([points[:, 0], points[:, 1]])]
+    turn = np.flatnonzero(np.diff(points[:, 1])) + 1
+    ends = points[np.r_[0, turn, turn - 1, len(points) - 1]]
+    corners = sorted(set(zip(ends[:, 0].tolist(), ends[:, 1].tolist())))
+
+    def half(order: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
         for p in order:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    ring = np.array(half(points) + half(points[::-1]))
+    ring = np.array(half(corners) + half(corners[::-1]))
     if len(ring) < 3:
         return 0.0
     x, y = ring[:, 0].astype(float), ring[:, 1].astype(float)

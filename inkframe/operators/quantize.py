@@ -124,6 +124,8 @@ def best_fit(points: np.ndarray, weight: np.ndarray, codes: np.ndarray, k: int,
 
     The first start is that of ``fit``; the others draw ``k`` colours by their ``codes`` (b * 65536 + g * 256 + r).
     """
+    if starts == 1:
+        return 0, fit(points, weight, k, rounds, None, still)
     best: tuple[float, int, np.ndarray] | None = None
     for s in range(starts):
         draw = np.argsort(codes * pow(MULTIPLIER, s, PRIME) % PRIME, kind="stable") if s else None

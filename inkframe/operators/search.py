@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,17 @@ def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], Data
     images = pairs.select("image_id", "k", "x", "y", F.when(F.col("_own") == F.col("k"), 0).otherwise(192).cast("int").alias("v"))
     keys = ["image_id", "k"]
     found = stored(_letters(assigned, lot))
-    line = textlike.likelihood(found, keys, found.where(~F.isnan("convexity")), ks.join(upright, "image_id", "left_semi")).select(*keys, F.col("n").alias("n_components"), "likelihood")
-    out = ks.join(confidence(images), keys, "left").join(line, keys, "left").na.fill(0, ["conf", "n_components", "likelihood"])
+    return _combined(ks.join(confidence(images), keys, "left"), found, ks.join(upright, "image_id", "left_semi"))
+
+
+def _combined(seen: DataFrame, found: DataFrame, upright: DataFrame) -> DataFrame:
+    """``seen`` (image_id, k, conf and others) with n_components, likelihood and combined, from the letters of each cluster.
+
+    ``upright``: (image_id, k) of clusters whose text runs downwards.
+    """
+    keys = ["image_id", "k"]
+    line = textlike.likelihood(found, keys, found.where(~F.isnan("convexity")), upright).select(*keys, F.col("n").alias("n_components"), "likelihood")
+    out = seen.join(line, keys, "left").na.fill(0, ["conf", "n_components", "likelihood"])
     # A likely line counts for more components, at most twice as many or ten more; an unlikely one for half.
     n = F.col("n_components")
     weighed = F.when(n < 2, n).when(F.col("likelihood") >= 0.7, F.least(n * 2, n + 10)).when(F.col("likelihood") >= 0.5, n).otherwise(F.greatest(F.lit(1), F.floor(n / 2)))
@@ -87,6 +97,51 @@ def candidate_scores(assigned: DataFrame, confidence: Callable[[DataFrame], Data
     return out.withColumn("combined", F.col("conf") * (1.0 + F.col("likelihood") * BOOST))
 
 
+#: What looks at one test image in a task: from its x, y and v (0 or 192) to a score.
+Detector = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
+_LETTERS = pa.list_(pa.struct([("label", pa.int64()), ("area", pa.float64()), ("cx", pa.float64()), ("cy", pa.float64()), ("convexity", pa.float64())]))
+
+
+def _tried(pixels: DataFrame, lot: list[int], rounds: int, starts: int, detector: Detector) -> DataFrame:
+    """(image_id, k, conf, b, g, r, upright, letters) of each cluster of each number of ``lot``, k told apart by its number.
+
+    ``pixels`` (image_id, x, y, b, g, r and the features of ``quantize.with_lab``) come with their image in one task. There its colours are clustered, and each cluster's test image and
+    mask are made from its pixels, looked at and dropped, so of a cluster no pixel is ever a row.
+    """
+    kind = pixels.schema["image_id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, b, g, r = (t[c].to_numpy().astype(np.int64) for c in ("x", "y", "b", "g", "r"))
+        codes, first, color_of, n = np.unique(b * 65536 + g * 256 + r, return_index=True, return_inverse=True, return_counts=True)
+        points = np.stack([t[c].to_numpy()[first] for c in ("_l", "_a", "_b")], axis=1)
+        order = np.lexsort([*points.T[::-1], -n])
+        upright = bool(np.ptp(y) > np.ptp(x))
+        owns = np.empty((len(lot), len(codes)), np.int64)
+        for own, number in zip(owns, lot):
+            own[order] = quantize.best_fit(points[order], n[order].astype(float), codes[order], number, rounds, starts, quantize.STILL)[1] + number * SPAN
+        owns, out = owns[:, color_of], []
+        for k, lit in tiles.run_each(x, y, owns, tiles.OPEN * 3):
+            mine = owns[lot.index(k // SPAN)] == k
+            conf = detector(x, y, np.where(mine, 0, 192))
+            found = components.letters(x[lit], y[lit])
+            out.append((int(k), float(conf), *(float(c[mine].sum() / mine.sum()) for c in (b, g, r)), upright, [dict(zip(("label", "area", "cx", "cy", "convexity"), one)) for one in found]))
+        names = ("k", "conf", "b", "g", "r", "upright")
+        columns = dict(zip(names, zip(*(row[:-1] for row in out))))
+        ids = pa.array([t["image_id"][0].as_py()] * len(out), t.schema.field("image_id").type)
+        kinds = (pa.int32(), *[pa.float64()] * 4, pa.bool_())
+        return pa.table({"image_id": ids, **{c: pa.array(columns[c], a) for c, a in zip(names, kinds)}, "letters": pa.array([row[-1] for row in out], _LETTERS)})
+
+    schema = f"image_id {kind}, k int, conf double, b double, g double, r double, upright boolean, letters array<struct<label: bigint, area: double, cx: double, cy: double, convexity: double>>"
+    return pixels.groupBy("image_id").applyInArrow(run, schema)
+
+
+def detected_scores(pixels: DataFrame, lot: list[int], rounds: int, starts: int, detector: Detector) -> DataFrame:
+    """``candidate_scores`` of all clusters of each number of ``lot`` with their mean colours, the detector run where the test images are made."""
+    tried = stored(_tried(pixels, lot, rounds, starts, detector))
+    found = tried.select("image_id", "k", F.inline("letters"))
+    return _combined(tried.select("image_id", "k", "conf", "b", "g", "r"), found, tried.where("upright").select("image_id", "k"))
+
+
 def best_of(scored: DataFrame) -> DataFrame:
     """(image_id, clusters, k, conf, n_components, likelihood, combined, b, g, r) of the candidate that stands after all have been tried.
 
@@ -118,23 +173,35 @@ def darkest(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.min(order).alias("m")).select("image_id", "m.b", "m.g", "m.r")
 
 
-def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame], numbers: range = RANGE, rounds: int = ROUNDS, starts: int = 1) -> DataFrame:
+def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataFrame] | None, numbers: range = RANGE, rounds: int = ROUNDS, starts: int = 1, detector: Detector | None = None, together: bool = False) -> DataFrame:
     """(image_id, clusters, k, conf, n_components, likelihood, combined, b, g, r): the best cluster over all numbers of clusters.
 
     b, g, r are the cluster's mean colour. Numbers are tried in lots (LOTS), each one plan, in which a cluster's k is told apart by its
     number; images whose lead has a detector score over ENOUGH leave the search after a lot, and within it no later number counts. Only
     the lead of each image is carried on. An image without any candidate has its darkest pixel's colour and nulls.
+
+    The detector is ``confidence``, a plan over the rows of all test images (``candidate_scores``), which are as many as all clusters
+    times all pixels, or ``detector``, which looks at one test image after the other in the tasks of the images. For that, pixels that come with
+    their image in one task already (``together``) stay there.
     """
-    counted = stored(quantize.with_lab(colors.distinct_colors(pixels)))
+    if detector is None:
+        counted = stored(quantize.with_lab(colors.distinct_colors(pixels)))
+    else:
+        dealt_pixels = pixels.select("image_id", "x", "y", "b", "g", "r")
+        dealt_pixels = dealt_pixels if together else dealt(dealt_pixels, "image_id")
     left, lead = pixels.select("image_id").distinct(), None
     lots = [lot for lo, hi in zip((0, *LOTS), (*LOTS, max(numbers, default=0))) if (lot := [n for n in numbers if lo < n <= hi])]
     for lot in lots:
-        own = counted.join(left, "image_id", "left_semi").withColumn("clusters", F.explode(F.array(*map(F.lit, lot))))
-        clustered = quantize.lloyd_by_group(own, "clusters", rounds, ("image_id", "clusters"), ("_l", "_a", "_b"), starts, quantize.STILL)
-        clustered = stored(clustered.select("image_id", "clusters", "b", "g", "r", "n", (F.col("clusters") * SPAN + F.col("k")).alias("k")))
-        assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "clusters", "k").hint("merge"), ["image_id", "b", "g", "r"])
-        means = quantize.centres_of(clustered).drop("n")
-        scored = candidate_scores(assigned, confidence).join(means, ["image_id", "k"])
+        if detector is None:
+            own = counted.join(left, "image_id", "left_semi").withColumn("clusters", F.explode(F.array(*map(F.lit, lot))))
+            clustered = quantize.lloyd_by_group(own, "clusters", rounds, ("image_id", "clusters"), ("_l", "_a", "_b"), starts, quantize.STILL)
+            clustered = stored(clustered.select("image_id", "clusters", "b", "g", "r", "n", (F.col("clusters") * SPAN + F.col("k")).alias("k")))
+            assigned = pixels.join(clustered.select("image_id", "b", "g", "r", "clusters", "k").hint("merge"), ["image_id", "b", "g", "r"])
+            means = quantize.centres_of(clustered).drop("n")
+            scored = candidate_scores(assigned, confidence).join(means, ["image_id", "k"])
+        else:
+            own = dealt_pixels if lead is None else dealt_pixels.join(left, "image_id", "left_semi")
+            scored = detected_scores(quantize.with_lab(own), lot, rounds, starts, detector)
         scored = scored.withColumns({"clusters": F.floor(F.col("k") / SPAN).cast("int"), "k": (F.col("k") % SPAN).cast("int")})
         lead = stored(best_of(scored if lead is None else lead.unionByName(scored)))
         if lot is lots[-1]:
@@ -142,5 +209,6 @@ def exhaustive_search(pixels: DataFrame, confidence: Callable[[DataFrame], DataF
         left = stored(left.join(lead.where(F.col("conf") > ENOUGH).select("image_id"), "image_id", "left_anti"))
         if left.isEmpty():
             break
-    rest = darkest(pixels).join(lead.select(F.col("image_id").alias("_i")), F.col("image_id") == F.col("_i"), "left_anti")
+    # The lead is read from storage, so a plan that has it twice doesn't make it twice.
+    rest = darkest(pixels.join(lead.select("image_id"), "image_id", "left_anti"))
     return lead.unionByName(rest.select("image_id", *(F.lit(None).cast(lead.schema[c].dataType).alias(c) for c in lead.columns[1:-3]), *(F.col(c).cast("double").alias(c) for c in "bgr")))

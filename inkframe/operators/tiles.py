@@ -107,13 +107,14 @@ def run_steps(x: np.ndarray, y: np.ndarray, v: np.ndarray, steps: Sequence[Step]
 def run_each(x: np.ndarray, y: np.ndarray, own: np.ndarray, steps: Sequence[Step], cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
     """(k, which of the given pixels are lit) of each mask k, the pixels where ``own`` is k, after a chain of steps without blur.
 
-    Masks run together as one array, as many as have ``cells`` pixels.
+    ``own`` may have several rows, each a partition of the pixels by numbers of its own. Masks run together as one array, as many as have ``cells`` pixels. One that a step leaves without a pixel stays so and leaves the array.
     """
     if not len(x):
         return
     row, col = y - y.min(), x - x.min()
     here = np.zeros((row.max() + 1, col.max() + 1), bool)
     here[row, col] = True
+    own = np.atleast_2d(own)
     ks = np.unique(own)
     at_once = max(1, cells // here.size)
     for lo in range(0, len(ks), at_once):
@@ -121,11 +122,17 @@ def run_each(x: np.ndarray, y: np.ndarray, own: np.ndarray, steps: Sequence[Step
         a = np.zeros((len(lot), *here.shape), np.uint8)
         of = np.searchsorted(lot, own).clip(0, len(lot) - 1)
         mine = lot[of] == own
-        a[of[mine], row[mine], col[mine]] = 255
+        at = np.nonzero(mine)[1]
+        a[of[mine], row[at], col[at]] = 255
+        rest = np.arange(len(lot))
         for s in steps:
             a = _line(_line(a, here, s[1], 1, s[3]), here, s[2], 0, s[3]) if s[0] == "rectangle" else _ellipse(a, here, s[1], s[2])
-        for k, lit in zip(lot, a):
-            yield k, lit[row, col] > 0
+            lit = np.where(here, a, 0).reshape(len(a), here.size).max(axis=1) > 0
+            if not lit.all():
+                a, rest = a[lit], rest[lit]
+        left = dict(zip(rest.tolist(), a))
+        for at, k in enumerate(lot):
+            yield k, left[at][row, col] > 0 if at in left else np.zeros(len(row), bool)
 
 
 def _cells(at: Column, by: int, tile: int) -> Column:

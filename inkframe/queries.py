@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -304,10 +305,14 @@ _add(
 _add("find_text_colors", "pixels", lambda d: search.find_text_colors(d, together=True), None)
 
 
+def _evenness(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    """A stand-in for the detector: how evenly a test image is split into black and gray."""
+    share = np.count_nonzero(v == 0) / len(v)
+    return 4 * share * (1 - share)
+
+
 def _searched(d: DataFrame) -> DataFrame:
-    """The long search with a stand-in for the detector: how evenly an image is split into black and gray."""
-    share = F.avg((F.col("v") == 0).cast("int"))
-    return search.exhaustive_search(d, lambda images: images.groupBy("image_id", "k").agg((4 * share * (1 - share)).alias("conf")))
+    return search.exhaustive_search(d, None, detector=_evenness, together=True)
 
 
 _add("exhaustive_search", "pixels", _searched, None)
