@@ -26,7 +26,8 @@ def label_pixels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if not len(x):
         return np.zeros(0, np.int64)
     row, first, last, run = runs_of(x, y)
-    parent = np.arange(len(row))
+    row, first, last = row.tolist(), first.tolist(), last.tolist()
+    parent = list(range(len(row)))
 
     def find(k: int) -> int:
         while parent[k] != k:
@@ -34,9 +35,9 @@ def label_pixels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             k = parent[k]
         return k
 
-    start = {int(r): int(k) for k, r in reversed(list(enumerate(row)))}
+    start = {r: k for k, r in reversed(list(enumerate(row)))}
     for k in range(len(row)):
-        j = start.get(int(row[k]) - 1)
+        j = start.get(row[k] - 1)
         if j is None:
             continue
         while j < k and row[j] == row[k] - 1 and first[j] <= last[k] + 1:
@@ -94,25 +95,27 @@ def anchored(labels: DataFrame, regions: DataFrame, keys: Sequence[str] = ("imag
 
 
 def _hull_area(points: np.ndarray) -> float:
-    # No corner of a hull lies between two points of its row.
-    points = points[np.lexsort([points[:, 0], points[:, 1]])]
-    turn = np.flatnonzero(np.diff(points[:, 1])) + 1
-    ends = points[np.r_[0, turn, turn - 1, len(points) - 1]]
-    corners = sorted(set(zip(ends[:, 0].tolist(), ends[:, 1].tolist())))
-
-    def half(order: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    # No corner of a hull lies between two points of its row, so a chain goes down along the left ends and one along the right ends.
+    x, row = points[:, 0], points[:, 1] - points[:, 1].min()
+    beyond = int(x.max()) + 1
+    left, right = np.full(row.max() + 1, beyond, np.int64), np.full(row.max() + 1, int(x.min()) - 1, np.int64)
+    np.minimum.at(left, row, x)
+    np.maximum.at(right, row, x)
+    rows = np.flatnonzero(left < beyond)
+
+    def chain(ends: np.ndarray, side: int) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        for p in order:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+        for u, v in zip(ends[rows].tolist(), rows.tolist()):
+            while len(out) > 1:
+                (a, b), (c, d) = out[-2:]
+                if side * ((c - a) * (v - b) - (d - b) * (u - a)) > 0:
+                    break
                 out.pop()
-            out.append(p)
-        return out[:-1]
+            out.append((u, v))
+        return out
 
-    ring = np.array(half(corners) + half(corners[::-1]))
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring[:, 0].astype(float), ring[:, 1].astype(float)
-    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+    ring = chain(left, -1) + chain(right, 1)[::-1]
+    return abs(sum(a * d - b * c for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]))) / 2
 
 
 def _outline_area(x: np.ndarray, y: np.ndarray) -> float:
@@ -120,8 +123,9 @@ def _outline_area(x: np.ndarray, y: np.ndarray) -> float:
     w, h = x.max() - x.min() + 3, y.max() - y.min() + 3
     grid = np.zeros((h, w), bool)
     grid[y - y.min() + 1, x - x.min() + 1] = True
-    outside = np.zeros_like(grid)
-    outside[0, :] = outside[-1, :] = outside[:, 0] = outside[:, -1] = True
+    # What a straight line from the edge reaches is outside, and most of it.
+    reached = np.logical_or.accumulate
+    outside = ~(reached(grid, 1) & reached(grid[:, ::-1], 1)[:, ::-1] & reached(grid, 0) & reached(grid[::-1], 0)[::-1])
     while True:  # the background reached from the edge by side steps
         more = outside.copy()
         more[1:] |= outside[:-1]

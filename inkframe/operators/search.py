@@ -115,7 +115,7 @@ def _tried(pixels: DataFrame, lot: list[int], rounds: int, starts: int, detector
         codes, first, color_of, n = np.unique(b * 65536 + g * 256 + r, return_index=True, return_inverse=True, return_counts=True)
         points = np.stack([t[c].to_numpy()[first] for c in ("_l", "_a", "_b")], axis=1)
         order = np.lexsort([*points.T[::-1], -n])
-        upright = bool(np.ptp(y) > np.ptp(x))
+        bgr, upright = np.stack([b, g, r]), bool(np.ptp(y) > np.ptp(x))
         owns = np.empty((len(lot), len(codes)), np.int64)
         for own, number in zip(owns, lot):
             own[order] = quantize.best_fit(points[order], n[order].astype(float), codes[order], number, rounds, starts, quantize.STILL)[1] + number * SPAN
@@ -124,7 +124,7 @@ def _tried(pixels: DataFrame, lot: list[int], rounds: int, starts: int, detector
             mine = owns[lot.index(k // SPAN)] == k
             conf = detector(x, y, np.where(mine, 0, 192))
             found = components.letters(x[lit], y[lit])
-            out.append((int(k), float(conf), *(float(c[mine].sum() / mine.sum()) for c in (b, g, r)), upright, [dict(zip(("label", "area", "cx", "cy", "convexity"), one)) for one in found]))
+            out.append((int(k), float(conf), *(bgr[:, mine].sum(axis=1) / np.count_nonzero(mine)).tolist(), upright, [dict(zip(("label", "area", "cx", "cy", "convexity"), one)) for one in found]))
         names = ("k", "conf", "b", "g", "r", "upright")
         columns = dict(zip(names, zip(*(row[:-1] for row in out))))
         ids = pa.array([t["image_id"][0].as_py()] * len(out), t.schema.field("image_id").type)

@@ -75,5 +75,6 @@ def test_hull_areas_equal_the_chain_over_all_points():
     r = np.random.default_rng(2)
     for n in (1, 2, 3, 5, 40, 400):
         for w in (1, 2, 9, 30):
-            p = r.integers(0, w, (n, 2)) * (1, r.integers(1, 3)) + 7
-            assert components._hull_area(p) == plain([tuple(q) for q in p.tolist()])
+            for at in (7, -50):
+                p = r.integers(0, w, (n, 2)) * (1, r.integers(1, 3)) + at
+                assert components._hull_area(p) == plain([tuple(q) for q in p.tolist()])
